@@ -1,0 +1,26 @@
+"""Size checks that guard every explicit broadcast.
+
+A side is broadcast only after its row count is measured against a bound;
+beyond the bound the plain (shuffle) join is used and AQE may still convert
+it at runtime from real statistics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded_count(df: DataFrame, bound: int) -> int:
+    """Row count, but stop reading after ``bound + 1`` rows."""
+    return df.limit(bound + 1).count()
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    return bounded_count(df, max_rows) <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if is_small(df, max_rows) else df
