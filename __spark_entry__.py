@@ -321,6 +321,52 @@ def q_run_stats(spark, sf):
     return RP.run_stats(w.bucketed, w.files)
 
 
+def q_scan_from_responses(spark, sf):
+    """I4 + P-tiers: replies looked up by cache key, recovered, counted."""
+    from quarry.operators.analysts import response_results
+    from quarry.operators.findings import result_items
+    from quarry.operators.responses import parse_responses
+    w = _w(spark, sf)
+    got = response_results(w.keyed, w.responses.select("cache_key", "status", "raw"))
+    p = parse_responses(got)
+    return p.select("scanner", F.col("path").alias("file"), "kind",
+                    F.coalesce(F.size(result_items(F.col("result"))), F.lit(0))
+                    .cast("bigint").alias("n_findings"))
+
+
+def q_response_tiers(spark, sf):
+    return _w(spark, sf).parsed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_discovery_plan(spark, sf):
+    from quarry.operators.discovery import discovery_plan, rule_discovery_reply
+    w = _w(spark, sf)
+    plan = discovery_plan(spark, rule_discovery_reply(spark, w.kept))
+    return plan.select("scanner", F.col("pos").cast("bigint").alias("pos"), "ext")
+
+
+def q_discovered_targets(spark, sf):
+    from quarry.operators.discovery import discovery_plan, rule_discovery_reply
+    w = _w(spark, sf)
+    plan = discovery_plan(spark, rule_discovery_reply(spark, w.kept))
+    _, ni = w.indexes
+    fanned = TG.fan_out(w.kept, TG.discovery_ext_index(plan), ni)
+    return TG.scan_targets(fanned).groupBy("scanner").agg(F.count(F.lit(1)).alias("targets"))
+
+
+def q_rendered_prompts(spark, sf):
+    """Scan prompts rendered per target (hash + length of the rendered text)."""
+    from quarry.functions.text import render_prompt
+    w = _w(spark, sf)
+    cat = F.broadcast(w.catalog.select("scanner", "template"))
+    t = TG.scan_targets(w.fanned).join(cat, "scanner").join(
+        w.kept.select("doc_id", "text"), "doc_id")
+    r = render_prompt(F.col("template"), filename=F.col("name"), file_content=F.col("text"))
+    t = t.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
+    return t.select("scanner", "doc_id", F.md5(r).alias("prompt_md5"),
+                    F.length(r).cast("bigint").alias("prompt_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -375,6 +421,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extensions_scanned": q_extensions_scanned,
     "allowlist_candidates": q_allowlist_candidates,
     "run_stats": q_run_stats,
+    "scan_from_responses": q_scan_from_responses,
+    "response_tiers": q_response_tiers,
+    "discovery_plan": q_discovery_plan,
+    "discovered_targets": q_discovered_targets,
+    "rendered_prompts": q_rendered_prompts,
 }
 
 

@@ -433,4 +433,40 @@ def oracle_queries() -> dict[str, str]:
     q["run_stats"] = sql(
         f"SELECT metric, value FROM (UNPIVOT (SELECT * FROM ({stats}) a, ({files}) f) "
         f"ON COLUMNS(*) INTO NAME metric VALUE value)")
+    kind = (f"CASE WHEN k.size > {BUDGET_BYTES} THEN 'failed' WHEN k.doc_id % 6 = 5 THEN 'marker' "
+            f"WHEN k.doc_id % 6 = 4 THEN CASE WHEN coalesce(c.n, 0) > 0 THEN 'truncated' "
+            f"ELSE 'error' END ELSE 'array' END")
+    replies = (f"SELECT k.scanner, k.path AS file, {kind} AS kind, CAST(CASE WHEN k.size > {BUDGET_BYTES} "
+               f"OR k.doc_id % 6 = 5 THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_findings "
+               f"FROM keyed k LEFT JOIN (SELECT scanner, doc_id, count(*) AS n FROM nf "
+               f"GROUP BY scanner, doc_id) c USING (scanner, doc_id)")
+    q["scan_from_responses"] = sql(replies)
+    q["response_tiers"] = sql(
+        f"SELECT kind, CAST(count(*) AS BIGINT) AS n FROM ({replies}) GROUP BY kind")
+    base_rows = [(s.id, p, e) for s in R.scanners() for p, e in enumerate(dict.fromkeys(s.base_ext))]
+    plan = f"""
+      SELECT scanner, CAST(row_number() OVER (PARTITION BY scanner ORDER BY k) - 1 AS BIGINT) AS pos, ext
+      FROM (SELECT scanner, ext, dpos AS k FROM disc
+            UNION ALL
+            SELECT b.scanner, b.ext, 1000 + b.bpos FROM base b
+            WHERE NOT EXISTS (SELECT 1 FROM disc d WHERE d.scanner = b.scanner AND d.ext = b.ext))"""
+    disc = f"""base AS {values(base_rows, ['scanner', 'bpos', 'ext'])},
+      ec AS (SELECT ext, count(*) AS files FROM kept GROUP BY ext),
+      disc AS (SELECT b.scanner, b.ext, row_number() OVER (PARTITION BY b.scanner
+                                                          ORDER BY ec.files DESC, b.ext) - 1 AS dpos
+               FROM base b JOIN ec USING (ext))"""
+    q["discovery_plan"] = "WITH " + BASE.strip() + ",\n" + disc + "\n" + plan
+    q["discovered_targets"] = (
+        "WITH " + BASE.strip() + ",\n" + disc + f", plan AS ({plan}),\n"
+        "dt AS (SELECT k.doc_id, p.scanner FROM kept k JOIN plan p ON k.ext = p.ext "
+        "UNION SELECT k.doc_id, x.scanner FROM kept k JOIN name_idx x ON k.name = x.key)\n"
+        "SELECT scanner, CAST(count(*) AS BIGINT) AS targets FROM dt GROUP BY scanner")
+    tmpl_rows = [(s.id, R.default_prompt_template(s.id)) for s in R.scanners()]
+    q["rendered_prompts"] = sql(
+        f"""SELECT scanner, doc_id, md5(r) AS prompt_md5, CAST(length(r) AS BIGINT) AS prompt_chars
+            FROM (SELECT t.scanner, t.doc_id,
+                    replace(replace(replace(replace(tm.template, '{{filename}}', k.name),
+                            '{{file_content}}', k.text), '{{{{', '{{'), '}}}}', '}}') AS r
+                  FROM targets t JOIN kept k USING (doc_id)
+                  JOIN {values(tmpl_rows, ['scanner', 'template'])} tm USING (scanner))""")
     return q

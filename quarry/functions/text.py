@@ -69,8 +69,8 @@ def render_prompt(template, **values) -> Column:
     subst = F.transform(pieces, lambda p: _substitute(p, values))
     out = F.array_join(subst, "")
     out = F.replace(F.replace(out, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
-    bad = F.regexp_like(F.array_join(F.filter(pieces, lambda p: ~p.startswith("{")), ""),
-                        F.lit(r"[{}]"))
+    holders = [F.lit("{" + n + "}") for n in values]
+    bad = F.exists(pieces, lambda p: ~p.isin(*holders) & p.rlike(r"[{}]"))
     return F.when(bad, F.lit(None).cast("string")).otherwise(out)
 
 

@@ -126,7 +126,7 @@ def findings_for_scanner(hits: Column, scanner: Column, rules: list[Rule]) -> Co
             F.get(r_fix, k).alias("fix"), F.get(r_src, k).alias("source"),
             F.get(r_sink, k).alias("sink"),
             F.array().cast("array<string>").alias("tags")))
-    return tag_unsubstantiated(F.flatten(F.transform(hits, per_hit)))
+    return F.flatten(F.transform(hits, per_hit))
 
 
 def rule_results(fanned: DataFrame, catalog: DataFrame, rules: list[Rule] | None = None,
@@ -147,8 +147,8 @@ def rule_results(fanned: DataFrame, catalog: DataFrame, rules: list[Rule] | None
     per_target = (with_hits.select("*", F.explode("scanners").alias("scanner")).drop("scanners")
                   .join(cat, "scanner"))
     over = F.lit(False) if budget_bytes is None else (F.col("size") > F.lit(budget_bytes))
-    findings = findings_for_scanner(F.col("_hits"), F.col("scanner"), rules)
-    return per_target.select(
+    reply = findings_for_scanner(F.col("_hits"), F.col("scanner"), rules)
+    return per_target.withColumn("_reply", reply).select(
         K.scan_key("scanner_name", "path", "content_hash", "prompt_hash",
                    F.lit(thinking)).alias("cache_key"),
         "scanner", "scanner_name", F.col("path").alias("file"), "doc_id",
@@ -156,7 +156,10 @@ def rule_results(fanned: DataFrame, catalog: DataFrame, rules: list[Rule] | None
         "content_hash", "prompt_hash", F.lit(thinking).alias("thinking"),
         F.lit(tools_mode).alias("tools_mode"),
         F.when(over, F.to_json(F.struct(F.lit("analyst time budget exceeded").alias("error"))))
-         .otherwise(F.to_json(findings)).alias("result"))
+         .otherwise(F.to_json(tag_unsubstantiated(F.col("_reply")))).alias("result"),
+        # the analyst's own reply text (untagged), as a model would return it
+        F.when(over, F.lit("")).otherwise(
+            F.to_json(F.transform("_reply", lambda f: f.dropFields("tags")))).alias("reply"))
 
 
 def response_results(pending: DataFrame, responses: DataFrame) -> DataFrame:

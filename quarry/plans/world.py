@@ -136,3 +136,26 @@ class World:
     @cached_property
     def files(self) -> DataFrame:
         return TR.file_grain(self.results_n, self.bucketed)
+
+    # -- analyst replies ---------------------------------------------------
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        """Model-style replies per (category, file): the findings JSON wrapped six
+        ways (bare, fenced, leading prose, trailing prose, truncated, prose-only)."""
+        js = F.col("reply")
+        d = F.col("doc_id") % 6
+        raw = (F.when(d == 0, js)
+               .when(d == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+               .when(d == 2, F.concat(F.lit("Here: "), js))
+               .when(d == 3, F.concat(js, F.lit(" done")))
+               .when(d == 4, F.expr("substring(reply, 1, length(reply) - 1)"))
+               .otherwise(F.lit("No vulnerabilities found.")))
+        ok = F.col("status") == "ok"
+        return self.results.select("cache_key", "scanner", "file", "doc_id", "status",
+                                   F.when(ok, raw).otherwise(F.lit("")).alias("raw"))
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        from quarry.operators.responses import parse_responses
+        return parse_responses(self.responses)
