@@ -367,6 +367,16 @@ def q_rendered_prompts(spark, sf):
                     F.length(r).cast("bigint").alias("prompt_chars"))
 
 
+def q_phase_progress(spark, sf):
+    from quarry.plans.progress import events_progress
+    return events_progress(C.read_table(spark, sf, "events"))
+
+
+def q_overall_eta(spark, sf):
+    from quarry.plans.progress import events_progress, overall_eta
+    return overall_eta(events_progress(C.read_table(spark, sf, "events")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -426,6 +436,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "discovery_plan": q_discovery_plan,
     "discovered_targets": q_discovered_targets,
     "rendered_prompts": q_rendered_prompts,
+    "phase_progress": q_phase_progress,
+    "overall_eta": q_overall_eta,
 }
 
 

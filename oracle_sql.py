@@ -469,4 +469,36 @@ def oracle_queries() -> dict[str, str]:
                             '{{file_content}}', k.text), '{{{{', '{{'), '}}}}', '}}') AS r
                   FROM targets t JOIN kept k USING (doc_id)
                   JOIN {values(tmpl_rows, ['scanner', 'template'])} tm USING (scanner))""")
+    def eta_text(x: str) -> str:
+        xi = f"CAST(floor({x}) AS BIGINT)"
+        two = lambda e: f"lpad(CAST({e} AS VARCHAR), 2, '0')"
+        return (f"CASE WHEN {x} IS NULL OR {x} < 0 THEN '?' WHEN {x} < 1 THEN '<1s' "
+                f"WHEN {xi} < 60 THEN CAST({xi} AS VARCHAR) || 's' "
+                f"WHEN {xi} < 3600 THEN CAST({xi} // 60 AS VARCHAR) || 'm' || {two(f'{xi} % 60')} || 's' "
+                f"WHEN {xi} < 86400 THEN CAST({xi} // 3600 AS VARCHAR) || 'h' || {two(f'({xi} % 3600) // 60')} || 'm' "
+                f"ELSE CAST({xi} // 86400 AS VARCHAR) || 'd' || {two(f'({xi} % 86400) // 3600')} || 'h' END")
+    prog = f"""
+      WITH ev AS (SELECT event_type AS grp, epoch_us(ts) AS us FROM events),
+      snap AS (SELECT min(us) + CAST(floor((max(us) - min(us)) / 2) AS BIGINT) AS t FROM ev),
+      g AS (SELECT grp, CAST(count(*) AS BIGINT) AS total,
+                   CAST(count(*) FILTER (WHERE us <= t) AS BIGINT) AS completed,
+                   min(us) FILTER (WHERE us <= t) AS started_us, any_value(t) AS t
+            FROM ev, snap GROUP BY grp),
+      r AS (SELECT *, CASE WHEN completed > 0 THEN completed / greatest((t - started_us) / 1e6, 1e-6)
+                           ELSE 0.0 END AS rate,
+                   greatest(total - completed, 0) AS remaining FROM g),
+      e AS (SELECT *, CASE WHEN rate > 0 THEN remaining / rate END AS eta FROM r)
+      SELECT grp, total, completed, round(rate * 3600, 4) AS per_h,
+             CAST(floor(eta) AS BIGINT) AS eta_s,
+             CASE WHEN remaining = 0 THEN 'done' ELSE {eta_text('eta')} END AS eta
+      FROM e"""
+    q["phase_progress"] = prog
+    q["overall_eta"] = f"""
+      SELECT CAST(eta_s AS BIGINT) AS eta_s, lower_bound,
+             CASE WHEN NOT any_work THEN 'done' WHEN eta_s IS NULL THEN '?'
+                  ELSE CASE WHEN lower_bound THEN '≥' ELSE '' END || {eta_text('eta_s')} END AS eta
+      FROM (SELECT sum(CASE WHEN total - completed > 0 THEN eta_s END) AS eta_s,
+                   bool_or(total - completed > 0 AND eta_s IS NULL) AS lower_bound,
+                   bool_or(total - completed > 0) AS any_work
+            FROM ({prog}))"""
     return q
