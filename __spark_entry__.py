@@ -23,14 +23,14 @@ from quarry.operators import targets as TG  # noqa: E402
 from quarry.operators.findings import explode_findings  # noqa: E402
 from quarry.operators.suppress import allowlist_candidates  # noqa: E402
 from quarry.plans import report as RP  # noqa: E402
-from quarry.plans.world import World  # noqa: E402
+from quarry.plans.world import World, world_for  # noqa: E402
 from quarry.sources import corpus as C  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 def _w(spark: SparkSession, sf: str) -> World:
-    return World(spark, sf)
+    return world_for(spark, sf)
 
 
 def prior_store(w: World) -> DataFrame:

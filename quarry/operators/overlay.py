@@ -57,26 +57,32 @@ VERDICT_FIELDS = ["confidence", "exploitable", "verification_reason", "verdict"]
 def verdict_lines_from_replies(verdict_store: DataFrame) -> DataFrame:
     """E5: verifier replies -> one verdict per (verify_key, line), last entry wins.
 
-    Entries without an integer line are skipped; missing fields take the
-    reply defaults (confidence 'Unknown', exploitable 'unknown', blanks).
+    A reply row holds all verdicts of one file, so "last entry per line wins"
+    is resolved inside the row (no shuffle); the store keeps one reply per
+    verify key (its latest attempt).  Entries without an integer line are
+    skipped; missing fields take the reply defaults (confidence 'Unknown',
+    exploitable 'unknown', blanks).
     """
     items = result_items(F.col("result"))
+
+    def rec(e):
+        return F.struct(
+            F.try_variant_get(e, "$.line", "bigint").alias("line"),
+            F.coalesce(F.try_variant_get(e, "$.confidence", "string"), F.lit("Unknown"))
+             .alias("confidence"),
+            F.coalesce(F.try_variant_get(e, "$.exploitable", "string"), F.lit("unknown"))
+             .alias("exploitable"),
+            F.coalesce(F.try_variant_get(e, "$.verification_reason", "string"), F.lit(""))
+             .alias("verification_reason"),
+            F.coalesce(F.try_variant_get(e, "$.verdict", "string"), F.lit("")).alias("verdict"))
+    recs = F.filter(F.transform(items, rec), lambda r: r["line"].isNotNull())
+    # keep an entry only if no later entry of the same reply names the same line
+    last = F.filter(recs, lambda r, i: ~F.exists(
+        F.slice(recs, i + 2, F.greatest(F.size(recs) - i - 1, F.lit(1))),
+        lambda later: later["line"] == r["line"]))
     ok = verdict_store.where(F.col("status") == "ok")
-    ex = ok.select("verify_key", F.posexplode(items).alias("pos", "e"))
-    rec = ex.select(
-        "verify_key", "pos",
-        F.try_variant_get("e", "$.line", "bigint").alias("line"),
-        F.coalesce(F.try_variant_get("e", "$.confidence", "string"), F.lit("Unknown"))
-         .alias("confidence"),
-        F.coalesce(F.try_variant_get("e", "$.exploitable", "string"), F.lit("unknown"))
-         .alias("exploitable"),
-        F.coalesce(F.try_variant_get("e", "$.verification_reason", "string"), F.lit(""))
-         .alias("verification_reason"),
-        F.coalesce(F.try_variant_get("e", "$.verdict", "string"), F.lit("")).alias("verdict"),
-    ).where(F.col("line").isNotNull())
-    last = F.max_by(F.struct(*VERDICT_FIELDS), "pos")
-    return (rec.groupBy("verify_key", "line").agg(last.alias("v"))
-            .select("verify_key", "line", *[F.col(f"v.{c}").alias(c) for c in VERDICT_FIELDS]))
+    return (ok.select("verify_key", F.explode(last).alias("v"))
+            .select("verify_key", "v.line", *[F.col(f"v.{c}").alias(c) for c in VERDICT_FIELDS]))
 
 
 def overlay(findings: DataFrame, verdict_lines: DataFrame) -> DataFrame:

@@ -24,3 +24,21 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def ensure_parallelism(df: DataFrame, key: str | None = None,
+                       min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster's cores when it yields too few partitions.
+
+    A file with one large row group is read by a single task; the text-heavy
+    map stages after it would then run on one core.  When the scan already
+    has at least ``min_partitions`` partitions (the normal case for a big
+    table: many files / row groups) nothing is added; otherwise one
+    round of hash repartitioning by ``key`` fans the rows out.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)

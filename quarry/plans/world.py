@@ -20,6 +20,7 @@ from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.suppress import ALLOWLIST_DDL
 from quarry.plans import triage as TR
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources import corpus as C
 
 VERIFY_PROMPT_HASH = R.short_hash(R.DEFAULT_VERIFY_TEMPLATE)
@@ -42,7 +43,7 @@ class World:
     def __init__(self, spark: SparkSession, sf_dir: str,
                  max_file_size: int = R.DEFAULT_MAX_FILE_SIZE, thinking: str = "off",
                  budget_bytes: int | None = 20000, confidence_threshold: str | None = "medium",
-                 rules: list[A.Rule] | None = None):
+                 rules: list[A.Rule] | None = None, materialized: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.max_file_size = max_file_size
@@ -50,6 +51,7 @@ class World:
         self.budget_bytes = budget_bytes
         self.confidence_threshold = confidence_threshold
         self.rules = rules or A.DEFAULT_RULES
+        self.materialized = materialized
 
     def table(self, name: str) -> DataFrame:
         return C.read_table(self.spark, self.sf_dir, name)
@@ -83,11 +85,23 @@ class World:
     def keyed(self) -> DataFrame:
         return TG.with_scan_keys(TG.scan_targets(self.fanned), self.catalog, self.thinking)
 
+    def materialize(self, df: DataFrame) -> DataFrame:
+        """Phase boundary: write ``df`` to the shared checkpoint folder and read it back.
+
+        Later phases (and every report section) read the written table instead
+        of recomputing its lineage; a lost executor re-reads files, it does not
+        re-run the scan.
+        """
+        if not self.materialized:
+            return df
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     @cached_property
     def results(self) -> DataFrame:
         """The result store of this run (rule analyst over every target)."""
-        return A.rule_results(self.fanned, self.catalog, self.rules, self.thinking,
-                              budget_bytes=self.budget_bytes)
+        return self.materialize(A.rule_results(self.fanned, self.catalog, self.rules,
+                                               self.thinking, budget_bytes=self.budget_bytes))
 
     @cached_property
     def results_n(self) -> DataFrame:
@@ -130,8 +144,8 @@ class World:
 
     @cached_property
     def bucketed(self) -> DataFrame:
-        return TR.bucketed(self.results_n, self.verdict_lines, self.allowlist,
-                           self.confidence_threshold)
+        return self.materialize(TR.bucketed(self.results_n, self.verdict_lines, self.allowlist,
+                                            self.confidence_threshold))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -159,3 +173,16 @@ class World:
     def parsed(self) -> DataFrame:
         from quarry.operators.responses import parse_responses
         return parse_responses(self.responses)
+
+
+_WORLDS: dict[tuple, World] = {}
+
+
+def world_for(spark: SparkSession, sf_dir: str) -> World:
+    """One world per (live session, input folder): its phase tables are written once
+    and every query of the session reads them."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    w = _WORLDS.get(key)
+    if w is None:
+        w = _WORLDS[key] = World(spark, sf_dir)
+    return w

@@ -63,13 +63,15 @@ def synthetic_repo_path(doc_id: str = "doc_id", lang: str = "lang",
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table as a source-file corpus."""
-    docs = read_table(spark, sf_dir, "documents")
+    from quarry.plans.sizing import ensure_parallelism
+    docs = ensure_parallelism(read_table(spark, sf_dir, "documents"), "doc_id")
     return corpus_from_table(docs, synthetic_repo_path(), "text", doc_id="doc_id")
 
 
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``pages`` table as a second corpus shape: path from the URL, content = html."""
-    pages = read_table(spark, sf_dir, "pages")
+    from quarry.plans.sizing import ensure_parallelism
+    pages = ensure_parallelism(read_table(spark, sf_dir, "pages"), "page_id")
     path = F.concat(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1),
                     F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1))
     path = F.concat(path, F.when(F.col("url").rlike(r"^[a-z]+://[^/?#]+/[^?#]*/$|^[a-z]+://[^/?#]+$"),
