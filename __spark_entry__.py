@@ -377,6 +377,25 @@ def q_overall_eta(spark, sf):
     return overall_eta(events_progress(C.read_table(spark, sf, "events")))
 
 
+def _pages_results(spark, sf):
+    from quarry.operators import analysts as A
+    kept = FL.kept_files(C.pages_corpus(spark, sf))
+    ei, ni = TG.registry_indexes(spark, format_override=[".html"])
+    return A.rule_results(TG.fan_out(kept, ei, ni), TG.prompt_catalog(spark))
+
+
+def q_pages_skip_counts(spark, sf):
+    return FL.skip_counts(C.pages_corpus(spark, sf))
+
+
+def q_pages_findings(spark, sf):
+    """Rule analyst over the web-page corpus (every category scans .html)."""
+    from quarry.operators.findings import with_findings
+    f = explode_findings(with_findings(_pages_results(spark, sf)))
+    return f.groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("n"),
+                                                F.countDistinct("file").alias("files"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -438,6 +457,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rendered_prompts": q_rendered_prompts,
     "phase_progress": q_phase_progress,
     "overall_eta": q_overall_eta,
+    "pages_skip_counts": q_pages_skip_counts,
+    "pages_findings": q_pages_findings,
 }
 
 

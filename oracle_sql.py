@@ -501,4 +501,30 @@ def oracle_queries() -> dict[str, str]:
                    bool_or(total - completed > 0 AND eta_s IS NULL) AS lower_bound,
                    bool_or(total - completed > 0) AS any_work
             FROM ({prog}))"""
+    pages = f"""
+      pc0 AS (SELECT page_id AS doc_id, html AS text,
+                regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '[?#].*$', '') AS p
+              FROM pages),
+      pc1 AS (SELECT doc_id, text, CASE WHEN suffix(p, '/') THEN p || 'index.html' ELSE p || '.html' END AS p0
+              FROM pc0),
+      pc2 AS (SELECT doc_id, text,
+                regexp_replace(regexp_replace(regexp_replace(p0, '(^|/)(\\./)+', '\\1', 'g'), '/{{2,}}', '/', 'g'),
+                               '^/+', '') AS path FROM pc1),
+      pcorpus AS (SELECT doc_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
+                         lower(regexp_extract(path, {lit(P.SUFFIX_PATTERN)}, 1)) AS ext,
+                         CAST(strlen(text) AS BIGINT) AS size, text FROM pc2),
+      plab AS (SELECT *, {SKIP_CASE.format(cap=R.DEFAULT_MAX_FILE_SIZE)} AS skip_reason FROM pcorpus)"""
+    q["pages_skip_counts"] = (
+        "WITH " + pages.strip() + "\nSELECT coalesce(skip_reason, 'kept') AS skip_reason, "
+        "CAST(count(*) AS BIGINT) AS files FROM plab GROUP BY 1")
+    q["pages_findings"] = (
+        "WITH " + pages.strip() + f""",
+      rules AS {values(_rule_rows(), ['rule_ord', 'rule_id', 'scanner', 'severity', 'pattern',
+                                      'explanation', 'fix', 'source', 'sink'])},
+      plines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS code
+                 FROM plab WHERE skip_reason IS NULL AND ext = '.html')
+      SELECT r.scanner, r.severity, CAST(count(*) AS BIGINT) AS n,
+             CAST(count(DISTINCT l.path) AS BIGINT) AS files
+      FROM plines l JOIN rules r ON regexp_matches(l.code, r.pattern)
+      GROUP BY r.scanner, r.severity""")
     return q

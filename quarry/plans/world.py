@@ -83,7 +83,9 @@ class World:
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return TG.with_scan_keys(TG.scan_targets(self.fanned), self.catalog, self.thinking)
+        """The work list: one keyed row per (category, file), no content."""
+        return self.materialize(
+            TG.with_scan_keys(TG.scan_targets(self.fanned), self.catalog, self.thinking))
 
     def materialize(self, df: DataFrame) -> DataFrame:
         """Phase boundary: write ``df`` to the shared checkpoint folder and read it back.

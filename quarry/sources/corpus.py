@@ -68,12 +68,17 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(docs, synthetic_repo_path(), "text", doc_id="doc_id")
 
 
+def page_path(url: str | Column = "url") -> Column:
+    """Repository-style path for a web page: host + path, query/fragment dropped,
+    ``index.html`` for directory URLs, ``.html`` appended otherwise."""
+    u = F.col(url) if isinstance(url, str) else url
+    p = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z]+://", ""), r"[?#].*$", "")
+    return F.when(p.endswith("/"), F.concat(p, F.lit("index.html"))) \
+        .otherwise(F.concat(p, F.lit(".html")))
+
+
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``pages`` table as a second corpus shape: path from the URL, content = html."""
     from quarry.plans.sizing import ensure_parallelism
     pages = ensure_parallelism(read_table(spark, sf_dir, "pages"), "page_id")
-    path = F.concat(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1),
-                    F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1))
-    path = F.concat(path, F.when(F.col("url").rlike(r"^[a-z]+://[^/?#]+/[^?#]*/$|^[a-z]+://[^/?#]+$"),
-                                 F.lit("/index.html")).otherwise(F.lit(".html")))
-    return corpus_from_table(pages, path, "html", doc_id="page_id")
+    return corpus_from_table(pages, page_path("url"), "html", doc_id="page_id")
