@@ -396,6 +396,22 @@ def q_pages_findings(spark, sf):
                                                 F.countDistinct("file").alias("files"))
 
 
+def q_finding_details(spark, sf):
+    return RP.finding_details(_b(spark, sf))
+
+
+def q_pending_candidates(spark, sf):
+    """Allowlist entries awaiting human confirmation after this run's export."""
+    from quarry.sources.stores import append_candidates
+    w = _w(spark, sf)
+    al = w.allowlist.withColumn("exported_at", F.lit(None).cast("string"))
+    cands = allowlist_candidates(RP.refuted_for_export(w.bucketed), w.allowlist,
+                                 exported_at="1970-01-01T00:00:00Z")
+    merged = append_candidates(al, cands)
+    return merged.where(F.col("status") == "candidate").select(
+        F.col("pos").cast("bigint").alias("pos"), "scanner", "file", "line", "reason")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -459,6 +475,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overall_eta": q_overall_eta,
     "pages_skip_counts": q_pages_skip_counts,
     "pages_findings": q_pages_findings,
+    "finding_details": q_finding_details,
+    "pending_candidates": q_pending_candidates,
 }
 
 

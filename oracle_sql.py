@@ -260,10 +260,11 @@ def oracle_queries() -> dict[str, str]:
         "SELECT scanner, doc_id, path, cache_key FROM keyed k WHERE NOT EXISTS "
         "(SELECT 1 FROM prior p WHERE p.status = 'ok' AND p.cache_key = k.cache_key)")
     q["work_plan"] = sql(
-        """SELECT scanner, CAST(count(*) AS BIGINT) AS total,
+        f"""SELECT scanner, CAST(count(*) AS BIGINT) AS total,
                   CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS cached,
-                  CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS pending
-           FROM (SELECT k.scanner, EXISTS (SELECT 1 FROM prior p WHERE p.status = 'ok'
+                  CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS pending,
+                  CAST(any_value(ord) AS BIGINT) AS batch, CAST({len(R.SCANNERS)} AS BIGINT) AS batches
+           FROM (SELECT k.scanner, k.ord, EXISTS (SELECT 1 FROM prior p WHERE p.status = 'ok'
                                            AND p.cache_key = k.cache_key) AS hit FROM keyed k)
            GROUP BY scanner""")
     q["retry_set"] = sql(
@@ -527,4 +528,24 @@ def oracle_queries() -> dict[str, str]:
              CAST(count(DISTINCT l.path) AS BIGINT) AS files
       FROM plines l JOIN rules r ON regexp_matches(l.code, r.pattern)
       GROUP BY r.scanner, r.severity""")
+    marks = " ".join(f"WHEN conf_level = {lit(k)} THEN {lit(v)}" for k, v in R.CONFIDENCE_MARKS.items())
+    q["finding_details"] = sql(
+        f"""SELECT scanner, file,
+                   CAST(row_number() OVER (PARTITION BY scanner, file ORDER BY ord) AS BIGINT) AS idx,
+                   line, coalesce(severity, 'Unknown') AS severity,
+                   CASE WHEN coalesce(source, '') <> '' OR coalesce(sink, '') <> ''
+                        THEN coalesce(source, '') || {lit(R.TAINT_ARROW)} || coalesce(sink, '') END AS taint_path,
+                   unsubstantiated, conf_level AS confidence,
+                   CASE WHEN has_verdict THEN coalesce(exploitable, 'unknown') ELSE 'unknown' END AS exploitable,
+                   CASE {marks} ELSE {lit(R.UNKNOWN_MARK)} END AS mark
+            FROM bka WHERE above_line""")
+    cands = q["allowlist_candidates"][len("WITH " + BASE.strip() + "\n"):]
+    q["pending_candidates"] = sql(
+        f"""SELECT CAST(pos AS BIGINT) AS pos, scanner, file, CAST(line AS VARCHAR) AS line, reason
+            FROM allowlist WHERE status = 'candidate'
+            UNION ALL
+            SELECT CAST(4 + row_number() OVER (ORDER BY okey) AS BIGINT), scanner, file,
+                   CAST(line AS VARCHAR), reason
+            FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
+                "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
     return q

@@ -178,21 +178,34 @@ def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
                   partitions: int | None = None) -> DataFrame:
     """Run ``analyst`` (pandas -> pandas with cache_key, status, raw) over batches.
 
-    Parallelism is the partition count of this stage; an exception inside
-    the analyst turns the batch's rows into ``error`` attempts.
+    Parallelism is the partition count of this stage.  When the analyst
+    raises on a batch, the batch is retried row by row and only the rows
+    that still fail become ``error`` attempts.
     """
     df = pending_with_content
     if partitions:
         df = df.repartition(partitions, "cache_key")
 
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = analyst(pdf)
+        return out[["cache_key", "status", "raw"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
-                out = analyst(pdf)
-                out = out[["cache_key", "status", "raw"]]
-            except Exception as exc:  # failure rows, never a failed task
-                out = pd.DataFrame({"cache_key": pdf["cache_key"], "status": "error",
-                                    "raw": f"analyst failed: {exc}"[:2000]})
+                out = call(pdf)
+            except Exception:  # isolate the failing rows: retry the batch row by row
+                parts = []
+                for i in range(len(pdf)):
+                    one = pdf.iloc[i:i + 1]
+                    try:
+                        parts.append(call(one))
+                    except Exception as exc:  # a failure row, never a failed task
+                        parts.append(pd.DataFrame({"cache_key": one["cache_key"].values,
+                                                   "status": ["error"],
+                                                   "raw": [f"analyst failed: {exc}"[:2000]]}))
+                out = pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0][
+                    ["cache_key"]].assign(status="", raw="")
             yield out.astype({"cache_key": str, "status": str, "raw": str})
 
     return df.mapInPandas(run, "cache_key string, status string, raw string")

@@ -152,17 +152,23 @@ def pending_scans(keyed: DataFrame, store: DataFrame | None, rescan: bool = Fals
     return keyed.join(usable(store), "cache_key", "left_anti")
 
 
-def work_plan(keyed: DataFrame, store: DataFrame | None) -> DataFrame:
-    """Total / cached / pending per category, in category order."""
+def work_plan(keyed: DataFrame, store: DataFrame | None,
+              scanner_ids: list[str] | None = None) -> DataFrame:
+    """Total / cached / pending per category with its batch index i of N
+    (numeric category order over the selected categories)."""
     if store is None:
         flagged = keyed.withColumn("hit", F.lit(False))
     else:
         hits = usable(store).distinct().withColumn("hit", F.lit(True))
         flagged = keyed.join(hits, "cache_key", "left")
+    ids = sorted(scanner_ids or R.SCANNER_IDS, key=R.scanner_ord)
+    batch = F.create_map(*[x for i, sid in enumerate(ids, 1) for x in (F.lit(sid), F.lit(i))])
     return (flagged.groupBy("scanner")
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(F.coalesce("hit", F.lit(False))).alias("cached"),
-                 F.count_if(~F.coalesce("hit", F.lit(False))).alias("pending")))
+                 F.count_if(~F.coalesce("hit", F.lit(False))).alias("pending"))
+            .withColumn("batch", F.element_at(batch, F.col("scanner")).cast("bigint"))
+            .withColumn("batches", F.lit(len(ids)).cast("bigint")))
 
 
 def scan_sample(pending: DataFrame, n: int) -> DataFrame:

@@ -279,3 +279,23 @@ def refuted_for_export(b: DataFrame) -> DataFrame:
         F.lpad(F.col("ord").cast("string"), 9, "0"))
     return b.where(F.col("status") == "refuted").select(
         "scanner", "file", "line", "verification_reason", order_key.alias("order_key"))
+
+
+def finding_details(b: DataFrame) -> DataFrame:
+    """Per above-line finding its 1-based index within the file, taint path
+    ('source → sink' when either is named) and verification mark."""
+    w = Window.partitionBy("scanner", "file").orderBy("ord")
+    src = F.coalesce(F.col("source"), F.lit(""))
+    snk = F.coalesce(F.col("sink"), F.lit(""))
+    path = F.when((src != "") | (snk != ""), F.concat(src, F.lit(R.TAINT_ARROW), snk))
+    mark = F.lit(R.UNKNOWN_MARK)
+    for level, glyph in reversed(list(R.CONFIDENCE_MARKS.items())):
+        mark = F.when(F.col("conf_level") == level, F.lit(glyph)).otherwise(mark)
+    return b.where(_above()).select(
+        "scanner", "file", F.row_number().over(w).cast("bigint").alias("idx"), "line",
+        F.coalesce("severity", F.lit("Unknown")).alias("severity"),
+        path.alias("taint_path"), F.col("unsubstantiated").alias("unsubstantiated"),
+        F.col("conf_level").alias("confidence"),
+        F.when(F.col("has_verdict"), F.coalesce("exploitable", F.lit("unknown")))
+         .otherwise(F.lit("unknown")).alias("exploitable"),
+        mark.alias("mark"))

@@ -110,6 +110,11 @@ NOTABLE_FILES: list[str] = [
 # Directory levels shown in the corpus profile.
 PROFILE_DEPTH = 3
 
+# Verification marks per confidence level in finding details (others: UNKNOWN_MARK).
+CONFIDENCE_MARKS: dict[str, str] = {"High": "✅", "Medium": "🟡", "Low": "⚠️"}
+UNKNOWN_MARK = "❔"
+TAINT_ARROW = " → "
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------
