@@ -89,7 +89,7 @@ def with_findings(results: DataFrame) -> DataFrame:
 def explode_findings(results_with_findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per finding with its ordinal within the file."""
     cols = keep or ["cache_key", "scanner", "scanner_name", "file", "doc_id", "content_hash",
-                    "verify_key"]
+                    "verify_key", "result_status"]
     cols = [c for c in cols if c in results_with_findings.columns]
     return (results_with_findings.where(~F.col("status").isin("error", "timeout"))
             .select(*cols, F.explode("findings").alias("f"))

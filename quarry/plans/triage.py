@@ -25,7 +25,7 @@ def bucketed(results_n: DataFrame, verdict_lines: DataFrame | None, allowlist: D
              confidence_threshold: str | None = None) -> DataFrame:
     """Finding grain.  ``status`` is suppressed > refuted > not_actionable >
     needs_review (below the confidence gate) > active."""
-    f = explode_findings(results_n)
+    f = explode_findings(results_n.withColumn("result_status", F.col("status")))
     if verdict_lines is not None:
         f = overlay(f, verdict_lines)
     else:
@@ -57,16 +57,28 @@ def bucketed(results_n: DataFrame, verdict_lines: DataFrame | None, allowlist: D
 
 
 def file_grain(results_n: DataFrame, bucketed_df: DataFrame) -> DataFrame:
-    """One row per stored (category, file): status, finding totals, above-line totals."""
-    per_file = (bucketed_df.groupBy("cache_key")
-                .agg(F.count(F.lit(1)).alias("n_findings"),
-                     F.count_if("above_line").alias("n_above"),
-                     F.count_if(F.col("status") == "suppressed").alias("n_suppressed"),
-                     F.count_if(F.col("status").isin("refuted", "not_actionable"))
-                      .alias("n_below")))
-    base = results_n.select("cache_key", "scanner", "file", "status", "is_list",
-                            F.size("findings").alias("n_items"))
-    return (base.join(per_file, "cache_key", "left")
-            .select("cache_key", "scanner", "file", "status", "is_list", "n_items",
-                    *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-                      for c in ("n_findings", "n_above", "n_suppressed", "n_below")]))
+    """One row per stored (category, file): status, finding totals, above-line totals.
+
+    A stored row either has findings -- then its counts come from one
+    aggregation of the (small) finding table -- or it has none and its counts
+    are zeros computed map-side.  The two parts are unioned, so the full
+    store is never shuffled or joined.
+    """
+    zero = F.lit(0).cast("bigint")
+    with_f = (bucketed_df.groupBy("cache_key", "scanner", "file", "result_status")
+              .agg(F.count(F.lit(1)).alias("n_findings"),
+                   F.count_if("above_line").alias("n_above"),
+                   F.count_if(F.col("status") == "suppressed").alias("n_suppressed"),
+                   F.count_if(F.col("status").isin("refuted", "not_actionable"))
+                    .alias("n_below"))
+              .select("cache_key", "scanner", "file", F.col("result_status").alias("status"),
+                      F.lit(True).alias("is_list"), F.col("n_findings").alias("n_items"),
+                      "n_findings", "n_above", "n_suppressed", "n_below"))
+    failed = F.col("status").isin("error", "timeout")
+    without = (results_n.where(failed | (F.size("findings") == 0))
+               .select("cache_key", "scanner", "file", "status", "is_list",
+                       F.when(failed, F.size("findings")).otherwise(zero).cast("bigint")
+                       .alias("n_items"),
+                       zero.alias("n_findings"), zero.alias("n_above"),
+                       zero.alias("n_suppressed"), zero.alias("n_below")))
+    return with_f.unionByName(without)

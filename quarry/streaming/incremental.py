@@ -39,14 +39,26 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
                rules: list[A.Rule] | None = None, thinking: str = "off",
                max_file_size: int = DEFAULT_MAX_FILE_SIZE) -> None:
     """One micro-batch: key, skip what the store already has, analyse, append."""
+    from quarry.plans.sizing import broadcast_if_small
     corpus = corpus_from_table(batch, "path", "text", doc_id="doc_id")
     kept = kept_files(corpus, max_file_size)
     ei, ni = TG.registry_indexes(spark)
+    catalog = TG.prompt_catalog(spark)
     fanned = TG.fan_out(kept, ei, ni)
-    results = A.rule_results(fanned, TG.prompt_catalog(spark), rules, thinking)
     if _store_exists(spark, store_dir):
-        done = TG.usable(spark.read.parquet(store_dir))
-        results = results.join(done, "cache_key", "left_anti")
+        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
+        # the store is restricted to this batch's keys first: the (bounded) batch key
+        # set is broadcast and the store's key column is scanned in place, not shuffled
+        keys = broadcast_if_small(keyed.select("cache_key"))
+        done = TG.usable(spark.read.parquet(store_dir)).join(keys, "cache_key", "left_semi")
+        pending = keyed.join(done, "cache_key", "left_anti")
+        # analyse only the pending (category, file) pairs of each file
+        todo = broadcast_if_small(pending.groupBy("doc_id").agg(
+            F.collect_set("scanner").alias("_pending")))
+        fanned = (fanned.join(todo, "doc_id")
+                  .withColumn("scanners", F.array_intersect("scanners", "_pending"))
+                  .drop("_pending"))
+    results = A.rule_results(fanned, catalog, rules, thinking)
     (results.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
      .write.mode("append").partitionBy("scanner").parquet(store_dir))
 
