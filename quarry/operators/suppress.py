@@ -71,10 +71,11 @@ def first_match(findings: DataFrame, allowlist: DataFrame,
             out = (out.withColumn("_one", F.lit(1))
                    .join(F.broadcast(glob), "_one", "left").drop("_one"))
         else:
-            tbl = part.groupBy(*[a for a, _ in keys]).agg(F.min("pos").alias(name))
+            tbl = part.groupBy(*[F.col(a).alias(f"_k{k}_{a}") for a, _ in keys]) \
+                .agg(F.min("pos").alias(name))
             side = F.broadcast(tbl) if small else tbl
-            cond = [out[f] == side[a] for a, f in keys]
-            out = out.join(side, cond, "left").drop(*[side[a] for a, _ in keys])
+            cond = [F.col(f) == F.col(f"_k{k}_{a}") for a, f in keys]
+            out = out.join(side, cond, "left").drop(*[f"_k{k}_{a}" for a, _ in keys])
         pos_cols.append(F.col(name))
     if not pos_cols:
         return (findings.withColumn("suppression_pos", F.lit(None).cast("int"))

@@ -20,7 +20,7 @@ from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.suppress import ALLOWLIST_DDL
 from quarry.plans import triage as TR
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import write_phase_table
 from quarry.sources import corpus as C
 
 VERIFY_PROMPT_HASH = R.short_hash(R.DEFAULT_VERIFY_TEMPLATE)
@@ -85,25 +85,27 @@ class World:
     def keyed(self) -> DataFrame:
         """The work list: one keyed row per (category, file), no content."""
         return self.materialize(
-            TG.with_scan_keys(TG.scan_targets(self.fanned), self.catalog, self.thinking))
+            TG.with_scan_keys(TG.scan_targets(self.fanned), self.catalog, self.thinking),
+            "work_list")
 
-    def materialize(self, df: DataFrame) -> DataFrame:
-        """Phase boundary: write ``df`` to the shared checkpoint folder and read it back.
+    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+        """Phase boundary: write ``df`` as a Parquet table in the shared checkpoint
+        folder and read it back.
 
-        Later phases (and every report section) read the written table instead
-        of recomputing its lineage; a lost executor re-reads files, it does not
-        re-run the scan.
+        Later phases (and every report section) read the written table --
+        with column pruning and filter pushdown -- instead of recomputing its
+        lineage; a lost executor re-reads files, it does not re-run the scan.
         """
         if not self.materialized:
             return df
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return write_phase_table(df, name)
 
     @cached_property
     def results(self) -> DataFrame:
         """The result store of this run (rule analyst over every target)."""
         return self.materialize(A.rule_results(self.fanned, self.catalog, self.rules,
-                                               self.thinking, budget_bytes=self.budget_bytes))
+                                               self.thinking, budget_bytes=self.budget_bytes),
+                                "result_store")
 
     @cached_property
     def results_n(self) -> DataFrame:
@@ -147,7 +149,7 @@ class World:
     @cached_property
     def bucketed(self) -> DataFrame:
         return self.materialize(TR.bucketed(self.results_n, self.verdict_lines, self.allowlist,
-                                            self.confidence_threshold))
+                                            self.confidence_threshold), "bucketed")
 
     @cached_property
     def files(self) -> DataFrame:

@@ -57,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def write_phase_table(df, name: str):
+    """Write ``df`` as Parquet under ``<spark.checkpoint.dir>/quarry-tables/`` and
+    return the re-read table (a lineage cut that keeps column pruning)."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quarry-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
