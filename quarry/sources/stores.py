@@ -142,3 +142,46 @@ def write_allowlist(allowlist: DataFrame, path: str) -> None:
                                              "status", "exported_at"))),
         lambda s: s.dropFields("pos")).alias("suppressions"))
     doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+# -- verdict store (A8) -------------------------------------------------------
+
+VERDICT_COLUMNS = ["verify_key", "scanner", "file", "status", "result"]
+
+
+def append_verdicts(verdicts: DataFrame, path: str, tools_mode: str = "off") -> None:
+    """Append verifier attempts; only ``ok`` rows make a verify key reusable."""
+    (verdicts.select(*VERDICT_COLUMNS).withColumn("tools_mode", F.lit(tools_mode))
+     .withColumn("attempted_at", F.current_timestamp())
+     .write.mode("append").partitionBy("tools_mode", "scanner").parquet(path))
+
+
+def read_verdicts(spark: SparkSession, path: str, tools_mode: str = "off") -> DataFrame:
+    """Latest attempt per verify key within one tools-mode namespace."""
+    df = spark.read.parquet(path).where(F.col("tools_mode") == tools_mode)
+    return latest_attempts(df, "verify_key")
+
+
+# -- discovery store (A5) -----------------------------------------------------
+
+def save_discovery(plan: DataFrame, path: str, tools_mode: str = "off") -> None:
+    """Overwrite the discovery plan ``(scanner, pos, ext)`` of one tools-mode namespace."""
+    (plan.select("scanner", "pos", "ext").withColumn("tools_mode", F.lit(tools_mode))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("tools_mode").parquet(path))
+
+
+def load_discovery(spark: SparkSession, path: str, tools_mode: str = "off",
+                   redetect: bool = False) -> DataFrame | None:
+    """The stored plan, or None when it must be (re)detected: ``redetect``,
+    missing, unreadable or empty."""
+    if redetect:
+        return None
+    try:
+        df = spark.read.parquet(path).where(F.col("tools_mode") == tools_mode) \
+            .select("scanner", "pos", "ext")
+        if df.limit(1).count() == 0:
+            return None
+        return df
+    except Exception:  # noqa: BLE001 - missing / corrupt store -> detect again
+        return None

@@ -54,3 +54,36 @@ def test_json_cache_import_and_latest_attempt(spark, tmp_path):
     latest = latest_attempts(read_results(spark, store, tools_mode="off"))
     assert latest.count() == 2 and latest.where("status = 'ok'").count() == 2
     assert os.path.isdir(os.path.join(store, "tools_mode=off"))
+
+
+def test_discovery_and_verdict_stores(spark, tmp_path):
+    from quarry.operators.discovery import discovery_plan
+    from quarry.sources.stores import (append_verdicts, load_discovery, read_verdicts,
+                                       save_discovery)
+    path = str(tmp_path / "discovery")
+    assert load_discovery(spark, path) is None
+    plan = discovery_plan(spark, spark.createDataFrame([('{"B3": ["rb"]}',)], "raw string"))
+    save_discovery(plan, path, "off")
+    save_discovery(plan.where("scanner = 'B3'"), path, "on")
+    assert load_discovery(spark, path, "off").count() == plan.count()
+    assert load_discovery(spark, path, "on").count() == plan.where("scanner = 'B3'").count()
+    assert load_discovery(spark, path, "off", redetect=True) is None
+    vpath = str(tmp_path / "verdicts")
+    v = spark.createDataFrame([("k1", "B3", "a.py", "error", "{}")],
+                              "verify_key string, scanner string, file string, status string, "
+                              "result string")
+    append_verdicts(v, vpath)
+    append_verdicts(v.withColumn("status", F.lit("ok")), vpath)
+    got = read_verdicts(spark, vpath).collect()
+    assert len(got) == 1 and got[0]["status"] == "ok"
+
+
+def test_broadcast_guard_falls_back_to_shuffle_join(spark):
+    from quarry.operators.suppress import ALLOWLIST_DDL, first_match
+    f = spark.createDataFrame([("B3", "a.py", 1)], "scanner string, file string, line bigint")
+    al = spark.createDataFrame([(0, "B3", "a.py", "1", "r", None)], ALLOWLIST_DDL)
+    small = first_match(f, al)
+    big = first_match(f, al, max_broadcast_rows=0)
+    plan_big = big._jdf.queryExecution().executedPlan().toString()
+    assert small.first()["suppression_pos"] == big.first()["suppression_pos"] == 0
+    assert "BroadcastNestedLoopJoin" not in plan_big and "CartesianProduct" not in plan_big
