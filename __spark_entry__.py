@@ -409,7 +409,7 @@ def q_pending_candidates(spark, sf):
                                  exported_at="1970-01-01T00:00:00Z")
     merged = append_candidates(al, cands)
     return merged.where(F.col("status") == "candidate").select(
-        F.col("pos").cast("bigint").alias("pos"), "scanner", "file", "line", "reason")
+        "scanner", "file", "line", "reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

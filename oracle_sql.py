@@ -541,11 +541,10 @@ def oracle_queries() -> dict[str, str]:
             FROM bka WHERE above_line""")
     cands = q["allowlist_candidates"][len("WITH " + BASE.strip() + "\n"):]
     q["pending_candidates"] = sql(
-        f"""SELECT CAST(pos AS BIGINT) AS pos, scanner, file, CAST(line AS VARCHAR) AS line, reason
+        f"""SELECT scanner, file, CAST(line AS VARCHAR) AS line, reason
             FROM allowlist WHERE status = 'candidate'
             UNION ALL
-            SELECT CAST(4 + row_number() OVER (ORDER BY okey) AS BIGINT), scanner, file,
-                   CAST(line AS VARCHAR), reason
+            SELECT scanner, file, CAST(line AS VARCHAR), reason
             FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
                 "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
     return q

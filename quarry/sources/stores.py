@@ -118,32 +118,53 @@ def load_allowlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_candidates(allowlist: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A10: the allowlist with new candidate entries after the existing ones
-    (positions continue in report order)."""
-    base = allowlist.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("base"))
-    w = Window.orderBy("order_key")
-    new = (candidates.withColumn("_k", F.lit(1))
-           .join(base.withColumn("_k", F.lit(1)), "_k")
-           .select((F.col("base") + F.row_number().over(w)).cast("int").alias("pos"),
+    """A10: the allowlist with new candidate entries after the existing ones.
+
+    New positions follow report order and are strictly increasing (not
+    necessarily consecutive): a distributed sort on ``order_key`` followed by
+    ``monotonically_increasing_id``, so no single task sees all candidates.
+    First-match only needs the order.
+    """
+    base = allowlist.agg(F.coalesce(F.max("pos"), F.lit(-1)).cast("bigint").alias("base"))
+    ordered = candidates.orderBy("order_key").withColumn("_seq", F.monotonically_increasing_id())
+    new = (ordered.withColumn("_k", F.lit(1))
+           .join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k")
+           .select((F.col("base") + 1 + F.col("_seq")).alias("pos"),
                    "scanner", "file", F.col("line").cast("string").alias("line"), "reason",
                    "status", "exported_at"))
-    return allowlist.select("pos", "scanner", "file", "line", "reason", "status",
-                            "exported_at").unionByName(new)
+    return allowlist.select(F.col("pos").cast("bigint").alias("pos"), "scanner", "file", "line",
+                            "reason", "status", "exported_at").unionByName(new)
 
 
-def write_allowlist(allowlist: DataFrame, path: str) -> None:
-    """The allowlist as a JSON document ``{"version": 1, "suppressions": [...]}``.
+def write_allowlist(allowlist: DataFrame, path: str, as_document: bool = False,
+                    max_document_entries: int = 100_000) -> None:
+    """Write the allowlist.
 
-    The allowlist is human-reviewed and small by nature; it is written as one
-    document (one task), ordered by ``pos``.
+    Default: a JSON-lines table, one entry per line with its ``pos`` (written
+    in parallel, any size).  ``as_document`` writes the human-edited form
+    ``{"version": 1, "suppressions": [...]}`` as one file -- only after a
+    size check, because a single document is built by one task.
     """
+    cols = ["pos", "scanner", "file", "line", "reason", "status", "exported_at"]
+    if not as_document:
+        allowlist.select(*cols).write.mode("overwrite").json(path)
+        return
+    from quarry.plans.sizing import is_small
+    if not is_small(allowlist, max_document_entries):
+        raise ValueError(f"allowlist has more than {max_document_entries} entries; "
+                         "write it as a JSON-lines table instead")
     doc = allowlist.agg(F.lit(1).cast("bigint").alias("version"), F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "scanner", "file", "line", "reason",
-                                             "status", "exported_at"))),
+        F.array_sort(F.collect_list(F.struct(*cols))),
         lambda s: s.dropFields("pos")).alias("suppressions"))
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def load_allowlist_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read the JSON-lines form written by ``write_allowlist``."""
+    return spark.read.schema("pos bigint, scanner string, file string, line string, "
+                             "reason string, status string, exported_at string").json(path)
+
+
 # -- verdict store (A8) -------------------------------------------------------
 
 VERDICT_COLUMNS = ["verify_key", "scanner", "file", "status", "result"]

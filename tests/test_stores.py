@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 def test_allowlist_roundtrip_and_candidates(spark, tmp_path):
     from quarry.operators.suppress import allowlist_candidates
-    from quarry.sources.stores import append_candidates, load_allowlist, write_allowlist
+    from quarry.sources.stores import (append_candidates, load_allowlist, load_allowlist_table,
+                                       write_allowlist)
     src = tmp_path / "allowlist.json"
     src.write_text(json.dumps({"version": 1, "suppressions": [
         {"scanner": "B3", "file": "a.py", "line": 4, "reason": "test", "status": "confirmed"},
@@ -23,10 +24,15 @@ def test_allowlist_roundtrip_and_candidates(spark, tmp_path):
     merged = append_candidates(al, cands)
     assert merged.count() == 3
     out = str(tmp_path / "out")
-    write_allowlist(merged, out)
+    write_allowlist(merged, out, as_document=True)
     back = load_allowlist(spark, out)
     got = sorted((r["pos"], r["file"], r["status"]) for r in back.collect())
     assert got == [(0, "a.py", "confirmed"), (1, "b.py", None), (2, "c.py", "candidate")]
+    lines = str(tmp_path / "lines")
+    write_allowlist(merged, lines)
+    table = load_allowlist_table(spark, lines)
+    assert sorted(r["file"] for r in table.orderBy("pos").collect()) == ["a.py", "b.py", "c.py"]
+    assert [r["file"] for r in table.orderBy("pos").collect()] == ["a.py", "b.py", "c.py"]
     # re-export is idempotent
     assert allowlist_candidates(refuted, back, exported_at="x").count() == 0
     assert load_allowlist(spark, str(tmp_path / "missing.json")).count() == 0
