@@ -412,6 +412,72 @@ def q_pending_candidates(spark, sf):
         "scanner", "file", "line", "reason")
 
 
+def q_results_load(spark, sf):
+    """The written result store read back (one row per (category, file))."""
+    return _w(spark, sf).results.select("scanner", "file", "status", "content_hash")
+
+
+def q_scan_attempts(spark, sf):
+    """Attempts per category and status (failures are kept, not dropped)."""
+    return _w(spark, sf).results.groupBy("scanner", "status").agg(
+        F.count(F.lit(1)).alias("attempts"))
+
+
+def q_verdict_store(spark, sf):
+    """Verifier replies per verify key with their entry counts."""
+    from quarry.operators.findings import result_items
+    v = _w(spark, sf).verdict_store
+    return v.select("verify_key", "scanner", "file", "status",
+                    F.size(result_items(F.col("result"))).cast("bigint").alias("entries"))
+
+
+def q_report_exclusions(spark, sf):
+    """Targets of a stale store covering every corpus file that the
+    report-time exclusion drops."""
+    from quarry.functions import paths as P
+    w = _w(spark, sf)
+    ei, ni = w.indexes
+    stale = TG.fan_out(w.corpus, ei, ni).select(
+        "doc_id", "path", F.explode("scanners").alias("scanner"))
+    return stale.where(P.excluded_path(F.col("path"))).select("scanner", "doc_id", "path")
+
+
+def q_response_status(spark, sf):
+    """Failed / unparseable replies with their capped previews."""
+    p = _w(spark, sf).parsed
+    return p.where(F.col("kind").isin("error", "failed")).select(
+        "scanner", "file", "kind",
+        F.get_json_object("result", "$.error").alias("error"),
+        F.length(F.get_json_object("result", "$.raw_preview")).cast("bigint").alias("preview_len"))
+
+
+def q_scan_findings(spark, sf):
+    """The model phase (mapInPandas) with an offline analyst, end to end:
+    requests -> replies -> recovery -> tagging -> store -> findings."""
+    from quarry.operators.analysts import python_rule_analyst
+    from quarry.operators.findings import with_findings
+    from quarry.operators.inference import run_scanner, scan_requests
+    w = _w(spark, sf)
+    reqs = scan_requests(w.keyed, w.kept, w.catalog, keep_content=True)
+    store = run_scanner(reqs, python_rule_analyst(w.rules))
+    f = explode_findings(with_findings(store))
+    return f.select("scanner", "file", "line", "severity", "code",
+                    F.array_join("tags", ",").alias("tags"))
+
+
+def q_verify_findings(spark, sf):
+    """The verify phase (mapInPandas) with an offline verifier, bucketed."""
+    from quarry.operators.analysts import python_verifier
+    from quarry.operators.inference import run_verifier, verify_requests
+    from quarry.plans import triage as TR
+    w = _w(spark, sf)
+    el = O.verify_eligible(w.results_n, w.corpus, w.max_file_size)
+    verdicts = run_verifier(verify_requests(el, w.kept), python_verifier())
+    b = TR.bucketed(w.results_n, O.verdict_lines_from_replies(verdicts), None, "medium")
+    return b.select("scanner", "file", F.col("ord").cast("bigint").alias("ord"), "bucket",
+                    "conf", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -477,6 +543,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_findings": q_pages_findings,
     "finding_details": q_finding_details,
     "pending_candidates": q_pending_candidates,
+    "results_load": q_results_load,
+    "scan_attempts": q_scan_attempts,
+    "verdict_store": q_verdict_store,
+    "report_exclusions": q_report_exclusions,
+    "response_status": q_response_status,
+    "scan_findings": q_scan_findings,
+    "verify_findings": q_verify_findings,
 }
 
 

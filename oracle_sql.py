@@ -118,6 +118,14 @@ rf AS (
   FROM keyed kd JOIN lines l ON kd.doc_id = l.doc_id
   JOIN rules r ON r.scanner = kd.scanner AND regexp_matches(l.code, r.pattern)
   WHERE kd.size <= {BUDGET_BYTES}),
+lines_all AS (
+  SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line,
+         unnest(string_split(text, chr(10))) AS code
+  FROM kept),
+rf_all AS (
+  SELECT kd.scanner, kd.path AS file, CAST(l.line AS BIGINT) AS line, r.severity, l.code, r.source
+  FROM keyed kd JOIN lines_all l ON kd.doc_id = l.doc_id
+  JOIN rules r ON r.scanner = kd.scanner AND regexp_matches(l.code, r.pattern)),
 nf AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY scanner, doc_id ORDER BY line, rule_ord) - 1
                  AS BIGINT) AS ord,
@@ -547,4 +555,49 @@ def oracle_queries() -> dict[str, str]:
             SELECT scanner, file, CAST(line AS VARCHAR), reason
             FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
                 "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
+    q["results_load"] = sql(
+        f"SELECT scanner, path AS file, CASE WHEN size > {BUDGET_BYTES} THEN 'timeout' ELSE 'ok' END "
+        "AS status, content_hash FROM keyed")
+    q["scan_attempts"] = sql(
+        f"SELECT scanner, CASE WHEN size > {BUDGET_BYTES} THEN 'timeout' ELSE 'ok' END AS status, "
+        "CAST(count(*) AS BIGINT) AS attempts FROM keyed GROUP BY 1, 2")
+    q["verdict_store"] = sql(
+        """SELECT v.verify_key, v.scanner, v.file, 'ok' AS status,
+                  CAST((SELECT count(*) FROM nf WHERE nf.scanner = v.scanner AND nf.doc_id = v.doc_id
+                        AND nf.line IS NOT NULL) AS BIGINT) AS entries
+           FROM vkeys v WHERE v.doc_id IN (SELECT doc_id FROM labels)""")
+    q["report_exclusions"] = sql(
+        f"""SELECT DISTINCT x.scanner, c.doc_id, c.path FROM corpus c
+            JOIN (SELECT key, scanner, 'ext' AS kind FROM ext_idx
+                  UNION ALL SELECT key, scanner, 'name' FROM name_idx) x
+              ON (x.kind = 'ext' AND c.ext = x.key) OR (x.kind = 'name' AND c.name = x.key)
+            WHERE regexp_matches(c.path, {lit(P.EXCLUDED_DIR_PATTERN)})
+               OR regexp_matches(c.path, {lit(P.STATE_DIR_PATTERN)})
+               OR c.name IN {in_list(R.EXCLUDE_FILES)}""")
+    q["response_status"] = sql(
+        f"""SELECT scanner, file, kind,
+                   CASE kind WHEN 'failed' THEN 'analyst call failed'
+                             ELSE 'could not parse JSON from response' END AS error,
+                   CAST(CASE kind WHEN 'failed' THEN 0 ELSE 1 END AS BIGINT) AS preview_len
+            FROM ({replies}) WHERE kind IN ('error', 'failed')""")
+    q["scan_findings"] = sql(
+        "SELECT scanner, file, line, severity, code, CASE WHEN source IS NULL OR trim(source) = '' "
+        "THEN 'unsubstantiated' ELSE '' END AS tags FROM rf_all")
+    q["verify_findings"] = sql(
+        f"""SELECT scanner, file, ord, bucket, conf,
+                   CASE WHEN bucket = 'not_actionable' THEN 'not_actionable'
+                        WHEN {rank_case('conf', R.CONFIDENCE_ORDER)} < {CUTOFF} THEN 'needs_review'
+                        ELSE 'active' END AS status
+            FROM (SELECT scanner, file, ord,
+                    CASE WHEN line IS NULL THEN 'unverified'
+                         WHEN last_sev IN ('Critical', 'High') THEN 'confirmed'
+                         ELSE 'not_actionable' END AS bucket,
+                    CASE WHEN line IS NULL THEN 'Unverified'
+                         WHEN last_named THEN 'High' ELSE 'Low' END AS conf
+                  FROM (SELECT *,
+                          last_value(severity) OVER w AS last_sev,
+                          last_value(source IS NOT NULL AND trim(source) <> '') OVER w AS last_named
+                        FROM nf
+                        WINDOW w AS (PARTITION BY scanner, doc_id, line ORDER BY ord
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))""")
     return q

@@ -174,6 +174,59 @@ def response_results(pending: DataFrame, responses: DataFrame) -> DataFrame:
 AnalystFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def python_rule_analyst(rules: list[Rule] | None = None) -> AnalystFn:
+    """The rule analyst as a model-style callable (pandas in, replies out).
+
+    It sees each request's ``scanner`` and ``text`` and answers like a model:
+    a JSON array of findings (no tags).  Used to run the model phase offline
+    and to cross-check the native analyst.
+    """
+    import json
+    import re
+    compiled = [(r, re.compile(r.pattern)) for r in (rules or DEFAULT_RULES)]
+
+    def analyst(pdf: pd.DataFrame) -> pd.DataFrame:
+        replies = []
+        for sid, text in zip(pdf["scanner"], pdf["text"]):
+            mine = [(r, rx) for r, rx in compiled if r.scanner == sid]
+            found = []
+            if mine:
+                for no, code in enumerate((text or "").split("\n"), 1):
+                    for r, rx in mine:
+                        if rx.search(code):
+                            f = {"line": no, "severity": r.severity, "code": code,
+                                 "explanation": r.explanation, "fix": r.fix}
+                            if r.source is not None:
+                                f["source"] = r.source
+                            if r.sink is not None:
+                                f["sink"] = r.sink
+                            found.append(f)
+            replies.append(json.dumps(found))
+        return pd.DataFrame({"cache_key": pdf["cache_key"], "status": "ok", "raw": replies})
+    return analyst
+
+
+def python_verifier() -> AnalystFn:
+    """An offline verifier: confirms each finding; confidence High when it names a
+    source else Low; exploitable yes for Critical/High, else conditional."""
+    import json
+
+    def verifier(pdf: pd.DataFrame) -> pd.DataFrame:
+        replies = []
+        for fj in pdf["findings_json"]:
+            out = []
+            for f in json.loads(fj or "[]"):
+                named = isinstance(f.get("source"), str) and f["source"].strip() != ""
+                out.append({"line": f.get("line"), "verdict": "confirmed",
+                            "confidence": "High" if named else "Low",
+                            "exploitable": "yes" if f.get("severity") in ("Critical", "High")
+                            else "conditional",
+                            "verification_reason": "offline check"})
+            replies.append(json.dumps(out))
+        return pd.DataFrame({"cache_key": pdf["cache_key"], "status": "ok", "raw": replies})
+    return verifier
+
+
 def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
                   partitions: int | None = None) -> DataFrame:
     """Run ``analyst`` (pandas -> pandas with cache_key, status, raw) over batches.

@@ -21,15 +21,18 @@ STORE_COLUMNS = ["cache_key", "scanner", "scanner_name", "file", "doc_id", "stat
                  "content_hash", "prompt_hash", "thinking", "tools_mode", "result"]
 
 
-def scan_requests(pending: DataFrame, corpus: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Pending (category, file) keys -> rendered scan prompts (content attached once)."""
+def scan_requests(pending: DataFrame, corpus: DataFrame, catalog: DataFrame,
+                  keep_content: bool = False) -> DataFrame:
+    """Pending (category, file) keys -> rendered scan prompts (content attached once).
+
+    ``keep_content`` also hands the raw text to the analyst (offline analysts)."""
     with_text = attach_content(pending, corpus)
     cat = F.broadcast(catalog.select("scanner", "template"))
     return (with_text.join(cat, "scanner")
             .withColumn("prompt", render_prompt(
                 F.col("template"), filename=F.regexp_extract("path", r"([^/]*)$", 1),
                 file_content=F.col("text")))
-            .drop("template", "text"))
+            .drop(*(["template"] if keep_content else ["template", "text"])))
 
 
 def _tag_result(result):
@@ -42,9 +45,10 @@ def _tag_result(result):
 def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None
                 ) -> DataFrame:
     """Call the analyst on each request; recover, tag, shape as store rows."""
-    replies = model_results(requests.select("cache_key", "prompt"), analyst, partitions)
+    extra = [c for c in ("scanner", "text") if c in requests.columns]
+    replies = model_results(requests.select("cache_key", "prompt", *extra), analyst, partitions)
     parsed = parse_responses(replies)
-    meta = requests.drop("prompt")
+    meta = requests.drop("prompt", "text")
     out = meta.join(parsed.select("cache_key", F.col("status").alias("_st"), "result"),
                     "cache_key")
     return (out.withColumn("status", F.col("_st"))
@@ -65,17 +69,20 @@ def verify_requests(pending: DataFrame, corpus: DataFrame,
     with_text = attach_content(pending, corpus)
     fj = F.to_json(F.transform("findings", lambda f: f.dropFields("ord", "line_raw")))
     return (with_text
+            .withColumn("findings_json", fj)
             .withColumn("prompt", render_prompt(
                 F.lit(template), filename=F.regexp_extract("file", r"([^/]*)$", 1),
-                file_content=F.col("text"), findings_json=fj))
-            .select("verify_key", "scanner", "file", "prompt"))
+                file_content=F.col("text"), findings_json=F.col("findings_json")))
+            .select("verify_key", "scanner", "file", "prompt", "findings_json"))
 
 
 def run_verifier(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None
                  ) -> DataFrame:
     """Verdict-store rows ``(verify_key, scanner, file, status, result)``."""
     reqs = requests.withColumnRenamed("verify_key", "cache_key")
-    replies = model_results(reqs.select("cache_key", "prompt"), analyst, partitions)
+    replies = model_results(reqs.select("cache_key", "prompt", "findings_json"), analyst,
+                            partitions)
     parsed = parse_responses(replies)
-    return (reqs.drop("prompt").join(parsed.select("cache_key", "status", "result"), "cache_key")
+    return (reqs.drop("prompt", "findings_json")
+            .join(parsed.select("cache_key", "status", "result"), "cache_key")
             .withColumnRenamed("cache_key", "verify_key"))
