@@ -105,14 +105,14 @@ def q_scan_targets(spark, sf):
 
 def q_scan_targets_override(spark, sf):
     w = _w(spark, sf)
-    ei, ni = TG.registry_indexes(spark, format_override=["py", ".SQL ", "yml"])
+    ei, ni = TG.registry_maps(format_override=["py", ".SQL ", "yml"])
     return TG.scan_targets(TG.fan_out(w.kept, ei, ni)).select("scanner", "doc_id", "path")
 
 
 def q_scanner_select(spark, sf):
     w = _w(spark, sf)
     ids = TG.parse_scanner_selection("b3, B9,b10")
-    ei, ni = TG.registry_indexes(spark, scanner_ids=ids)
+    ei, ni = TG.registry_maps(scanner_ids=ids)
     return (TG.scan_targets(TG.fan_out(w.kept, ei, ni)).groupBy("scanner")
             .agg(F.count(F.lit(1)).alias("targets")))
 
@@ -380,7 +380,7 @@ def q_overall_eta(spark, sf):
 def _pages_results(spark, sf):
     from quarry.operators import analysts as A
     kept = FL.kept_files(C.pages_corpus(spark, sf))
-    ei, ni = TG.registry_indexes(spark, format_override=[".html"])
+    ei, ni = TG.registry_maps(format_override=[".html"])
     return A.rule_results(TG.fan_out(kept, ei, ni), TG.prompt_catalog(spark))
 
 

@@ -52,14 +52,38 @@ def parse_scanner_selection(spec: str | None) -> list[str]:
     return out
 
 
-def registry_indexes(spark: SparkSession, scanner_ids: list[str] | None = None,
-                     format_override: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ext index, name index) from the registry.
+def registry_maps(scanner_ids: list[str] | None = None,
+                  format_override: list[str] | None = None
+                  ) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """(extension -> categories, basename -> categories) from the registry (fixed size).
 
     ``format_override`` replaces every selected category's extensions and
     disables the basename matches (B9).
     """
     ids = scanner_ids or list(R.SCANNER_IDS)
+    ext_map: dict[str, list[str]] = {}
+    name_map: dict[str, list[str]] = {}
+    for s in R.scanners():
+        if s.id not in ids:
+            continue
+        exts = [normalize_ext(e) for e in format_override] if format_override else \
+            list(s.base_ext)
+        for e in exts:
+            ext_map.setdefault(e, [])
+            if s.id not in ext_map[e]:
+                ext_map[e].append(s.id)
+        if not format_override:
+            for n in s.base_names:
+                name_map.setdefault(n, [])
+                if s.id not in name_map[n]:
+                    name_map[n].append(s.id)
+    return ext_map, name_map
+
+
+def registry_indexes(spark: SparkSession, scanner_ids: list[str] | None = None,
+                     format_override: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ext index, name index) from the registry as DataFrames (see ``registry_maps``)."""
+    ids = scanner_ids or list(R.SCANNER_IDS)
     ext_pairs: list[tuple[str, str]] = []
     name_pairs: list[tuple[str, str]] = []
     for s in R.scanners():
@@ -84,8 +108,28 @@ def discovery_ext_index(discovery: DataFrame, max_rows: int = 100_000) -> DataFr
     return broadcast_if_small(idx, max_rows)
 
 
-def fan_out(files: DataFrame, ext_index: DataFrame, name_index: DataFrame) -> DataFrame:
-    """Attach ``scanners``: the categories that select each file (ext ∪ basename)."""
+def _map_literal(m: dict[str, list[str]]):
+    if not m:
+        return F.create_map().cast("map<string,array<string>>")
+    return F.create_map(*[x for k, v in sorted(m.items())
+                          for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+
+
+def fan_out(files: DataFrame, ext_index, name_index) -> DataFrame:
+    """Attach ``scanners``: the categories that select each file (ext ∪ basename).
+
+    With the fixed registry (dicts) the lookup is a literal map inside the
+    scan's projection -- no join, no extra job.  A discovery-derived index
+    (DataFrame) is joined, broadcast after its size check.
+    """
+    empty = F.array().cast("array<string>")
+    if isinstance(ext_index, dict) and isinstance(name_index, dict):
+        es = F.coalesce(F.try_element_at(_map_literal(ext_index), F.col("ext")), empty)
+        ns = F.coalesce(F.try_element_at(_map_literal(name_index), F.col("name")), empty)
+        return files.withColumn("scanners", F.array_distinct(F.concat(es, ns)))
+    if isinstance(name_index, dict):
+        rows = sorted(name_index.items())
+        name_index = files.sparkSession.createDataFrame(rows or [], INDEX_SCHEMA)
     ei = F.broadcast(ext_index.select(F.col("key").alias("ext"), F.col("scanners").alias("_es")))
     ni = F.broadcast(name_index.select(F.col("key").alias("name"),
                                        F.col("scanners").alias("_ns")))

@@ -69,8 +69,8 @@ class World:
         return self.labelled.where(F.col("skip_reason").isNull()).drop("skip_reason")
 
     @cached_property
-    def indexes(self) -> tuple[DataFrame, DataFrame]:
-        return TG.registry_indexes(self.spark)
+    def indexes(self) -> tuple[dict, dict]:
+        return TG.registry_maps()
 
     @cached_property
     def fanned(self) -> DataFrame:

@@ -42,7 +42,7 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
     from quarry.plans.sizing import broadcast_if_small
     corpus = corpus_from_table(batch, "path", "text", doc_id="doc_id")
     kept = kept_files(corpus, max_file_size)
-    ei, ni = TG.registry_indexes(spark)
+    ei, ni = TG.registry_maps()
     catalog = TG.prompt_catalog(spark)
     fanned = TG.fan_out(kept, ei, ni)
     if _store_exists(spark, store_dir):
