@@ -168,9 +168,15 @@ def prompt_catalog(spark: SparkSession, templates: dict[str, str] | None = None,
 
 
 def scan_targets(fanned: DataFrame) -> DataFrame:
-    """One row per (category, file) without content."""
-    return fanned.select("doc_id", "path", "size", F.explode("scanners").alias("scanner"),
-                         K.content_hash("text").alias("content_hash"))
+    """One row per (category, file) without content.
+
+    The content hash is computed once per file, before the category explode,
+    and the text is dropped before any row is multiplied.
+    """
+    per_file = fanned.select("doc_id", "path", "size", "scanners",
+                             K.content_hash("text").alias("content_hash"))
+    return per_file.select("doc_id", "path", "size", F.explode("scanners").alias("scanner"),
+                           "content_hash")
 
 
 def with_scan_keys(targets: DataFrame, catalog: DataFrame, thinking: str = "off",
