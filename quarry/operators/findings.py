@@ -48,7 +48,7 @@ def is_list_result(result_json: Column) -> Column:
 def finding_struct(e: Column, ord_: Column) -> Column:
     """One variant object -> normalised finding struct."""
     line_type = _type_of(e, "line")
-    line_raw = F.when(line_type.isNull() | line_type.isin("BOOLEAN", "NULL"), F.lit("")) \
+    line_raw = F.when(line_type.isNull() | line_type.isin("BOOLEAN", "NULL", "VOID"), F.lit("")) \
         .otherwise(_field(e, "line"))
     src_is_str = F.coalesce(_type_of(e, "source") == "STRING", F.lit(False))
     sink_is_str = F.coalesce(_type_of(e, "sink") == "STRING", F.lit(False))

@@ -43,3 +43,38 @@ def test_discovery_plan_normalisation(spark):
     assert b3[:3] == [".rb", ".py", ".PY"] and b3[3:] == [e for e in base if e not in b3[:3]]
     b5 = [r["ext"] for r in plan.where("scanner = 'B5'").orderBy("pos").collect()]
     assert b5 == list(R.SCANNER_BY_ID["B5"][3])
+
+
+def test_line_coercion_and_raw_text(spark):
+    """H8: int(line) semantics -- int, numeric string, float truncation, bool; else NULL."""
+    import json
+    from quarry.operators.findings import with_findings
+    from tests.conftest import store_rows
+    lines = [12, "7", 12.7, True, "abc", "12.7", None]
+    res = store_rows(spark, [("B3", "a.py", "ok", json.dumps([{"line": v} for v in lines]))])
+    f = with_findings(res).select(F.explode("findings").alias("f")).select("f.*").collect()
+    assert [r["line"] for r in f] == [12, 7, 12, 1, None, None, None]
+    assert [r["line_raw"] for r in f] == ["12", "7", "12.7", "", "abc", "12.7", ""]
+
+
+def test_non_object_items_and_string_results(spark):
+    """String items are re-parsed, non-objects dropped, a JSON-string result decoded."""
+    import json
+    from quarry.operators.findings import with_findings
+    from tests.conftest import store_rows
+    inner = json.dumps([{"line": 1}, 5, "x", json.dumps({"line": 2})])
+    res = store_rows(spark, [("B3", "a.py", "ok", json.dumps(inner)),
+                             ("B3", "b.py", "ok", '{"error": "could not parse"}')])
+    got = {r["file"]: (r["is_list"], [x["line"] for x in r["findings"]])
+           for r in with_findings(res).collect()}
+    assert got == {"a.py": (True, [1, 2]), "b.py": (False, [])}
+
+
+def test_prompt_catalog_from_directory(spark, tmp_path):
+    from quarry import registry as R
+    from quarry.operators.targets import prompt_catalog
+    (tmp_path / "injection.txt").write_text("Custom {filename}\n{file_content}")
+    cat = {r["scanner"]: r for r in prompt_catalog(spark, prompt_dir=str(tmp_path)).collect()}
+    assert cat["B3"]["template"] == "Custom {filename}\n{file_content}"
+    assert cat["B3"]["prompt_hash"] == R.short_hash("Custom {filename}\n{file_content}")
+    assert cat["B2"]["template"] == R.default_prompt_template("B2")
