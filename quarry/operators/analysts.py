@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,8 @@ DEFAULT_RULES: list[Rule] = [
     Rule("license-line", "B6", "Low", "(Licensed|Released) under",
          "Third-party component licence declaration to inventory",
          "Pin and audit the component version", source=None),
-    Rule("email-address", "B9", "Medium", "[A-Za-z0-9_.]+@[A-Za-z0-9_.]+",
+    # a line holds an address-like token iff an '@' has an address character on both sides
+    Rule("email-address", "B9", "Medium", "[A-Za-z0-9_.]@[A-Za-z0-9_.]",
          "Personal data (e-mail address) written to text or logs",
          "Mask personal data before logging", source=""),
     Rule("card-number", "B9", "High", "[0-9]{16}",
@@ -90,22 +92,26 @@ def _rule_matches(code: Column, rules: list[Rule]) -> Column:
                                      for k, r in enumerate(rules)]))
 
 
+def any_rule(text: Column, rules: list[Rule]) -> Column:
+    """True when any rule pattern occurs in ``text`` (OR of per-rule patterns: each
+    regex keeps its own literal-prefix scan, and the OR stops at the first hit)."""
+    return reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+
+
 def file_hits(text: Column, rules: list[Rule]) -> Column:
     """Per file: ``array<struct<line, code, rules>>`` of the lines that match any rule.
 
-    A whole-text pre-check with the combined pattern skips the per-line pass
-    for files with no hit (the common case); patterns carry no anchors, so a
-    line hit implies a text hit.
+    A whole-text pre-check skips the per-line pass for files with no hit
+    (the common case); patterns carry no anchors, so a line hit implies a
+    text hit.
     """
-    combined = "|".join(f"(?:{r.pattern})" for r in rules)
     lines = F.split(text, "\n")
     per_line = F.transform(lines, lambda code, i: F.struct(
         (i + 1).cast("bigint").alias("line"), code.alias("code"),
-        F.when(code.rlike(combined), _rule_matches(code, rules))
-         .otherwise(F.array().cast("array<int>")).alias("rules")))
+        _rule_matches(code, rules).alias("rules")))
     hits = F.filter(per_line, lambda h: F.size(h["rules"]) > 0)
     empty = F.array().cast("array<struct<line:bigint,code:string,rules:array<int>>>")
-    return F.when(text.rlike(combined), hits).otherwise(empty)
+    return F.when(any_rule(text, rules), hits).otherwise(empty)
 
 
 def findings_for_scanner(hits: Column, scanner: Column, rules: list[Rule]) -> Column:
