@@ -19,15 +19,14 @@ def _us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def phase_progress(attempts: DataFrame, plan: DataFrame, as_of_us: Column | int) -> DataFrame:
-    """Per group: total, completed (ts <= as_of), per_h, eta_s, eta."""
-    t = F.lit(as_of_us) if isinstance(as_of_us, int) else as_of_us
-    a = attempts.select("grp", _us(F.col("ts")).alias("us")).where(F.col("us") <= t)
+def _progress(attempts_us: DataFrame, plan: DataFrame) -> DataFrame:
+    """Core of D22: ``attempts_us (grp, us, as_of_us)`` and ``plan (grp, total, as_of_us)``."""
+    a = attempts_us.where(F.col("us") <= F.col("as_of_us"))
     done = a.groupBy("grp").agg(F.count(F.lit(1)).alias("completed"),
                                 F.min("us").alias("started_us"))
-    j = plan.join(done, "grp", "left").withColumn("completed",
-                                                  F.coalesce("completed", F.lit(0).cast("bigint")))
-    secs = F.greatest((t - F.col("started_us")) / F.lit(1e6), F.lit(1e-6))
+    j = plan.join(done, "grp", "left").withColumn(
+        "completed", F.coalesce("completed", F.lit(0).cast("bigint")))
+    secs = F.greatest((F.col("as_of_us") - F.col("started_us")) / F.lit(1e6), F.lit(1e-6))
     rate = F.when(F.col("completed") > 0, F.col("completed") / secs).otherwise(F.lit(0.0))
     remaining = F.greatest(F.col("total") - F.col("completed"), F.lit(0))
     eta = F.when(rate > 0, remaining / rate)
@@ -37,6 +36,16 @@ def phase_progress(attempts: DataFrame, plan: DataFrame, as_of_us: Column | int)
                     F.when(remaining == 0, F.lit("done")).otherwise(format_eta(eta)).alias("eta"))
 
 
+def phase_progress(attempts: DataFrame, plan: DataFrame, as_of_us: int) -> DataFrame:
+    """Per group at a fixed snapshot: total, completed (ts <= as_of), per_h, eta_s, eta.
+
+    ``attempts`` is ``(grp, ts)``; ``plan`` is ``(grp, total)``.
+    """
+    t = F.lit(as_of_us).cast("bigint")
+    return _progress(attempts.select("grp", _us(F.col("ts")).alias("us"), t.alias("as_of_us")),
+                     plan.select("grp", "total", t.alias("as_of_us")))
+
+
 def overall_eta(progress: DataFrame) -> DataFrame:
     """Sum of group ETAs; '>=' marks a lower bound, '?' nothing bounded."""
     remaining = F.col("total") - F.col("completed")
@@ -55,30 +64,17 @@ def overall_eta(progress: DataFrame) -> DataFrame:
 def events_progress(events: DataFrame) -> DataFrame:
     """The ``events`` table as a phase log: event_type = group, ts = completion time.
 
-    The snapshot is taken half-way between the first and the last event.
+    The snapshot is taken half-way between the first and the last event; the
+    one-row snapshot time is joined on a constant key (no cross product).
     """
     us = _us(F.col("ts"))
-    bounds = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-    plan = events.groupBy(F.col("event_type").alias("grp")).agg(
-        F.count(F.lit(1)).alias("total"))
-    attempts = events.select(F.col("event_type").alias("grp"), "ts")
-    as_of = bounds.select((F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2))
-                          .cast("bigint").alias("as_of_us"))
-    # one-row snapshot time joined on a constant key (no cross product)
-    att = attempts.withColumn("_k", F.lit(1)).join(as_of.withColumn("_k", F.lit(1)), "_k")
-    pl = plan.withColumn("_k", F.lit(1)).join(as_of.withColumn("_k", F.lit(1)), "_k")
-    a = att.select("grp", _us(F.col("ts")).alias("us"), "as_of_us") \
-        .where(F.col("us") <= F.col("as_of_us"))
-    done = a.groupBy("grp").agg(F.count(F.lit(1)).alias("completed"),
-                                F.min("us").alias("started_us"))
-    j = pl.join(done, "grp", "left").withColumn(
-        "completed", F.coalesce("completed", F.lit(0).cast("bigint")))
-    t = F.col("as_of_us")
-    secs = F.greatest((t - F.col("started_us")) / F.lit(1e6), F.lit(1e-6))
-    rate = F.when(F.col("completed") > 0, F.col("completed") / secs).otherwise(F.lit(0.0))
-    remaining = F.greatest(F.col("total") - F.col("completed"), F.lit(0))
-    eta = F.when(rate > 0, remaining / rate)
-    return j.select("grp", "total", "completed",
-                    F.round(rate * 3600, 4).alias("per_h"),
-                    F.floor(eta).cast("bigint").alias("eta_s"),
-                    F.when(remaining == 0, F.lit("done")).otherwise(format_eta(eta)).alias("eta"))
+    as_of = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).select(
+        (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2)).cast("bigint")
+        .alias("as_of_us")).withColumn("_k", F.lit(1))
+    snap = F.broadcast(as_of)
+    attempts = (events.select(F.col("event_type").alias("grp"), us.alias("us"))
+                .withColumn("_k", F.lit(1)).join(snap, "_k").drop("_k"))
+    plan = (events.groupBy(F.col("event_type").alias("grp"))
+            .agg(F.count(F.lit(1)).alias("total"))
+            .withColumn("_k", F.lit(1)).join(snap, "_k").drop("_k"))
+    return _progress(attempts, plan)

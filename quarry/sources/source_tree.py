@@ -15,6 +15,7 @@ Unlike ``binaryFile`` it keeps hidden / underscore files and empty files.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry import registry as R
+from quarry.functions.paths import EXCLUDED_DIR_PATTERN, STATE_DIR_PATTERN
 
 SCHEMA = "path string, size bigint, content binary, skip_reason string"
 
 
-def _dir_excluded(rel_dir: str, name: str) -> bool:
-    if name.startswith(R.STATE_DIR_PREFIX):
-        return True
-    return any(rel_dir == d or rel_dir.startswith(d + "/") for d in R.EXCLUDE_DIRS)
+# the same patterns the column predicate uses (quarry.functions.paths), applied to
+# a directory path with a trailing slash
+_EXCLUDED_DIR = re.compile(EXCLUDED_DIR_PATTERN)
+_STATE_DIR = re.compile(STATE_DIR_PATTERN)
+
+
+def _dir_excluded(rel_dir: str) -> bool:
+    probe = rel_dir + "/"
+    return bool(_EXCLUDED_DIR.search(probe) or _STATE_DIR.search(probe))
 
 
 def _suffix(name: str) -> str:
@@ -66,7 +73,7 @@ class SourceTreeReader(DataSourceReader):
                 if not e.is_dir(follow_symlinks=False):
                     continue
                 child = f"{rel}/{e.name}" if rel else e.name
-                if _dir_excluded(child, e.name):
+                if _dir_excluded(child):
                     continue
                 if depth + 1 < self.shard_depth:
                     shards.append(TreeShard(child, False))   # its own files
@@ -113,7 +120,7 @@ class SourceTreeReader(DataSourceReader):
             return
         for dirpath, dirnames, filenames in os.walk(base):
             rel_dir = os.path.relpath(dirpath, self.root).replace(os.sep, "/")
-            dirnames[:] = sorted(d for d in dirnames if not _dir_excluded(f"{rel_dir}/{d}", d))
+            dirnames[:] = sorted(d for d in dirnames if not _dir_excluded(f"{rel_dir}/{d}"))
             for fname in sorted(filenames):
                 row = self._file_row(f"{rel_dir}/{fname}", os.path.join(dirpath, fname))
                 if row is not None:

@@ -78,3 +78,20 @@ def test_prompt_catalog_from_directory(spark, tmp_path):
     assert cat["B3"]["template"] == "Custom {filename}\n{file_content}"
     assert cat["B3"]["prompt_hash"] == R.short_hash("Custom {filename}\n{file_content}")
     assert cat["B2"]["template"] == R.default_prompt_template("B2")
+
+
+def test_phase_progress_and_overall_eta(spark):
+    import datetime as dt
+    from quarry.plans.progress import overall_eta, phase_progress
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    att = spark.createDataFrame([("a", t0), ("a", t0 + dt.timedelta(seconds=10)),
+                                 ("a", t0 + dt.timedelta(seconds=99))],
+                                "grp string, ts timestamp_ntz")
+    plan = spark.createDataFrame([("a", 4), ("b", 3), ("c", 0)], "grp string, total bigint")
+    as_of = int(t0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6) + 10_000_000
+    p = {r["grp"]: r for r in phase_progress(att, plan, as_of).collect()}
+    assert (p["a"]["completed"], p["a"]["per_h"], p["a"]["eta_s"], p["a"]["eta"]) == \
+        (2, 720.0, 10, "10s")
+    assert p["b"]["eta"] == "?" and p["c"]["eta"] == "done"
+    o = overall_eta(phase_progress(att, plan, as_of)).first()
+    assert (o["eta_s"], o["lower_bound"], o["eta"]) == (10, True, "≥10s")
