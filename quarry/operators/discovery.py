@@ -39,12 +39,19 @@ def directory_profile(kept: DataFrame, depth: int = R.PROFILE_DEPTH) -> DataFram
             .groupBy("depth", "dir").agg(F.count(F.lit(1)).alias("files")))
 
 
-def repo_structure(kept: DataFrame) -> DataFrame:
+def repo_structure(kept: DataFrame, max_lines: int = 200_000) -> DataFrame:
     """The discovery prompt's profile text as a one-row DataFrame.
 
-    Its size is bounded by the number of distinct extensions, notable files
-    and directories of depth <= 3 -- the reduction happens in the aggregates.
+    The text is one prompt, built by one task, so its inputs -- distinct
+    extensions, notable files, directories of depth <= 3 -- are measured
+    first; a corpus whose profile exceeds ``max_lines`` raises instead of
+    being silently truncated.
     """
+    from quarry.plans.sizing import bounded_count
+    n = sum(bounded_count(df, max_lines) for df in (
+        extension_counts(kept), notable_files(kept), directory_profile(kept)))
+    if n > max_lines:
+        raise ValueError(f"corpus profile has more than {max_lines} lines")
     ext = (extension_counts(kept)
            .select(F.struct((-F.col("files")).alias("neg"), F.col("ext"),
                             F.format_string("  %s: %d files", "ext", "files").alias("line"))

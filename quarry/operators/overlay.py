@@ -75,11 +75,13 @@ def verdict_lines_from_replies(verdict_store: DataFrame) -> DataFrame:
             F.coalesce(F.try_variant_get(e, "$.verification_reason", "string"), F.lit(""))
              .alias("verification_reason"),
             F.coalesce(F.try_variant_get(e, "$.verdict", "string"), F.lit("")).alias("verdict"))
-    recs = F.filter(F.transform(items, rec), lambda r: r["line"].isNotNull())
-    # keep an entry only if no later entry of the same reply names the same line
-    last = F.filter(recs, lambda r, i: ~F.exists(
-        F.slice(recs, i + 2, F.greatest(F.size(recs) - i - 1, F.lit(1))),
-        lambda later: later["line"] == r["line"]))
+    recs = F.filter(F.transform(items, lambda e, i: rec(e).withField("pos", i)),
+                    lambda r: r["line"].isNotNull())
+    # sort by (line, position) and keep the last entry of each line: O(n log n)
+    srt = F.array_sort(F.transform(recs, lambda r: F.struct(
+        r["line"].alias("line"), r["pos"].alias("pos"), r.alias("r"))))
+    last = F.transform(F.filter(srt, lambda x, i: F.coalesce(
+        F.get(srt, i + 1)["line"] != x["line"], F.lit(True))), lambda x: x["r"])
     ok = verdict_store.where(F.col("status") == "ok")
     return (ok.select("verify_key", F.explode(last).alias("v"))
             .select("verify_key", "v.line", *[F.col(f"v.{c}").alias(c) for c in VERDICT_FIELDS]))

@@ -40,8 +40,10 @@ def get_session(master: str | None = None, app: str = "quarry",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    On a cluster that setting points at shared storage and is used as is
+    (it is required there: a driver-local folder is not visible to
+    executors).  Only for a local master (tests, single machine) is a
+    scratch folder created when the setting is unset.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -53,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the "
+                           "cluster file system); phase tables are written there")
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -95,3 +95,17 @@ def test_phase_progress_and_overall_eta(spark):
     assert p["b"]["eta"] == "?" and p["c"]["eta"] == "done"
     o = overall_eta(phase_progress(att, plan, as_of)).first()
     assert (o["eta_s"], o["lower_bound"], o["eta"]) == (10, True, "≥10s")
+
+
+def test_repo_structure_profile(spark):
+    from quarry.operators.discovery import repo_structure
+    from quarry.sources.corpus import corpus_from_table
+    rows = [("src/app/a.py", "x"), ("src/app/b.py", "y"), ("pom.xml", "<p/>"), ("docs/r.md", "z")]
+    c = corpus_from_table(spark.createDataFrame(rows, "p string, t string"), "p", "t")
+    text = repo_structure(c).first()["profile"]
+    assert text.startswith("Extension counts:\n  .py: 2 files\n")
+    assert "Notable file names:\n  pom.xml\n" in text
+    assert "Directory structure (first 3 levels):\ndocs/\nsrc/\n  app/" in text
+    import pytest
+    with pytest.raises(ValueError):
+        repo_structure(c, max_lines=2)
