@@ -459,7 +459,8 @@ def q_scan_findings(spark, sf):
     from quarry.operators.inference import run_scanner, scan_requests
     w = _w(spark, sf)
     reqs = scan_requests(w.keyed, w.kept, w.catalog, keep_content=True)
-    store = run_scanner(reqs, python_rule_analyst(w.rules))
+    store = run_scanner(reqs, python_rule_analyst(w.rules),
+                        columns=("cache_key", "scanner", "text"))
     f = explode_findings(with_findings(store))
     return f.select("scanner", "file", "line", "severity", "code",
                     F.array_join("tags", ",").alias("tags"))

@@ -42,11 +42,15 @@ def _tag_result(result):
     return F.when(items.isNotNull(), F.to_json(tagged)).otherwise(result)
 
 
-def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None
-                ) -> DataFrame:
-    """Call the analyst on each request; recover, tag, shape as store rows."""
-    extra = [c for c in ("scanner", "text") if c in requests.columns]
-    replies = model_results(requests.select("cache_key", "prompt", *extra), analyst, partitions)
+def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None,
+                columns: tuple[str, ...] = ("cache_key", "prompt", "scanner")) -> DataFrame:
+    """Call the analyst on each request; recover, tag, shape as store rows.
+
+    ``columns`` are the request columns handed to the analyst (a model needs
+    the prompt; an offline analyst may want ``scanner`` and ``text`` instead --
+    unused columns such as the rendered prompt are then never computed).
+    """
+    replies = model_results(requests.select(*columns), analyst, partitions)
     parsed = parse_responses(replies)
     meta = requests.drop("prompt", "text")
     out = meta.join(parsed.select("cache_key", F.col("status").alias("_st"), "result"),

@@ -132,7 +132,8 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
                                       cfg.tools_mode)
         else:
             attempts = run_scanner(scan_requests(pending, kept, catalog, keep_content=True),
-                                   scan_analyst, cfg.concurrency)
+                                   scan_analyst, cfg.concurrency,
+                                   columns=("cache_key", "prompt", "scanner", "text"))
             attempts = attempts.withColumn("thinking", F.lit(cfg.scan_thinking)) \
                 .withColumn("tools_mode", F.lit(cfg.tools_mode))
         S.append_results(attempts, paths["results"])
