@@ -479,6 +479,69 @@ def q_verify_findings(spark, sf):
                     "conf", "status")
 
 
+def q_binary_sniff(spark, sf):
+    """The NUL sniff over the first 8192 characters of every file that reaches it."""
+    from quarry.functions import paths as P
+    lab = _w(spark, sf).labelled
+    return lab.where(F.col("skip_reason").isNull() | (F.col("skip_reason") == "nul_bytes")) \
+        .select("doc_id", "path", P.has_nul("text").alias("nul"))
+
+
+def q_line_coercion(spark, sf):
+    """H8: raw line text and its integer coercion for every stored finding."""
+    f = _findings(_w(spark, sf))
+    return f.select("scanner", "file", F.col("ord").cast("bigint").alias("ord"), "line_raw",
+                    "line")
+
+
+def q_parsed_responses(spark, sf):
+    """Every reply recovered, with its tier and the number of findings."""
+    from quarry.operators.findings import result_items
+    p = _w(spark, sf).parsed
+    return p.select("scanner", "file", "kind",
+                    F.coalesce(F.size(result_items(F.col("result"))), F.lit(0))
+                    .cast("bigint").alias("n_findings"))
+
+
+def q_sanitized_responses(spark, sf):
+    """Replies after lone-surrogate repair (rows-only check: needs look-around)."""
+    from quarry.functions.text import sanitize_json_escapes
+    r = _w(spark, sf).responses
+    fixed = sanitize_json_escapes(F.col("raw"))
+    return r.select("scanner", "file", F.length(fixed).cast("bigint").alias("chars"),
+                    (fixed != F.col("raw")).alias("repaired"))
+
+
+def q_prompt_catalog(spark, sf):
+    """A4: the prompt catalog with the volume of prompts it renders over the corpus."""
+    rp = q_rendered_prompts(spark, sf)
+    vol = rp.groupBy("scanner").agg(F.count(F.lit(1)).alias("prompts"),
+                                    F.sum("prompt_chars").cast("bigint").alias("prompt_chars"))
+    cat = _w(spark, sf).catalog.select("scanner", "scanner_name", "prompt_hash",
+                                       F.length("template").cast("bigint").alias("template_chars"))
+    return cat.join(vol, "scanner", "left").select(
+        "scanner", "scanner_name", "prompt_hash", "template_chars",
+        F.coalesce("prompts", F.lit(0).cast("bigint")).alias("prompts"),
+        F.coalesce("prompt_chars", F.lit(0).cast("bigint")).alias("prompt_chars"))
+
+
+def q_allowlist_load(spark, sf):
+    """The allowlist document after this run's candidate export, written to
+    the shared folder and loaded back (non-object entries dropped, order kept)."""
+    import uuid
+    from quarry.session import ensure_checkpoint_dir
+    from quarry.sources.stores import append_candidates, load_allowlist, write_allowlist
+    w = _w(spark, sf)
+    al = w.allowlist.withColumn("exported_at", F.lit(None).cast("string"))
+    cands = allowlist_candidates(RP.refuted_for_export(w.bucketed), w.allowlist,
+                                 exported_at="1970-01-01T00:00:00Z")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/allowlist-{uuid.uuid4().hex}"
+    write_allowlist(append_candidates(al, cands), path, as_document=True)
+    back = load_allowlist(spark, path)
+    return back.select(F.col("pos").cast("bigint").alias("pos"), "scanner", "file", "line",
+                       "reason", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -551,6 +614,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_status": q_response_status,
     "scan_findings": q_scan_findings,
     "verify_findings": q_verify_findings,
+    "binary_sniff": q_binary_sniff,
+    "line_coercion": q_line_coercion,
+    "parsed_responses": q_parsed_responses,
+    "sanitized_responses": q_sanitized_responses,
+    "prompt_catalog": q_prompt_catalog,
+    "allowlist_load": q_allowlist_load,
 }
 
 

@@ -600,4 +600,30 @@ def oracle_queries() -> dict[str, str]:
                         FROM nf
                         WINDOW w AS (PARTITION BY scanner, doc_id, line ORDER BY ord
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))""")
+    q["binary_sniff"] = sql(
+        f"SELECT doc_id, path, contains(substr(text, 1, {R.NUL_SNIFF_BYTES}), chr(0)) AS nul "
+        "FROM labelled WHERE skip_reason IS NULL OR skip_reason = 'nul_bytes'")
+    q["line_coercion"] = sql("SELECT scanner, file, ord, line_raw, line FROM nf")
+    q["parsed_responses"] = sql(f"SELECT scanner, file, kind, n_findings FROM ({replies})")
+    q["prompt_catalog"] = sql(
+        f"""SELECT r.scanner, r.scanner_name, r.prompt_hash,
+                   CAST(length(tm.template) AS BIGINT) AS template_chars,
+                   CAST(count(p.doc_id) AS BIGINT) AS prompts,
+                   CAST(coalesce(sum(p.prompt_chars), 0) AS BIGINT) AS prompt_chars
+            FROM reg r JOIN {values(tmpl_rows, ['scanner', 'template'])} tm USING (scanner)
+            LEFT JOIN (SELECT t.scanner, t.doc_id,
+                         length(replace(replace(replace(replace(tm2.template, '{{filename}}', k.name),
+                                '{{file_content}}', k.text), '{{{{', '{{'), '}}}}', '}}')) AS prompt_chars
+                       FROM targets t JOIN kept k USING (doc_id)
+                       JOIN {values(tmpl_rows, ['scanner', 'template'])} tm2 USING (scanner)) p
+              USING (scanner)
+            GROUP BY r.scanner, r.scanner_name, r.prompt_hash, tm.template""")
+    q["allowlist_load"] = sql(
+        f"""SELECT CAST(pos AS BIGINT) AS pos, scanner, file, CAST(line AS VARCHAR) AS line, reason, status
+            FROM allowlist
+            UNION ALL
+            SELECT CAST(4 + row_number() OVER (ORDER BY okey) AS BIGINT), scanner, file,
+                   CAST(line AS VARCHAR), reason, 'candidate'
+            FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
+                "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
     return q
