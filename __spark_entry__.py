@@ -456,9 +456,10 @@ def q_scan_findings(spark, sf):
     requests -> replies -> recovery -> tagging -> store -> findings."""
     from quarry.operators.analysts import python_rule_analyst
     from quarry.operators.findings import with_findings
-    from quarry.operators.inference import run_scanner, scan_requests
+    from quarry.operators.inference import run_scanner, scan_requests_all
     w = _w(spark, sf)
-    reqs = scan_requests(w.keyed, w.kept, w.catalog, keep_content=True)
+    # a first run: every target is pending, requests are built map-side (no text shuffle)
+    reqs = scan_requests_all(w.fanned, w.catalog, w.thinking, keep_content=True)
     store = run_scanner(reqs, python_rule_analyst(w.rules),
                         columns=("cache_key", "scanner", "text"))
     f = explode_findings(with_findings(store))

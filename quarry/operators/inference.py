@@ -35,6 +35,28 @@ def scan_requests(pending: DataFrame, corpus: DataFrame, catalog: DataFrame,
             .drop(*(["template"] if keep_content else ["template", "text"])))
 
 
+def scan_requests_all(fanned: DataFrame, catalog: DataFrame, thinking: str = "off",
+                      tools_mode: str = "off", keep_content: bool = False) -> DataFrame:
+    """Requests for *every* (category, file) target, built map-side from the file rows.
+
+    Used when nothing can be reused (first run, rescan): no key set has to be
+    joined back to the corpus, so the text is never shuffled.
+    """
+    from quarry.functions import keys as K
+    cat = F.broadcast(catalog.select("scanner", "scanner_name", "prompt_hash", "template"))
+    per_file = fanned.select("doc_id", "path", "size", "text", "scanners",
+                             K.content_hash("text").alias("content_hash"))
+    t = (per_file.select("doc_id", "path", "size", "text", "content_hash",
+                         F.explode("scanners").alias("scanner")).join(cat, "scanner")
+         .withColumn("thinking", F.lit(thinking)).withColumn("tools_mode", F.lit(tools_mode))
+         .withColumn("cache_key", K.scan_key("scanner_name", "path", "content_hash",
+                                             "prompt_hash", "thinking"))
+         .withColumn("prompt", render_prompt(
+             F.col("template"), filename=F.regexp_extract("path", r"([^/]*)$", 1),
+             file_content=F.col("text"))))
+    return t.drop(*(["template"] if keep_content else ["template", "text"]))
+
+
 def _tag_result(result):
     from quarry.operators.findings import finding_struct, result_items
     items = result_items(result)

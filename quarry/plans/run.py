@@ -20,7 +20,8 @@ from quarry.operators import discovery as D
 from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.filters import kept_files
-from quarry.operators.inference import run_scanner, run_verifier, scan_requests, verify_requests
+from quarry.operators.inference import (run_scanner, run_verifier, scan_requests,
+                                        scan_requests_all, verify_requests)
 from quarry.operators.suppress import allowlist_candidates
 from quarry.plans import report as RP
 from quarry.plans import triage as TR
@@ -131,8 +132,12 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
             attempts = A.rule_results(only, catalog, cfg.rules, cfg.scan_thinking,
                                       cfg.tools_mode)
         else:
-            attempts = run_scanner(scan_requests(pending, kept, catalog, keep_content=True),
-                                   scan_analyst, cfg.concurrency,
+            if (store is None or cfg.rescan) and not cfg.limit:
+                reqs = scan_requests_all(fanned, catalog, cfg.scan_thinking, cfg.tools_mode,
+                                         keep_content=True)
+            else:
+                reqs = scan_requests(pending, kept, catalog, keep_content=True)
+            attempts = run_scanner(reqs, scan_analyst, cfg.concurrency,
                                    columns=("cache_key", "prompt", "scanner", "text"))
             attempts = attempts.withColumn("thinking", F.lit(cfg.scan_thinking)) \
                 .withColumn("tools_mode", F.lit(cfg.tools_mode))

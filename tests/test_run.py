@@ -44,3 +44,17 @@ def test_run_is_incremental_and_gated(spark, tmp_path):
     with pytest.raises(ValueError):
         run_triage(spark, _corpus(spark, FILES), str(tmp_path / "empty"),
                    TriageConfig(phase=3))
+
+
+def test_run_with_model_analyst_matches_native(spark, tmp_path):
+    from quarry.operators.analysts import python_rule_analyst
+    from quarry.plans.run import TriageConfig, run_triage
+    native = run_triage(spark, _corpus(spark, FILES), str(tmp_path / "native"), TriageConfig())
+    model = run_triage(spark, _corpus(spark, FILES), str(tmp_path / "model"), TriageConfig(),
+                       scan_analyst=python_rule_analyst())
+    cols = ["scanner", "file", "line", "severity", "code", "tags", "status"]
+    key = lambda df: sorted(tuple(r[c] for c in cols) for r in df.collect())
+    assert key(native.report) == key(model.report)
+    again = run_triage(spark, _corpus(spark, FILES), str(tmp_path / "model"), TriageConfig(),
+                       scan_analyst=python_rule_analyst())
+    assert again.pending.count() == 0 and key(again.report) == key(model.report)
