@@ -16,7 +16,10 @@ from quarry.functions.text import format_eta
 
 
 def _us(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since the epoch without any session time-zone involvement:
+    local (NTZ) timestamps are measured as wall-clock differences."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
 
 
 def _progress(attempts_us: DataFrame, plan: DataFrame) -> DataFrame:
