@@ -145,8 +145,9 @@ def allowlist_candidates(refuted: DataFrame, allowlist: DataFrame,
             & (first["file"].eqNullSafe(existing["e_file"]))
             & (first["line"].eqNullSafe(existing["e_line"])))
     new = first.join(existing, cond, "left_anti")
+    utc_now = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
     ts = exported_at if exported_at is not None else F.date_format(
-        F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        utc_now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ts = F.lit(ts) if isinstance(ts, str) else ts
     return new.select("scanner", "file", "line", "reason",
                       F.lit("candidate").alias("status"), ts.alias("exported_at"), "order_key")
