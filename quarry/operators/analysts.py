@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import keys as K
-from quarry.registry import UNSUBSTANTIATED_TAG
+from quarry.registry import BLANK_PATTERN, UNSUBSTANTIATED_TAG
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def tag_unsubstantiated(findings: Column) -> Column:
     def one(f):
         kept = F.filter(F.coalesce(f["tags"], F.array().cast("array<string>")),
                         lambda t: t != UNSUBSTANTIATED_TAG)
-        named = f["source"].isNotNull() & ~f["source"].rlike(r"^\s*$")
+        named = f["source"].isNotNull() & ~f["source"].rlike(BLANK_PATTERN)
         return f.withField("tags", F.when(named, kept)
                            .otherwise(F.array_append(kept, F.lit(UNSUBSTANTIATED_TAG))))
     return F.transform(findings, one)

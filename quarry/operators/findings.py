@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
-from quarry.registry import UNSUBSTANTIATED_TAG
+from quarry.registry import BLANK_PATTERN, UNSUBSTANTIATED_TAG
 
 
 def _field(e: Column, name: str, typ: str = "string") -> Column:
@@ -56,7 +56,7 @@ def finding_struct(e: Column, ord_: Column) -> Column:
     tags = F.coalesce(F.try_variant_get(e, "$.tags", "array<string>"),
                       F.array().cast("array<string>"))
     kept_tags = F.filter(tags, lambda t: t != UNSUBSTANTIATED_TAG)
-    named = src_is_str & ~source.rlike(r"^\s*$")
+    named = src_is_str & ~source.rlike(BLANK_PATTERN)
     return F.struct(
         ord_.cast("int").alias("ord"),
         line_raw.alias("line_raw"),

@@ -65,16 +65,17 @@ def verdict_lines_from_replies(verdict_store: DataFrame) -> DataFrame:
     """
     items = result_items(F.col("result"))
 
+    def field(e, name, default):
+        # a missing field takes the reply default; an explicit JSON null stays NULL
+        present = F.try_variant_get(e, f"$.{name}", "variant").isNotNull()
+        return F.when(present, F.try_variant_get(e, f"$.{name}", "string")) \
+            .otherwise(F.lit(default)).alias(name)
+
     def rec(e):
         return F.struct(
             F.try_variant_get(e, "$.line", "bigint").alias("line"),
-            F.coalesce(F.try_variant_get(e, "$.confidence", "string"), F.lit("Unknown"))
-             .alias("confidence"),
-            F.coalesce(F.try_variant_get(e, "$.exploitable", "string"), F.lit("unknown"))
-             .alias("exploitable"),
-            F.coalesce(F.try_variant_get(e, "$.verification_reason", "string"), F.lit(""))
-             .alias("verification_reason"),
-            F.coalesce(F.try_variant_get(e, "$.verdict", "string"), F.lit("")).alias("verdict"))
+            field(e, "confidence", "Unknown"), field(e, "exploitable", "unknown"),
+            field(e, "verification_reason", ""), field(e, "verdict", ""))
     recs = F.filter(F.transform(items, lambda e, i: rec(e).withField("pos", i)),
                     lambda r: r["line"].isNotNull())
     # sort by (line, position) and keep the last entry of each line: O(n log n)

@@ -85,6 +85,9 @@ ROW_STATUSES: list[str] = [
     "active", "needs_review", "suppressed", "refuted", "not_actionable", "error", "timeout"]
 
 UNSUBSTANTIATED_TAG = "unsubstantiated"
+# A source is "named" unless it is blank; blank = only characters Python's
+# str.strip() removes (Unicode whitespace plus the \x1c-\x1f separators).
+BLANK_PATTERN = r"(?U)^[\s\x{1c}-\x{1f}]*$"
 
 # Column order of the flat one-row-per-finding report.
 REPORT_COLUMNS: list[str] = [

@@ -141,3 +141,25 @@ def test_candidate_export_is_idempotent(spark):
     nulls = spark.createDataFrame([(9, "B3", "b.py", None, "x", "confirmed")], ALLOWLIST_DDL)
     assert allowlist_candidates(refuted, again, exported_at="T").count() == 0
     assert allowlist_candidates(refuted, nulls, exported_at="T").count() == 1
+
+
+def test_null_versus_missing_verdict_fields(spark):
+    verdicts = [{"line": 10, "verdict": "confirmed", "exploitable": "yes", "confidence": None},
+                {"line": 20, "verdict": "confirmed", "exploitable": None},
+                {"line": 30, "verdict": "confirmed"}]
+    b, files = _world(spark, verdicts)
+    rows = {r["line"]: r for r in RP.report_rows(b, files, spark).collect()}
+    assert (rows["10"]["confidence"], rows["10"]["status"]) == ("", "active")
+    assert (rows["20"]["confidence"], rows["20"]["exploitable"]) == ("Unknown", "")
+    assert (rows["30"]["exploitable"], rows["30"]["status"]) == ("unknown", "not_actionable")
+
+
+def test_unicode_blank_source_is_unsubstantiated(spark):
+    from tests.conftest import store_rows
+    res = store_rows(spark, [("B3", "a.py", "ok", json.dumps(
+        [{"line": 1, "source": "　"}, {"line": 2, "source": "\x1c "},
+         {"line": 3, "source": "req"}, {"line": 4, "source": 7}]))])
+    b = TR.bucketed(TR.normalised_results(res, VPH), None, None)
+    got = {r["line"]: list(r["tags"]) for r in b.collect()}
+    assert got == {1: ["unsubstantiated"], 2: ["unsubstantiated"], 3: [],
+                   4: ["unsubstantiated"]}
