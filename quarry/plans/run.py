@@ -91,8 +91,10 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
                verify_analyst: A.AnalystFn | None = None,
                discovery_reply: DataFrame | None = None) -> TriageOutcome:
     """Run the selected phases over ``corpus`` (``doc_id, path, name, ext, size, text``)."""
+    from quarry.session import ship_package
     cfg = cfg or TriageConfig()
     ids, run_verify = validate(cfg)
+    ship_package(spark)
     paths = {k: os.path.join(state_dir, k) for k in
              ("discovery", "results", "verdicts", "allowlist", "report")}
     kept = kept_files(corpus, cfg.max_file_size)

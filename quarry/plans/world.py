@@ -20,7 +20,7 @@ from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.suppress import ALLOWLIST_DDL
 from quarry.plans import triage as TR
-from quarry.session import write_phase_table
+from quarry.session import ship_package, write_phase_table
 from quarry.sources import corpus as C
 
 VERIFY_PROMPT_HASH = R.short_hash(R.DEFAULT_VERIFY_TEMPLATE)
@@ -188,5 +188,6 @@ def world_for(spark: SparkSession, sf_dir: str) -> World:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     w = _WORLDS.get(key)
     if w is None:
+        ship_package(spark)
         w = _WORLDS[key] = World(spark, sf_dir)
     return w

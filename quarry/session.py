@@ -73,3 +73,22 @@ def write_phase_table(df, name: str):
     path = f"{base}/quarry-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable on executors (UDFs and analysts are unpickled
+    there by module name).  Local masters share the driver's interpreter path;
+    on a cluster the package is zipped once and added with ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quarry-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "quarry"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
