@@ -29,6 +29,11 @@ def result_items(result_json: Column) -> Column:
     # a result stored as a JSON string holding the array
     v = F.when(F.schema_of_variant(v) == "STRING",
                F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return object_items(v)
+
+
+def object_items(v: Column) -> Column:
+    """The object items of a VARIANT array (string items re-parsed, others dropped)."""
     items = F.try_variant_get(v, "$", "array<variant>")
     # string items are re-parsed; anything that is not an object is dropped
     items = F.transform(items, lambda e: F.when(F.schema_of_variant(e) == "STRING",

@@ -57,11 +57,12 @@ def scan_requests_all(fanned: DataFrame, catalog: DataFrame, thinking: str = "of
     return t.drop(*(["template"] if keep_content else ["template", "text"]))
 
 
-def _tag_result(result):
-    from quarry.operators.findings import finding_struct, result_items
-    items = result_items(result)
-    tagged = F.transform(items, lambda e, i: finding_struct(e, i).dropFields("ord", "line_raw"))
-    return F.when(items.isNotNull(), F.to_json(tagged)).otherwise(result)
+def _tagged(value):
+    """Recovered VARIANT array -> tagged findings JSON (no re-parse of the text)."""
+    from quarry.operators.findings import finding_struct, object_items
+    items = object_items(value)
+    return F.to_json(F.transform(items, lambda e, i: finding_struct(e, i)
+                                 .dropFields("ord", "line_raw")))
 
 
 def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None,
@@ -73,13 +74,14 @@ def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None
     unused columns such as the rendered prompt are then never computed).
     """
     replies = model_results(requests.select(*columns), analyst, partitions)
-    parsed = parse_responses(replies)
+    parsed = parse_responses(replies, with_value=True)
+    parsed = parsed.withColumn("result", F.when(F.col("value").isNotNull(),
+                                                _tagged(F.col("value")))
+                               .otherwise(F.col("result")))
     meta = requests.drop("prompt", "text")
     out = meta.join(parsed.select("cache_key", F.col("status").alias("_st"), "result"),
                     "cache_key")
     return (out.withColumn("status", F.col("_st"))
-            .withColumn("result", F.when(F.col("status") == "ok", _tag_result(F.col("result")))
-                        .otherwise(F.col("result")))
             .withColumnRenamed("path", "file")
             .select(*[c for c in STORE_COLUMNS if c in out.columns or c in ("file", "status",
                                                                             "result")]))
