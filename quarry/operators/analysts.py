@@ -234,19 +234,25 @@ def python_verifier() -> AnalystFn:
 
 
 def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, analyst_columns: list[str] | None = None,
+                  passthrough: list[str] | None = None) -> DataFrame:
     """Run ``analyst`` (pandas -> pandas with cache_key, status, raw) over batches.
 
-    Parallelism is the partition count of this stage.  When the analyst
-    raises on a batch, the batch is retried row by row and only the rows
-    that still fail become ``error`` attempts.
+    The analyst sees ``analyst_columns`` (default: every column);
+    ``passthrough`` columns ride along in the batch and are returned next to
+    the reply, so callers need no join back (which would shuffle and
+    re-evaluate the request plan).  Parallelism is the partition count of
+    this stage.  When the analyst raises on a batch, the batch is retried row
+    by row and only the rows that still fail become ``error`` attempts.
     """
     df = pending_with_content
     if partitions:
         df = df.repartition(partitions, "cache_key")
+    keep = [c for c in (passthrough or []) if c != "cache_key"]
+    seen = analyst_columns or [c for c in df.columns if c not in keep]
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = analyst(pdf)
+        out = analyst(pdf[seen])
         return out[["cache_key", "status", "raw"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,9 +271,15 @@ def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
                                                    "raw": [f"analyst failed: {exc}"[:2000]]}))
                 out = pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0][
                     ["cache_key"]].assign(status="", raw="")
-            yield out.astype({"cache_key": str, "status": str, "raw": str})
-
-    return df.mapInPandas(run, "cache_key string, status string, raw string")
+            out = out.astype({"cache_key": str, "status": str, "raw": str})
+            if keep:
+                out = out.merge(pdf[["cache_key", *keep]], on="cache_key", how="left")
+            yield out[["cache_key", *keep, "status", "raw"]]
+
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(["cache_key string", *[f"{c} {fields[c]}" for c in keep],
+                        "status string", "raw string"])
+    return df.mapInPandas(run, schema)
 
 
 def attach_content(pending: DataFrame, corpus: DataFrame, max_broadcast_rows: int = 200_000

@@ -73,18 +73,18 @@ def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None
     the prompt; an offline analyst may want ``scanner`` and ``text`` instead --
     unused columns such as the rendered prompt are then never computed).
     """
-    replies = model_results(requests.select(*columns), analyst, partitions)
+    meta = [c for c in STORE_COLUMNS if c in requests.columns and c not in
+            ("cache_key", "status", "result")] + (["path"] if "path" in requests.columns else [])
+    send = list(dict.fromkeys([*columns, *meta]))
+    replies = model_results(requests.select(*send), analyst, partitions,
+                            analyst_columns=list(columns), passthrough=meta)
     parsed = parse_responses(replies, with_value=True)
     parsed = parsed.withColumn("result", F.when(F.col("value").isNotNull(),
                                                 _tagged(F.col("value")))
                                .otherwise(F.col("result")))
-    meta = requests.drop("prompt", "text")
-    out = meta.join(parsed.select("cache_key", F.col("status").alias("_st"), "result"),
-                    "cache_key")
-    return (out.withColumn("status", F.col("_st"))
-            .withColumnRenamed("path", "file")
-            .select(*[c for c in STORE_COLUMNS if c in out.columns or c in ("file", "status",
-                                                                            "result")]))
+    if "path" in parsed.columns:
+        parsed = parsed.withColumnRenamed("path", "file")
+    return parsed.select(*[c for c in STORE_COLUMNS if c in parsed.columns])
 
 
 def verify_requests(pending: DataFrame, corpus: DataFrame,
@@ -108,9 +108,9 @@ def run_verifier(requests: DataFrame, analyst: AnalystFn, partitions: int | None
                  ) -> DataFrame:
     """Verdict-store rows ``(verify_key, scanner, file, status, result)``."""
     reqs = requests.withColumnRenamed("verify_key", "cache_key")
-    replies = model_results(reqs.select("cache_key", "prompt", "findings_json"), analyst,
-                            partitions)
+    replies = model_results(reqs, analyst, partitions,
+                            analyst_columns=["cache_key", "prompt", "findings_json"],
+                            passthrough=["scanner", "file"])
     parsed = parse_responses(replies)
-    return (reqs.drop("prompt", "findings_json")
-            .join(parsed.select("cache_key", "status", "result"), "cache_key")
-            .withColumnRenamed("cache_key", "verify_key"))
+    return parsed.select(F.col("cache_key").alias("verify_key"), "scanner", "file", "status",
+                         "result")
