@@ -543,6 +543,12 @@ def q_allowlist_load(spark, sf):
                        "reason", "status")
 
 
+def q_verify_plan(spark, sf):
+    w = _w(spark, sf)
+    el = O.verify_eligible(w.results_n, w.corpus, w.max_file_size)
+    return O.verify_plan(el, w.verdict_store)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_scan": q_corpus_scan,
     "corpus_decode": q_corpus_decode,
@@ -621,6 +627,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sanitized_responses": q_sanitized_responses,
     "prompt_catalog": q_prompt_catalog,
     "allowlist_load": q_allowlist_load,
+    "verify_plan": q_verify_plan,
 }
 
 

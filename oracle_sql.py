@@ -626,4 +626,9 @@ def oracle_queries() -> dict[str, str]:
                    CAST(line AS VARCHAR), reason, 'candidate'
             FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
                 "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
+    q["verify_plan"] = sql(
+        """SELECT scanner, CAST(count(*) AS BIGINT) AS eligible,
+                  CAST(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS BIGINT) AS verified,
+                  CAST(count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS BIGINT) AS pending
+           FROM vkeys GROUP BY scanner""")
     return q

@@ -51,6 +51,20 @@ def pending_verifications(eligible: DataFrame, verdict_store: DataFrame | None,
     return eligible.join(ok, "verify_key", "left_anti")
 
 
+def verify_plan(eligible: DataFrame, verdict_store: DataFrame | None) -> DataFrame:
+    """D19/D24 for phase 3: eligible / already verified / pending files per category."""
+    if verdict_store is None:
+        flagged = eligible.withColumn("hit", F.lit(False))
+    else:
+        ok = verdict_store.where(F.col("status") == "ok").select("verify_key").distinct() \
+            .withColumn("hit", F.lit(True))
+        flagged = eligible.join(ok, "verify_key", "left")
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    return flagged.groupBy("scanner").agg(F.count(F.lit(1)).alias("eligible"),
+                                          F.count_if(hit).alias("verified"),
+                                          F.count_if(~hit).alias("pending"))
+
+
 VERDICT_FIELDS = ["confidence", "exploitable", "verification_reason", "verdict"]
 
 
