@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 
 def _write(root, rel, data: bytes):
