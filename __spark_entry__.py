@@ -631,13 +631,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _with_package(fn: Callable[[SparkSession, str], DataFrame]
+                  ) -> Callable[[SparkSession, str], DataFrame]:
+    """Ship the package to the Python workers before building the query."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quarry.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the per-category / per-severity roll-up of the triaged findings."""
-    return q_severity_rollup(spark, SMOKE_DIR)
+    return _with_package(q_severity_rollup)(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _with_package(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -79,11 +79,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``quarry`` importable on executors (UDFs and analysts are unpickled
-    there by module name).  Local masters share the driver's interpreter path;
-    on a cluster the package is zipped once and added with ``addPyFile``."""
+    """Make ``quarry`` importable in every Python worker (UDFs and analysts are
+    unpickled there by module name).  Workers do not share the driver's
+    ``sys.path`` -- on a cluster, and locally when the driver runs from another
+    folder -- so the package is zipped once per application and added with
+    ``addPyFile``."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
