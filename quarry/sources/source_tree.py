@@ -148,6 +148,8 @@ def tree_corpus(spark: SparkSession, root: str, max_file_size: int = R.DEFAULT_M
     """The tree as a corpus (``doc_id, path, name, ext, size, text`` [+ ``skip_reason``])."""
     from quarry.functions import paths as P
     from quarry.functions.text import repair_text
+    from quarry.session import ship_package
+    ship_package(spark)
     register(spark)
     raw = (spark.read.format("source_tree").option("max_file_size", str(max_file_size))
            .load(root))
