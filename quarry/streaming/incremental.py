@@ -37,14 +37,34 @@ def _store_exists(spark: SparkSession, store_dir: str) -> bool:
 
 def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id: int,
                rules: list[A.Rule] | None = None, thinking: str = "off",
-               max_file_size: int = DEFAULT_MAX_FILE_SIZE) -> None:
-    """One micro-batch: key, skip what the store already has, analyse, append."""
+               max_file_size: int = DEFAULT_MAX_FILE_SIZE,
+               analyst: A.AnalystFn | None = None) -> None:
+    """One micro-batch: key, skip what the store already has, analyse, append.
+
+    ``analyst`` (pandas callable) replaces the native rule analyst; it sees
+    ``cache_key, prompt, scanner, text`` per pending pair.
+    """
     from quarry.plans.sizing import broadcast_if_small
     corpus = corpus_from_table(batch, "path", "text", doc_id="doc_id")
     kept = kept_files(corpus, max_file_size)
     ei, ni = TG.registry_maps()
     catalog = TG.prompt_catalog(spark)
     fanned = TG.fan_out(kept, ei, ni)
+    if analyst is not None:
+        from quarry.operators.inference import run_scanner, scan_requests, scan_requests_all
+        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
+        if _store_exists(spark, store_dir):
+            keys = broadcast_if_small(keyed.select("cache_key"))
+            done = TG.usable(spark.read.parquet(store_dir)).join(keys, "cache_key", "left_semi")
+            reqs = scan_requests(keyed.join(done, "cache_key", "left_anti"), kept, catalog,
+                                 keep_content=True)
+        else:
+            reqs = scan_requests_all(fanned, catalog, thinking, keep_content=True)
+        results = run_scanner(reqs, analyst, columns=("cache_key", "prompt", "scanner", "text"))
+        (results.withColumn("tools_mode", F.lit("off")).withColumn("thinking", F.lit(thinking))
+         .withColumn("epoch", F.lit(epoch_id).cast("bigint"))
+         .write.mode("append").partitionBy("scanner").parquet(store_dir))
+        return
     if _store_exists(spark, store_dir):
         keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
         # the store is restricted to this batch's keys first: the (bounded) batch key
@@ -66,15 +86,18 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
 def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
                            checkpoint_dir: str, rules: list[A.Rule] | None = None,
                            thinking: str = "off", available_now: bool = True,
-                           max_files_per_trigger: int | None = None) -> StreamingQuery:
+                           max_files_per_trigger: int | None = None,
+                           analyst: A.AnalystFn | None = None) -> StreamingQuery:
     """Stream the corpus folder into the result store (``foreachBatch`` sink)."""
+    from quarry.session import ship_package
+    ship_package(spark)
     reader = spark.readStream.schema(CORPUS_DDL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(corpus_dir)
     writer = (stream.writeStream
               .foreachBatch(lambda df, eid: scan_batch(spark, df, store_dir, eid, rules,
-                                                       thinking))
+                                                       thinking, analyst=analyst))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="30 seconds")

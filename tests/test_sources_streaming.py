@@ -64,3 +64,24 @@ def test_incremental_stream_reanalyses_only_changes(spark, tmp_path):
     p.awaitTermination(120)
     total = spark.sql("select sum(completed) from quarry_progress_test").first()[0]
     assert total == 25
+
+
+def test_incremental_stream_with_model_analyst(spark, tmp_path):
+    from quarry.operators.analysts import python_rule_analyst
+    from quarry.streaming.incremental import start_incremental_scan
+    corpus_dir, store, ckpt = (str(tmp_path / d) for d in ("corpus", "store", "ckpt"))
+    v1 = [(1, "src/a.py", 'token = "abc123"\n'), (2, "src/c.yml", "debug: true\n")]
+    spark.createDataFrame(v1, "doc_id bigint, path string, text string") \
+        .write.mode("append").parquet(corpus_dir)
+    start_incremental_scan(spark, corpus_dir, store, ckpt,
+                           analyst=python_rule_analyst()).awaitTermination(180)
+    got = spark.read.parquet(store)
+    assert got.count() == 9 and got.where("status = 'ok'").count() == 9
+    b2 = got.where("scanner = 'B2'").first()["result"]
+    assert '"line":1' in b2 and "unsubstantiated" in b2
+    spark.createDataFrame([(1, "src/a.py", 'token = "abc123"\n')],
+                          "doc_id bigint, path string, text string") \
+        .write.mode("append").parquet(corpus_dir)
+    start_incremental_scan(spark, corpus_dir, store, ckpt,
+                           analyst=python_rule_analyst()).awaitTermination(180)
+    assert spark.read.parquet(store).count() == 9      # unchanged file: nothing re-analysed
