@@ -58,3 +58,19 @@ def test_run_with_model_analyst_matches_native(spark, tmp_path):
     again = run_triage(spark, _corpus(spark, FILES), str(tmp_path / "model"), TriageConfig(),
                        scan_analyst=python_rule_analyst())
     assert again.pending.count() == 0 and key(again.report) == key(model.report)
+
+
+def test_stale_results_only_with_include_stale(spark, tmp_path):
+    from quarry.plans.run import TriageConfig, run_triage
+    state = str(tmp_path / "state")
+    files = [(1, "src/a.py", 'token = "abc"\n')]
+    run_triage(spark, _corpus(spark, files), state, TriageConfig(scanners="B2"))
+    edited = [(1, "src/a.py", 'x = 0\ntoken = "abd"\n')]
+    cur = run_triage(spark, _corpus(spark, edited), state, TriageConfig(scanners="B2"))
+    assert sorted(r["line"] for r in cur.report.collect()) == ["2"]
+    both = run_triage(spark, _corpus(spark, edited), state,
+                      TriageConfig(scanners="B2", include_stale=True))
+    assert sorted(r["line"] for r in both.report.collect()) == ["1", "2"]
+    dry = run_triage(spark, _corpus(spark, edited + [(2, "src/b.py", "y\n")]), state,
+                     TriageConfig(scanners="B2", dry_run=True))
+    assert [r["path"] for r in dry.pending.collect()] == ["src/b.py"] and dry.report is None
