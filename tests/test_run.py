@@ -74,3 +74,16 @@ def test_stale_results_only_with_include_stale(spark, tmp_path):
     dry = run_triage(spark, _corpus(spark, edited + [(2, "src/b.py", "y\n")]), state,
                      TriageConfig(scanners="B2", dry_run=True))
     assert [r["path"] for r in dry.pending.collect()] == ["src/b.py"] and dry.report is None
+
+
+def test_limit_and_tsv_report(spark, tmp_path):
+    from quarry.plans.run import TriageConfig, run_triage
+    state = str(tmp_path / "state")
+    files = [(1, "src/a.py", 'token = "abc"\n'), (2, "src/b.py", 'token = "abd"\n')]
+    out = run_triage(spark, _corpus(spark, files), state,
+                     TriageConfig(scanners="B2", limit=1, report_format="tsv"))
+    assert [r["path"] for r in out.pending.collect()] == ["src/a.py"]
+    back = spark.read.option("header", True).option("sep", "\t").csv(state + "/report")
+    assert [r["file"] for r in back.collect()] == ["src/a.py"]
+    rest = run_triage(spark, _corpus(spark, files), state, TriageConfig(scanners="B2", limit=1))
+    assert [r["path"] for r in rest.pending.collect()] == ["src/b.py"]
