@@ -186,12 +186,12 @@ def q_verify_keys(spark, sf):
 
 def q_verify_eligible(spark, sf):
     w = _w(spark, sf)
-    return O.verify_eligible(w.results_n, w.corpus, w.max_file_size).select("scanner", "file")
+    return O.verify_eligible(w.results_n, w.kept.select("path", "size"), w.max_file_size).select("scanner", "file")
 
 
 def q_pending_verifications(spark, sf):
     w = _w(spark, sf)
-    el = O.verify_eligible(w.results_n, w.corpus, w.max_file_size)
+    el = O.verify_eligible(w.results_n, w.kept.select("path", "size"), w.max_file_size)
     return O.pending_verifications(el, w.verdict_store).select("scanner", "file", "verify_key")
 
 
@@ -473,7 +473,7 @@ def q_verify_findings(spark, sf):
     from quarry.operators.inference import run_verifier, verify_requests
     from quarry.plans import triage as TR
     w = _w(spark, sf)
-    el = O.verify_eligible(w.results_n, w.corpus, w.max_file_size)
+    el = O.verify_eligible(w.results_n, w.kept.select("path", "size"), w.max_file_size)
     verdicts = run_verifier(verify_requests(el, w.kept), python_verifier())
     b = TR.bucketed(w.results_n, O.verdict_lines_from_replies(verdicts), None, "medium")
     return b.select("scanner", "file", F.col("ord").cast("bigint").alias("ord"), "bucket",
@@ -545,7 +545,7 @@ def q_allowlist_load(spark, sf):
 
 def q_verify_plan(spark, sf):
     w = _w(spark, sf)
-    el = O.verify_eligible(w.results_n, w.corpus, w.max_file_size)
+    el = O.verify_eligible(w.results_n, w.kept.select("path", "size"), w.max_file_size)
     return O.verify_plan(el, w.verdict_store)
 
 
