@@ -32,23 +32,25 @@ class Rule:
     fix: str
     source: str | None = None
     sink: str | None = None
+    hint: str | None = None   # a substring every match contains (cheap pre-screen)
 
 
 # Default lexical rules: only criteria a pattern can detect on one line.
 DEFAULT_RULES: list[Rule] = [
     Rule("hardcoded-token", "B2", "High", 'token = "[0-9a-f]+"',
-         "Hard-coded credential literal", "Load the secret from a vault or environment"),
+         "Hard-coded credential literal", "Load the secret from a vault or environment",
+         hint='token = "'),
     Rule("template-marker", "B3", "Critical", "%%% .*%%%",
          "Unescaped template markers around interpolated text",
          "Escape or parameterise interpolated values", source="request param",
-         sink="template render"),
+         sink="template render", hint="%%% "),
     Rule("license-line", "B6", "Low", "(Licensed|Released) under",
          "Third-party component licence declaration to inventory",
-         "Pin and audit the component version", source=None),
+         "Pin and audit the component version", source=None, hint=" under"),
     # a line holds an address-like token iff an '@' has an address character on both sides
     Rule("email-address", "B9", "Medium", "[A-Za-z0-9_.]@[A-Za-z0-9_.]",
          "Personal data (e-mail address) written to text or logs",
-         "Mask personal data before logging", source=""),
+         "Mask personal data before logging", source="", hint="@"),
     Rule("card-number", "B9", "High", "[0-9]{16}",
          "Card-number-like digits written to text or logs",
          "Never log payment data", source="  "),
@@ -57,7 +59,8 @@ DEFAULT_RULES: list[Rule] = [
          "Resolve outbound hosts from an allowlist", source="url parameter",
          sink="outbound request"),
     Rule("debug-enabled", "B5", "Medium", "[Dd]ebug *[:=] *[Tt]rue",
-         "Debug mode enabled in configuration", "Disable debug in deployed configuration"),
+         "Debug mode enabled in configuration", "Disable debug in deployed configuration",
+         hint="ebug"),
 ]
 
 
@@ -86,16 +89,24 @@ def tag_unsubstantiated(findings: Column) -> Column:
     return F.transform(findings, one)
 
 
+def _matches(text: Column, r: Rule) -> Column:
+    """Pattern test, behind the rule's literal pre-screen when it has one
+    (``And`` evaluates the cheap ``instr`` first)."""
+    if r.hint:
+        return (F.instr(text, r.hint) > 0) & text.rlike(r.pattern)
+    return text.rlike(r.pattern)
+
+
 def _rule_matches(code: Column, rules: list[Rule]) -> Column:
     """Array of the 0-based ordinals of the rules whose pattern occurs in ``code``."""
-    return F.array_compact(F.array(*[F.when(code.rlike(r.pattern), F.lit(k))
+    return F.array_compact(F.array(*[F.when(_matches(code, r), F.lit(k))
                                      for k, r in enumerate(rules)]))
 
 
 def any_rule(text: Column, rules: list[Rule]) -> Column:
     """True when any rule pattern occurs in ``text`` (OR of per-rule patterns: each
     regex keeps its own literal-prefix scan, and the OR stops at the first hit)."""
-    return reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+    return reduce(lambda a, b: a | b, [_matches(text, r) for r in rules])
 
 
 def file_hits(text: Column, rules: list[Rule]) -> Column:
