@@ -210,6 +210,8 @@ def python_rule_analyst(rules: list[Rule] | None = None) -> AnalystFn:
             if mine:
                 for no, code in enumerate((text or "").split("\n"), 1):
                     for r, rx in mine:
+                        if r.hint and r.hint not in code:
+                            continue
                         if rx.search(code):
                             f = {"line": no, "severity": r.severity, "code": code,
                                  "explanation": r.explanation, "fix": r.fix}
