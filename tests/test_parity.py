@@ -9,7 +9,10 @@ SF = "/root/testdata/sf0.001"
 QUERIES = ["corpus_scan", "skip_counts", "scan_targets", "pending_scans", "rule_findings",
            "findings_signature", "verdict_overlay", "suppressed_findings", "severity_rollup",
            "report_rows", "scan_from_responses", "discovery_plan", "phase_progress",
-           "allowlist_candidates", "ci_gate", "pages_findings"]
+           "allowlist_candidates", "ci_gate", "pages_findings", "verify_plan",
+           "finding_details", "work_plan", "directory_profile", "rendered_prompts",
+           "response_status", "pending_candidates", "file_labels", "risk_heatmap",
+           "overall_eta", "verify_findings", "verdict_lines"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
