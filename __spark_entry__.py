@@ -7,6 +7,7 @@ of it.  ``oracle_sql`` holds the DuckDB twin of each query.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -648,10 +649,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _with_package(q_severity_rollup)(spark, SMOKE_DIR)
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; none where they are not installed."""
+    found, twins = {}, {}
+    if importlib.util.find_spec("quarry.llm"):
+        from quarry.llm.queries import ORACLES, QUERIES as OPERATORS
+        found, twins = dict(OPERATORS), dict(ORACLES)
+        if importlib.util.find_spec("corpus_pipeline"):
+            import corpus_pipeline
+            found["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL:
+                twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, twins
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _with_package(fn) for name, fn in QUERIES.items()}
+    return {name: _with_package(fn) for name, fn in (QUERIES | _training_data()[0]).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import oracle_queries
-    return {k: v for k, v in oracle_queries().items() if k in QUERIES}
+    return {k: v for k, v in oracle_queries().items() if k in QUERIES} | _training_data()[1]
