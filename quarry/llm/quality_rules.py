@@ -155,9 +155,9 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)),
-                     x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), windows AS (
   SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
@@ -172,11 +172,11 @@ WITH d AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words,
          length(array_to_string(ws, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         len(list_filter(ws, x -> lower(x) IN ({_STOP_SQL})))::BIGINT AS n_stop,
+         len(list_filter(ws, lambda x: lower(x) IN ({_STOP_SQL})))::BIGINT AS n_stop,
          len(ls)::BIGINT AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-         len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ell,
-         len(list_filter(ls, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣●]'))) AS n_bul,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ell,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣●]'))) AS n_bul,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id
 ), f AS (

@@ -6,10 +6,11 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import quality_rules
+from quarry.llm import decontaminate, quality_rules
 
 _OPERATORS = {
     "op6_quality_rules": quality_rules,
+    "op10_decontaminate": decontaminate,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
