@@ -86,7 +86,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "tex
                               F.lit(0).cast("bigint").alias("h")))
     found = [_tagged(n) for n in sorted(lengths)]
     d = d.select(*carry, "_row", "_words", F.concat(marker, *found).alias("_found"))
-    d = d.select(*carry, "_row", "_words", F.explode("_found").alias("_at"))
+    d = d.select(*carry, "_row", "_words", F.explode_outer("_found").alias("_at"))
     itself = windows.sparkSession.range(1).select(
         F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("h"), F.lit("").alias("window"),
         F.array().cast(windows.schema["items"].dataType).alias("items"))
@@ -98,8 +98,11 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "tex
             F.col("n").alias("_n"), F.col("h").alias("_key"), "window", "items"))
         return d.join(part, (F.col("_at.h") == F.col("_key")) & (F.col("_at.n") == F.col("_n")))
 
-    verified = F.array_join(F.slice("_words", F.greatest(F.col("_at.i") + 1, F.lit(1)),
-                                    F.col("_at.n")), " ") == F.col("window")
+    # Equal texts, said without an equality, which would become a join key and so be
+    # computed for every window of the corpus and not for the hash hits alone.
+    passage = F.array_join(F.slice("_words", F.greatest(F.col("_at.i") + 1, F.lit(1)),
+                                   F.col("_at.n")), " ")
+    verified = F.startswith(F.col("window"), passage) & F.startswith(passage, F.col("window"))
     met = reduce(DataFrame.unionByName, [looked_up(b) for b in range(blocks)]).where(verified)
     at = F.when(F.col("_at.n") > 0, F.struct(
         F.col("_at.i").alias("i"), (F.col("_at.i") + F.col("_at.n")).alias("e")))
