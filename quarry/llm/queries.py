@@ -6,10 +6,11 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, quality_rules
+from quarry.llm import decontaminate, quality_rules, simhash
 
 _OPERATORS = {
     "op6_quality_rules": quality_rules,
+    "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
 }
 
