@@ -6,10 +6,11 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, mixing, quality_rules, simhash
+from quarry.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 
 _OPERATORS = {
     "op2_mixing": mixing,
+    "op4_line_dedup": line_dedup,
     "op6_quality_rules": quality_rules,
     "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
