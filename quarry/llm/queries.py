@@ -6,11 +6,12 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+from quarry.llm import decontaminate, line_dedup, mixing, quality_rules, simhash, url_filter
 
 _OPERATORS = {
     "op2_mixing": mixing,
     "op4_line_dedup": line_dedup,
+    "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
     "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
