@@ -6,13 +6,14 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, line_dedup, mixing, quality_rules, simhash, url_filter
+from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, url_filter
 
 _OPERATORS = {
     "op2_mixing": mixing,
     "op4_line_dedup": line_dedup,
     "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
+    "op8_pii": pii,
     "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
 }
