@@ -6,10 +6,11 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, url_filter
+from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_rules, secrets, simhash, url_filter
 
 _OPERATORS = {
     "op2_mixing": mixing,
+    "op3_secrets": secrets,
     "op4_line_dedup": line_dedup,
     "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
