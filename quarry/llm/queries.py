@@ -6,9 +6,10 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_rules, secrets, simhash, url_filter
+from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, url_filter
 
 _OPERATORS = {
+    "op1_quality_classifier": quality_classifier,
     "op2_mixing": mixing,
     "op3_secrets": secrets,
     "op4_line_dedup": line_dedup,
