@@ -6,7 +6,18 @@ result, ``ORACLE``.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, url_filter
+from quarry.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sentence_dedup,
+    simhash,
+    url_filter,
+)
 
 _OPERATORS = {
     "op1_quality_classifier": quality_classifier,
@@ -15,6 +26,7 @@ _OPERATORS = {
     "op4_line_dedup": line_dedup,
     "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
+    "op7_sentence_dedup": sentence_dedup,
     "op8_pii": pii,
     "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
