@@ -137,10 +137,12 @@ _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER})[ ,-]{{1,2}}){{7,}}(?:{_
 _SPELLED_ONE = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)")
 
 _BRACKETED = re.compile(r"(?i)[\[({<][ ]?(at|dot)[ ]?[\])}>][ ]?")
-# Top-level domains that a disguise in plain words has to end in.
+# Words that no disguised domain starts with, and the top-level domains that
+# a disguise in plain words has to end in.
+ARTICLES = "the|a|an|this|that|these|those|our|their|his|her|my|your|its|any|every|each"
 TOP_DOMAINS = "com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu"
 _PLAIN = re.compile(
-    rf"(?i)(?<![\w.%+@-])[\w.%+-]{{1,64}}(?P<at> at )[\w-]{{1,63}}"
+    rf"(?i)(?<![\w.%+@-])[\w.%+-]{{1,64}}(?P<at> at )(?!(?:{ARTICLES}) )[\w-]{{1,63}}"
     rf"(?P<dots>(?: dot [\w-]{{1,63}}){{0,3}} dot )(?:{TOP_DOMAINS})(?!\w)")
 
 Edit = tuple[int, int, str]
