@@ -11,6 +11,7 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +36,18 @@ def _w(spark: SparkSession, sf: str) -> World:
 
 
 def prior_store(w: World) -> DataFrame:
-    """An earlier run: labelled files were attempted before; toxic ones failed,
-    low-quality ones have since changed (their old key no longer matches)."""
+    """Earlier runs: labelled files were attempted before; toxic ones failed, of the
+    others every fifth had a second attempt that failed, and low-quality ones have since
+    changed (their old key no longer matches)."""
     labels = w.table("labels").select("doc_id", "quality", "toxic")
     k = w.keyed.join(labels, "doc_id")
     key = F.when(F.col("quality") == 0, F.md5(F.concat("cache_key", F.lit(":old")))) \
         .otherwise(F.col("cache_key"))
-    return k.select(key.alias("cache_key"),
-                    F.when(F.col("toxic") == 1, "error").otherwise("ok").alias("status"))
+    first = k.select(key.alias("cache_key"), F.lit(1).alias("attempted_at"),
+                     F.when(F.col("toxic") == 1, "error").otherwise("ok").alias("status"))
+    again = k.where(F.col("doc_id") % 5 == 0).select(
+        key.alias("cache_key"), F.lit(2).alias("attempted_at"), F.lit("timeout").alias("status"))
+    return first.unionByName(again)
 
 
 def q_corpus_scan(spark, sf):
@@ -295,6 +300,14 @@ def q_ci_gate(spark, sf):
         .withColumn("exit_code", F.col("exit_code").cast("int"))
 
 
+def q_ci_gate_levels(spark, sf):
+    """The gate at each confidence level, without the severity gate."""
+    w = _w(spark, sf)
+    gates = [RP.ci_gate(w.bucketed, w.files, "never", x).withColumn("level", F.lit(x))
+             for x in ("high", "medium", "low", "never")]
+    return reduce(DataFrame.unionByName, gates).withColumn("exit_code", F.col("exit_code").cast("int"))
+
+
 def _listing(status):
     def q(spark, sf):
         return RP.listing(_b(spark, sf), status).withColumn("ord", F.col("ord").cast("bigint"))
@@ -506,11 +519,17 @@ def q_parsed_responses(spark, sf):
 
 
 def q_sanitized_responses(spark, sf):
-    """Replies after lone-surrogate repair (rows-only check: needs look-around)."""
+    """Replies after lone-surrogate repair; the replies get lone, paired and escaped
+    forms by their document's number."""
     from quarry.functions.text import sanitize_json_escapes
     r = _w(spark, sf).responses
+    forms = F.array(*[F.lit(x) for x in (
+        "", "\\ud83d", "\\ud83d\\ude00", "\\\\ud83d x", "\\ude00\\ud83d", "\\\\\\udfff",
+        "\u0001b\\ud800")])
+    r = r.withColumn("raw", F.concat("raw", F.get(forms, (F.col("doc_id") % 7).cast("int"))))
     fixed = sanitize_json_escapes(F.col("raw"))
-    return r.select("scanner", "file", F.length(fixed).cast("bigint").alias("chars"),
+    return r.select("scanner", "file", F.md5(fixed).alias("text_md5"),
+                    F.length(fixed).cast("bigint").alias("chars"),
                     (fixed != F.col("raw")).alias("repaired"))
 
 
@@ -597,6 +616,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_rows": q_report_rows,
     "status_counts": q_status_counts,
     "ci_gate": q_ci_gate,
+    "ci_gate_levels": q_ci_gate_levels,
     "refuted_findings": _listing("refuted"),
     "not_actionable": _listing("not_actionable"),
     "needs_review": _listing("needs_review"),

@@ -13,7 +13,8 @@ from quarry.functions import paths as P
 from quarry.operators.analysts import DEFAULT_RULES
 from quarry.plans.world import CONFIDENCES, EXPLOITABLE, VERIFY_PROMPT_HASH, WORLD_ALLOWLIST
 
-BUDGET_BYTES = 20000
+# attempts that fail in the world: B4 has no lexical analysis of files labelled toxic
+FAILED = "({k}scanner = 'B4' AND {k}doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 CUTOFF = R.CONFIDENCE_ORDER["Medium"]
 
 
@@ -73,14 +74,14 @@ SKIP_CASE = f"""CASE WHEN regexp_matches(path, {lit(P.EXCLUDED_DIR_PATTERN)})
           OR regexp_matches(path, {lit(P.STATE_DIR_PATTERN)}) THEN 'excluded_dir'
      WHEN name IN {in_list(R.EXCLUDE_FILES)} THEN 'excluded_file'
      WHEN ext IN {in_list(R.BINARY_EXTS)} THEN 'binary_ext'
-     WHEN size > {{cap}} THEN 'oversized'
+     WHEN {{cap}} > 0 AND size > {{cap}} THEN 'oversized'
      WHEN contains(substr(text, 1, {R.NUL_SNIFF_BYTES}), chr(0)) THEN 'nul_bytes' END"""
 
 BASE = f"""
 corpus0 AS (
   SELECT doc_id, text,
-    CASE WHEN doc_id % 41 = 0 THEN 'vendor/' WHEN doc_id % 37 = 0 THEN '.security_scan_old/'
-         WHEN doc_id % 31 = 0 THEN 'sub/.security_scan.bak/' ELSE 'src/' END
+    CASE WHEN doc_id % 41 = 0 THEN 'vendor/' WHEN doc_id % 37 = 0 THEN '.quarry_state_old/'
+         WHEN doc_id % 31 = 0 THEN 'sub/.quarry_state.bak/' ELSE 'src/' END
     || lang || '/' || source || '/d' || CAST(doc_id AS VARCHAR) || '/'
     || CASE WHEN doc_id % 29 = 0 THEN 'pom.xml' WHEN doc_id % 23 = 0 THEN '.env'
             ELSE 'f' || CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.Java'
@@ -108,7 +109,7 @@ keyed AS (
 lines AS (
   SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line,
          unnest(string_split(text, chr(10))) AS code
-  FROM kept WHERE size <= {BUDGET_BYTES}),
+  FROM kept),
 rules AS {values(_rule_rows(), ['rule_ord', 'rule_id', 'scanner', 'severity', 'pattern',
                                 'explanation', 'fix', 'source', 'sink'])},
 rf AS (
@@ -117,7 +118,7 @@ rf AS (
          r.source, r.sink
   FROM keyed kd JOIN lines l ON kd.doc_id = l.doc_id
   JOIN rules r ON r.scanner = kd.scanner AND regexp_matches(l.code, r.pattern)
-  WHERE kd.size <= {BUDGET_BYTES}),
+  WHERE NOT {FAILED.format(k='kd.')}),
 lines_all AS (
   SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line,
          unnest(string_split(text, chr(10))) AS code
@@ -192,18 +193,20 @@ bk AS (
 bka AS (SELECT *, status IN ('active', 'needs_review') AS above_line FROM bk),
 fg AS (
   SELECT kd.cache_key, kd.scanner, kd.path AS file,
-         CASE WHEN kd.size > {BUDGET_BYTES} THEN 'timeout' ELSE 'ok' END AS status,
-         kd.size <= {BUDGET_BYTES} AS is_list,
+         CASE WHEN kd.failed THEN 'timeout' ELSE 'ok' END AS status,
+         NOT kd.failed AS is_list,
          CAST(count(b.ord) AS BIGINT) AS n_items,
          CAST(count(b.ord) AS BIGINT) AS n_findings,
          CAST(count(*) FILTER (WHERE b.above_line) AS BIGINT) AS n_above,
          CAST(count(*) FILTER (WHERE b.status = 'suppressed') AS BIGINT) AS n_suppressed,
          CAST(count(*) FILTER (WHERE b.status IN ('refuted', 'not_actionable')) AS BIGINT) AS n_below
-  FROM keyed kd LEFT JOIN bka b ON b.cache_key = kd.cache_key
-  GROUP BY kd.cache_key, kd.scanner, kd.path, kd.size),
+  FROM (SELECT *, {FAILED.format(k='')} AS failed FROM keyed) kd
+  LEFT JOIN bka b ON b.cache_key = kd.cache_key
+  GROUP BY kd.cache_key, kd.scanner, kd.path, kd.failed),
 prior AS (
   SELECT CASE WHEN lb.quality = 0 THEN md5(kd.cache_key || ':old') ELSE kd.cache_key END AS cache_key,
-         CASE WHEN lb.toxic = 1 THEN 'error' ELSE 'ok' END AS status
+         CASE WHEN kd.doc_id % 5 = 0 THEN 'timeout' WHEN lb.toxic = 1 THEN 'error' ELSE 'ok' END
+           AS status
   FROM keyed kd JOIN labels lb ON kd.doc_id = lb.doc_id)
 """
 
@@ -218,6 +221,46 @@ SEV_COUNTS = ", ".join(
 KNOWN = f"severity IN {in_list(R.SEVERITIES)}"
 
 
+# replies as the analyst words them, with surrogate forms behind, and their repair: escaped
+# backslashes and pairs are set aside, other surrogate escapes replaced
+SANITIZED = r"""
+SELECT scanner, file, md5(fixed) AS text_md5, CAST(length(fixed) AS BIGINT) AS chars,
+       fixed <> raw AS repaired
+FROM (SELECT scanner, file, raw, CASE WHEN contains(raw, '\u') THEN
+        replace(replace(replace(
+          regexp_replace(regexp_replace(
+            replace(replace(raw, chr(1), chr(1) || 'm'), '\\', chr(1) || 'b'),
+            '\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})',
+            chr(1) || 'p\1' || chr(1) || 'p\2', 'g'),
+            '\\u[dD][89a-fA-F][0-9a-fA-F]{2}', chr(65533), 'g'),
+          chr(1) || 'p', '\u'), chr(1) || 'b', '\\'), chr(1) || 'm', chr(1)) ELSE raw END AS fixed
+      FROM (SELECT scanner, path AS file, CASE WHEN {failed} THEN '' ELSE CASE doc_id % 6
+                WHEN 0 THEN js WHEN 1 THEN '```json' || chr(10) || js || chr(10) || '```'
+                WHEN 2 THEN 'Here: ' || js WHEN 3 THEN js || ' done'
+                WHEN 4 THEN substr(js, 1, length(js) - 1)
+                ELSE 'No vulnerabilities found.' END END
+              || ['', '\ud83d', '\ud83d\ude00', '\\ud83d x', '\ude00\ud83d', '\\\udfff',
+                  chr(1) || 'b\ud800'][doc_id % 7 + 1] AS raw
+            FROM (SELECT k.scanner, k.doc_id, k.path, coalesce(r.js, '[]') AS js
+                  FROM keyed k LEFT JOIN (
+                    SELECT scanner, doc_id, '[' || string_agg('{' || concat_ws(',',
+                             '"line":' || line, '"severity":' || to_json(severity),
+                             '"code":' || to_json(code), '"explanation":' || to_json(explanation),
+                             '"fix":' || to_json(fix), '"source":' || to_json(source),
+                             '"sink":' || to_json(sink)) || '}', ',' ORDER BY ord) || ']' AS js
+                    FROM nf GROUP BY scanner, doc_id) r
+                  ON r.scanner = k.scanner AND r.doc_id = k.doc_id)))""".replace(
+    "{failed}", FAILED.format(k=""))
+
+
+def _level_rows() -> list[str]:
+    """(level, findings that reach it) of each level of the confidence gate."""
+    rows = [f"({lit(x)}, CAST(count(*) FILTER (WHERE above_line AND {KNOWN} AND "
+            f"{rank_case('conf', R.CONFIDENCE_ORDER)} >= {R.CONFIDENCE_ORDER[x.capitalize()]}) AS BIGINT))"
+            for x in ("high", "medium", "low")]
+    return [*rows, "('never', CAST(0 AS BIGINT))"]
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["corpus_scan"] = sql(
@@ -277,7 +320,7 @@ def oracle_queries() -> dict[str, str]:
            GROUP BY scanner""")
     q["retry_set"] = sql(
         "SELECT scanner, doc_id, cache_key FROM keyed k WHERE "
-        "EXISTS (SELECT 1 FROM prior p WHERE p.status = 'error' AND p.cache_key = k.cache_key) "
+        "EXISTS (SELECT 1 FROM prior p WHERE p.status IN ('error', 'timeout') AND p.cache_key = k.cache_key) "
         "AND NOT EXISTS (SELECT 1 FROM prior p WHERE p.status = 'ok' AND p.cache_key = k.cache_key)")
     q["scan_sample"] = sql(
         """SELECT scanner, doc_id, path, CAST(rank AS BIGINT) AS rank FROM (
@@ -296,7 +339,7 @@ def oracle_queries() -> dict[str, str]:
     q["verify_keys"] = sql("SELECT scanner, file, findings_sig, verify_key FROM vkeys")
     q["verify_eligible"] = sql(
         "SELECT v.scanner, v.file FROM vkeys v JOIN keyed k ON k.scanner = v.scanner "
-        f"AND k.doc_id = v.doc_id WHERE k.size <= {BUDGET_BYTES}")
+        "AND k.doc_id = v.doc_id")
     q["pending_verifications"] = sql(
         "SELECT v.scanner, v.file, v.verify_key FROM vkeys v "
         "WHERE v.doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -397,6 +440,16 @@ def oracle_queries() -> dict[str, str]:
                          CAST(count(*) FILTER (WHERE status = 'active' AND {KNOWN}) AS BIGINT) AS confidence_triggered
                   FROM bka) a,
                  (SELECT CAST(count(*) FILTER (WHERE status IN ('error','timeout')) AS BIGINT) AS errors FROM fg) f""")
+    errors = ("(SELECT CAST(count(*) FILTER (WHERE status IN ('error','timeout')) AS BIGINT) "
+              "AS errors FROM fg)")
+    q["ci_gate_levels"] = sql(
+        f"""SELECT CASE WHEN confidence_triggered > 0 THEN 3 WHEN errors > 0 THEN 1 ELSE 0 END AS exit_code,
+                   CASE WHEN confidence_triggered > 0 THEN 'confidence' WHEN errors > 0 THEN 'errors'
+                        ELSE 'pass' END AS reason,
+                   CAST(0 AS BIGINT) AS raw_triggered, confidence_triggered, errors, level
+            FROM (SELECT unnest(l).level AS level, unnest(l).n AS confidence_triggered FROM (
+                    SELECT [{", ".join(f"{{'level': {t.split(', ', 1)[0][1:]}, 'n': {t.split(', ', 1)[1][:-1]}}}" for t in _level_rows())}] AS l
+                    FROM bka)) a, {errors} e""")
     listing = ("SELECT scanner, file, ord, line, severity, conf, verdict, exploitable, "
                "verification_reason, suppression_reason FROM bka WHERE status = ")
     q["refuted_findings"] = sql(listing + "'refuted'")
@@ -442,10 +495,10 @@ def oracle_queries() -> dict[str, str]:
     q["run_stats"] = sql(
         f"SELECT metric, value FROM (UNPIVOT (SELECT * FROM ({stats}) a, ({files}) f) "
         f"ON COLUMNS(*) INTO NAME metric VALUE value)")
-    kind = (f"CASE WHEN k.size > {BUDGET_BYTES} THEN 'failed' WHEN k.doc_id % 6 = 5 THEN 'marker' "
+    kind = (f"CASE WHEN {FAILED.format(k='k.')} THEN 'failed' WHEN k.doc_id % 6 = 5 THEN 'marker' "
             f"WHEN k.doc_id % 6 = 4 THEN CASE WHEN coalesce(c.n, 0) > 0 THEN 'truncated' "
             f"ELSE 'error' END ELSE 'array' END")
-    replies = (f"SELECT k.scanner, k.path AS file, {kind} AS kind, CAST(CASE WHEN k.size > {BUDGET_BYTES} "
+    replies = (f"SELECT k.scanner, k.path AS file, {kind} AS kind, CAST(CASE WHEN {FAILED.format(k='k.')} "
                f"OR k.doc_id % 6 = 5 THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_findings "
                f"FROM keyed k LEFT JOIN (SELECT scanner, doc_id, count(*) AS n FROM nf "
                f"GROUP BY scanner, doc_id) c USING (scanner, doc_id)")
@@ -556,10 +609,10 @@ def oracle_queries() -> dict[str, str]:
             FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
                 "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
     q["results_load"] = sql(
-        f"SELECT scanner, path AS file, CASE WHEN size > {BUDGET_BYTES} THEN 'timeout' ELSE 'ok' END "
+        f"SELECT scanner, path AS file, CASE WHEN {FAILED.format(k='')} THEN 'timeout' ELSE 'ok' END "
         "AS status, content_hash FROM keyed")
     q["scan_attempts"] = sql(
-        f"SELECT scanner, CASE WHEN size > {BUDGET_BYTES} THEN 'timeout' ELSE 'ok' END AS status, "
+        f"SELECT scanner, CASE WHEN {FAILED.format(k='')} THEN 'timeout' ELSE 'ok' END AS status, "
         "CAST(count(*) AS BIGINT) AS attempts FROM keyed GROUP BY 1, 2")
     q["verdict_store"] = sql(
         """SELECT v.verify_key, v.scanner, v.file, 'ok' AS status,
@@ -626,6 +679,7 @@ def oracle_queries() -> dict[str, str]:
                    CAST(line AS VARCHAR), reason, 'candidate'
             FROM ({cands.replace("'candidate' AS status FROM (", "okey FROM (").replace(
                 "arg_min(CASE", "min(okey) AS okey, arg_min(CASE")})""")
+    q["sanitized_responses"] = sql(SANITIZED)
     q["verify_plan"] = sql(
         """SELECT scanner, CAST(count(*) AS BIGINT) AS eligible,
                   CAST(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS BIGINT) AS verified,

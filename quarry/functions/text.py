@@ -1,5 +1,5 @@
 """Text helpers: surrogate repair (H10), ETA text (H14), prompt render (H12),
-report field rules (H13), taint-path label (H16)."""
+report field rules (H13)."""
 
 from __future__ import annotations
 
@@ -14,21 +14,28 @@ def _c(c) -> Column:
 REPLACEMENT = "�"
 
 # JSON escapes of UTF-16 surrogates inside reply text.
-_HIGH = r"\\u[dD][89abAB][0-9a-fA-F]{2}"
-_LOW = r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_HIGH = r"\\u([dD][89abAB][0-9a-fA-F]{2})"
+_LOW = r"\\u([dD][c-fC-F][0-9a-fA-F]{2})"
+_ANY = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
+_M = "\u0001"
 
 
 def sanitize_json_escapes(raw) -> Column:
     """Replace unpaired ``\\uD8xx`` / ``\\uDCxx`` escapes in JSON text by U+FFFD.
 
-    A high escape followed by a low escape is a valid pair and is left for the
-    JSON parser to combine; a high escape not followed by a low one, or a low
-    escape not preceded by a high one, denotes a lost character.  Java regex
-    look-around keeps the pairs intact.
+    Escaped backslashes, read from the left, and valid pairs are set aside behind a mark
+    and put back after every other surrogate escape is replaced.  The mark itself is
+    set aside first, so any text comes back as it was.
     """
     r = _c(raw)
-    r = F.regexp_replace(r, f"{_HIGH}(?!{_LOW})", REPLACEMENT)
-    return F.regexp_replace(r, f"(?<!{_HIGH}){_LOW}", REPLACEMENT)
+    s = F.replace(r, F.lit(_M), F.lit(_M + "m"))
+    s = F.replace(s, F.lit("\\\\"), F.lit(_M + "b"))
+    s = F.regexp_replace(s, _HIGH + _LOW, _M + "p$1" + _M + "p$2")
+    s = F.regexp_replace(s, _ANY, REPLACEMENT)
+    s = F.replace(s, F.lit(_M + "p"), F.lit("\\u"))
+    s = F.replace(s, F.lit(_M + "b"), F.lit("\\\\"))
+    s = F.replace(s, F.lit(_M + "m"), F.lit(_M))
+    return F.when(F.contains(r, F.lit("\\u")), s).otherwise(r)
 
 
 def repair_text(value) -> Column:
@@ -66,26 +73,20 @@ def render_prompt(template, **values) -> Column:
     # mark each known placeholder with \u0003name\u0003 so a split keeps it
     marked = F.regexp_replace(guarded, r"\{(" + names + r")\}", "\u0003{$1}\u0003")
     pieces = F.split(marked, "\u0003")
-    subst = F.transform(pieces, lambda p: _substitute(p, values))
-    out = F.array_join(subst, "")
-    out = F.replace(F.replace(out, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    unescape = lambda p: F.replace(F.replace(p, F.lit("\u0001"), F.lit("{")),
+                                   F.lit("\u0002"), F.lit("}"))
+    # only the template's own pieces are unescaped: values stay as they are
+    out = F.array_join(F.transform(pieces, lambda p: _substitute(p, values, unescape(p))), "")
     holders = [F.lit("{" + n + "}") for n in values]
     bad = F.exists(pieces, lambda p: ~p.isin(*holders) & p.rlike(r"[{}]"))
     return F.when(bad, F.lit(None).cast("string")).otherwise(out)
 
 
-def _substitute(piece: Column, values: dict) -> Column:
+def _substitute(piece: Column, values: dict, literal: Column) -> Column:
     expr = None
     for name, val in values.items():
         v = _c(val) if not isinstance(val, Column) else val
         cond = piece == F.lit("{" + name + "}")
         expr = F.when(cond, F.coalesce(v.cast("string"), F.lit(""))) if expr is None \
             else expr.when(cond, F.coalesce(v.cast("string"), F.lit("")))
-    return expr.otherwise(piece)
-
-
-def taint_path(source, sink) -> Column:
-    """'source → sink' when both are named strings; the one present otherwise."""
-    s = F.when(F.trim(_c(source)) != "", _c(source))
-    k = F.when(F.trim(_c(sink)) != "", _c(sink))
-    return F.concat_ws(" → ", s, k)
+    return expr.otherwise(literal)

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,25 +33,23 @@ class Rule:
     fix: str
     source: str | None = None
     sink: str | None = None
-    hint: str | None = None   # a substring every match contains (cheap pre-screen)
 
 
 # Default lexical rules: only criteria a pattern can detect on one line.
 DEFAULT_RULES: list[Rule] = [
     Rule("hardcoded-token", "B2", "High", 'token = "[0-9a-f]+"',
-         "Hard-coded credential literal", "Load the secret from a vault or environment",
-         hint='token = "'),
+         "Hard-coded credential literal", "Load the secret from a vault or environment"),
     Rule("template-marker", "B3", "Critical", "%%% .*%%%",
          "Unescaped template markers around interpolated text",
          "Escape or parameterise interpolated values", source="request param",
-         sink="template render", hint="%%% "),
+         sink="template render"),
     Rule("license-line", "B6", "Low", "(Licensed|Released) under",
          "Third-party component licence declaration to inventory",
-         "Pin and audit the component version", source=None, hint=" under"),
+         "Pin and audit the component version", source=None),
     # a line holds an address-like token iff an '@' has an address character on both sides
     Rule("email-address", "B9", "Medium", "[A-Za-z0-9_.]@[A-Za-z0-9_.]",
          "Personal data (e-mail address) written to text or logs",
-         "Mask personal data before logging", source="", hint="@"),
+         "Mask personal data before logging", source=""),
     Rule("card-number", "B9", "High", "[0-9]{16}",
          "Card-number-like digits written to text or logs",
          "Never log payment data", source="  "),
@@ -59,19 +58,38 @@ DEFAULT_RULES: list[Rule] = [
          "Resolve outbound hosts from an allowlist", source="url parameter",
          sink="outbound request"),
     Rule("debug-enabled", "B5", "Medium", "[Dd]ebug *[:=] *[Tt]rue",
-         "Debug mode enabled in configuration", "Disable debug in deployed configuration",
-         hint="ebug"),
+         "Debug mode enabled in configuration", "Disable debug in deployed configuration"),
+    Rule("open-access", "B1", "High", "(permitAll|AllowAnonymous|csrf[(][)][.]disable)[(]?",
+         "Access check switched off", "Require authentication and keep request forgery checks"),
+    Rule("weak-algorithm", "B2", "Medium", "(MD5|SHA1|SHA-1|RC4|3DES)[(\"')]",
+         "Weak hash or cipher", "Use SHA-256 or better, AES-GCM"),
+    Rule("dynamic-code", "B3", "High", "[^A-Za-z0-9_.](eval|exec|system)[(]",
+         "Text run as code or as a command", "Call a function or pass an argument list",
+         source="caller input", sink="interpreter"),
+    Rule("unchecked-login", "B7", "High", "verify_?(signature|exp|ssl)?[\"']? *[:=] *([Ff]alse|0)",
+         "Signature, expiry or certificate check switched off", "Keep verification on"),
+    Rule("unsafe-load", "B8", "High", "(pickle[.]loads?|yaml[.]load|readObject|unserialize)[(]",
+         "Untrusted data turned into objects", "Use a data-only format and check it",
+         source="external data", sink="deserializer"),
+    Rule("metadata-address", "B10", "Critical", "169[.]254[.]169[.]254",
+         "Address of a cloud metadata service", "Block link-local addresses in outbound requests",
+         source="url parameter", sink="outbound request"),
 ]
 
 
-def rules_from_df(df: DataFrame, max_rules: int = 10_000) -> list[Rule]:
-    """Rules are configuration: a bounded table collected once to build literal patterns."""
-    n = df.limit(max_rules + 1).count()
-    if n > max_rules:
-        raise ValueError(f"rules table has more than {max_rules} rows")
+def check_rules(rules: list[Rule]) -> list[Rule]:
+    """Rules match lines; an anchor of the whole text would mean something else there."""
+    for r in rules:
+        if re.search(r"(?<!\\)(?:\\\\)*\\[AzZG]", r.pattern):
+            raise ValueError(f"rule {r.rule_id}: use ^ and $, which mean line ends")
+    return list(rules)
+
+
+def rules_from_df(df: DataFrame) -> list[Rule]:
+    """Rules are configuration: a small table collected once to build literal patterns."""
     cols = ["rule_id", "scanner", "severity", "pattern", "explanation", "fix", "source", "sink"]
-    return [Rule(*[r[c] if c in r else None for c in cols]) for r in
-            (row.asDict() for row in df.collect())]
+    return check_rules([Rule(*[r[c] if c in r else None for c in cols]) for r in
+                        (row.asDict() for row in df.collect())])
 
 
 FINDING_DDL = ("line bigint, severity string, code string, explanation string, fix string, "
@@ -89,32 +107,25 @@ def tag_unsubstantiated(findings: Column) -> Column:
     return F.transform(findings, one)
 
 
-def _matches(text: Column, r: Rule) -> Column:
-    """Pattern test, behind the rule's literal pre-screen when it has one
-    (``And`` evaluates the cheap ``instr`` first)."""
-    if r.hint:
-        return (F.instr(text, r.hint) > 0) & text.rlike(r.pattern)
-    return text.rlike(r.pattern)
-
-
 def _rule_matches(code: Column, rules: list[Rule]) -> Column:
     """Array of the 0-based ordinals of the rules whose pattern occurs in ``code``."""
-    return F.array_compact(F.array(*[F.when(_matches(code, r), F.lit(k))
+    return F.array_compact(F.array(*[F.when(code.rlike(r.pattern), F.lit(k))
                                      for k, r in enumerate(rules)]))
 
 
 def any_rule(text: Column, rules: list[Rule]) -> Column:
-    """True when any rule pattern occurs in ``text`` (OR of per-rule patterns: each
-    regex keeps its own literal-prefix scan, and the OR stops at the first hit)."""
-    return reduce(lambda a, b: a | b, [_matches(text, r) for r in rules])
+    """True when any rule pattern occurs in a line of ``text``: ^ and $ mean line ends, and
+    the OR of one regex per rule stops at the first hit."""
+    return reduce(lambda a, b: a | b, [text.rlike("(?m)" + r.pattern) for r in rules],
+                  F.lit(False))
 
 
 def file_hits(text: Column, rules: list[Rule]) -> Column:
     """Per file: ``array<struct<line, code, rules>>`` of the lines that match any rule.
 
     A whole-text pre-check skips the per-line pass for files with no hit
-    (the common case); patterns carry no anchors, so a line hit implies a
-    text hit.
+    (the common case); in multi-line mode a line hit implies a text hit, as
+    ``check_rules`` admits no anchor that only a whole text has.
     """
     lines = F.split(text, "\n")
     per_line = F.transform(lines, lambda code, i: F.struct(
@@ -147,36 +158,45 @@ def findings_for_scanner(hits: Column, scanner: Column, rules: list[Rule]) -> Co
 
 
 def rule_results(fanned: DataFrame, catalog: DataFrame, rules: list[Rule] | None = None,
-                 thinking: str = "off", tools_mode: str = "off",
-                 budget_bytes: int | None = None) -> DataFrame:
+                 thinking: str = "off", tools_mode: str = "off") -> DataFrame:
     """I5 over every (category, file) target, map-side.
 
     ``fanned`` is the kept corpus with its ``scanners`` array.  Output is
-    the result-store schema (see ``quarry.sources.stores``).  Files larger
-    than ``budget_bytes`` get a ``timeout`` attempt, like a bounded model
-    call.
+    the result-store schema (see ``quarry.sources.stores``).
     """
-    rules = list(rules or DEFAULT_RULES)
+    rules = check_rules(DEFAULT_RULES if rules is None else rules)
     cat = F.broadcast(catalog.select("scanner", "scanner_name", "prompt_hash"))
     with_hits = fanned.select("doc_id", "path", "size", "scanners",
                               K.content_hash("text").alias("content_hash"),
                               file_hits(F.col("text"), rules).alias("_hits"))
     per_target = (with_hits.select("*", F.explode("scanners").alias("scanner")).drop("scanners")
                   .join(cat, "scanner"))
-    over = F.lit(False) if budget_bytes is None else (F.col("size") > F.lit(budget_bytes))
     reply = findings_for_scanner(F.col("_hits"), F.col("scanner"), rules)
     return per_target.withColumn("_reply", reply).select(
         K.scan_key("scanner_name", "path", "content_hash", "prompt_hash",
                    F.lit(thinking)).alias("cache_key"),
-        "scanner", "scanner_name", F.col("path").alias("file"), "doc_id",
-        F.when(over, "timeout").otherwise("ok").alias("status"),
+        "scanner", "scanner_name", F.col("path").alias("file"), "doc_id", "size",
+        F.lit("ok").alias("status"),
         "content_hash", "prompt_hash", F.lit(thinking).alias("thinking"),
         F.lit(tools_mode).alias("tools_mode"),
-        F.when(over, F.to_json(F.struct(F.lit("analyst time budget exceeded").alias("error"))))
-         .otherwise(F.to_json(tag_unsubstantiated(F.col("_reply")))).alias("result"),
+        F.to_json(tag_unsubstantiated(F.col("_reply"))).alias("result"),
         # the analyst's own reply text (untagged), as a model would return it
-        F.when(over, F.lit("")).otherwise(
-            F.to_json(F.transform("_reply", lambda f: f.dropFields("tags")))).alias("reply"))
+        F.to_json(F.transform("_reply", lambda f: f.dropFields("tags"))).alias("reply"))
+
+
+def fail_attempts(results: DataFrame, files: DataFrame, scanners: tuple[str, ...], error: str
+                  ) -> DataFrame:
+    """``results`` with the attempts of ``scanners`` on ``files`` (distinct ``doc_id``) failed:
+    status ``timeout``, an error object for a result and an empty reply."""
+    bad = files.select(F.col("doc_id").alias("_bad"))
+    j = results.join(bad, F.col("doc_id") == F.col("_bad"), "left")
+    fails = F.col("scanner").isin(*scanners) & F.col("_bad").isNotNull()
+    return j.select(*[
+        F.when(fails, "timeout").otherwise(F.col("status")).alias(c) if c == "status" else
+        F.when(fails, F.to_json(F.struct(F.lit(error).alias("error")))).otherwise(F.col(c)).alias(c)
+        if c == "result" else
+        F.when(fails, F.lit("")).otherwise(F.col(c)).alias(c) if c == "reply" else F.col(c)
+        for c in results.columns])
 
 
 def response_results(pending: DataFrame, responses: DataFrame) -> DataFrame:
@@ -204,14 +224,12 @@ def python_rule_analyst(rules: list[Rule] | None = None) -> AnalystFn:
 
     def analyst(pdf: pd.DataFrame) -> pd.DataFrame:
         replies = []
-        for sid, text in zip(pdf["scanner"], pdf["text"]):
+        for sid, text in zip(pdf["scanner"], pdf["text"], strict=True):
             mine = [(r, rx) for r, rx in compiled if r.scanner == sid]
             found = []
             if mine:
                 for no, code in enumerate((text or "").split("\n"), 1):
                     for r, rx in mine:
-                        if r.hint and r.hint not in code:
-                            continue
                         if rx.search(code):
                             f = {"line": no, "severity": r.severity, "code": code,
                                  "explanation": r.explanation, "fix": r.fix}
@@ -251,12 +269,14 @@ def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
                   passthrough: list[str] | None = None) -> DataFrame:
     """Run ``analyst`` (pandas -> pandas with cache_key, status, raw) over batches.
 
-    The analyst sees ``analyst_columns`` (default: every column);
-    ``passthrough`` columns ride along in the batch and are returned next to
-    the reply, so callers need no join back (which would shuffle and
-    re-evaluate the request plan).  Parallelism is the partition count of
-    this stage.  When the analyst raises on a batch, the batch is retried row
-    by row and only the rows that still fail become ``error`` attempts.
+    The analyst sees ``analyst_columns`` (default: every column) and answers by
+    ``cache_key``, in any order.  A request is one row and gets one row: an answer that is
+    missing, or given more than once, makes an ``error`` attempt, answers to keys that were
+    not asked are ignored, and requests with equal keys share an answer.
+    ``passthrough`` columns ride along in the batch, so callers need no join back.
+    Parallelism is the partition count of the input unless ``partitions`` is given.  When
+    the analyst raises on a batch, the batch is retried row by row and only the rows that
+    still fail become ``error`` attempts.
     """
     df = pending_with_content
     if partitions:
@@ -264,30 +284,32 @@ def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
     keep = [c for c in (passthrough or []) if c != "cache_key"]
     seen = analyst_columns or [c for c in df.columns if c not in keep]
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = analyst(pdf[seen])
-        return out[["cache_key", "status", "raw"]]
+    def answers(asked: pd.DataFrame) -> dict[str, tuple[str, str]]:
+        out = analyst(asked)
+        got: dict[str, tuple[str, str]] = {}
+        for key, status, raw in zip(out["cache_key"], out["status"], out["raw"], strict=True):
+            got[key] = ("error", "analyst answered a key more than once") if key in got \
+                else (str(status), "" if raw is None else str(raw))
+        return got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            asked = pdf[seen].drop_duplicates("cache_key")
             try:
-                out = call(pdf)
+                got = answers(asked)
             except Exception:  # isolate the failing rows: retry the batch row by row
-                parts = []
-                for i in range(len(pdf)):
-                    one = pdf.iloc[i:i + 1]
+                got = {}
+                for i in range(len(asked)):
+                    one = asked.iloc[i:i + 1]
                     try:
-                        parts.append(call(one))
+                        got.update(answers(one))
                     except Exception as exc:  # a failure row, never a failed task
-                        parts.append(pd.DataFrame({"cache_key": one["cache_key"].values,
-                                                   "status": ["error"],
-                                                   "raw": [f"analyst failed: {exc}"[:2000]]}))
-                out = pd.concat(parts, ignore_index=True) if parts else pdf.iloc[0:0][
-                    ["cache_key"]].assign(status="", raw="")
-            out = out.astype({"cache_key": str, "status": str, "raw": str})
-            if keep:
-                out = out.merge(pdf[["cache_key", *keep]], on="cache_key", how="left")
-            yield out[["cache_key", *keep, "status", "raw"]]
+                        got[one["cache_key"].iloc[0]] = ("error", f"analyst failed: {exc}"[:2000])
+            none = ("error", "analyst gave no answer")
+            out = pdf[["cache_key", *keep]].copy()
+            out["status"] = [got.get(k, none)[0] for k in pdf["cache_key"]]
+            out["raw"] = [got.get(k, none)[1] for k in pdf["cache_key"]]
+            yield out
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(["cache_key string", *[f"{c} {fields[c]}" for c in keep],
@@ -295,16 +317,14 @@ def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
     return df.mapInPandas(run, schema)
 
 
-def attach_content(pending: DataFrame, corpus: DataFrame, max_broadcast_rows: int = 200_000
-                   ) -> DataFrame:
+def attach_content(pending: DataFrame, corpus: DataFrame) -> DataFrame:
     """Re-attach file text to pending keys (the only join that moves content).
 
-    Incremental runs usually have few pending pairs: then the pending side
-    is broadcast after a size check and the corpus is read in place without
-    a shuffle.  A first full run falls back to a shuffle join.
+    The keys come as one row per file, so the text is read and moved once a file; a small
+    key side is broadcast by Spark from its measured size, else both sides are shuffled.
     """
-    from quarry.plans.sizing import is_small
-    text = corpus.select("doc_id", "text")
-    if is_small(pending, max_broadcast_rows):
-        return text.join(F.broadcast(pending), "doc_id")
-    return pending.join(text, "doc_id")
+    cols = [c for c in pending.columns if c != "doc_id"]
+    per_file = pending.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("_p"))
+    met = corpus.select("doc_id", "text").join(per_file, "doc_id")
+    return met.select("doc_id", "text", F.explode("_p").alias("_p")) \
+        .select("doc_id", "_p.*", "text")

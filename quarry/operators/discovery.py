@@ -11,8 +11,6 @@ de-duplicated in first-seen order.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,43 +37,26 @@ def directory_profile(kept: DataFrame, depth: int = R.PROFILE_DEPTH) -> DataFram
             .groupBy("depth", "dir").agg(F.count(F.lit(1)).alias("files")))
 
 
-def repo_structure(kept: DataFrame, max_lines: int = 200_000) -> DataFrame:
-    """The discovery prompt's profile text as a one-row DataFrame.
+def repo_structure(kept: DataFrame) -> DataFrame:
+    """The discovery prompt's corpus profile as a one-row DataFrame.
 
-    The text is one prompt, built by one task, so its inputs -- distinct
-    extensions, notable files, directories of depth <= 3 -- are measured
-    first; a corpus whose profile exceeds ``max_lines`` raises instead of
-    being silently truncated.
+    It lists, one item a line and sorted: ``ext<TAB>suffix<TAB>files``, the most frequent
+    first, ``build<TAB>basename<TAB>files`` and ``dir<TAB>path<TAB>files`` for directories of
+    the profile's depth.  Counts come from map-side aggregates; the text has a line for each
+    suffix, known build file and directory, not for each file.
     """
-    from quarry.plans.sizing import bounded_count
-    n = sum(bounded_count(df, max_lines) for df in (
-        extension_counts(kept), notable_files(kept), directory_profile(kept)))
-    if n > max_lines:
-        raise ValueError(f"corpus profile has more than {max_lines} lines")
-    ext = (extension_counts(kept)
-           .select(F.struct((-F.col("files")).alias("neg"), F.col("ext"),
-                            F.format_string("  %s: %d files", "ext", "files").alias("line"))
-                   .alias("s"))
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]),
-                             "\n").alias("ext_lines")))
-    nf = (notable_files(kept).select(F.struct("name", "path").alias("s"))
-          .agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")),
-                                        lambda s: F.concat(F.lit("  "), s["path"])), "\n")
-               .alias("notable_lines")))
-    dirs = (directory_profile(kept).select(F.struct("dir", "depth").alias("s"))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")),
-                                          lambda s: F.concat(F.repeat(F.lit("  "), s["depth"] - 1),
-                                                             F.regexp_extract(s["dir"], "([^/]*)$", 1),
-                                                             F.lit("/"))), "\n").alias("dir_lines")))
-    one = F.lit(1)
-    j = ext.withColumn("_k", one).join(nf.withColumn("_k", one), "_k") \
-        .join(dirs.withColumn("_k", one), "_k")
-    text = F.concat_ws("\n", F.lit("Extension counts:"), F.coalesce("ext_lines", F.lit("")),
-                       F.lit(""), F.lit("Notable file names:"),
-                       F.coalesce("notable_lines", F.lit("")), F.lit(""),
-                       F.lit("Directory structure (first 3 levels):"),
-                       F.coalesce("dir_lines", F.lit("")))
-    return j.select(text.alias("profile"))
+    line = lambda kind, name: F.concat_ws("\t", F.lit(kind), F.col(name),
+                                          F.col("files").cast("string"))
+    builds = notable_files(kept).groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+    items = extension_counts(kept).select(F.lit(0).alias("k"), (-F.col("files")).alias("n"),
+                                          line("ext", "ext").alias("line"))
+    items = items.unionByName(builds.select(F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("n"),
+                                            line("build", "name").alias("line")))
+    items = items.unionByName(directory_profile(kept).select(
+        F.lit(2).alias("k"), F.lit(0).cast("bigint").alias("n"), line("dir", "dir").alias("line")))
+    return items.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", "n", "line"))), lambda s: s["line"]), "\n")
+        .alias("profile"))
 
 
 def rule_discovery_reply(spark: SparkSession, kept: DataFrame) -> DataFrame:
@@ -113,7 +94,3 @@ def discovery_plan(spark: SparkSession, reply: DataFrame) -> DataFrame:
     return per.select("scanner", F.posexplode("exts").alias("pos", "ext")) \
         .select("scanner", F.col("pos").cast("int").alias("pos"), "ext")
 
-
-def base_plan_json() -> str:
-    """The registry's fallback plan as the wire form ``{category: [extensions]}``."""
-    return json.dumps({s.id: list(s.base_ext) for s in R.scanners()})

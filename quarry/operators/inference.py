@@ -17,7 +17,7 @@ from quarry.functions.text import render_prompt
 from quarry.operators.analysts import AnalystFn, attach_content, model_results
 from quarry.operators.responses import parse_responses
 
-STORE_COLUMNS = ["cache_key", "scanner", "scanner_name", "file", "doc_id", "status",
+STORE_COLUMNS = ["cache_key", "scanner", "scanner_name", "file", "doc_id", "size", "status",
                  "content_hash", "prompt_hash", "thinking", "tools_mode", "result"]
 
 

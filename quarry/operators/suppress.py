@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, is_small
+from quarry.registry import SCANNER_IDS
 
 ALLOWLIST_DDL = "pos int, scanner string, file string, line string, reason string, status string"
 
@@ -47,14 +47,19 @@ def normalize_allowlist(allowlist: DataFrame) -> DataFrame:
 
 
 def first_match(findings: DataFrame, allowlist: DataFrame,
-                scanner_col: str = "scanner", file_col: str = "file", line_col: str = "line",
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Add ``suppression_pos`` and ``suppression_reason`` (NULL when nothing matches)."""
+                scanner_col: str = "scanner", file_col: str = "file", line_col: str = "line"
+                ) -> DataFrame:
+    """Add ``suppression_pos`` and ``suppression_reason`` (NULL when nothing matches).
+
+    One equi-join for each wildcard mask that occurs (at most 8), each with the first
+    entry, position and reason together, of its key.  Entries that name only a category
+    are at most one for each, so that side is broadcast; Spark decides on the others by
+    their measured sizes."""
     entries = normalize_allowlist(allowlist)
     masks = [tuple(r) for r in entries.select("ms", "mf", "ml").distinct().collect()]  # <= 8
-    small = is_small(entries, max_broadcast_rows)
     out = findings
-    pos_cols: list[Column] = []
+    firsts: list[Column] = []
+    entry = F.min(F.struct("pos", F.col("a_reason").alias("reason")))
     for k, (ms, mf, ml) in enumerate(sorted(masks)):
         keys: list[tuple[str, str]] = []
         if not ms:
@@ -67,25 +72,25 @@ def first_match(findings: DataFrame, allowlist: DataFrame,
         name = f"_sp{k}"
         if not keys:
             # wildcard on all three: one global first entry (a single row)
-            glob = part.agg(F.min("pos").alias(name)).withColumn("_one", F.lit(1))
+            glob = part.agg(entry.alias(name)).withColumn("_one", F.lit(1))
             out = (out.withColumn("_one", F.lit(1))
                    .join(F.broadcast(glob), "_one", "left").drop("_one"))
         else:
             tbl = part.groupBy(*[F.col(a).alias(f"_k{k}_{a}") for a, _ in keys]) \
-                .agg(F.min("pos").alias(name))
-            side = F.broadcast(tbl) if small else tbl
+                .agg(entry.alias(name))
+            if [a for a, _ in keys] == ["a_scanner"]:
+                tbl = F.broadcast(tbl.where(F.col(f"_k{k}_a_scanner").isin(*SCANNER_IDS)))
             cond = [F.col(f) == F.col(f"_k{k}_{a}") for a, f in keys]
-            out = out.join(side, cond, "left").drop(*[f"_k{k}_{a}" for a, _ in keys])
-        pos_cols.append(F.col(name))
-    if not pos_cols:
+            out = out.join(tbl, cond, "left").drop(*[f"_k{k}_{a}" for a, _ in keys])
+        firsts.append(F.col(name))
+    if not firsts:
         return (findings.withColumn("suppression_pos", F.lit(None).cast("int"))
                 .withColumn("suppression_reason", F.lit(None).cast("string")))
-    first = F.least(*pos_cols) if len(pos_cols) > 1 else pos_cols[0]
-    out = out.withColumn("suppression_pos", first).drop(*[f"_sp{k}" for k in range(len(pos_cols))])
-    reasons = entries.select(F.col("pos").alias("suppression_pos"),
-                             F.col("a_reason").alias("suppression_reason"))
-    reasons = F.broadcast(reasons) if small else reasons
-    return out.join(reasons, "suppression_pos", "left")
+    first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+    return out.withColumn("_first", first) \
+        .withColumn("suppression_pos", F.col("_first.pos")) \
+        .withColumn("suppression_reason", F.col("_first.reason")) \
+        .drop("_first", *[f"_sp{k}" for k in range(len(firsts))])
 
 
 def first_match_array(findings: DataFrame, entries_rows: list[dict],

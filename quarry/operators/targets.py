@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from quarry import registry as R
 from quarry.functions import keys as K
-from quarry.plans.sizing import broadcast_if_small
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("key", T.StringType(), False),
@@ -23,15 +22,6 @@ INDEX_SCHEMA = T.StructType([
 ])
 
 
-def _index(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    by_key: dict[str, list[str]] = {}
-    for key, sid in pairs:
-        lst = by_key.setdefault(key, [])
-        if sid not in lst:
-            lst.append(sid)
-    return spark.createDataFrame(sorted(by_key.items()), INDEX_SCHEMA)
-
-
 def normalize_ext(ext: str) -> str:
     """Extensions from discovery / overrides: trimmed, lower-cased, leading dot."""
     e = ext.strip().lower()
@@ -80,32 +70,11 @@ def registry_maps(scanner_ids: list[str] | None = None,
     return ext_map, name_map
 
 
-def registry_indexes(spark: SparkSession, scanner_ids: list[str] | None = None,
-                     format_override: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ext index, name index) from the registry as DataFrames (see ``registry_maps``)."""
-    ids = scanner_ids or list(R.SCANNER_IDS)
-    ext_pairs: list[tuple[str, str]] = []
-    name_pairs: list[tuple[str, str]] = []
-    for s in R.scanners():
-        if s.id not in ids:
-            continue
-        exts = [normalize_ext(e) for e in format_override] if format_override else \
-            list(s.base_ext)
-        ext_pairs += [(e, s.id) for e in exts]
-        if not format_override:
-            name_pairs += [(n, s.id) for n in s.base_names]
-    return _index(spark, ext_pairs), _index(spark, name_pairs)
-
-
-def discovery_ext_index(discovery: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Ext index from a discovery plan ``(scanner, pos, ext)`` (C8 output).
-
-    The plan has one row per (category, extension) and is bounded by the
-    number of distinct extensions; it is broadcast only after that check.
-    """
-    idx = (discovery.groupBy(F.col("ext").alias("key"))
-           .agg(F.array_sort(F.collect_set("scanner")).alias("scanners")))
-    return broadcast_if_small(idx, max_rows)
+def discovery_ext_index(discovery: DataFrame) -> DataFrame:
+    """Ext index from a discovery plan ``(scanner, pos, ext)`` (C8 output): a row an
+    extension, which Spark broadcasts or shuffles by its measured size."""
+    return (discovery.groupBy(F.col("ext").alias("key"))
+            .agg(F.array_sort(F.collect_set("scanner")).alias("scanners")))
 
 
 def _map_literal(m: dict[str, list[str]]):
@@ -120,7 +89,7 @@ def fan_out(files: DataFrame, ext_index, name_index) -> DataFrame:
 
     With the fixed registry (dicts) the lookup is a literal map inside the
     scan's projection -- no join, no extra job.  A discovery-derived index
-    (DataFrame) is joined, broadcast after its size check.
+    (DataFrame) is joined.
     """
     empty = F.array().cast("array<string>")
     if isinstance(ext_index, dict) and isinstance(name_index, dict):
@@ -130,7 +99,7 @@ def fan_out(files: DataFrame, ext_index, name_index) -> DataFrame:
     if isinstance(name_index, dict):
         rows = sorted(name_index.items())
         name_index = files.sparkSession.createDataFrame(rows or [], INDEX_SCHEMA)
-    ei = F.broadcast(ext_index.select(F.col("key").alias("ext"), F.col("scanners").alias("_es")))
+    ei = ext_index.select(F.col("key").alias("ext"), F.col("scanners").alias("_es"))
     ni = F.broadcast(name_index.select(F.col("key").alias("name"),
                                        F.col("scanners").alias("_ns")))
     empty = F.array().cast("array<string>")
@@ -191,8 +160,16 @@ def with_scan_keys(targets: DataFrame, catalog: DataFrame, thinking: str = "off"
 
 
 def usable(store: DataFrame) -> DataFrame:
-    """Only successful attempts are reusable; failures are retried."""
-    return store.where(F.col("status") == "ok").select("cache_key")
+    """Keys whose latest attempt succeeded; a later failure takes a key back."""
+    return latest_status(store).where(F.col("status") == "ok").select("cache_key")
+
+
+def latest_status(store: DataFrame) -> DataFrame:
+    """cache_key and the status of its latest attempt (of attempts of one time, the
+    failed one), combined map-side; a store without times counts as one attempt a key."""
+    at = F.col("attempted_at") if "attempted_at" in store.columns else F.lit(0)
+    return store.groupBy("cache_key").agg(
+        F.max_by("status", F.struct(at, F.col("status") != "ok")).alias("status"))
 
 
 def pending_scans(keyed: DataFrame, store: DataFrame | None, rescan: bool = False) -> DataFrame:
@@ -209,7 +186,7 @@ def work_plan(keyed: DataFrame, store: DataFrame | None,
     if store is None:
         flagged = keyed.withColumn("hit", F.lit(False))
     else:
-        hits = usable(store).distinct().withColumn("hit", F.lit(True))
+        hits = usable(store).withColumn("hit", F.lit(True))
         flagged = keyed.join(hits, "cache_key", "left")
     ids = sorted(scanner_ids or R.SCANNER_IDS, key=R.scanner_ord)
     batch = F.create_map(*[x for i, sid in enumerate(ids, 1) for x in (F.lit(sid), F.lit(i))])
@@ -223,12 +200,18 @@ def work_plan(keyed: DataFrame, store: DataFrame | None,
 
 def scan_sample(pending: DataFrame, n: int) -> DataFrame:
     """First ``n`` pending files per category in path order (top-k per group)."""
-    w = Window.partitionBy("scanner").orderBy("path", "doc_id")
-    return pending.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    order = ("path", "doc_id")
+    # a first round in 64 parts a category, so that no task sorts a whole category
+    part = F.pmod(F.xxhash64("cache_key"), F.lit(64))
+    first = pending.withColumn("_part", part)
+    w = Window.partitionBy("scanner", "_part").orderBy(*order)
+    first = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    w = Window.partitionBy("scanner").orderBy(*order)
+    return first.drop("_part", "_r").withColumn("rank", F.row_number().over(w)) \
+        .where(F.col("rank") <= n)
 
 
 def retry_set(keyed: DataFrame, store: DataFrame) -> DataFrame:
     """Targets whose latest stored attempt failed (they are pending again)."""
-    failed = store.where(F.col("status").isin("error", "timeout")).select("cache_key").distinct()
-    return keyed.join(failed, "cache_key", "left_semi").join(usable(store), "cache_key",
-                                                             "left_anti")
+    failed = latest_status(store).where(F.col("status").isin("error", "timeout"))
+    return keyed.join(failed.select("cache_key"), "cache_key", "left_semi")

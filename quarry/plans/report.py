@@ -220,14 +220,19 @@ def run_stats(b: DataFrame, files: DataFrame) -> DataFrame:
 
 def ci_gate(b: DataFrame, files: DataFrame, fail_on: str = "high",
             fail_on_confidence: str = "never") -> DataFrame:
-    """Exit code -- raw severity gate (1), confidence gate (3), errors (1), else 0."""
+    """Exit code -- raw severity gate (1), confidence gate (3), errors (1), else 0.
+
+    The confidence gate counts the active findings of a known severity whose confidence
+    reaches the level ``fail_on_confidence``; ``never`` switches it off."""
     cap = fail_on.capitalize()
     rank = None if cap == "Never" else R.SEVERITY_ORDER.get(cap, 0)
     raw = (F.count_if(_above() & _known_sev() & (F.col("sev_rank") >= rank)) if rank is not None
            else F.lit(0).cast("bigint"))
-    conf_on = fail_on_confidence.lower() != "never"
-    gated = F.count_if((F.col("status") == "active") & _known_sev()) if conf_on \
-        else F.lit(0).cast("bigint")
+    level = fail_on_confidence.capitalize()
+    ranks = F.create_map(*[x for k, v in R.CONFIDENCE_ORDER.items() for x in (F.lit(k), F.lit(v))])
+    sure = F.coalesce(F.try_element_at(ranks, F.col("conf")), F.lit(0)) >= R.CONFIDENCE_ORDER.get(level, 0)
+    gated = F.lit(0).cast("bigint") if level == "Never" else F.count_if(
+        F.col("status").isin("active", "needs_review") & sure & _known_sev())
     fb = b.agg(raw.alias("raw_triggered"), gated.alias("confidence_triggered"))
     ff = files.agg(F.count_if(F.col("status").isin("error", "timeout")).alias("errors"))
     j = one_row_join(fb, ff)

@@ -9,12 +9,14 @@ content, prompt and thinking addressed.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import registry as R
+from quarry.functions.text import render_prompt
 from quarry.operators import analysts as A
 from quarry.operators import discovery as D
 from quarry.operators import overlay as O
@@ -45,10 +47,10 @@ class TriageConfig:
     scan_thinking: str = "off"
     verify_thinking: str = "off"
     tools_mode: str = "off"
-    concurrency: int = 4                  # partitions of the analyst stage
-    confidence_threshold: str | None = None
+    partitions: int | None = None         # of the analyst stage; None keeps the input's
+    prompt_dir: str | None = None         # templates: <category name>, verify, discovery .txt
     fail_on: str = "high"
-    fail_on_confidence: str = "never"
+    fail_on_confidence: str = "never"     # threshold of review and of the gate
     report_format: str = "csv"
     export_candidates: bool = False
     include_stale: bool = False           # report every stored result, not only current keys
@@ -66,37 +68,61 @@ class TriageOutcome:
 
 def validate(cfg: TriageConfig) -> tuple[list[str], bool]:
     """Check options up front; returns (category ids, run verification?)."""
-    if cfg.concurrency < 1:
-        raise ValueError(f"concurrency must be >= 1 (got {cfg.concurrency})")
-    if cfg.phase is not None and cfg.phase not in PHASES:
-        raise ValueError(f"phase must be one of {PHASES}")
-    if cfg.scanners is None or not str(cfg.scanners).strip():
-        raise ValueError("specify 'all' or a category list like 'B1,B3'")
+    if cfg.partitions is not None and cfg.partitions < 1:
+        raise ValueError(f"partitions: {cfg.partitions} is below one")
+    if cfg.phase not in (None, *PHASES):
+        raise ValueError(f"phase: {cfg.phase} is not one of {PHASES}")
+    if not str(cfg.scanners or "").strip():
+        raise ValueError("scanners: neither 'all' nor a list of category ids")
     if cfg.verify and cfg.phase == 1:
-        raise ValueError("verification needs scan results; cannot combine with phase 1")
+        raise ValueError("verify: phase 1 alone finds nothing that could be verified")
     if cfg.report_format not in ("csv", "tsv"):
-        raise ValueError("report_format must be csv or tsv")
+        raise ValueError(f"report_format: {cfg.report_format} is not csv or tsv")
+    if cfg.fail_on_confidence.lower() not in ("high", "medium", "low", "never"):
+        raise ValueError(f"fail_on_confidence: {cfg.fail_on_confidence} is no level")
     ids = TG.parse_scanner_selection(cfg.scanners)
     return ids, bool(cfg.verify) or cfg.phase == 3
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _template(spark: SparkSession, prompt_dir: str | None, name: str, default: str) -> str:
+    """``<prompt_dir>/<name>.txt`` where it is there, else the built-in text."""
+    path = f"{prompt_dir.rstrip('/')}/{name}.txt" if prompt_dir else None
+    if path is None or not S.path_exists(spark, path):
+        return default
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def _discover(spark: SparkSession, kept: DataFrame, cfg: TriageConfig,
+              analyst: A.AnalystFn | None) -> DataFrame:
+    """The reply (``raw``) of the discovery analyst to the corpus profile; without an
+    analyst, of the rules."""
+    if analyst is None:
+        return D.rule_discovery_reply(spark, kept)
+    template = _template(spark, cfg.prompt_dir, "discovery", R.DEFAULT_DISCOVERY_TEMPLATE)
+    asked = D.repo_structure(kept).select(F.lit("discovery").alias("cache_key"), render_prompt(
+        F.lit(template), repo_structure=F.col("profile")).alias("prompt"))
+    return A.model_results(asked, analyst, analyst_columns=["cache_key", "prompt"]).select("raw")
 
 
 def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
                cfg: TriageConfig | None = None, scan_analyst: A.AnalystFn | None = None,
                verify_analyst: A.AnalystFn | None = None,
-               discovery_reply: DataFrame | None = None) -> TriageOutcome:
-    """Run the selected phases over ``corpus`` (``doc_id, path, name, ext, size, text``)."""
-    from quarry.session import ship_package
+               discovery_reply: DataFrame | None = None,
+               discovery_analyst: A.AnalystFn | None = None) -> TriageOutcome:
+    """Run the selected phases over ``corpus`` (``doc_id, path, name, ext, size, text``).
+
+    Each phase writes its table once and later phases read that.  A first run reads the
+    texts once for keys and findings together and moves none of them; verification reads
+    those of the files with findings."""
+    from quarry.session import ship_package, write_phase_table
     cfg = cfg or TriageConfig()
     ids, run_verify = validate(cfg)
+    if run_verify and verify_analyst is None:
+        raise ValueError("verify: no verify_analyst given")
     ship_package(spark)
     paths = {k: os.path.join(state_dir, k) for k in
-             ("discovery", "results", "verdicts", "allowlist", "report")}
+             ("discovery", "results", "verdicts", "report", "candidates")}
+    paths["allowlist"] = os.path.join(state_dir, "allowlist.json")
     kept = kept_files(corpus, cfg.max_file_size)
 
     # phase 1: discovery (reused unless redetect / missing)
@@ -106,87 +132,92 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         plan = S.load_discovery(spark, paths["discovery"], cfg.tools_mode, cfg.redetect)
         if plan is None:
             reply = discovery_reply if discovery_reply is not None else \
-                D.rule_discovery_reply(spark, kept)
+                _discover(spark, kept, cfg, discovery_analyst)
             plan = D.discovery_plan(spark, reply)
             S.save_discovery(plan, paths["discovery"], cfg.tools_mode)
             plan = S.load_discovery(spark, paths["discovery"], cfg.tools_mode)
         plan = plan.where(F.col("scanner").isin(ids))
         ext_index = TG.discovery_ext_index(plan)
         name_index = TG.registry_maps(ids)[1]
-    catalog = TG.prompt_catalog(spark)
+    catalog = TG.prompt_catalog(spark, prompt_dir=cfg.prompt_dir)
     fanned = TG.fan_out(kept, ext_index, name_index)
-    keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, cfg.scan_thinking,
-                              cfg.tools_mode)
     store = S.read_results(spark, paths["results"], cfg.tools_mode) \
-        if _exists(spark, paths["results"]) else None
-    pending = TG.pending_scans(keyed, store, cfg.rescan)
-    if cfg.limit:
-        pending = TG.scan_sample(pending, cfg.limit).drop("rank")
-    if cfg.dry_run or cfg.phase == 1:
-        return TriageOutcome(pending=pending)
+        if S.path_exists(spark, paths["results"]) else None
+    scans = cfg.phase in (None, 2) and not cfg.dry_run
 
     # phase 2: scan the pending pairs and append the attempts
-    if cfg.phase in (None, 2):
+    if scans and (store is None or cfg.rescan) and not cfg.limit:
+        # everything is pending: keys and findings come from one pass over the texts
         if scan_analyst is None:
-            todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_p"))
-            only = (fanned.join(todo, "doc_id")
-                    .withColumn("scanners", F.array_intersect("scanners", "_p")).drop("_p"))
-            attempts = A.rule_results(only, catalog, cfg.rules, cfg.scan_thinking,
+            attempts = A.rule_results(fanned, catalog, cfg.rules, cfg.scan_thinking,
                                       cfg.tools_mode)
         else:
-            if (store is None or cfg.rescan) and not cfg.limit:
-                reqs = scan_requests_all(fanned, catalog, cfg.scan_thinking, cfg.tools_mode,
-                                         keep_content=True)
-            else:
-                reqs = scan_requests(pending, kept, catalog, keep_content=True)
-            attempts = run_scanner(reqs, scan_analyst, cfg.concurrency,
-                                   columns=("cache_key", "prompt", "scanner", "text"))
-            attempts = attempts.withColumn("thinking", F.lit(cfg.scan_thinking)) \
-                .withColumn("tools_mode", F.lit(cfg.tools_mode))
+            reqs = scan_requests_all(fanned, catalog, cfg.scan_thinking, cfg.tools_mode,
+                                     keep_content=True)
+            attempts = _ask(reqs, scan_analyst, cfg)
+        attempts = write_phase_table(attempts, "attempts")
+        keyed = attempts.select("cache_key", "scanner", "scanner_name", "doc_id",
+                                F.col("file").alias("path"), "size", "content_hash",
+                                "prompt_hash", "thinking", "tools_mode")
+        pending = keyed
         S.append_results(attempts, paths["results"])
+    else:
+        keyed = write_phase_table(TG.with_scan_keys(
+            TG.scan_targets(fanned), catalog, cfg.scan_thinking, cfg.tools_mode), "work-list")
+        pending = TG.pending_scans(keyed, store, cfg.rescan)
+        if cfg.limit:
+            pending = TG.scan_sample(pending, cfg.limit).drop("rank")
+        pending = write_phase_table(pending, "pending")
+        if scans and scan_analyst is None:
+            todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_p"))
+            only = (fanned.join(todo, "doc_id")
+                    .withColumn("scanners", F.array_intersect("scanners", "_p")).drop("_p"))
+            S.append_results(A.rule_results(only, catalog, cfg.rules, cfg.scan_thinking,
+                                            cfg.tools_mode), paths["results"])
+        elif scans:
+            reqs = scan_requests(pending, kept, catalog, keep_content=True)
+            S.append_results(_ask(reqs, scan_analyst, cfg), paths["results"])
+    if cfg.dry_run or cfg.phase == 1:
+        return TriageOutcome(pending=pending)
 
-    if not _exists(spark, paths["results"]):
+    if not S.path_exists(spark, paths["results"]):
         if cfg.phase == 3:
-            raise ValueError("no scan results found; run the scan phase first")
+            raise ValueError("phase 3: the result store is empty, scan first")
         return TriageOutcome(pending=pending)
     stored = S.latest_attempts(S.read_results(spark, paths["results"], cfg.tools_mode))
     if not cfg.include_stale:                       # Q2: only the current version of each file
         stored = stored.join(keyed.select("cache_key"), "cache_key", "left_semi")
     stored = stored.where(F.col("scanner").isin(ids))
-    if "doc_id" not in stored.columns:
-        stored = stored.join(kept.select(F.col("path").alias("file"), "doc_id"), "file", "left")
-    vph = R.short_hash(R.DEFAULT_VERIFY_TEMPLATE)
-    results_n = TR.normalised_results(stored, vph, cfg.verify_thinking)
+    present = keyed.groupBy(F.col("path").alias("file")).agg(F.min("doc_id").alias("doc_id"))
+    stored = stored.join(present, "file", "left")
+    verify_template = _template(spark, cfg.prompt_dir, "verify", R.DEFAULT_VERIFY_TEMPLATE)
+    results_n = write_phase_table(TR.normalised_results(
+        stored, R.short_hash(verify_template), cfg.verify_thinking), "results")
 
     # phase 3: verification of eligible files without a current verdict
-    verdict_exists = _exists(spark, paths["verdicts"])
+    verdict_exists = S.path_exists(spark, paths["verdicts"])
     if run_verify:
-        eligible = O.verify_eligible(results_n, kept, cfg.max_file_size)
+        eligible = O.verify_eligible(results_n, keyed.select("path", "size"), cfg.max_file_size)
         vstore = S.read_verdicts(spark, paths["verdicts"], cfg.tools_mode) \
             if verdict_exists else None
         todo = O.pending_verifications(eligible, vstore, cfg.reverify)
-        verdicts = run_verifier(verify_requests(todo, kept),
-                                verify_analyst or A.python_verifier(), cfg.concurrency)
+        verdicts = run_verifier(verify_requests(todo, kept, verify_template),
+                                verify_analyst, cfg.partitions)
         S.append_verdicts(verdicts, paths["verdicts"], cfg.tools_mode)
         verdict_exists = True
     vlines = O.verdict_lines_from_replies(
         S.read_verdicts(spark, paths["verdicts"], cfg.tools_mode)) if verdict_exists else None
 
     # report + gate
-    allowlist = S.load_allowlist_table(spark, paths["allowlist"]) \
-        if _exists(spark, paths["allowlist"]) else None
-    b = TR.bucketed(results_n, vlines, allowlist, cfg.confidence_threshold)
+    level = None if cfg.fail_on_confidence.lower() == "never" else cfg.fail_on_confidence.lower()
+    allowlist = S.load_run_allowlist(spark, paths["allowlist"], paths["candidates"])
+    b = write_phase_table(TR.bucketed(results_n, vlines, allowlist, level), "bucketed")
     if cfg.export_candidates:
-        base = allowlist if allowlist is not None else spark.createDataFrame(
-            [], "pos bigint, scanner string, file string, line string, reason string, "
-                "status string, exported_at string")
-        cands = allowlist_candidates(RP.refuted_for_export(b), base)
-        merged = S.append_candidates(base, cands)
-        tmp = paths["allowlist"] + ".next"
-        S.write_allowlist(merged, tmp)
-        S.write_allowlist(S.load_allowlist_table(spark, tmp), paths["allowlist"])
-        allowlist = S.load_allowlist_table(spark, paths["allowlist"])
-        b = TR.bucketed(results_n, vlines, allowlist, cfg.confidence_threshold)
+        # a folder a run: the human document is never touched
+        cands = allowlist_candidates(RP.refuted_for_export(b), allowlist)
+        new = S.append_candidates(allowlist, cands).join(
+            allowlist.select("pos"), "pos", "left_anti")
+        S.write_allowlist(new, os.path.join(paths["candidates"], f"run-{uuid.uuid4().hex}"))
     files = TR.file_grain(results_n, b)
     rows = RP.report_rows(b, files, spark)
     RP.write_report(rows, paths["report"], cfg.report_format)
@@ -194,3 +225,11 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     code = gate.first()["exit_code"]
     return TriageOutcome(pending=pending, report=rows, stats=RP.run_stats(b, files), gate=gate,
                          exit_code=int(code))
+
+
+def _ask(requests: DataFrame, analyst: A.AnalystFn, cfg: TriageConfig) -> DataFrame:
+    """Attempts of a model analyst, with the names of their run."""
+    got = run_scanner(requests, analyst, cfg.partitions,
+                      columns=("cache_key", "prompt", "scanner", "text"))
+    return got.withColumn("thinking", F.lit(cfg.scan_thinking)) \
+        .withColumn("tools_mode", F.lit(cfg.tools_mode))

@@ -35,6 +35,7 @@ WORLD_ALLOWLIST = [
     (4, "*", "*", "2", "any line 2", "confirmed"),
 ]
 
+FAILING = ("B4",)
 CONFIDENCES = ["High", "Medium", "Low", "Unknown"]
 EXPLOITABLE = ["yes", "no", "conditional"]
 
@@ -42,13 +43,12 @@ EXPLOITABLE = ["yes", "no", "conditional"]
 class World:
     def __init__(self, spark: SparkSession, sf_dir: str,
                  max_file_size: int = R.DEFAULT_MAX_FILE_SIZE, thinking: str = "off",
-                 budget_bytes: int | None = 20000, confidence_threshold: str | None = "medium",
+                 confidence_threshold: str | None = "medium",
                  rules: list[A.Rule] | None = None, materialized: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.max_file_size = max_file_size
         self.thinking = thinking
-        self.budget_bytes = budget_bytes
         self.confidence_threshold = confidence_threshold
         self.rules = rules or A.DEFAULT_RULES
         self.materialized = materialized
@@ -102,9 +102,12 @@ class World:
 
     @cached_property
     def results(self) -> DataFrame:
-        """The result store of this run (rule analyst over every target)."""
-        return self.materialize(A.rule_results(self.fanned, self.catalog, self.rules,
-                                               self.thinking, budget_bytes=self.budget_bytes),
+        """The result store of this run: the rule analyst over every target.  Attempts of
+        ``FAILING`` categories fail for files that ``labels`` calls toxic, so that error
+        rows exist; these categories have no rules, so no finding is lost."""
+        found = A.rule_results(self.fanned, self.catalog, self.rules, self.thinking)
+        toxic = self.table("labels").where("toxic = 1").select("doc_id").distinct()
+        return self.materialize(A.fail_attempts(found, toxic, FAILING, "analyst not available"),
                                 "result_store")
 
     @cached_property

@@ -51,16 +51,16 @@ SCANNERS: list[tuple[str, str, str, list[str], list[str]]] = [
 
 # Directories excluded when they are the top-level entry or a full path prefix.
 EXCLUDE_DIRS: list[str] = [
-    ".security_scan", ".git", ".svn", "node_modules", "vendor", "build", "dist",
+    ".quarry_state", ".git", ".svn", "node_modules", "vendor", "build", "dist",
     ".venv", "__pycache__", ".idea", ".vscode", "ThirdParty/wheelhouse",
     "Source/Regression",
 ]
 # Basenames excluded at any depth.
 EXCLUDE_FILES: list[str] = [
-    "security_scan.py", "security_report.md", "sqli_scan.py", "sqli_report.md",
+    "quarry_report.md", "quarry_report.csv", "quarry_report.tsv",
 ]
 # State directories are excluded by name prefix at any depth.
-STATE_DIR_PREFIX = ".security_scan"
+STATE_DIR_PREFIX = ".quarry_state"
 
 # Lower-cased suffixes treated as binary and never read.
 BINARY_EXTS: list[str] = [
@@ -70,8 +70,8 @@ BINARY_EXTS: list[str] = [
     ".cvsignore", ".super",
 ]
 
-# Default per-file size cap in bytes (0 disables the cap).
-DEFAULT_MAX_FILE_SIZE = 1 * 1024 * 1024
+# Default per-file size cap in bytes: 0, no cap.
+DEFAULT_MAX_FILE_SIZE = 0
 # Bytes sniffed for a NUL to decide a file is binary.
 NUL_SNIFF_BYTES = 8192
 

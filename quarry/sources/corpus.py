@@ -51,8 +51,8 @@ def synthetic_repo_path(doc_id: str = "doc_id", lang: str = "lang",
     rule is exercised.  Pure function of the row.
     """
     d = F.col(doc_id)
-    top = (F.when(d % 41 == 0, "vendor/").when(d % 37 == 0, ".security_scan_old/")
-           .when(d % 31 == 0, "sub/.security_scan.bak/").otherwise("src/"))
+    top = (F.when(d % 41 == 0, "vendor/").when(d % 37 == 0, ".quarry_state_old/")
+           .when(d % 31 == 0, "sub/.quarry_state.bak/").otherwise("src/"))
     ext = (F.when(d % 6 == 0, ".py").when(d % 6 == 1, ".js").when(d % 6 == 2, ".Java")
            .when(d % 6 == 3, ".yml").when(d % 6 == 4, ".PNG").otherwise(".sql"))
     fname = (F.when(d % 29 == 0, "pom.xml").when(d % 23 == 0, ".env")
@@ -63,9 +63,7 @@ def synthetic_repo_path(doc_id: str = "doc_id", lang: str = "lang",
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table as a source-file corpus."""
-    from quarry.plans.sizing import ensure_parallelism
-    docs = ensure_parallelism(read_table(spark, sf_dir, "documents"), "doc_id")
-    return corpus_from_table(docs, synthetic_repo_path(), "text", doc_id="doc_id")
+    return corpus_from_table(read_table(spark, sf_dir, "documents"), synthetic_repo_path(), "text", doc_id="doc_id")
 
 
 def page_path(url: str | Column = "url") -> Column:
@@ -79,6 +77,4 @@ def page_path(url: str | Column = "url") -> Column:
 
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``pages`` table as a second corpus shape: path from the URL, content = html."""
-    from quarry.plans.sizing import ensure_parallelism
-    pages = ensure_parallelism(read_table(spark, sf_dir, "pages"), "page_id")
-    return corpus_from_table(pages, page_path("url"), "html", doc_id="page_id")
+    return corpus_from_table(read_table(spark, sf_dir, "pages"), page_path("url"), "html", doc_id="page_id")

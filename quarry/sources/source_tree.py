@@ -112,7 +112,7 @@ class SourceTreeReader(DataSourceReader):
             except OSError:
                 return
             for e in entries:
-                if e.is_file(follow_symlinks=False):
+                if e.is_file():  # like the walk below, links to files count
                     rel = f"{partition.rel_dir}/{e.name}" if partition.rel_dir else e.name
                     row = self._file_row(rel, e.path)
                     if row is not None:

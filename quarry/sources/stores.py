@@ -18,7 +18,8 @@ Existing per-file JSON caches can be imported with schema-on-read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +41,11 @@ def read_results(spark: SparkSession, path: str, tools_mode: str | None = None)
 
 def latest_attempts(store: DataFrame, key: str = "cache_key") -> DataFrame:
     """Q1: one row per key -- its most recent attempt (a fresh failure is visible)."""
-    w = Window.partitionBy(key).orderBy(F.desc("attempted_at"))
-    return store.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rest = [c for c in store.columns if c != key]
+    # of attempts of one time the failed one counts, then the greatest by content
+    order = F.struct("attempted_at", F.col("status") != "ok", F.xxhash64(*rest))
+    last = store.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(key, "_last.*").select(*store.columns)
 
 
 CACHE_DOC_SCHEMA = T.StructType([
@@ -97,19 +101,23 @@ ALLOWLIST_SCHEMA = T.StructType([
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """``{"suppressions": [...]}`` documents -> ordered entries.
 
-    Non-object entries are dropped; a missing or unreadable file is an empty
-    allowlist.
+    Non-object entries are dropped; a missing file, or one that is no JSON, is an empty
+    allowlist.  Any other failure to read is an error: an allowlist is not to be lost
+    because a store is out of reach.
     """
-    empty = spark.createDataFrame([], "pos int, scanner string, file string, line string, "
-                                      "reason string, status string, exported_at string")
-    try:
-        doc = spark.read.schema(ALLOWLIST_SCHEMA).option("multiLine", True).json(path)
-        doc.schema  # noqa: B018 - resolve now so a missing path falls back
-    except Exception:  # noqa: BLE001 - missing file -> empty allowlist
-        return empty
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "pos int, scanner string, file string, line string, "
+                                         "reason string, status string, exported_at string")
+    doc = spark.read.schema(ALLOWLIST_SCHEMA).option("multiLine", True).json(path)
     ex = (doc.select(F.posexplode("suppressions").alias("pos", "s"))
           .where(F.ltrim("s").startswith("{"))
           .select("pos", F.from_json("s", ENTRY_SCHEMA).alias("e")))
@@ -136,29 +144,32 @@ def append_candidates(allowlist: DataFrame, candidates: DataFrame) -> DataFrame:
                             "reason", "status", "exported_at").unionByName(new)
 
 
-def write_allowlist(allowlist: DataFrame, path: str, as_document: bool = False,
-                    max_document_entries: int = 100_000) -> None:
+def write_allowlist(allowlist: DataFrame, path: str, as_document: bool = False) -> None:
     """Write the allowlist.
 
     Default: a JSON-lines table, one entry per line with its ``pos`` (written
     in parallel, any size).  ``as_document`` writes the human-edited form
-    ``{"version": 1, "suppressions": [...]}`` as one file -- only after a
-    size check, because a single document is built by one task.
+    ``{"version": 1, "suppressions": [...]}``: one document, for people, so one task.
     """
     cols = ["pos", "scanner", "file", "line", "reason", "status", "exported_at"]
     if not as_document:
         allowlist.select(*cols).write.mode("overwrite").json(path)
         return
-    from quarry.plans.sizing import is_small
-    if not is_small(allowlist, max_document_entries):
-        raise ValueError(f"allowlist has more than {max_document_entries} entries; "
-                         "write it as a JSON-lines table instead")
     doc = allowlist.agg(F.lit(1).cast("bigint").alias("version"), F.transform(
         F.array_sort(F.collect_list(F.struct(*cols))),
         lambda s: s.dropFields("pos")).alias("suppressions"))
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def load_run_allowlist(spark: SparkSession, document: str, candidates: str) -> DataFrame:
+    """The human document's entries, then the candidates that earlier runs exported (one
+    folder a run, never overwritten), in first-match order."""
+    human = load_allowlist(spark, document).withColumn("pos", F.col("pos").cast("bigint"))
+    if not path_exists(spark, candidates):
+        return human
+    return human.unionByName(load_allowlist_table(spark, f"{candidates}/*"))
+
+
 def load_allowlist_table(spark: SparkSession, path: str) -> DataFrame:
     """Read the JSON-lines form written by ``write_allowlist``."""
     return spark.read.schema("pos bigint, scanner string, file string, line string, "
@@ -196,13 +207,13 @@ def load_discovery(spark: SparkSession, path: str, tools_mode: str = "off",
                    redetect: bool = False) -> DataFrame | None:
     """The stored plan, or None when it must be (re)detected: ``redetect``,
     missing, unreadable or empty."""
-    if redetect:
+    if redetect or not path_exists(spark, path):
         return None
     try:
         df = spark.read.parquet(path).where(F.col("tools_mode") == tools_mode) \
             .select("scanner", "pos", "ext")
-        if df.limit(1).count() == 0:
-            return None
-        return df
-    except Exception:  # noqa: BLE001 - missing / corrupt store -> detect again
+    except AnalysisException as e:  # a folder without a table in it
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+            raise
         return None
+    return None if df.isEmpty() else df

@@ -21,6 +21,7 @@ from quarry.operators import analysts as A
 from quarry.operators import targets as TG
 from quarry.operators.filters import kept_files
 from quarry.registry import DEFAULT_MAX_FILE_SIZE
+from quarry.sources.stores import append_results
 from quarry.sources.corpus import corpus_from_table
 
 CORPUS_DDL = "doc_id bigint, path string, text string"
@@ -39,12 +40,12 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
                rules: list[A.Rule] | None = None, thinking: str = "off",
                max_file_size: int = DEFAULT_MAX_FILE_SIZE,
                analyst: A.AnalystFn | None = None) -> None:
-    """One micro-batch: key, skip what the store already has, analyse, append.
+    """One micro-batch: key, skip what the store already has, analyse, append to the result
+    store that batch runs read.
 
     ``analyst`` (pandas callable) replaces the native rule analyst; it sees
     ``cache_key, prompt, scanner, text`` per pending pair.
     """
-    from quarry.plans.sizing import broadcast_if_small
     corpus = corpus_from_table(batch, "path", "text", doc_id="doc_id")
     kept = kept_files(corpus, max_file_size)
     ei, ni = TG.registry_maps()
@@ -54,33 +55,29 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
         from quarry.operators.inference import run_scanner, scan_requests, scan_requests_all
         keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
         if _store_exists(spark, store_dir):
-            keys = broadcast_if_small(keyed.select("cache_key"))
-            done = TG.usable(spark.read.parquet(store_dir)).join(keys, "cache_key", "left_semi")
+            keys = keyed.select("cache_key")
+            done = TG.usable(spark.read.parquet(store_dir).join(keys, "cache_key", "left_semi"))
             reqs = scan_requests(keyed.join(done, "cache_key", "left_anti"), kept, catalog,
                                  keep_content=True)
         else:
             reqs = scan_requests_all(fanned, catalog, thinking, keep_content=True)
         results = run_scanner(reqs, analyst, columns=("cache_key", "prompt", "scanner", "text"))
-        (results.withColumn("tools_mode", F.lit("off")).withColumn("thinking", F.lit(thinking))
-         .withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-         .write.mode("append").partitionBy("scanner").parquet(store_dir))
+        append_results(results.withColumn("tools_mode", F.lit("off"))
+                       .withColumn("thinking", F.lit(thinking)), store_dir)
         return
     if _store_exists(spark, store_dir):
         keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
-        # the store is restricted to this batch's keys first: the (bounded) batch key
-        # set is broadcast and the store's key column is scanned in place, not shuffled
-        keys = broadcast_if_small(keyed.select("cache_key"))
-        done = TG.usable(spark.read.parquet(store_dir)).join(keys, "cache_key", "left_semi")
+        # the store is restricted to this batch's keys first; Spark broadcasts them if they
+        # are small, so the store's key column is scanned in place
+        keys = keyed.select("cache_key")
+        done = TG.usable(spark.read.parquet(store_dir).join(keys, "cache_key", "left_semi"))
         pending = keyed.join(done, "cache_key", "left_anti")
         # analyse only the pending (category, file) pairs of each file
-        todo = broadcast_if_small(pending.groupBy("doc_id").agg(
-            F.collect_set("scanner").alias("_pending")))
+        todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_pending"))
         fanned = (fanned.join(todo, "doc_id")
                   .withColumn("scanners", F.array_intersect("scanners", "_pending"))
                   .drop("_pending"))
-    results = A.rule_results(fanned, catalog, rules, thinking)
-    (results.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-     .write.mode("append").partitionBy("scanner").parquet(store_dir))
+    append_results(A.rule_results(fanned, catalog, rules, thinking), store_dir)
 
 
 def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
@@ -104,12 +101,17 @@ def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
     return writer.start()
 
 
-def start_progress(spark: SparkSession, store_dir: str, query_name: str,
+def start_progress(spark: SparkSession, store_dir: str, out_dir: str,
                    checkpoint_dir: str) -> StreamingQuery:
-    """Running completed-attempt counts per (category, status), update mode."""
+    """Running completed-attempt counts per (category, status), in update mode: each
+    micro-batch appends the counts that changed, with its number, to ``out_dir``."""
     schema = spark.read.parquet(store_dir).schema
     s = spark.readStream.schema(schema).parquet(store_dir)
     counts = s.groupBy("scanner", "status").agg(F.count(F.lit(1)).alias("completed"))
-    return (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
-            .option("checkpointLocation", os.path.join(checkpoint_dir, query_name))
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("bigint")) \
+            .write.mode("append").parquet(out_dir)
+    return (counts.writeStream.outputMode("update").foreachBatch(append)
+            .option("checkpointLocation", os.path.join(checkpoint_dir, "progress"))
             .trigger(availableNow=True).start())

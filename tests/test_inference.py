@@ -35,7 +35,7 @@ def test_scan_and_verify_with_model(spark):
     corpus = corpus_from_table(spark.createDataFrame(rows, "id bigint, p string, t string"),
                                "p", "t", doc_id="id")
     kept = kept_files(corpus)
-    ei, ni = TG.registry_indexes(spark, scanner_ids=["B2", "B5"])
+    ei, ni = TG.registry_maps(["B2", "B5"])
     catalog = TG.prompt_catalog(spark)
     keyed = TG.with_scan_keys(TG.scan_targets(TG.fan_out(kept, ei, ni)), catalog)
     pending = TG.pending_scans(keyed, None)

@@ -21,8 +21,8 @@ def test_extension(spark, path, ext):
 @pytest.mark.parametrize("path,excluded", [
     ("vendor/a.py", True), ("src/vendor/a.py", False), ("node_modules/foo.js", True),
     ("Source/Regression/Sub/b.py", True), ("Source/Other/b.py", False),
-    (".security_scan_old/B3/x.json", True), ("sub/.security_scan_old/y.json", True),
-    ("src/.security_scanning.py", False), ("deep/dir/security_scan.py", True),
+    (".quarry_state_old/B3/x.json", True), ("sub/.quarry_state_old/y.json", True),
+    ("src/.quarry_statening.py", False), ("deep/dir/quarry_report.md", True),
     ("ThirdParty/wheelhouse/w.py", True), ("ThirdParty/other/w.py", False),
     ("vendorx/a.py", False), ("a.py", False),
 ])

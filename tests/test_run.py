@@ -17,7 +17,7 @@ def test_validation():
     from quarry.plans.run import TriageConfig, validate
     assert validate(TriageConfig(scanners="b3, B1"))[0] == ["B1", "B3"]
     assert validate(TriageConfig(phase=3))[1] is True
-    for bad in (TriageConfig(concurrency=0), TriageConfig(scanners="B99"),
+    for bad in (TriageConfig(partitions=0), TriageConfig(fail_on_confidence="x"), TriageConfig(scanners="B99"),
                 TriageConfig(verify=True, phase=1), TriageConfig(scanners="")):
         with pytest.raises(ValueError):
             validate(bad)
@@ -27,23 +27,25 @@ def test_run_is_incremental_and_gated(spark, tmp_path):
     from quarry.plans.run import TriageConfig, run_triage
     state = str(tmp_path / "state")
     cfg = TriageConfig(verify=True, fail_on="high", export_candidates=True)
-    first = run_triage(spark, _corpus(spark, FILES), state, cfg)
+    from quarry.operators.analysts import python_verifier
+    check = {"verify_analyst": python_verifier()}
+    first = run_triage(spark, _corpus(spark, FILES), state, cfg, **check)
     # a.py: 8 categories, b.js: 8, app.yml: B5 -> 17 pending pairs; vendor/ is excluded
     assert first.pending.count() == 17
     rows = {(r["scanner"], r["line"]): r for r in first.report.collect()}
     assert rows[("B2", "2")]["status"] in ("active", "needs_review")
     assert rows[("B5", "1")]["severity"] == "Medium"
     assert first.exit_code == 1                       # a High finding stays above the line
-    second = run_triage(spark, _corpus(spark, FILES), state, cfg)
+    second = run_triage(spark, _corpus(spark, FILES), state, cfg, **check)
     assert second.pending.count() == 0
     assert second.report.count() == first.report.count()
     edited = [FILES[0], FILES[1], (3, "conf/app.yml", "debug: false\n"), FILES[3]]
-    third = run_triage(spark, _corpus(spark, edited), state, cfg)
+    third = run_triage(spark, _corpus(spark, edited), state, cfg, **check)
     assert [(r["scanner"], r["path"]) for r in third.pending.collect()] == [("B5", "conf/app.yml")]
     assert ("B5", "1") not in {(r["scanner"], r["line"]) for r in third.report.collect()}
     with pytest.raises(ValueError):
         run_triage(spark, _corpus(spark, FILES), str(tmp_path / "empty"),
-                   TriageConfig(phase=3))
+                   TriageConfig(phase=3), **check)
 
 
 def test_run_with_model_analyst_matches_native(spark, tmp_path):

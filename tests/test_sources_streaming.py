@@ -14,11 +14,11 @@ def test_source_tree_reader(spark, tmp_path):
     root = str(tmp_path / "repo")
     files = {
         "a.py": b"print(1)\n", "dir1/pom.xml": b"<project/>", "node_modules/foo.js": b"x",
-        "Source/Regression/Sub/b.py": b"x", ".security_scan_old/B3/x.json": b"{}",
-        "sub/.security_scan_old/y.json": b"{}", "src/.security_scanning.py": b"ok = 1\n",
+        "Source/Regression/Sub/b.py": b"x", ".quarry_state_old/B3/x.json": b"{}",
+        "sub/.quarry_state_old/y.json": b"{}", "src/.quarry_statening.py": b"ok = 1\n",
         "image.png": b"\x89PNG", "trick.txt": b"abc\x00def", "edge100.py": b"a" * 100,
         "edge101.py": b"a" * 101, "empty.py": b"", "_hidden.py": b"h", ".dot/x.py": b"d",
-        "deep/er/still/more/z.py": b"z", "tools/security_scan.py": b"self",
+        "deep/er/still/more/z.py": b"z", "tools/quarry_report.md": b"self",
         "bad.py": b"a\xffb",
     }
     for rel, data in files.items():
@@ -26,7 +26,7 @@ def test_source_tree_reader(spark, tmp_path):
     c = tree_corpus(spark, root, max_file_size=100, keep_skipped=True)
     got = {r["path"]: r["skip_reason"] for r in c.collect()}
     assert got == {
-        "a.py": None, "dir1/pom.xml": None, "src/.security_scanning.py": None,
+        "a.py": None, "dir1/pom.xml": None, "src/.quarry_statening.py": None,
         "image.png": "binary_ext", "trick.txt": "nul_bytes", "edge100.py": None,
         "edge101.py": "oversized", "empty.py": None, "_hidden.py": None, ".dot/x.py": None,
         "deep/er/still/more/z.py": None, "bad.py": None,
@@ -46,6 +46,7 @@ def test_incremental_stream_reanalyses_only_changes(spark, tmp_path):
     q.awaitTermination(120)
     first = spark.read.parquet(store)
     n1 = first.count()
+    seen = first.agg({"attempted_at": "max"}).first()[0]
     # a.py: B1,B2,B3,B4,B7,B8,B9,B10; b.js: the same 8; c.yml: B5 -> 17 pairs
     assert n1 == 17
     assert first.where("scanner = 'B2' and file = 'src/a.py'").first()["result"].startswith(
@@ -57,13 +58,17 @@ def test_incremental_stream_reanalyses_only_changes(spark, tmp_path):
     q = start_incremental_scan(spark, corpus_dir, store, ckpt)
     q.awaitTermination(120)
     after = spark.read.parquet(store)
-    new = after.where("epoch > 0")
+    new = after.where(after["attempted_at"] > seen)
     assert new.count() == 8
     assert {r["file"] for r in new.collect()} == {"src/a.py"}
-    p = start_progress(spark, store, "quarry_progress_test", str(tmp_path / "pckpt"))
+    out = str(tmp_path / "progress")
+    p = start_progress(spark, store, out, str(tmp_path / "pckpt"))
     p.awaitTermination(120)
-    total = spark.sql("select sum(completed) from quarry_progress_test").first()[0]
-    assert total == 25
+    counts = spark.read.parquet(out).groupBy("scanner", "status").agg({"completed": "max"})
+    assert counts.agg({"max(completed)": "sum"}).first()[0] == 25
+    # batch runs read what the stream has stored
+    from quarry.sources.stores import latest_attempts, read_results
+    assert latest_attempts(read_results(spark, store, "off")).count() == 25
 
 
 def test_incremental_stream_with_model_analyst(spark, tmp_path):
