@@ -370,15 +370,11 @@ def q_discovered_targets(spark, sf):
 
 def q_rendered_prompts(spark, sf):
     """Scan prompts rendered per target (hash + length of the rendered text)."""
-    from quarry.functions.text import render_prompt
+    from quarry.operators.inference import scan_requests_all
     w = _w(spark, sf)
-    cat = F.broadcast(w.catalog.select("scanner", "template"))
-    t = TG.scan_targets(w.fanned).join(cat, "scanner").join(
-        w.kept.select("doc_id", "text"), "doc_id")
-    r = render_prompt(F.col("template"), filename=F.col("name"), file_content=F.col("text"))
-    t = t.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    return t.select("scanner", "doc_id", F.md5(r).alias("prompt_md5"),
-                    F.length(r).cast("bigint").alias("prompt_chars"))
+    t = scan_requests_all(w.fanned, w.catalog, w.thinking)
+    return t.select("scanner", "doc_id", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("bigint").alias("prompt_chars"))
 
 
 def q_phase_progress(spark, sf):
@@ -672,7 +668,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def _training_data() -> tuple[dict, dict]:
     """Queries and SQL of the training-data operators; none where they are not installed."""
     found, twins = {}, {}
-    if importlib.util.find_spec("quarry.llm"):
+    if importlib.util.find_spec("quarry.llm") and importlib.util.find_spec("quarry.llm.queries"):
         from quarry.llm.queries import ORACLES, QUERIES as OPERATORS
         found, twins = dict(OPERATORS), dict(ORACLES)
         if importlib.util.find_spec("corpus_pipeline"):

@@ -185,10 +185,19 @@ class World:
 _WORLDS: dict[tuple, World] = {}
 
 
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, times and sizes of the tables in a folder: a changed table is a new world."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen())
+                        for f in fs.listStatus(path)))
+
+
 def world_for(spark: SparkSession, sf_dir: str) -> World:
-    """One world per (live session, input folder): its phase tables are written once
-    and every query of the session reads them."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """One world per (live session, input folder as it is): its phase tables are written
+    once and every query of the session reads them."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"),
+           _state_of(spark, sf_dir))
     w = _WORLDS.get(key)
     if w is None:
         ship_package(spark)

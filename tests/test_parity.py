@@ -5,15 +5,9 @@ import os
 import duckdb
 import pytest
 
-SF = "/root/testdata/sf0.001"
-QUERIES = ["corpus_scan", "skip_counts", "scan_targets", "pending_scans", "rule_findings",
-           "findings_signature", "verdict_overlay", "suppressed_findings", "severity_rollup",
-           "report_rows", "scan_from_responses", "discovery_plan", "phase_progress",
-           "allowlist_candidates", "ci_gate", "pages_findings", "verify_plan",
-           "finding_details", "work_plan", "directory_profile", "rendered_prompts",
-           "response_status", "pending_candidates", "file_labels", "risk_heatmap",
-           "overall_eta", "verify_findings", "verdict_lines"]
+import __spark_entry__ as E
 
+SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
@@ -26,9 +20,8 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", list(E.QUERIES))
 def test_query_matches_oracle(spark, oracle, name):
-    import __spark_entry__ as E
     from tools.parity import digest
     got = E.queries()[name](spark, SF).toPandas()
     want = oracle.execute(E.oracle_sql()[name]).df()
@@ -38,6 +31,5 @@ def test_query_matches_oracle(spark, oracle, name):
 
 
 def test_entry_smoke(spark):
-    import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "n" in df.columns
