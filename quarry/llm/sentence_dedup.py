@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at sentence ends, line ends and, in sentences of over
-``LONG`` words, behind commas and behind words that their own hash picks, so that the cut
-of a passage does not depend on what stands before it).  Of every sentence, the shortest
+``LONG`` words, behind commas, behind words that their own hash picks and at the latest
+after ``LONG`` words, so that the cut of a passage soon stops to depend on what stands
+before it).  Of every sentence, the shortest
 run of ``SENTENCES`` or more that starts at it, and the one that ends at it, with at least
 ``MIN_WORDS`` words is hashed (128 bits).  A run that occurs again, later in corpus order,
 is a repeated span, and the sentences that any non-first span covers are removed.
@@ -34,7 +35,7 @@ from quarry.llm.text import table
 from quarry.session import write_phase_table
 
 SENTENCES, MIN_WORDS = 3, 15
-#: Words from which a sentence is cut further.
+#: A sentence of more words is cut into parts of at most so many.
 LONG = 12
 
 _END = re.compile(r"(?<=[.!?…。！？])[\x20\x09-\x0D]+|\n+")
@@ -62,7 +63,7 @@ def _cut(part: str, base: int) -> list[tuple[int, int, bytes, int]]:
     for m in _WORD.finditer(part):
         begun.append(m)
         word = m.group()
-        if word[-1] in ",;:" or xxhash.xxh32_intdigest(word.lower().encode()) % 6 == 0:
+        if len(begun) == LONG or word[-1] in ",;:" or xxhash.xxh32_intdigest(word.lower().encode()) % 6 == 0:
             out.append(begun)
             begun = []
     if begun:
