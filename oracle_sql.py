@@ -8,10 +8,17 @@ subquery), buckets and statuses.  Each query appends one final SELECT.
 
 from __future__ import annotations
 
-from quarry import registry as R
-from quarry.functions import paths as P
-from quarry.operators.analysts import DEFAULT_RULES
-from quarry.plans.world import CONFIDENCES, EXPLOITABLE, VERIFY_PROMPT_HASH, WORLD_ALLOWLIST
+import hashlib
+
+import oracle_values as R
+from oracle_values import CONFIDENCES, EXPLOITABLE
+
+
+def short_hash(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()[:16]
+
+
+VERIFY_PROMPT_HASH = short_hash(R.VERIFY_TEMPLATE)
 
 # attempts that fail in the world: B4 has no lexical analysis of files labelled toxic
 FAILED = "({k}scanner = 'B4' AND {k}doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
@@ -41,37 +48,31 @@ def rank_case(col: str, order: dict[str, int]) -> str:
 
 
 def _ext_rows():
-    rows = []
-    for s in R.scanners():
-        for e in dict.fromkeys(s.base_ext):
-            rows.append((e, s.id))
-    return rows
+    return [(e, s[0]) for s in R.SCANNERS for e in dict.fromkeys(s[3])]
 
 
 def _name_rows():
-    return [(n, s.id) for s in R.scanners() for n in s.base_names]
+    return [(n, s[0]) for s in R.SCANNERS for n in s[4]]
 
 
 def _reg_rows():
-    return [(s.id, s.ord, s.name, s.label, R.short_hash(R.default_prompt_template(s.id)))
-            for s in R.scanners()]
+    return [(s[0], int(s[0][1:]), s[1], s[2], short_hash(R.template(s))) for s in R.SCANNERS]
 
 
 def _rule_rows():
-    return [(k, r.rule_id, r.scanner, r.severity, r.pattern, r.explanation, r.fix,
-             r.source, r.sink) for k, r in enumerate(DEFAULT_RULES)]
+    return [(k, *r) for k, r in enumerate(R.RULES)]
 
 
 def _allow_rows():
-    return [(pos, s, f, int(line), reason, st) for pos, s, f, line, reason, st in WORLD_ALLOWLIST]
+    return [(pos, s, f, int(line), reason, st) for pos, s, f, line, reason, st in R.ALLOWLIST]
 
 
 def _list(vals) -> str:
     return "[" + ", ".join(lit(v) for v in vals) + "]"
 
 
-SKIP_CASE = f"""CASE WHEN regexp_matches(path, {lit(P.EXCLUDED_DIR_PATTERN)})
-          OR regexp_matches(path, {lit(P.STATE_DIR_PATTERN)}) THEN 'excluded_dir'
+SKIP_CASE = f"""CASE WHEN regexp_matches(path, {lit(R.EXCLUDED_DIR_PATTERN)})
+          OR regexp_matches(path, {lit(R.STATE_DIR_PATTERN)}) THEN 'excluded_dir'
      WHEN name IN {in_list(R.EXCLUDE_FILES)} THEN 'excluded_file'
      WHEN ext IN {in_list(R.BINARY_EXTS)} THEN 'binary_ext'
      WHEN {{cap}} > 0 AND size > {{cap}} THEN 'oversized'
@@ -89,7 +90,7 @@ corpus0 AS (
   FROM documents),
 corpus AS (
   SELECT doc_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
-         lower(regexp_extract(path, {lit(P.SUFFIX_PATTERN)}, 1)) AS ext,
+         lower(regexp_extract(path, {lit(R.SUFFIX_PATTERN)}, 1)) AS ext,
          CAST(strlen(text) AS BIGINT) AS size, text
   FROM corpus0),
 labelled AS (SELECT *, {SKIP_CASE.format(cap=R.DEFAULT_MAX_FILE_SIZE)} AS skip_reason FROM corpus),
@@ -296,8 +297,8 @@ def oracle_queries() -> dict[str, str]:
         "GROUP BY r.scanner, r.ord, r.scanner_name, r.scanner_label, r.prompt_hash")
     q["scan_targets"] = sql("SELECT scanner, doc_id, path FROM targets")
     override = ["py", ".SQL ", "yml"]
-    ov_rows = [(("." + e.strip().lower()) if not e.strip().startswith(".") else e.strip().lower(), s.id)
-               for s in R.scanners() for e in override]
+    ov_rows = [(("." + e.strip().lower()) if not e.strip().startswith(".") else e.strip().lower(), s[0])
+               for s in R.SCANNERS for e in override]
     q["scan_targets_override"] = sql(
         f"SELECT DISTINCT x.scanner, k.doc_id, k.path FROM kept k "
         f"JOIN {values(ov_rows, ['key', 'scanner'])} x ON k.ext = x.key")
@@ -460,7 +461,7 @@ def oracle_queries() -> dict[str, str]:
                   WHEN n_above > 0 THEN 'VULN' WHEN n_below > 0 THEN 'REFUTED'
                   WHEN n_suppressed > 0 THEN 'SUPPRESSED' ELSE 'CLEAN' END AS label,
                   n_findings, n_above FROM fg""")
-    ext_rows = [(s.id, p, e) for s in R.scanners() for p, e in enumerate(s.base_ext)]
+    ext_rows = [(s[0], p, e) for s in R.SCANNERS for p, e in enumerate(s[3])]
     q["extensions_scanned"] = sql(
         f"""SELECT d.scanner, d.extensions, CAST(coalesce(c.files, 0) AS BIGINT) AS files
             FROM (SELECT scanner, string_agg(ext, ', ' ORDER BY pos) AS extensions
@@ -505,7 +506,7 @@ def oracle_queries() -> dict[str, str]:
     q["scan_from_responses"] = sql(replies)
     q["response_tiers"] = sql(
         f"SELECT kind, CAST(count(*) AS BIGINT) AS n FROM ({replies}) GROUP BY kind")
-    base_rows = [(s.id, p, e) for s in R.scanners() for p, e in enumerate(dict.fromkeys(s.base_ext))]
+    base_rows = [(s[0], p, e) for s in R.SCANNERS for p, e in enumerate(dict.fromkeys(s[3]))]
     plan = f"""
       SELECT scanner, CAST(row_number() OVER (PARTITION BY scanner ORDER BY k) - 1 AS BIGINT) AS pos, ext
       FROM (SELECT scanner, ext, dpos AS k FROM disc
@@ -523,7 +524,7 @@ def oracle_queries() -> dict[str, str]:
         "dt AS (SELECT k.doc_id, p.scanner FROM kept k JOIN plan p ON k.ext = p.ext "
         "UNION SELECT k.doc_id, x.scanner FROM kept k JOIN name_idx x ON k.name = x.key)\n"
         "SELECT scanner, CAST(count(*) AS BIGINT) AS targets FROM dt GROUP BY scanner")
-    tmpl_rows = [(s.id, R.default_prompt_template(s.id)) for s in R.scanners()]
+    tmpl_rows = [(s[0], R.template(s)) for s in R.SCANNERS]
     q["rendered_prompts"] = sql(
         f"""SELECT scanner, doc_id, md5(r) AS prompt_md5, CAST(length(r) AS BIGINT) AS prompt_chars
             FROM (SELECT t.scanner, t.doc_id,
@@ -573,7 +574,7 @@ def oracle_queries() -> dict[str, str]:
                 regexp_replace(regexp_replace(regexp_replace(p0, '(^|/)(\\./)+', '\\1', 'g'), '/{{2,}}', '/', 'g'),
                                '^/+', '') AS path FROM pc1),
       pcorpus AS (SELECT doc_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
-                         lower(regexp_extract(path, {lit(P.SUFFIX_PATTERN)}, 1)) AS ext,
+                         lower(regexp_extract(path, {lit(R.SUFFIX_PATTERN)}, 1)) AS ext,
                          CAST(strlen(text) AS BIGINT) AS size, text FROM pc2),
       plab AS (SELECT *, {SKIP_CASE.format(cap=R.DEFAULT_MAX_FILE_SIZE)} AS skip_reason FROM pcorpus)"""
     q["pages_skip_counts"] = (
@@ -624,8 +625,8 @@ def oracle_queries() -> dict[str, str]:
             JOIN (SELECT key, scanner, 'ext' AS kind FROM ext_idx
                   UNION ALL SELECT key, scanner, 'name' FROM name_idx) x
               ON (x.kind = 'ext' AND c.ext = x.key) OR (x.kind = 'name' AND c.name = x.key)
-            WHERE regexp_matches(c.path, {lit(P.EXCLUDED_DIR_PATTERN)})
-               OR regexp_matches(c.path, {lit(P.STATE_DIR_PATTERN)})
+            WHERE regexp_matches(c.path, {lit(R.EXCLUDED_DIR_PATTERN)})
+               OR regexp_matches(c.path, {lit(R.STATE_DIR_PATTERN)})
                OR c.name IN {in_list(R.EXCLUDE_FILES)}""")
     q["response_status"] = sql(
         f"""SELECT scanner, file, kind,
