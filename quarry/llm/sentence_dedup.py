@@ -3,10 +3,10 @@
 A text is cut into sentences (at sentence ends, line ends and, in sentences of over
 ``LONG`` words, behind commas, behind words that their own hash picks and at the latest
 after ``LONG`` words, so that the cut of a passage soon stops to depend on what stands
-before it).  Of every sentence, the shortest
-run of ``SENTENCES`` or more that starts at it, and the one that ends at it, with at least
-``MIN_WORDS`` words is hashed (128 bits).  A run that occurs again, later in corpus order,
-is a repeated span, and the sentences that any non-first span covers are removed.
+before it).  From every sentence on, the shortest run of ``SENTENCES`` or more
+consecutive sentences with at least ``MIN_WORDS`` words is hashed (128 bits).  A run that
+occurs again, later in corpus order, is a repeated span, and the sentences that any
+non-first span covers are removed.
 
 One shuffle joins the spans of the whole corpus.  Before it, each batch of documents
 compares its own spans: of equal ones only the first goes on, the others are already known
@@ -34,9 +34,9 @@ from quarry.llm.line_dedup import window_names
 from quarry.llm.text import table
 from quarry.session import write_phase_table
 
-SENTENCES, MIN_WORDS = 3, 15
-#: A sentence of more words is cut into parts of at most so many.
-LONG = 12
+SENTENCES, MIN_WORDS = 3, 20
+#: A sentence of over LONG words is cut into parts of SHORT to LONG words.
+SHORT, LONG = 4, 12
 
 _END = re.compile(r"(?<=[.!?…。！？])[\x20\x09-\x0D]+|\n+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,8 +62,11 @@ def _cut(part: str, base: int) -> list[tuple[int, int, bytes, int]]:
     out, begun = [], []
     for m in _WORD.finditer(part):
         begun.append(m)
+        if len(begun) < SHORT:
+            continue
         word = m.group()
-        if len(begun) == LONG or word[-1] in ",;:" or xxhash.xxh32_intdigest(word.lower().encode()) % 6 == 0:
+        if (len(begun) == LONG or word[-1] in ",;:"
+                or xxhash.xxh32_intdigest(word.lower().encode()) % 4 == 0):
             out.append(begun)
             begun = []
     if begun:
@@ -73,19 +76,14 @@ def _cut(part: str, base: int) -> list[tuple[int, int, bytes, int]]:
 
 
 def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of the shortest qualifying runs from and to each sentence."""
+    """(text, start, end) of the shortest run with enough sentences and words from each
+    sentence, where its text has one."""
     cum = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    i = np.arange(len(words))
-    end = np.maximum(np.searchsorted(cum, cum[:-1] + MIN_WORDS, side="left"), i + SENTENCES)
+    start = np.arange(len(words))
+    end = np.maximum(np.searchsorted(cum, cum[:-1] + MIN_WORDS, side="left"), start + SENTENCES)
     ok = end <= offsets[text + 1]
-    start = np.minimum(np.searchsorted(cum, cum[1:] - MIN_WORDS, side="right") - 1,
-                       i + 1 - SENTENCES)
-    ok2 = start >= offsets[text]
-    pairs = np.unique(np.stack([np.concatenate([text[ok], text[ok2]]),
-                                np.concatenate([i[ok], start[ok2]]),
-                                np.concatenate([end[ok], i[ok2] + 1])], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+    return text[ok], start[ok], end[ok]
 
 
 _SPANS = ("a bigint, b bigint, none boolean, doc_id bigint, row bigint, first int, last int, "
@@ -103,8 +101,8 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not flat:
             continue
         lo, hi, words = (np.array([s[k] for s in flat], dtype=np.int64) for k in (0, 1, 3))
-        ids = [np.array([xxhash.xxh64_intdigest(s[2], seed) for s in flat], dtype=np.uint64)
-               for seed in (1, 2)]
+        digests = b"".join([xxhash.xxh3_128_digest(s[2]) for s in flat])
+        ids = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T
         text, start, end = runs(words, offsets)
         a, c = (window_names(x, start, end, salt).view(np.int64)
                 for x, salt in zip(ids, (0x1B873593, 0x85EBCA6B), strict=True))
