@@ -84,12 +84,18 @@ def test_discovery_and_verdict_stores(spark, tmp_path):
     assert len(got) == 1 and got[0]["status"] == "ok"
 
 
-def test_broadcast_guard_falls_back_to_shuffle_join(spark):
+def test_first_match_without_broadcasts(spark):
     from quarry.operators.suppress import ALLOWLIST_DDL, first_match
     f = spark.createDataFrame([("B3", "a.py", 1)], "scanner string, file string, line bigint")
     al = spark.createDataFrame([(0, "B3", "a.py", "1", "r", None)], ALLOWLIST_DDL)
     small = first_match(f, al)
-    big = first_match(f, al, max_broadcast_rows=0)
-    plan_big = big._jdf.queryExecution().executedPlan().toString()
-    assert small.first()["suppression_pos"] == big.first()["suppression_pos"] == 0
+    assert small.first()["suppression_pos"] == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = first_match(f, al)
+        plan_big = big._jdf.queryExecution().executedPlan().toString()
+        assert big.first()["suppression_pos"] == 0 and "SortMergeJoin" in plan_big
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastNestedLoopJoin" not in plan_big and "CartesianProduct" not in plan_big
