@@ -8,10 +8,10 @@ consecutive sentences with at least ``MIN_WORDS`` words is hashed (128 bits).  A
 occurs again, later in corpus order, is a repeated span, and the sentences that any
 non-first span covers are removed.
 
-One shuffle joins the spans of the whole corpus.  Before it, each batch of documents
+One shuffle joins the spans of the whole corpus.  Before it, each slice of a batch
 compares its own spans: of equal ones only the first goes on, the others are already known
 to be later ones and are only passed through, dealt by their document.  So a passage that
-a third of the corpus shares sends one row a batch.  Behind the shuffle rows lie sorted by
+a third of the corpus shares sends one row a slice.  Behind the shuffle rows lie sorted by
 span and place and are streamed, so a span's group is never held.
 
 Corpus order is (doc_id, row), null ids last.  Defined results: null and empty texts have
@@ -37,6 +37,8 @@ from quarry.session import write_phase_table
 SENTENCES, MIN_WORDS = 3, 20
 #: A sentence of over LONG words is cut into parts of SHORT to LONG words.
 SHORT, LONG = 4, 12
+#: Documents whose sentences are in a task's memory at once.
+SLICE = 2000
 
 _END = re.compile(r"(?<=[.!?…。！？])[\x20\x09-\x0D]+|\n+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,7 +96,7 @@ _NAMES = [f.split()[0] for f in _SPANS.split(", ")]
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (doc_id, row, text) -> spans; ``known`` ones repeat an earlier span of the
     batch, whose document is ``other``."""
-    for b in batches:
+    for b in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
         cut = [sentences(t.as_py() or "") for t in b.column(2)]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
         flat = [s for c in cut for s in c]
