@@ -3,16 +3,17 @@
 A text is cut into sentences (at sentence ends, line ends and, in sentences of over
 ``LONG`` words, behind commas, behind words that their own hash picks and at the latest
 after ``LONG`` words, so that the cut of a passage soon stops to depend on what stands
-before it).  From every sentence on, the shortest run of ``SENTENCES`` or more
-consecutive sentences with at least ``MIN_WORDS`` words is hashed (128 bits).  A run that
-occurs again, later in corpus order, is a repeated span, and the sentences that any
-non-first span covers are removed.
+before it).  Of every sentence, the shortest run of ``SENTENCES`` or more consecutive
+sentences with at least ``MIN_WORDS`` words that starts at it, and the one that ends at
+it, is hashed (128 bits).  A run that occurs again, later in corpus order, is a repeated
+span, and the sentences that any non-first span covers are removed.
 
 One shuffle joins the spans of the whole corpus.  Before it, each slice of a batch
 compares its own spans: of equal ones only the first goes on, the others are already known
 to be later ones and are only passed through, dealt by their document.  So a passage that
 a third of the corpus shares sends one row a slice.  Behind the shuffle rows lie sorted by
-span and place and are streamed, so a span's group is never held.
+span and place and are streamed, so a span's group is never held.  Rows are sent in the
+order of their documents and with two ranges in a number each, so that they compress.
 
 Corpus order is (doc_id, row), null ids last.  Defined results: null and empty texts have
 no sentences; texts of fewer sentences or words than a run needs have no spans; of repeated
@@ -34,7 +35,7 @@ from quarry.llm.line_dedup import window_names
 from quarry.llm.text import table
 from quarry.session import write_phase_table
 
-SENTENCES, MIN_WORDS = 3, 20
+SENTENCES, MIN_WORDS = 3, 15
 #: A sentence of over LONG words is cut into parts of SHORT to LONG words.
 SHORT, LONG = 4, 12
 #: Documents whose sentences are in a task's memory at once.
@@ -78,24 +79,41 @@ def _cut(part: str, base: int) -> list[tuple[int, int, bytes, int]]:
 
 
 def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of the shortest run with enough sentences and words from each
-    sentence, where its text has one."""
+    """(text, start, end) of the shortest qualifying runs from and to each sentence."""
     cum = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.arange(len(words))
-    end = np.maximum(np.searchsorted(cum, cum[:-1] + MIN_WORDS, side="left"), start + SENTENCES)
+    i = np.arange(len(words))
+    end = np.maximum(np.searchsorted(cum, cum[:-1] + MIN_WORDS, side="left"), i + SENTENCES)
     ok = end <= offsets[text + 1]
-    return text[ok], start[ok], end[ok]
+    start = np.minimum(np.searchsorted(cum, cum[1:] - MIN_WORDS, side="right") - 1,
+                       i + 1 - SENTENCES)
+    ok2 = start >= offsets[text]
+    pairs = np.unique(np.stack([np.concatenate([text[ok], text[ok2]]),
+                                np.concatenate([i[ok], start[ok2]]),
+                                np.concatenate([end[ok], i[ok2] + 1])], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
 
-_SPANS = ("a bigint, b bigint, none boolean, doc_id bigint, row bigint, first int, last int, "
-          "lo bigint, hi bigint, known boolean, other bigint")
+def _packed(start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Ranges as numbers that sort by start; texts are shorter than 2**31."""
+    return pa.array((start << 32) | (end - start))
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = packed.to_numpy(zero_copy_only=False)
+    start = x >> 32
+    return start, start + (x & 0xFFFFFFFF)
+
+
+_SPANS = ("doc_id bigint, row bigint, other bigint, known boolean, a bigint, b bigint, "
+          "nth bigint, chars bigint")
 _NAMES = [f.split()[0] for f in _SPANS.split(", ")]
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, row, text) -> spans; ``known`` ones repeat an earlier span of the
-    batch, whose document is ``other``."""
+    """Batches of (doc_id, row, text) -> spans, with ``nth`` the range of their sentences
+    and ``chars`` of their characters; ``known`` ones repeat an earlier span of the batch,
+    whose document is ``other``."""
     for b in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
         cut = [sentences(t.as_py() or "") for t in b.column(2)]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
@@ -111,18 +129,17 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         none = b.column(0).is_null().to_numpy(zero_copy_only=False)[text]
         doc = b.column(0).fill_null(0).to_numpy().astype(np.int64)[text]
         row = b.column(1).to_numpy()[text]
-        order = np.lexsort((start, row, doc, none, c, a))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        o = order
+        o = np.lexsort((end, start, row, doc, none, c, a))
+        again = np.zeros(len(o), dtype=bool)
+        again[1:] = (a[o][1:] == a[o][:-1]) & (c[o][1:] == c[o][:-1])
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(o))))
+        same, of = np.empty(len(o), dtype=bool), np.empty(len(o), dtype=np.int64)
+        same[o], of[o] = again, o[head]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.where(same, row[o] * 31, a[o])), pa.array(np.where(same, 0, c[o])),
-            pa.array(none[o]), pa.array(doc[o], mask=none[o]), pa.array(row[o]),
-            pa.array((start[o] - offsets[text[o]]).astype(np.int32)),
-            pa.array((end[o] - offsets[text[o]]).astype(np.int32)),
-            pa.array(lo[start[o]]), pa.array(hi[end[o] - 1]), pa.array(same),
-            pa.array(doc[o][head], mask=~same | none[o][head])], names=_NAMES)
+            pa.array(doc, mask=none), pa.array(row), pa.array(doc[of], mask=~same | none[of]),
+            pa.array(same), pa.array(np.where(same, row * 31, a)), pa.array(np.where(same, 0, c)),
+            _packed(start - offsets[text], end - offsets[text]), _packed(lo[start], hi[end - 1])],
+            names=_NAMES)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +148,18 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        known = b.column(9).to_numpy(zero_copy_only=False)
-        a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+        col = dict(zip(_NAMES, b.columns, strict=True))
+        known = col["known"].to_numpy(zero_copy_only=False)
+        a, c = col["a"].to_numpy(), col["b"].to_numpy()
         open_ = np.flatnonzero(~known)
-        other = b.column(10).to_pylist()
+        other = col["other"].to_pylist()
         later = known.copy()
         if len(open_):
             x, y = a[open_], c[open_]
             new = np.ones(len(open_), dtype=bool)
             new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             new[0] = key != (x[0], y[0])
-            docs = b.column(3).take(pa.array(open_)).to_pylist()
+            docs = col["doc_id"].take(pa.array(open_)).to_pylist()
             for i in np.flatnonzero(~new):
                 later[open_[i]] = True
             at = np.maximum.accumulate(np.where(new, np.arange(len(open_)), -1))
@@ -150,10 +168,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (x[-1], y[-1])
             first = docs[at[-1]] if at[-1] >= 0 else first
         kept = pa.array(np.flatnonzero(later))
-        out = b.take(kept)
+        (begin, last), (lo, hi) = (_unpacked(col[k].take(kept)) for k in ("nth", "chars"))
         yield pa.RecordBatch.from_arrays(
-            [out.column(3), out.column(4), out.column(5), out.column(6), out.column(7),
-             out.column(8), pa.array([other[i] for i in kept.to_pylist()], pa.int64())],
+            [col["doc_id"].take(kept), col["row"].take(kept), pa.array(begin.astype(np.int32)),
+             pa.array(last.astype(np.int32)), pa.array(lo), pa.array(hi),
+             pa.array([other[i] for i in kept.to_pylist()], pa.int64())],
             names=["doc_id", "row", "first", "last", "lo", "hi", "other"])
 
 
@@ -167,7 +186,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", row: str | None = None)
                     F.col(text).alias("text"))
     spans = d.mapInArrow(_span_batches, _SPANS)
     dealt = spans.repartition("a", "b").sortWithinPartitions(
-        "a", "b", "none", "doc_id", "row", "first")
+        "a", "b", F.col("doc_id").asc_nulls_last(), "row", "nth")
     later = dealt.mapInArrow(_later, "doc_id bigint, row bigint, first int, last int, lo bigint, "
                                      "hi bigint, other bigint")
     per = later.groupBy("doc_id", "row").agg(

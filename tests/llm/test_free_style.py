@@ -402,9 +402,13 @@ def _spans(rows):
     for place, (_, t) in enumerate(rows):
         s = T.sentences(t or "")
         n = lambda i, j: sum(x[3] for x in s[i:j])  # noqa: E731, B023
-        ends = [next((j for j in range(i + T.SENTENCES, len(s) + 1) if n(i, j) >= T.MIN_WORDS), None)
-                for i in range(len(s))]
-        mine = {(i, j) for i, j in enumerate(ends) if j}
+        mine = set()
+        for i in range(len(s)):
+            mine |= {(i, j) for j in [next((j for j in range(i + T.SENTENCES, len(s) + 1)
+                                            if n(i, j) >= T.MIN_WORDS), None)] if j}
+        for j in range(1, len(s) + 1):
+            mine |= {(i, j) for i in [next((i for i in range(j - T.SENTENCES, -1, -1)
+                                            if n(i, j) >= T.MIN_WORDS), None)] if i is not None}
         gone = set()
         for i, j in sorted(mine):
             k = tuple(x[2] for x in s[i:j])
@@ -437,10 +441,20 @@ def test_sentence_spans_against_brute_force(make_docs):
 
 
 def test_sentence_spans_of_repeated_rows_and_nothing(make_docs):
-    t = "The first one says this here now. The second says that there then. A third one ends it all at long last, and that is that."
+    t = "The first one says this here now. The second says that there then. A third ends it all."
     got = T.repeated_spans(make_docs([(1, t), (1, t), (None, t)])).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1]
     assert all(set(r.others) == {1} for r in got)
     out = T.remove_repeated(make_docs([(1, t), (1, t), (None, t)]))
     assert sorted(r.text for r in out.collect())[-1] == t
     assert T.repeated_spans(make_docs([])).count() == 0
+
+
+def test_sentence_spans_reach_the_end_of_a_passage(make_docs):
+    shared = "One two three four five six seven eight. Nine ten eleven twelve more and more yet. " \
+             "Again there are eight words in this one. Three words here."
+    rows = [(1, f"{shared} First text goes on with its own words. So."),
+            (2, f"{shared} Second one differs from there on in every word. Yes."), (3, shared)]
+    got = {r.doc_id: r for r in T.repeated_spans(make_docs(rows)).collect()}
+    assert [(r.n_sentences, list(map(tuple, r.spans))) for r in (got[2], got[3])] == [
+        (4, [(0, len(shared))])] * 2
