@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at sentence ends, line ends and, in sentences of over
-``LONG`` words, behind commas, behind words that their own hash picks and at the latest
-after ``LONG`` words, so that the cut of a passage soon stops to depend on what stands
-before it).  Of every sentence, the shortest run of ``SENTENCES`` or more consecutive
+A text is cut into sentences: at sentence ends, line ends and, in sentences of over
+``LONG`` words, behind each word whose hash is the least of all words up to ``NEAR`` places
+away.  So what stands around a passage moves no cut that is more than ``NEAR`` words inside
+it.  In scripts without spaces a character counts as a word, and a sentence ends behind a
+full stop without white space too.  Of every sentence, the shortest run of ``SENTENCES`` or more consecutive
 sentences with at least ``MIN_WORDS`` words that starts at it, and the one that ends at
 it, is hashed (128 bits).  A run that occurs again, later in corpus order, is a repeated
 span, and the sentences that any non-first span covers are removed.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +38,62 @@ from quarry.llm.text import table
 from quarry.session import write_phase_table
 
 SENTENCES, MIN_WORDS = 3, 15
-#: A sentence of over LONG words is cut into parts of SHORT to LONG words.
-SHORT, LONG = 4, 12
+#: A sentence of over LONG words is cut at the least word hashes of NEAR words to each side.
+LONG, NEAR = 12, 2
+_PLACES = (2, 1, 3, 0, 4)  # a word and its neighbours, NEAR to each side
 #: Documents whose sentences are in a task's memory at once.
 SLICE = 2000
 
 _END = re.compile(r"(?<=[.!?…。！？])[\x20\x09-\x0D]+|\n+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"\S+")
+# Scripts that are written without spaces (Thai, Lao, Burmese, Khmer, Kana,
+# Han), full stops that no space follows, and what may close a sentence behind them.
+_BARE = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+         "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_STOPS, _CLOSE = "。！？｡", "」』”’）】》…"
+_HAS_BARE = re.compile(f"[{_BARE}{_STOPS}]")
+_BARE_END = re.compile(rf"{_END.pattern}|(?<=[{_STOPS}])(?=[^\s{_STOPS}{_CLOSE}])"
+                       rf"|(?<=[{_STOPS}][{_CLOSE}])(?=[^\s{_STOPS}{_CLOSE}])")
+_BARE_WORD = re.compile(rf"[{_BARE}][^\w\s]*|[^\s{_BARE}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     """(start, end, normal form, words) of each sentence of a text, ends exclusive."""
     out = []
     at = 0
-    for m in [*_END.finditer(text), None]:
+    bare = not text.isascii() and bool(_HAS_BARE.search(text))
+    for m in [*(_BARE_END if bare else _END).finditer(text), None]:
         end = m.start() if m else len(text)
         part = text[at:end]
-        words = part.split()
+        words = _BARE_WORD.findall(part) if bare else part.split()
         if len(words) > LONG:
-            out += _cut(part, at)
+            out += _cut(part, at, words, bare)
         elif words:
             out.append((at, end, " ".join(words).lower().encode(), len(words)))
         at = m.end() if m else end
     return out
 
 
-def _cut(part: str, base: int) -> list[tuple[int, int, bytes, int]]:
-    out, begun = [], []
-    for m in _WORD.finditer(part):
-        begun.append(m)
-        if len(begun) < SHORT:
-            continue
-        word = m.group()
-        if (len(begun) == LONG or word[-1] in ",;:"
-                or xxhash.xxh32_intdigest(word.lower().encode()) % 4 == 0):
-            out.append(begun)
-            begun = []
-    if begun:
-        out.append(begun)
-    return [(base + ms[0].start(), base + ms[-1].end(),
-             " ".join(m.group() for m in ms).lower().encode(), len(ms)) for ms in out]
+def _cut(part: str, base: int, words: list[str], bare: bool) -> list[tuple[int, int, bytes, int]]:
+    if not bare and " ".join(words) == part.strip():
+        starts = list(accumulate([len(w) + 1 for w in words],
+                                 initial=len(part) - len(part.lstrip())))
+        stops = [x - 1 for x in starts[1:]]
+    else:
+        ms = list((_BARE_WORD if bare else _WORD).finditer(part))
+        starts, stops = [m.start() for m in ms], [m.end() for m in ms]
+    n = len(words)
+    low = " ".join(words).lower().encode().split(b" ")
+    edge = [1 << 32] * NEAR
+    padded = [*edge, *map(xxhash.xxh32_intdigest, low), *edge]
+    near = zip(*(padded[k:] for k in _PLACES), strict=False)
+    out, begin = [], 0
+    for end in [i for i, (h, p, q, r, s) in enumerate(near, 1)
+                if h <= p and h <= q and h <= r and h <= s or i == n]:
+        out.append((base + starts[begin], base + stops[end - 1], b" ".join(low[begin:end]),
+                    end - begin))
+        begin = end
+    return out
 
 
 def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +106,9 @@ def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.minimum(np.searchsorted(cum, cum[1:] - MIN_WORDS, side="right") - 1,
                        i + 1 - SENTENCES)
     ok2 = start >= offsets[text]
-    pairs = np.unique(np.stack([np.concatenate([text[ok], text[ok2]]),
-                                np.concatenate([i[ok], start[ok2]]),
-                                np.concatenate([end[ok], i[ok2] + 1])], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+    pairs = np.unique(np.concatenate([(i[ok] << 32) | end[ok], (start[ok2] << 32) | (i[ok2] + 1)]))
+    start, end = pairs >> 32, pairs & 0xFFFFFFFF
+    return text[start], start, end
 
 
 def _packed(start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -115,21 +132,26 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     and ``chars`` of their characters; ``known`` ones repeat an earlier span of the batch,
     whose document is ``other``."""
     for b in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
-        cut = [sentences(t.as_py() or "") for t in b.column(2)]
+        none = b.column(0).is_null().to_numpy(zero_copy_only=False)
+        doc = b.column(0).fill_null(0).to_numpy().astype(np.int64)
+        row = b.column(1).to_numpy()
+        # texts in corpus order, and so their runs
+        place = np.lexsort((row, doc, none))
+        none, doc, row = none[place], doc[place], row[place]
+        cut = [sentences(t or "") for t in b.column(2).take(pa.array(place)).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
         flat = [s for c in cut for s in c]
         if not flat:
             continue
-        lo, hi, words = (np.array([s[k] for s in flat], dtype=np.int64) for k in (0, 1, 3))
-        digests = b"".join([xxhash.xxh3_128_digest(s[2]) for s in flat])
-        ids = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T
+        los, his, forms, counts = zip(*flat, strict=True)
+        lo, hi, words = (np.array(x, dtype=np.int64) for x in (los, his, counts))
+        ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)),
+                            dtype=np.uint64).reshape(-1, 2).T
         text, start, end = runs(words, offsets)
         a, c = (window_names(x, start, end, salt).view(np.int64)
                 for x, salt in zip(ids, (0x1B873593, 0x85EBCA6B), strict=True))
-        none = b.column(0).is_null().to_numpy(zero_copy_only=False)[text]
-        doc = b.column(0).fill_null(0).to_numpy().astype(np.int64)[text]
-        row = b.column(1).to_numpy()[text]
-        o = np.lexsort((end, start, row, doc, none, c, a))
+        none, doc, row = none[text], doc[text], row[text]
+        o = np.lexsort((c, a))
         again = np.zeros(len(o), dtype=bool)
         again[1:] = (a[o][1:] == a[o][:-1]) & (c[o][1:] == c[o][:-1])
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(o))))

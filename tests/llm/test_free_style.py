@@ -458,3 +458,31 @@ def test_sentence_spans_reach_the_end_of_a_passage(make_docs):
     got = {r.doc_id: r for r in T.repeated_spans(make_docs(rows)).collect()}
     assert [(r.n_sentences, list(map(tuple, r.spans))) for r in (got[2], got[3])] == [
         (4, [(0, len(shared))])] * 2
+
+
+def _runs_of(text):
+    s = T.sentences(text)
+    n = np.array([x[3] for x in s], dtype=np.int64)
+    _, start, end = T.runs(n, np.array([0, len(s)]))
+    return {tuple(x[2] for x in s[i:j]) for i, j in zip(start, end, strict=True)}
+
+
+def test_passages_meet_in_any_surroundings():
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    for _ in range(500):
+        shared = say(51)
+        a, b = (f"{say(rnd.randint(0, 40))} {shared} {say(rnd.randint(0, 40))}" for _ in "ab")
+        assert _runs_of(a) & _runs_of(b), shared
+
+
+@pytest.mark.parametrize("stop", ["。", "", "，"])
+def test_passages_in_scripts_without_spaces(make_docs, stop):
+    rnd = random.Random(7)
+    say = lambda n: "".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(n))
+    shared = stop.join(say(8) for _ in range(8)) + stop
+    rows = [(1, say(30) + shared + say(30)), (2, say(41) + shared + say(7)), (3, say(80))]
+    got = T.repeated_spans(make_docs(rows)).collect()
+    assert [r.doc_id for r in got] == [2]
+    (lo, hi), = got[0].spans
+    assert 41 <= lo and hi <= 41 + len(shared) and hi - lo > len(shared) / 2
