@@ -9,8 +9,8 @@ stands for:
 * " [at] ", "(at)", " at " and their dot counterparts become @ and ".".
 
 The same detectors run over the rewritten text, and a hit's span is mapped back to the
-source characters.  A mapped span is added unless it overlaps a base span, so base spans
-stay as they are.  Plain-word disguises (" at ", " dot ") count only where both stand
+source characters.  A mapped span is added unless a base span of its kind contains it;
+base spans stay as they are.  Plain-word disguises (" at ", " dot ") count only where both stand
 between single words and the last word is a known top-level domain, and spelled digits
 only in runs of eight or more; clean prose is left alone.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -204,11 +205,13 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     if not edits:
         return []
     plain, lo, hi = transduce(text, edits)
-    taken = sorted((s, e) for _, s, e in base)
+    # base spans of a kind are disjoint: only the last that starts at or before can contain
+    taken = {kind: sorted((s, e) for k, s, e in base if k == kind) for kind in KINDS}
     out: list[Span] = []
     for kind, s, e in detect(plain):
         start, end = lo[s], hi[e - 1]
-        if not any(a < end and start < b for a, b in taken):
+        i = bisect_right(taken[kind], (start, len(text) + 1))
+        if not i or taken[kind][i - 1][1] < end:
             out.append((kind, start, end))
     return out
 

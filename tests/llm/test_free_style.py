@@ -204,6 +204,13 @@ def test_pii_leaves_prose_alone():
         assert P.hidden_spans(t, P.detect(t)) == [], t
 
 
+@pytest.mark.parametrize("text", ["j\u043ehn@example.com", "john@mail.ex\u0430mple.com"])
+def test_pii_disguises_with_a_partial_plain_match(text):
+    base = P.detect(text)
+    assert len(base) == 1 and P.hidden_spans(text, base) == [("email", 0, len(text))]
+    assert P.hidden_spans(text + " \u0430", [("email", 0, len(text))]) == []
+
+
 def test_pii_query_rows(make_docs):
     rows = [*ODD, (40, "a@b.co 1.2.3.4 4111 1111 1111 1111 +1 (202) 555-0177"), (40, "x [at] y.de"),
             (41, "a" * 200_000 + "@"), (42, "1" * 100_000), (43, "+" + "1 " * 50_000)]
