@@ -133,6 +133,8 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9", "plus": "+",
 }
+#: Letters that patterns without case take for i and s, but lower() does not.
+_FOLD = str.maketrans("İıſ", "iis")
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER})[ ,-]{{1,2}}){{7,}}(?:{_NUMBER})(?!\w)")
 _SPELLED_ONE = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)")
@@ -155,23 +157,25 @@ def _rewrites(text: str) -> list[Edit]:
     edits: list[Edit] = []
     if not text.isascii():
         edits += [(m.start(), m.end(), LOOKALIKES.get(m.group(), "")) for m in _LOOK.finditer(text)]
-    low = text.lower()
-    if len(low) == len(text):
-        if "at" in low and ("dot" in low or "." in low or "․" in low):
-            edits += [(m.start() - (text[max(m.start() - 1, 0):m.start()] == " "), m.end(),
-                       "@" if m.group(1).lower() == "at" else ".")
-                      for m in _BRACKETED.finditer(text)]
-        if " at " in low and " dot " in low:
-            for m in _PLAIN.finditer(text):
-                edits.append((m.start("at"), m.end("at"), "@"))
-                lo, hi = m.span("dots")
-                edits += [(lo + d.start(), lo + d.end(), ".")
-                          for d in re.finditer(" dot ", text[lo:hi], re.IGNORECASE)]
+        low = text.translate(_FOLD).lower()
+    else:
+        low = text.lower()
+    if "at" in low and ("dot" in low or "." in low or "․" in low):
+        edits += [(m.start() - (text[max(m.start() - 1, 0):m.start()] == " "), m.end(),
+                   "@" if m.group(1).lower() == "at" else ".")
+                  for m in _BRACKETED.finditer(text)]
+    if " at " in low and " dot " in low:
+        for m in _PLAIN.finditer(text):
+            edits.append((m.start("at"), m.end("at"), "@"))
+            lo, hi = m.span("dots")
+            edits += [(lo + d.start(), lo + d.end(), ".")
+                      for d in re.finditer(" dot ", text[lo:hi], re.IGNORECASE)]
+    # all but the ends of a run stand alone between separators
     said = bytes(map(SPELLED.__contains__, low.replace(",", " ").replace("-", " ").split()))
-    for m in _SPELLED_RUN.finditer(text) if b"\x01" * 8 in said else ():
+    for m in _SPELLED_RUN.finditer(text) if b"\x01" * 6 in said else ():
         last = m.start()
         for d in _SPELLED_ONE.finditer(text, m.start(), m.end()):
-            edits.append((last, d.end(), SPELLED[d.group().lower()]))
+            edits.append((last, d.end(), SPELLED[d.group().translate(_FOLD).lower()]))
             last = d.end()
     edits.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0

@@ -211,6 +211,16 @@ def test_pii_disguises_with_a_partial_plain_match(text):
     assert P.hidden_spans(text + " \u0430", [("email", 0, len(text))]) == []
 
 
+@pytest.mark.parametrize("text,shown", [
+    ("İstanbul: anna [at] firma [dot] de", "anna [at] firma [dot] de"),
+    ("İzmir, jane at example dot org", "jane at example dot org"),
+    ("call +four nine one two three four five six.", "+four nine one two three four five six"),
+    ("call +four nİne one two three four fıve ſix.", "+four nİne one two three four fıve ſix"),
+])
+def test_pii_disguises_beside_other_characters(text, shown):
+    assert [text[s:e] for _, s, e in P.hidden_spans(text, P.detect(text))] == [shown]
+
+
 def test_pii_query_rows(make_docs):
     rows = [*ODD, (40, "a@b.co 1.2.3.4 4111 1111 1111 1111 +1 (202) 555-0177"), (40, "x [at] y.de"),
             (41, "a" * 200_000 + "@"), (42, "1" * 100_000), (43, "+" + "1 " * 50_000)]
