@@ -7,7 +7,7 @@ random is a live-looking credential.
 
 Base candidates (assignments, access keys, hex runs) are always reported; the method
 adds the spans of further kinds (key blocks, provider tokens, passwords in urls) that
-are not widely copied and overlap no base span.  Texts are scanned once and their
+are not widely copied and that no single base span contains whole.  Texts are scanned once and their
 candidates written as a table; only (hash, owner, repository) are shuffled, and combined
 on the way, so an example that a third of the corpus holds costs a row a task.
 
@@ -70,7 +70,7 @@ def extra_spans(text: str, base: list) -> list[tuple[str, int, int, str]]:
     for kind, part, pattern in EXTRA:
         if part in text:
             found += [(kind, m.start(), m.end(), m[1]) for m in pattern.finditer(text)
-                      if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
+                      if not any(s <= m.start() and m.end() <= e for _, s, e, _ in base)]
     return found
 
 

@@ -155,6 +155,20 @@ def test_secrets_by_ownership(make_docs):
     assert S.find_secrets(make_docs([])).count() == 0
 
 
+def test_secret_blocks_that_a_base_span_only_touches(make_docs):
+    body = "MIIEpAIBAAKCAQEA7bq9" * 4
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    text = f'secret: "{head}\n{body}\n-----END'
+    base = S.base_spans(text)
+    assert [x[0] for x in base] == ["assign"]
+    (kind, start, end, value), = S.extra_spans(text, base)
+    assert (kind, start, value) == ("key_block", 9, f"\n{body}\n") and text[start:end] == head + value
+    token = "token=ghp_" + "A1b2C3d4E5" * 4
+    assert S.extra_spans(token, S.base_spans(token)) == []  # one base span holds it whole
+    by = {r.doc_id: r for r in S.find_secrets(make_docs([(1, text, "o")])).collect()}
+    assert by[1].spans == f"assign:0:{base[0][2]},key_block:9:{end}" and by[1].n_live == 1
+
+
 # ----------------------------------------------------------------------- PII
 
 _CONTRACT = {
