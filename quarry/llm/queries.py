@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from quarry.llm import (
     decontaminate,
+    filter_audit,
     line_dedup,
     mixing,
     pii,
@@ -16,6 +17,8 @@ from quarry.llm import (
     secrets,
     sentence_dedup,
     simhash,
+    source_divergence,
+    toxicity,
     url_filter,
 )
 
@@ -30,6 +33,9 @@ _OPERATORS = {
     "op8_pii": pii,
     "op9_simhash": simhash,
     "op10_decontaminate": decontaminate,
+    "op11_filter_audit": filter_audit,
+    "op12_source_divergence": source_divergence,
+    "op13_toxicity": toxicity,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
