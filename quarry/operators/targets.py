@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quarry import registry as R
 from quarry.functions import keys as K
+from quarry.sources.stores import path_exists
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("key", T.StringType(), False),
@@ -124,10 +125,14 @@ def prompt_catalog(spark: SparkSession, templates: dict[str, str] | None = None,
     base = spark.createDataFrame(
         rows, "scanner string, scanner_name string, scanner_label string, ord int, "
               "default_template string")
-    if prompt_dir:
-        files = (spark.read.text(f"{prompt_dir.rstrip('/')}/*.txt", wholetext=True)
-                 .select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
-                         .alias("scanner_name"), F.col("value").alias("file_template")))
+    found = [f"{prompt_dir.rstrip('/')}/{s.name}.txt" for s in R.scanners()] if prompt_dir else []
+    found = [path for path in found if path_exists(spark, path)]
+    if found:
+        # a category that has no template keeps the built-in text
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.txt$", 1)
+        files = spark.read.text(found, wholetext=True).select(
+            F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("scanner_name"),
+            F.col("value").alias("file_template"))
         base = base.join(files, "scanner_name", "left")
         tmpl = F.coalesce("file_template", "default_template")
     else:

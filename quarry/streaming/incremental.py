@@ -21,27 +21,19 @@ from quarry.operators import analysts as A
 from quarry.operators import targets as TG
 from quarry.operators.filters import kept_files
 from quarry.registry import DEFAULT_MAX_FILE_SIZE
-from quarry.sources.stores import append_results
 from quarry.sources.corpus import corpus_from_table
+from quarry.sources.stores import append_results, path_exists, read_results
 
 CORPUS_DDL = "doc_id bigint, path string, text string"
 
 
-def _store_exists(spark: SparkSession, store_dir: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jsc = spark.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(store_dir)
-    fs = path.getFileSystem(jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(store_dir + "/_SUCCESS")) or (
-        fs.exists(path) and len(fs.listStatus(path)) > 0)
-
-
 def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id: int,
                rules: list[A.Rule] | None = None, thinking: str = "off",
                max_file_size: int = DEFAULT_MAX_FILE_SIZE,
-               analyst: A.AnalystFn | None = None) -> None:
-    """One micro-batch: key, skip what the store already has, analyse, append to the result
-    store that batch runs read.
+               analyst: A.AnalystFn | None = None, tools_mode: str = "off") -> None:
+    """One micro-batch: key, skip what the store already has in the ``tools_mode`` namespace
+    (attempts of other namespaces neither count nor re-open anything), analyse, append to the
+    result store that batch runs read.
 
     ``analyst`` (pandas callable) replaces the native rule analyst; it sees
     ``cache_key, prompt, scanner, text`` per pending pair.
@@ -51,40 +43,42 @@ def scan_batch(spark: SparkSession, batch: DataFrame, store_dir: str, epoch_id:
     ei, ni = TG.registry_maps()
     catalog = TG.prompt_catalog(spark)
     fanned = TG.fan_out(kept, ei, ni)
+    store = read_results(spark, store_dir, tools_mode) if path_exists(spark, store_dir) else None
     if analyst is not None:
         from quarry.operators.inference import run_scanner, scan_requests, scan_requests_all
-        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
-        if _store_exists(spark, store_dir):
+        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking, tools_mode)
+        if store is not None:
             keys = keyed.select("cache_key")
-            done = TG.usable(spark.read.parquet(store_dir).join(keys, "cache_key", "left_semi"))
+            done = TG.usable(store.join(keys, "cache_key", "left_semi"))
             reqs = scan_requests(keyed.join(done, "cache_key", "left_anti"), kept, catalog,
                                  keep_content=True)
         else:
-            reqs = scan_requests_all(fanned, catalog, thinking, keep_content=True)
+            reqs = scan_requests_all(fanned, catalog, thinking, tools_mode, keep_content=True)
         results = run_scanner(reqs, analyst, columns=("cache_key", "prompt", "scanner", "text"))
-        append_results(results.withColumn("tools_mode", F.lit("off"))
+        append_results(results.withColumn("tools_mode", F.lit(tools_mode))
                        .withColumn("thinking", F.lit(thinking)), store_dir)
         return
-    if _store_exists(spark, store_dir):
-        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking)
+    if store is not None:
+        keyed = TG.with_scan_keys(TG.scan_targets(fanned), catalog, thinking, tools_mode)
         # the store is restricted to this batch's keys first; Spark broadcasts them if they
         # are small, so the store's key column is scanned in place
         keys = keyed.select("cache_key")
-        done = TG.usable(spark.read.parquet(store_dir).join(keys, "cache_key", "left_semi"))
+        done = TG.usable(store.join(keys, "cache_key", "left_semi"))
         pending = keyed.join(done, "cache_key", "left_anti")
         # analyse only the pending (category, file) pairs of each file
         todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_pending"))
         fanned = (fanned.join(todo, "doc_id")
                   .withColumn("scanners", F.array_intersect("scanners", "_pending"))
                   .drop("_pending"))
-    append_results(A.rule_results(fanned, catalog, rules, thinking), store_dir)
+    append_results(A.rule_results(fanned, catalog, rules, thinking, tools_mode), store_dir)
 
 
 def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
                            checkpoint_dir: str, rules: list[A.Rule] | None = None,
                            thinking: str = "off", available_now: bool = True,
                            max_files_per_trigger: int | None = None,
-                           analyst: A.AnalystFn | None = None) -> StreamingQuery:
+                           analyst: A.AnalystFn | None = None,
+                           tools_mode: str = "off") -> StreamingQuery:
     """Stream the corpus folder into the result store (``foreachBatch`` sink)."""
     from quarry.session import ship_package
     ship_package(spark)
@@ -94,7 +88,8 @@ def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
     stream = reader.parquet(corpus_dir)
     writer = (stream.writeStream
               .foreachBatch(lambda df, eid: scan_batch(spark, df, store_dir, eid, rules,
-                                                       thinking, analyst=analyst))
+                                                       thinking, analyst=analyst,
+                                                       tools_mode=tools_mode))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="30 seconds")
