@@ -433,6 +433,25 @@ def q_scan_attempts(spark, sf):
         F.count(F.lit(1)).alias("attempts"))
 
 
+def q_wave_attempts(spark, sf):
+    """Attempts per wave of the run, with outcome and first and last answer time."""
+    from quarry.plans.progress import _us
+    from quarry.plans.waves import wave_attempts
+    w = wave_attempts(_w(spark, sf).attempts)
+    return w.select("run", "wave", "attempts", "ok", "errors", "timeouts", "files",
+                    _us(F.col("first_at")).alias("first_us"), _us(F.col("last_at")).alias("last_us"))
+
+
+def q_run_progress(spark, sf):
+    """Done, rate and time left per category from the run's stored attempts, as of
+    half-way between its first and last answer."""
+    from quarry.plans.progress import midpoint
+    from quarry.plans.waves import run_progress
+    w = _w(spark, sf)
+    plan = w.keyed.groupBy(F.col("scanner").alias("grp")).agg(F.count(F.lit(1)).alias("total"))
+    return run_progress(w.attempts, plan, "this", midpoint(w.attempts, "attempted_at"))
+
+
 def q_verdict_store(spark, sf):
     """Verifier replies per verify key with their entry counts."""
     from quarry.operators.findings import result_items
@@ -633,6 +652,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pending_candidates": q_pending_candidates,
     "results_load": q_results_load,
     "scan_attempts": q_scan_attempts,
+    "wave_attempts": q_wave_attempts,
+    "run_progress": q_run_progress,
     "verdict_store": q_verdict_store,
     "report_exclusions": q_report_exclusions,
     "response_status": q_response_status,

@@ -615,6 +615,34 @@ def oracle_queries() -> dict[str, str]:
     q["scan_attempts"] = sql(
         f"SELECT scanner, CASE WHEN {FAILED.format(k='')} THEN 'timeout' ELSE 'ok' END AS status, "
         "CAST(count(*) AS BIGINT) AS attempts FROM keyed GROUP BY 1, 2")
+    failed = FAILED.format(k="k.")
+    q["wave_attempts"] = sql(
+        f"""SELECT 'this' AS run, CAST(('0x' || substr(md5(k.path), 1, 8))::BIGINT % 8 AS INTEGER) AS wave,
+                   CAST(count(*) AS BIGINT) AS attempts,
+                   CAST(count(*) FILTER (WHERE NOT {failed}) AS BIGINT) AS ok,
+                   CAST(0 AS BIGINT) AS errors,
+                   CAST(count(*) FILTER (WHERE {failed}) AS BIGINT) AS timeouts,
+                   CAST(count(DISTINCT k.path) AS BIGINT) AS files,
+                   min(epoch_us(e.ts)) AS first_us, max(epoch_us(e.ts)) AS last_us
+            FROM keyed k LEFT JOIN events e ON e.event_id = k.doc_id GROUP BY 2""")
+    q["run_progress"] = sql(
+        f"""SELECT grp, total, completed, round(rate * 3600, 4) AS per_h,
+                   CAST(floor(eta) AS BIGINT) AS eta_s,
+                   CASE WHEN remaining = 0 THEN 'done' ELSE {eta_text('eta')} END AS eta
+            FROM (SELECT *, CASE WHEN rate > 0 THEN remaining / rate END AS eta
+              FROM (SELECT *, CASE WHEN completed > 0
+                                   THEN completed / greatest((t - started_us) / 1e6, 1e-6)
+                                   ELSE 0.0 END AS rate,
+                           greatest(total - completed, 0) AS remaining
+                FROM (SELECT a.scanner AS grp, CAST(count(*) AS BIGINT) AS total,
+                             CAST(count(*) FILTER (WHERE us <= t) AS BIGINT) AS completed,
+                             min(us) FILTER (WHERE us <= t) AS started_us, any_value(t) AS t
+                      FROM (SELECT k.scanner, epoch_us(e.ts) AS us
+                            FROM keyed k LEFT JOIN events e ON e.event_id = k.doc_id) a,
+                           (SELECT min(epoch_us(e.ts))
+                                   + CAST(floor((max(epoch_us(e.ts)) - min(epoch_us(e.ts))) / 2) AS BIGINT) AS t
+                            FROM keyed k JOIN events e ON e.event_id = k.doc_id) s
+                      GROUP BY a.scanner)))""")
     q["verdict_store"] = sql(
         """SELECT v.verify_key, v.scanner, v.file, 'ok' AS status,
                   CAST((SELECT count(*) FROM nf WHERE nf.scanner = v.scanner AND nf.doc_id = v.doc_id

@@ -66,6 +66,9 @@ def has_nul_bytes(content, sniff_bytes: int = NUL_SNIFF_BYTES) -> Column:
     return F.contains(head, F.lit(bytearray(b"\x00")))
 
 
+SKIP_REASONS = ("excluded_dir", "excluded_file", "binary_ext", "oversized", "nul_bytes")
+
+
 def skip_reason(path, ext, size, content, max_file_size: int, content_is_binary=False) -> Column:
     """First failing corpus check, evaluated cheapest first; NULL = kept."""
     nul = has_nul_bytes(content) if content_is_binary else has_nul(content)

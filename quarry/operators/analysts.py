@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import keys as K
+from quarry.operators.calls import Caller, CallPolicy
 from quarry.registry import BLANK_PATTERN, UNSUBSTANTIATED_TAG
 
 
@@ -266,54 +268,43 @@ def python_verifier() -> AnalystFn:
 
 def model_results(pending_with_content: DataFrame, analyst: AnalystFn,
                   partitions: int | None = None, analyst_columns: list[str] | None = None,
-                  passthrough: list[str] | None = None) -> DataFrame:
+                  passthrough: list[str] | None = None,
+                  policy: CallPolicy | None = None) -> DataFrame:
     """Run ``analyst`` (pandas -> pandas with cache_key, status, raw) over batches.
 
     The analyst sees ``analyst_columns`` (default: every column) and answers by
     ``cache_key``, in any order.  A request is one row and gets one row: an answer that is
-    missing, or given more than once, makes an ``error`` attempt, answers to keys that were
-    not asked are ignored, and requests with equal keys share an answer.
-    ``passthrough`` columns ride along in the batch, so callers need no join back.
-    Parallelism is the partition count of the input unless ``partitions`` is given.  When
-    the analyst raises on a batch, the batch is retried row by row and only the rows that
-    still fail become ``error`` attempts.
+    missing, given more than once or has another status than ok, error or timeout makes an
+    ``error`` attempt, answers to keys that were not asked are ignored, and requests with
+    equal keys share an answer.  ``passthrough`` columns ride along in the batch, so callers
+    need no join back.  ``attempted_at`` is the time at which the answer was there.
+    Parallelism is the partition count of the input unless ``partitions`` is given, times
+    the workers of ``policy``.  Where the analyst raises on a call of several requests, they
+    are asked one by one and only those that still fail become ``error`` attempts.
     """
     df = pending_with_content
     if partitions:
         df = df.repartition(partitions, "cache_key")
     keep = [c for c in (passthrough or []) if c != "cache_key"]
     seen = analyst_columns or [c for c in df.columns if c not in keep]
-
-    def answers(asked: pd.DataFrame) -> dict[str, tuple[str, str]]:
-        out = analyst(asked)
-        got: dict[str, tuple[str, str]] = {}
-        for key, status, raw in zip(out["cache_key"], out["status"], out["raw"], strict=True):
-            got[key] = ("error", "analyst answered a key more than once") if key in got \
-                else (str(status), "" if raw is None else str(raw))
-        return got
+    policy = policy or CallPolicy()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(analyst, policy)
         for pdf in batches:
-            asked = pdf[seen].drop_duplicates("cache_key")
-            try:
-                got = answers(asked)
-            except Exception:  # isolate the failing rows: retry the batch row by row
-                got = {}
-                for i in range(len(asked)):
-                    one = asked.iloc[i:i + 1]
-                    try:
-                        got.update(answers(one))
-                    except Exception as exc:  # a failure row, never a failed task
-                        got[one["cache_key"].iloc[0]] = ("error", f"analyst failed: {exc}"[:2000])
-            none = ("error", "analyst gave no answer")
+            got = caller.ask(pdf[seen].drop_duplicates("cache_key"))
+            none = ("error", "analyst gave no answer", time.time())
+            answers = [got.get(k, none) for k in pdf["cache_key"]]
             out = pdf[["cache_key", *keep]].copy()
-            out["status"] = [got.get(k, none)[0] for k in pdf["cache_key"]]
-            out["raw"] = [got.get(k, none)[1] for k in pdf["cache_key"]]
+            out["status"] = [a[0] for a in answers]
+            out["raw"] = [a[1] for a in answers]
+            out["attempted_at"] = pd.to_datetime([round(a[2] * 1e6) for a in answers],
+                                                 unit="us", utc=True)
             yield out
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(["cache_key string", *[f"{c} {fields[c]}" for c in keep],
-                        "status string", "raw string"])
+                        "status string", "raw string", "attempted_at timestamp"])
     return df.mapInPandas(run, schema)
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from quarry import registry as R
 from quarry.functions.text import render_prompt
 from quarry.operators.analysts import AnalystFn, attach_content, model_results
+from quarry.operators.calls import CallPolicy
 from quarry.operators.responses import parse_responses
 
 STORE_COLUMNS = ["cache_key", "scanner", "scanner_name", "file", "doc_id", "size", "status",
-                 "content_hash", "prompt_hash", "thinking", "tools_mode", "result"]
+                 "content_hash", "prompt_hash", "thinking", "tools_mode", "result", "attempted_at"]
 
 
 def scan_requests(pending: DataFrame, corpus: DataFrame, catalog: DataFrame,
@@ -66,7 +67,8 @@ def _tagged(value):
 
 
 def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None,
-                columns: tuple[str, ...] = ("cache_key", "prompt", "scanner")) -> DataFrame:
+                columns: tuple[str, ...] = ("cache_key", "prompt", "scanner"),
+                policy: CallPolicy | None = None) -> DataFrame:
     """Call the analyst on each request; recover, tag, shape as store rows.
 
     ``columns`` are the request columns handed to the analyst (a model needs
@@ -74,10 +76,10 @@ def run_scanner(requests: DataFrame, analyst: AnalystFn, partitions: int | None
     unused columns such as the rendered prompt are then never computed).
     """
     meta = [c for c in STORE_COLUMNS if c in requests.columns and c not in
-            ("cache_key", "status", "result")] + (["path"] if "path" in requests.columns else [])
+            ("cache_key", "status", "result", "attempted_at")] + (["path"] if "path" in requests.columns else [])
     send = list(dict.fromkeys([*columns, *meta]))
     replies = model_results(requests.select(*send), analyst, partitions,
-                            analyst_columns=list(columns), passthrough=meta)
+                            analyst_columns=list(columns), passthrough=meta, policy=policy)
     parsed = parse_responses(replies, with_value=True)
     parsed = parsed.withColumn("result", F.when(F.col("value").isNotNull(),
                                                 _tagged(F.col("value")))
@@ -104,13 +106,13 @@ def verify_requests(pending: DataFrame, corpus: DataFrame,
             .select("verify_key", "scanner", "file", "prompt", "findings_json"))
 
 
-def run_verifier(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None
-                 ) -> DataFrame:
-    """Verdict-store rows ``(verify_key, scanner, file, status, result)``."""
+def run_verifier(requests: DataFrame, analyst: AnalystFn, partitions: int | None = None,
+                 policy: CallPolicy | None = None) -> DataFrame:
+    """Verdict-store rows ``(verify_key, scanner, file, status, result, attempted_at)``."""
     reqs = requests.withColumnRenamed("verify_key", "cache_key")
     replies = model_results(reqs, analyst, partitions,
                             analyst_columns=["cache_key", "prompt", "findings_json"],
-                            passthrough=["scanner", "file"])
+                            passthrough=["scanner", "file"], policy=policy)
     parsed = parse_responses(replies)
     return parsed.select(F.col("cache_key").alias("verify_key"), "scanner", "file", "status",
-                         "result")
+                         "result", "attempted_at")

@@ -39,14 +39,26 @@ def _progress(attempts_us: DataFrame, plan: DataFrame) -> DataFrame:
                     F.when(remaining == 0, F.lit("done")).otherwise(format_eta(eta)).alias("eta"))
 
 
-def phase_progress(attempts: DataFrame, plan: DataFrame, as_of_us: int) -> DataFrame:
-    """Per group at a fixed snapshot: total, completed (ts <= as_of), per_h, eta_s, eta.
+def phase_progress(attempts: DataFrame, plan: DataFrame, as_of_us: int | DataFrame) -> DataFrame:
+    """Per group at a snapshot: total, completed (ts <= as_of), per_h, eta_s, eta.
 
-    ``attempts`` is ``(grp, ts)``; ``plan`` is ``(grp, total)``.
+    ``attempts`` is ``(grp, ts)``; ``plan`` is ``(grp, total)``; the time is a number of
+    microseconds or one row ``as_of_us``.  An attempt without a time is not yet complete.
     """
-    t = F.lit(as_of_us).cast("bigint")
-    return _progress(attempts.select("grp", _us(F.col("ts")).alias("us"), t.alias("as_of_us")),
-                     plan.select("grp", "total", t.alias("as_of_us")))
+    def at(rows: DataFrame) -> DataFrame:
+        if isinstance(as_of_us, int):
+            return rows.withColumn("as_of_us", F.lit(as_of_us).cast("bigint"))
+        one = F.broadcast(as_of_us.select("as_of_us", F.lit(1).alias("_k")))
+        return rows.withColumn("_k", F.lit(1)).join(one, "_k").drop("_k")
+    return _progress(at(attempts.select("grp", _us(F.col("ts")).alias("us"))),
+                     at(plan.select("grp", "total")))
+
+
+def midpoint(times: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row ``as_of_us``, half-way between the first and the last time."""
+    us = _us(F.col(ts))
+    return times.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).select(
+        (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2)).cast("bigint").alias("as_of_us"))
 
 
 def overall_eta(progress: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ content, prompt and thinking addressed.
 from __future__ import annotations
 
 import os
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +23,15 @@ from quarry.operators import analysts as A
 from quarry.operators import discovery as D
 from quarry.operators import overlay as O
 from quarry.operators import targets as TG
-from quarry.operators.filters import kept_files
-from quarry.operators.inference import (run_scanner, run_verifier, scan_requests,
-                                        scan_requests_all, verify_requests)
+from quarry.operators.bloom import matching_rows
+from quarry.operators.calls import CallPolicy
+from quarry.operators.filters import observed_files
+from quarry.operators.inference import (run_scanner, run_verifier, scan_requests_all,
+                                        verify_requests)
 from quarry.operators.suppress import allowlist_candidates
 from quarry.plans import report as RP
 from quarry.plans import triage as TR
+from quarry.plans import waves as WV
 from quarry.sources import stores as S
 
 PHASES = (1, 2, 3)
@@ -48,6 +53,11 @@ class TriageConfig:
     verify_thinking: str = "off"
     tools_mode: str = "off"
     partitions: int | None = None         # of the analyst stage; None keeps the input's
+    waves: int = 8                        # a model phase is stored in so many parts
+    scan_calls: CallPolicy = CallPolicy()     # calls at a time in a task, deadline of each
+    verify_calls: CallPolicy = CallPolicy()
+    # called with (phase, wave, progress) when a wave is stored
+    on_wave: Callable[[str, int, DataFrame], None] | None = None
     prompt_dir: str | None = None         # templates: <category name>, verify, discovery .txt
     fail_on: str = "high"
     fail_on_confidence: str = "never"     # threshold of review and of the gate
@@ -64,12 +74,17 @@ class TriageOutcome:
     stats: DataFrame | None = None
     gate: DataFrame | None = None
     exit_code: int | None = None
+    run: str | None = None                # names the run's attempts in the stores
+    progress: DataFrame | None = None     # of the scan phase, from the stored attempts
+    skipped: dict[str, int] | None = None     # files by skip reason, and those kept
 
 
 def validate(cfg: TriageConfig) -> tuple[list[str], bool]:
     """Check options up front; returns (category ids, run verification?)."""
     if cfg.partitions is not None and cfg.partitions < 1:
         raise ValueError(f"partitions: {cfg.partitions} is below one")
+    if cfg.waves < 1:
+        raise ValueError(f"waves: {cfg.waves} is below one")
     if cfg.phase not in (None, *PHASES):
         raise ValueError(f"phase: {cfg.phase} is not one of {PHASES}")
     if not str(cfg.scanners or "").strip():
@@ -123,7 +138,8 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     paths = {k: os.path.join(state_dir, k) for k in
              ("discovery", "results", "verdicts", "report", "candidates")}
     paths["allowlist"] = os.path.join(state_dir, "allowlist.json")
-    kept = kept_files(corpus, cfg.max_file_size)
+    kept, skipped = observed_files(corpus, cfg.max_file_size)
+    run = WV.new_run()
 
     # phase 1: discovery (reused unless redetect / missing)
     if cfg.format_override:
@@ -149,18 +165,19 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     if scans and (store is None or cfg.rescan) and not cfg.limit:
         # everything is pending: keys and findings come from one pass over the texts
         if scan_analyst is None:
-            attempts = A.rule_results(fanned, catalog, cfg.rules, cfg.scan_thinking,
-                                      cfg.tools_mode)
+            attempts = write_phase_table(A.rule_results(
+                fanned, catalog, cfg.rules, cfg.scan_thinking, cfg.tools_mode), "attempts")
+            keyed = attempts.select("cache_key", "scanner", "scanner_name", "doc_id",
+                                    F.col("file").alias("path"), "size", "content_hash",
+                                    "prompt_hash", "thinking", "tools_mode")
+            pending = keyed
+            S.append_results(attempts, paths["results"], run, 0)
         else:
-            reqs = scan_requests_all(fanned, catalog, cfg.scan_thinking, cfg.tools_mode,
-                                     keep_content=True)
-            attempts = _ask(reqs, scan_analyst, cfg)
-        attempts = write_phase_table(attempts, "attempts")
-        keyed = attempts.select("cache_key", "scanner", "scanner_name", "doc_id",
-                                F.col("file").alias("path"), "size", "content_hash",
-                                "prompt_hash", "thinking", "tools_mode")
-        pending = keyed
-        S.append_results(attempts, paths["results"])
+            staged = WV.Staged(_staged_columns(fanned), "path", cfg.waves, "scan-requests")
+            keyed = pending = write_phase_table(TG.with_scan_keys(
+                TG.scan_targets(staged.rows()), catalog, cfg.scan_thinking, cfg.tools_mode),
+                "work-list")
+            _scan_waves(staged, pending, catalog, scan_analyst, cfg, run, paths["results"])
     else:
         keyed = write_phase_table(TG.with_scan_keys(
             TG.scan_targets(fanned), catalog, cfg.scan_thinking, cfg.tools_mode), "work-list")
@@ -168,22 +185,20 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         if cfg.limit:
             pending = TG.scan_sample(pending, cfg.limit).drop("rank")
         pending = write_phase_table(pending, "pending")
-        if scans and scan_analyst is None:
-            todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_p"))
-            only = (fanned.join(todo, "doc_id")
-                    .withColumn("scanners", F.array_intersect("scanners", "_p")).drop("_p"))
+        only = _pending_files(fanned, pending) if scans else None
+        if only is not None and scan_analyst is None:
             S.append_results(A.rule_results(only, catalog, cfg.rules, cfg.scan_thinking,
-                                            cfg.tools_mode), paths["results"])
-        elif scans:
-            reqs = scan_requests(pending, kept, catalog, keep_content=True)
-            S.append_results(_ask(reqs, scan_analyst, cfg), paths["results"])
+                                            cfg.tools_mode), paths["results"], run, 0)
+        elif only is not None:
+            staged = WV.Staged(_staged_columns(only), "path", cfg.waves, "scan-requests")
+            _scan_waves(staged, pending, catalog, scan_analyst, cfg, run, paths["results"])
     if cfg.dry_run or cfg.phase == 1:
-        return TriageOutcome(pending=pending)
+        return TriageOutcome(pending=pending, run=run, skipped=skipped())
 
     if not S.path_exists(spark, paths["results"]):
         if cfg.phase == 3:
             raise ValueError("phase 3: the result store is empty, scan first")
-        return TriageOutcome(pending=pending)
+        return TriageOutcome(pending=pending, run=run, skipped=skipped())
     stored = S.latest_attempts(S.read_results(spark, paths["results"], cfg.tools_mode))
     if not cfg.include_stale:                       # Q2: only the current version of each file
         stored = stored.join(keyed.select("cache_key"), "cache_key", "left_semi")
@@ -201,10 +216,18 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         vstore = S.read_verdicts(spark, paths["verdicts"], cfg.tools_mode) \
             if verdict_exists else None
         todo = O.pending_verifications(eligible, vstore, cfg.reverify)
-        verdicts = run_verifier(verify_requests(todo, kept, verify_template),
-                                verify_analyst, cfg.partitions)
-        S.append_verdicts(verdicts, paths["verdicts"], cfg.tools_mode)
-        verdict_exists = True
+        todo = write_phase_table(todo, "to-verify")
+        staged = WV.Staged(verify_requests(todo, kept, verify_template), "file", cfg.waves,
+                           "verify-requests")
+        plan = todo.groupBy(F.col("scanner").alias("grp")).agg(F.count("*").alias("total"))
+        WV.run_waves(
+            staged,
+            lambda rows: run_verifier(rows, verify_analyst, cfg.partitions, cfg.verify_calls),
+            lambda rows, wave: S.append_verdicts(rows, paths["verdicts"], cfg.tools_mode, run,
+                                                 wave),
+            _report("verify", plan, cfg, run, lambda: spark.read.schema(S.VERDICT_DDL).parquet(
+                paths["verdicts"])))
+        verdict_exists = S.path_exists(spark, paths["verdicts"])
     vlines = O.verdict_lines_from_replies(
         S.read_verdicts(spark, paths["verdicts"], cfg.tools_mode)) if verdict_exists else None
 
@@ -223,13 +246,54 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     RP.write_report(rows, paths["report"], cfg.report_format)
     gate = RP.ci_gate(b, files, cfg.fail_on, cfg.fail_on_confidence)
     code = gate.first()["exit_code"]
+    plan = pending.groupBy(F.col("scanner").alias("grp")).agg(F.count("*").alias("total"))
+    progress = WV.run_progress(S.read_results(spark, paths["results"], cfg.tools_mode), plan, run,
+                               _now_us())
     return TriageOutcome(pending=pending, report=rows, stats=RP.run_stats(b, files), gate=gate,
-                         exit_code=int(code))
+                         exit_code=int(code), run=run, progress=progress, skipped=skipped())
 
 
-def _ask(requests: DataFrame, analyst: A.AnalystFn, cfg: TriageConfig) -> DataFrame:
-    """Attempts of a model analyst, with the names of their run."""
-    got = run_scanner(requests, analyst, cfg.partitions,
-                      columns=("cache_key", "prompt", "scanner", "text"))
-    return got.withColumn("thinking", F.lit(cfg.scan_thinking)) \
-        .withColumn("tools_mode", F.lit(cfg.tools_mode))
+def _now_us() -> int:
+    return time.time_ns() // 1000
+
+
+def _staged_columns(fanned: DataFrame) -> DataFrame:
+    return fanned.where(F.size("scanners") > 0).select("doc_id", "path", "size", "text", "scanners")
+
+
+def _pending_files(fanned: DataFrame, pending: DataFrame) -> DataFrame | None:
+    """The files with something pending, and only their pending categories; None where
+    nothing is.  Of the corpus no more than about these files' texts is shuffled."""
+    todo = pending.groupBy("doc_id").agg(F.collect_set("scanner").alias("_p"))
+    n = todo.count()
+    if not n:
+        return None
+    return (matching_rows(fanned, todo, "doc_id", n)
+            .withColumn("scanners", F.array_intersect("scanners", "_p")).drop("_p"))
+
+
+def _report(phase: str, plan: DataFrame, cfg: TriageConfig, run: str,
+            store: Callable[[], DataFrame]) -> Callable[[int], None] | None:
+    """What is to be done after a wave: tell ``cfg.on_wave`` how far the phase is."""
+    if cfg.on_wave is None:
+        return None
+    return lambda wave: cfg.on_wave(phase, wave, WV.run_progress(store(), plan, run, _now_us()))
+
+
+def _scan_waves(staged: WV.Staged, pending: DataFrame, catalog: DataFrame,
+                analyst: A.AnalystFn, cfg: TriageConfig, run: str, store: str) -> None:
+    """Ask a model analyst about the staged files, wave by wave."""
+    def ask(rows: DataFrame) -> DataFrame:
+        reqs = scan_requests_all(rows, catalog, cfg.scan_thinking, cfg.tools_mode,
+                                 keep_content=True)
+        got = run_scanner(reqs, analyst, cfg.partitions,
+                          columns=("cache_key", "prompt", "scanner", "text"),
+                          policy=cfg.scan_calls)
+        return got.withColumn("thinking", F.lit(cfg.scan_thinking)) \
+            .withColumn("tools_mode", F.lit(cfg.tools_mode))
+
+    plan = pending.groupBy(F.col("scanner").alias("grp")).agg(F.count("*").alias("total"))
+    spark = pending.sparkSession
+    WV.run_waves(staged, ask, lambda rows, wave: S.append_results(rows, store, run, wave),
+                 _report("scan", plan, cfg, run,
+                         lambda: S.read_results(spark, store, cfg.tools_mode)))

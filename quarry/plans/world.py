@@ -20,6 +20,7 @@ from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.suppress import ALLOWLIST_DDL
 from quarry.plans import triage as TR
+from quarry.plans.waves import wave_of
 from quarry.session import ship_package, write_phase_table
 from quarry.sources import corpus as C
 
@@ -36,6 +37,7 @@ WORLD_ALLOWLIST = [
 ]
 
 FAILING = ("B4",)
+WAVES = 8
 CONFIDENCES = ["High", "Medium", "Low", "Unknown"]
 EXPLOITABLE = ["yes", "no", "conditional"]
 
@@ -110,6 +112,15 @@ class World:
         return self.materialize(A.fail_attempts(found, toxic, FAILING, "analyst not available"),
                                 "result_store")
 
+    @cached_property
+    def attempts(self) -> DataFrame:
+        """The result store with its run, waves and completion times: the time of a file's
+        answers is that of the event of the same number (none: not answered yet)."""
+        times = self.table("events").select(F.col("event_id").alias("_event"),
+                                            F.col("ts").alias("attempted_at"))
+        return self.results.join(times, F.col("doc_id") == F.col("_event"), "left") \
+            .withColumn("run", F.lit("this")).withColumn("wave", wave_of(F.col("file"), WAVES))
+
     @cached_property
     def results_n(self) -> DataFrame:
         return TR.normalised_results(self.results, VERIFY_PROMPT_HASH, self.thinking)

@@ -64,13 +64,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def write_phase_table(df, name: str):
-    """Write ``df`` as Parquet under ``<spark.checkpoint.dir>/quarry-tables/`` and
-    return the re-read table (a lineage cut that keeps column pruning)."""
+def phase_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of that name under ``<spark.checkpoint.dir>/quarry-tables/``."""
     import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/{name}-{uuid.uuid4().hex}"
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``phase_path`` named, once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_phase_table(df, name: str):
+    """Write ``df`` as Parquet in a folder of ``phase_path`` and return the re-read table (a
+    lineage cut that keeps column pruning)."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/quarry-tables/{name}-{uuid.uuid4().hex}"
+    path = phase_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -25,17 +25,30 @@ from pyspark.sql import types as T
 
 RESULT_COLUMNS = ["cache_key", "scanner", "scanner_name", "file", "status", "content_hash",
                   "prompt_hash", "thinking", "tools_mode", "result"]
+#: When an answer was there, and the run and wave that asked for it.
+ATTEMPT_DDL = "attempted_at timestamp, run string, wave int"
+RESULT_DDL = ", ".join(f"{c} string" for c in RESULT_COLUMNS) + ", " + ATTEMPT_DDL
 
 
-def append_results(results: DataFrame, path: str) -> None:
+def _with_attempt(rows: DataFrame, run: str | None, wave: int | None) -> DataFrame:
+    at = F.current_timestamp()
+    if "attempted_at" in rows.columns:  # taken by the worker when the answer came
+        at = F.coalesce("attempted_at", at)
+    return rows.withColumn("attempted_at", at).withColumn("run", F.lit(run).cast("string")) \
+        .withColumn("wave", F.lit(wave).cast("int"))
+
+
+def append_results(results: DataFrame, path: str, run: str | None = None,
+                   wave: int | None = None) -> None:
     """Append attempts (ok and failed) to the result store."""
-    out = results.select(*RESULT_COLUMNS).withColumn("attempted_at", F.current_timestamp())
+    out = _with_attempt(results, run, wave).select(*RESULT_COLUMNS, "attempted_at", "run", "wave")
     out.write.mode("append").partitionBy("tools_mode", "scanner").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, tools_mode: str | None = None) -> DataFrame:
-    """The store; ``tools_mode`` prunes to one namespace (partition pruning)."""
-    df = spark.read.parquet(path)
+    """The store; ``tools_mode`` prunes to one namespace (partition pruning).  Stores
+    written before runs and waves were kept have nulls there."""
+    df = spark.read.schema(RESULT_DDL).parquet(path)
     return df.where(F.col("tools_mode") == tools_mode) if tools_mode else df
 
 
@@ -179,18 +192,21 @@ def load_allowlist_table(spark: SparkSession, path: str) -> DataFrame:
 # -- verdict store (A8) -------------------------------------------------------
 
 VERDICT_COLUMNS = ["verify_key", "scanner", "file", "status", "result"]
+VERDICT_DDL = ", ".join(f"{c} string" for c in (*VERDICT_COLUMNS, "tools_mode")) \
+    + ", " + ATTEMPT_DDL
 
 
-def append_verdicts(verdicts: DataFrame, path: str, tools_mode: str = "off") -> None:
+def append_verdicts(verdicts: DataFrame, path: str, tools_mode: str = "off",
+                    run: str | None = None, wave: int | None = None) -> None:
     """Append verifier attempts; only ``ok`` rows make a verify key reusable."""
-    (verdicts.select(*VERDICT_COLUMNS).withColumn("tools_mode", F.lit(tools_mode))
-     .withColumn("attempted_at", F.current_timestamp())
+    (_with_attempt(verdicts, run, wave)
+     .select(*VERDICT_COLUMNS, F.lit(tools_mode).alias("tools_mode"), "attempted_at", "run", "wave")
      .write.mode("append").partitionBy("tools_mode", "scanner").parquet(path))
 
 
 def read_verdicts(spark: SparkSession, path: str, tools_mode: str = "off") -> DataFrame:
     """Latest attempt per verify key within one tools-mode namespace."""
-    df = spark.read.parquet(path).where(F.col("tools_mode") == tools_mode)
+    df = spark.read.schema(VERDICT_DDL).parquet(path).where(F.col("tools_mode") == tools_mode)
     return latest_attempts(df, "verify_key")
 
 
