@@ -38,36 +38,48 @@ BLOCK_TERMS, TILE = 1 << 16, 8
 _COUNTS = "lang string, source string, term string, n bigint, d bigint"
 
 
-def _slice_counts(row: np.ndarray, term: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Table:
-    """Occurrences and documents of each term of a slice of texts, by lang and source."""
-    per_doc = pa.table({"row": pa.array(row), "term": term}).group_by(
-        ["row", "term"], use_threads=False).aggregate([([], "count_all")])
-    at = per_doc.column("row").combine_chunks()
-    return pa.table({"lang": lang.take(at), "source": source.take(at),
-                     "term": per_doc.column("term"), "n": per_doc.column("count_all")}) \
-        .group_by(["lang", "source", "term"], use_threads=False) \
-        .aggregate([("n", "sum"), ([], "count_all")])
+def _slice_counts(row: np.ndarray, term: pa.Array, group: np.ndarray
+                  ) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Group, term, occurrences and documents of the terms of a slice of texts; ``row`` is
+    the text of each term and ``group`` the group of each text."""
+    coded = term.dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    keys, n = _runs(np.sort(row * width + coded.indices.to_numpy()))
+    of_group = group[keys // width] * width + keys % width
+    order = np.argsort(of_group, kind="stable")
+    starts = np.flatnonzero(np.diff(of_group[order], prepend=-1))
+    both, d = _runs(of_group[order])
+    n = np.add.reduceat(n[order], starts) if len(starts) else n
+    return both // width, coded.dictionary.take(pa.array(both % width)), n, d
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array (from 0 on), and how often each is there."""
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[starts], np.diff(starts, append=len(ordered))
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) -> sums of _COUNTS; a row without a term for each group met."""
-    met = set()
+    number: dict[tuple[str, str], int] = {}
     for b in batches:
-        lang, source = b.column(0), b.column(1)
-        groups = pa.table({"l": lang, "s": source}).group_by(["l", "s"]).aggregate([])
-        new = [(x["l"], x["s"]) for x in groups.to_pylist() if (x["l"], x["s"]) not in met]
-        met.update(new)
+        known = len(number)
+        pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        group = np.array([number.setdefault(p, len(number)) for p in pairs], dtype=np.int64)
+        names = list(number)
+        lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+        new = len(names) - known
         if new:
+            zero = pa.array([0] * new, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in new]), pa.array([x[1] for x in new]),
-                 pa.nulls(len(new), pa.string()), pa.array([0] * len(new), pa.int64()),
-                 pa.array([0] * len(new), pa.int64())], names=["lang", "source", "term", "n", "d"])
+                [lang[known:], source[known:], pa.nulls(new, pa.string()), zero, zero],
+                names=["lang", "source", "term", "n", "d"])
         long_row, parts = -1, []  # a text in several pieces is one document
         for first, raw, offsets in [*pieces(*text_bytes(b.column(2))), (-1, None, None)]:
             if parts and first != long_row:
                 yield from _out(_slice_counts(np.concatenate([p[0] for p in parts]),
-                                              pa.concat_arrays([p[1] for p in parts]),
-                                              lang, source))
+                                              pa.concat_arrays([p[1] for p in parts]), group),
+                                lang, source)
                 parts = []
             if raw is None or not len(raw):
                 continue
@@ -76,11 +88,14 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             long_row = first
 
 
-def _out(counted: pa.Table) -> Iterator[pa.RecordBatch]:
-    named = counted.select(["lang", "source", "term", "n_sum", "count_all"]) \
-        .rename_columns(["lang", "source", "term", "n", "d"])
-    named = named.set_column(2, "term", named.column("term").cast(pa.string()))
-    yield from named.combine_chunks().to_batches(max_chunksize=65_536)
+def _out(counted, lang: pa.Array, source: pa.Array) -> Iterator[pa.RecordBatch]:
+    group, term, n, d = counted
+    for lo in range(0, len(n), 65_536):
+        at = slice(lo, lo + 65_536)
+        g = pa.array(group[at])
+        yield pa.RecordBatch.from_arrays(
+            [lang.take(g), source.take(g), term[at].cast(pa.string()), pa.array(n[at]),
+             pa.array(d[at])], names=["lang", "source", "term", "n", "d"])
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +181,9 @@ def divergence(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, to
     terms = counts.where("term is not null").groupBy("lang", "term").agg(
         F.sum("n").alias("n_lang"), F.sum("d").alias("d")).where(F.col("d") >= min_docs)
     terms = write_phase_table(terms.select("lang", "term", "n_lang"), "divergence-terms")
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total"))
+    # Written, so that Spark knows its size and need not deal the terms out by language.
+    langs = write_phase_table(terms.groupBy("lang").agg(
+        F.count("*").alias("v"), F.sum("n_lang").alias("total")), "divergence-langs")
     n_blocks = F.ceil(F.col("v") / block_terms)
     kept = terms.join(langs, "lang").withColumn(
         "block", F.pmod(F.xxhash64("term"), n_blocks).cast("int"))
