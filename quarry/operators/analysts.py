@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import re
 import time
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from re import _constants as re_constants
+from re import _parser as re_parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,17 +112,58 @@ def tag_unsubstantiated(findings: Column) -> Column:
     return F.transform(findings, one)
 
 
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Texts of which any match of ``pattern`` holds one; none if that can't be told.
+
+    Read off the parsed pattern: runs of plain characters that every match goes through,
+    of an alternation one of each branch.  The choice whose shortest text is longest wins."""
+    if re.search(r"\(\?[a-zA-Z-]+[:)]", pattern):     # flags may change what characters mean
+        return ()
+    try:
+        with warnings.catch_warnings():  # a warning is about syntax that dialects read otherwise
+            warnings.simplefilter("error")
+            return _needed(list(re_parser.parse(pattern)))
+    except (re.error, Warning, OverflowError, RecursionError):
+        return ()
+
+
+def _needed(nodes: list) -> tuple[str, ...]:
+    choices, run = [], ""
+    for op, arg in [*nodes, (None, None)]:
+        if op is re_constants.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            choices.append((run,))
+        run = ""
+        if op is re_constants.SUBPATTERN:
+            choices.append(_needed(list(arg[-1])))
+        elif op is re_constants.BRANCH:
+            each = [_needed(list(b)) for b in arg[1]]
+            choices.append(tuple(x for e in each for x in e) if all(each) else ())
+        elif op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT) and arg[0] > 0:
+            choices.append(_needed(list(arg[2])))
+    return max(choices, key=lambda c: min(map(len, c), default=0), default=())
+
+
+def _occurs(text: Column, rule: Rule, flags: str = "") -> Column:
+    """Whether the rule's pattern occurs.  A search for its required texts, which is far
+    cheaper than a regex, decides most texts."""
+    found = text.rlike(flags + rule.pattern)
+    needed = [text.contains(x) for x in required_literals(rule.pattern)]
+    return reduce(lambda a, b: a | b, needed) & found if needed else found
+
+
 def _rule_matches(code: Column, rules: list[Rule]) -> Column:
     """Array of the 0-based ordinals of the rules whose pattern occurs in ``code``."""
-    return F.array_compact(F.array(*[F.when(code.rlike(r.pattern), F.lit(k))
+    return F.array_compact(F.array(*[F.when(_occurs(code, r), F.lit(k))
                                      for k, r in enumerate(rules)]))
 
 
 def any_rule(text: Column, rules: list[Rule]) -> Column:
     """True when any rule pattern occurs in a line of ``text``: ^ and $ mean line ends, and
-    the OR of one regex per rule stops at the first hit."""
-    return reduce(lambda a, b: a | b, [text.rlike("(?m)" + r.pattern) for r in rules],
-                  F.lit(False))
+    the OR of one test per rule stops at the first hit."""
+    return reduce(lambda a, b: a | b, [_occurs(text, r, "(?m)") for r in rules], F.lit(False))
 
 
 def file_hits(text: Column, rules: list[Rule]) -> Column:
