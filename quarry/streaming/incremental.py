@@ -22,7 +22,8 @@ from quarry.operators import targets as TG
 from quarry.operators.filters import kept_files
 from quarry.registry import DEFAULT_MAX_FILE_SIZE
 from quarry.sources.corpus import corpus_from_table
-from quarry.sources.stores import append_results, path_exists, read_results
+from quarry.sources.source_tree import tree_stream
+from quarry.sources.stores import RESULT_DDL, append_results, path_exists, read_results
 
 CORPUS_DDL = "doc_id bigint, path string, text string"
 
@@ -85,7 +86,25 @@ def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
     reader = spark.readStream.schema(CORPUS_DDL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(corpus_dir)
+    return _scan_stream(spark, reader.parquet(corpus_dir), store_dir, checkpoint_dir, rules,
+                        thinking, available_now, analyst, tools_mode)
+
+
+def start_tree_scan(spark: SparkSession, root: str, store_dir: str, checkpoint_dir: str,
+                    rules: list[A.Rule] | None = None, thinking: str = "off",
+                    available_now: bool = True, analyst: A.AnalystFn | None = None,
+                    tools_mode: str = "off") -> StreamingQuery:
+    """Stream a directory tree into the result store: each micro-batch has the files that
+    were added or changed since the last.  Listings are kept in ``checkpoint_dir``."""
+    stream = tree_stream(spark, root, os.path.join(checkpoint_dir, "listings"))
+    return _scan_stream(spark, stream.select("doc_id", "path", "text"), store_dir,
+                        os.path.join(checkpoint_dir, "stream"), rules, thinking, available_now,
+                        analyst, tools_mode)
+
+
+def _scan_stream(spark: SparkSession, stream: DataFrame, store_dir: str, checkpoint_dir: str,
+                 rules: list[A.Rule] | None, thinking: str, available_now: bool,
+                 analyst: A.AnalystFn | None, tools_mode: str) -> StreamingQuery:
     writer = (stream.writeStream
               .foreachBatch(lambda df, eid: scan_batch(spark, df, store_dir, eid, rules,
                                                        thinking, analyst=analyst,
@@ -98,11 +117,13 @@ def start_incremental_scan(spark: SparkSession, corpus_dir: str, store_dir: str,
 
 def start_progress(spark: SparkSession, store_dir: str, out_dir: str,
                    checkpoint_dir: str) -> StreamingQuery:
-    """Running completed-attempt counts per (category, status), in update mode: each
+    """Running completed-attempt counts per (run, category, status) with the first and
+    last time at which an answer was there, in update mode over the committed waves: each
     micro-batch appends the counts that changed, with its number, to ``out_dir``."""
-    schema = spark.read.parquet(store_dir).schema
-    s = spark.readStream.schema(schema).parquet(store_dir)
-    counts = s.groupBy("scanner", "status").agg(F.count(F.lit(1)).alias("completed"))
+    s = spark.readStream.schema(RESULT_DDL).parquet(store_dir)
+    counts = s.groupBy("run", "scanner", "status").agg(
+        F.count(F.lit(1)).alias("completed"), F.min("attempted_at").alias("first_at"),
+        F.max("attempted_at").alias("last_at"))
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("bigint")) \
