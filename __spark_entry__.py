@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quarry import registry as R  # noqa: E402
+from quarry.operators import analysts as A  # noqa: E402
 from quarry.operators import filters as FL  # noqa: E402
 from quarry.operators import overlay as O  # noqa: E402
 from quarry.operators import targets as TG  # noqa: E402
@@ -452,6 +453,24 @@ def q_run_progress(spark, sf):
     return run_progress(w.attempts, plan, "this", midpoint(w.attempts, "attempted_at"))
 
 
+def q_custom_category(spark, sf):
+    """A category X1 made of rows alone, scanned and reported next to a built-in one."""
+    from quarry.operators.categories import Registry
+    from quarry.plans import triage as TR
+    w = _w(spark, sf)
+    mine = Registry.builtin(spark).extended(
+        [("X1", 11, "attribution", "Attribution", None)], [("X1", 0, ".py"), ("X1", 1, "SQL")],
+        [("X1", "pom.xml")],
+        [(100, "apache", "X1", "Low", "Apache License", "Names a licence", "Keep it", "text", None),
+         (101, "version", "X1", "Medium", "Version [0-9]+[.][0-9]+", "Pins a version", "Check it",
+          "text", None)]).only(["B6", "X1"])
+    fanned = TG.fan_out(w.kept, mine.ext_index(), mine.name_index())
+    found = A.rule_results(fanned, mine.catalog(), mine.rule_list())
+    b = TR.bucketed(TR.normalised_results(found, "x" * 16), None, None, scanners=mine.ids())
+    return b.join(mine.labels(), "scanner").groupBy("scanner", "scanner_label", "severity").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_distinct("file").alias("files"))
+
+
 def q_verdict_store(spark, sf):
     """Verifier replies per verify key with their entry counts."""
     from quarry.operators.findings import result_items
@@ -654,6 +673,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_attempts": q_scan_attempts,
     "wave_attempts": q_wave_attempts,
     "run_progress": q_run_progress,
+    "custom_category": q_custom_category,
     "verdict_store": q_verdict_store,
     "report_exclusions": q_report_exclusions,
     "response_status": q_response_status,

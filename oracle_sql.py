@@ -615,6 +615,20 @@ def oracle_queries() -> dict[str, str]:
     q["scan_attempts"] = sql(
         f"SELECT scanner, CASE WHEN {FAILED.format(k='')} THEN 'timeout' ELSE 'ok' END AS status, "
         "CAST(count(*) AS BIGINT) AS attempts FROM keyed GROUP BY 1, 2")
+    q["custom_category"] = sql(
+        """SELECT scanner, scanner_label, severity, CAST(count(*) AS BIGINT) AS findings,
+                  CAST(count(DISTINCT path) AS BIGINT) AS files
+           FROM (SELECT 'X1' AS scanner, 'Attribution' AS scanner_label, v.severity, k.path
+                 FROM kept k JOIN lines l ON k.doc_id = l.doc_id,
+                      (VALUES ('Low', 'Apache License'), ('Medium', 'Version [0-9]+[.][0-9]+'))
+                      AS v(severity, pattern)
+                 WHERE (k.ext IN ('.py', '.sql') OR k.name = 'pom.xml')
+                   AND regexp_matches(l.code, v.pattern)
+                 UNION ALL
+                 SELECT 'B6', 'Vulnerable and Outdated Components', 'Low', t.path
+                 FROM targets t JOIN lines l ON t.doc_id = l.doc_id
+                 WHERE t.scanner = 'B6' AND regexp_matches(l.code, '(Licensed|Released) under'))
+           GROUP BY 1, 2, 3""")
     failed = FAILED.format(k="k.")
     q["wave_attempts"] = sql(
         f"""SELECT 'this' AS run, CAST(('0x' || substr(md5(k.path), 1, 8))::BIGINT % 8 AS INTEGER) AS wave,

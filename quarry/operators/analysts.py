@@ -91,7 +91,7 @@ def check_rules(rules: list[Rule]) -> list[Rule]:
 
 
 def rules_from_df(df: DataFrame) -> list[Rule]:
-    """Rules are configuration: a small table collected once to build literal patterns."""
+    """Rules as a list: they become one projection, so the caller bounds their number."""
     cols = ["rule_id", "scanner", "severity", "pattern", "explanation", "fix", "source", "sink"]
     return check_rules([Rule(*[r[c] if c in r else None for c in cols]) for r in
                         (row.asDict() for row in df.collect())])

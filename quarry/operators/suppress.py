@@ -47,13 +47,13 @@ def normalize_allowlist(allowlist: DataFrame) -> DataFrame:
 
 
 def first_match(findings: DataFrame, allowlist: DataFrame,
-                scanner_col: str = "scanner", file_col: str = "file", line_col: str = "line"
-                ) -> DataFrame:
+                scanner_col: str = "scanner", file_col: str = "file", line_col: str = "line",
+                scanners: list[str] | None = None) -> DataFrame:
     """Add ``suppression_pos`` and ``suppression_reason`` (NULL when nothing matches).
 
     One equi-join for each wildcard mask that occurs (at most 8), each with the first
-    entry, position and reason together, of its key.  Entries that name only a category
-    are at most one for each, so that side is broadcast; Spark decides on the others by
+    entry, position and reason together, of its key.  Entries that name only one of the
+    ``scanners`` (default: the built-in categories) are at most one each, so that side is broadcast; Spark decides on the others by
     their measured sizes."""
     entries = normalize_allowlist(allowlist)
     masks = [tuple(r) for r in entries.select("ms", "mf", "ml").distinct().collect()]  # <= 8
@@ -79,7 +79,8 @@ def first_match(findings: DataFrame, allowlist: DataFrame,
             tbl = part.groupBy(*[F.col(a).alias(f"_k{k}_{a}") for a, _ in keys]) \
                 .agg(entry.alias(name))
             if [a for a, _ in keys] == ["a_scanner"]:
-                tbl = F.broadcast(tbl.where(F.col(f"_k{k}_a_scanner").isin(*SCANNER_IDS)))
+                tbl = F.broadcast(tbl.where(F.col(f"_k{k}_a_scanner").isin(
+                    *(SCANNER_IDS if scanners is None else scanners))))
             cond = [F.col(f) == F.col(f"_k{k}_{a}") for a, f in keys]
             out = out.join(tbl, cond, "left").drop(*[f"_k{k}_{a}" for a, _ in keys])
         firsts.append(F.col(name))

@@ -29,18 +29,18 @@ def normalize_ext(ext: str) -> str:
     return e if e.startswith(".") else f".{e}"
 
 
-def parse_scanner_selection(spec: str | None) -> list[str]:
-    """B10: 'all'/None -> every category; else split, trim, upper, validate."""
+def parse_scanner_selection(spec: str | None, known: list[str] | None = None) -> list[str]:
+    """B10: 'all'/None -> every category; else split, trim, upper, validate.  ``known`` are
+    the categories in their order, by default the built-in ones."""
+    known = list(R.SCANNER_IDS) if known is None else known
     if spec is None or spec.strip().lower() in ("", "all"):
-        return list(R.SCANNER_IDS)
-    ids = [p.strip().upper() for p in spec.split(",") if p.strip()]
-    unknown = [i for i in ids if i not in R.SCANNER_BY_ID]
+        return known
+    ids = {p.strip().upper() for p in spec.split(",") if p.strip()}
+    of = {k.upper(): k for k in known}
+    unknown = sorted(i for i in ids if i not in of)
     if unknown:
         raise ValueError(f"unknown scanner id(s): {', '.join(unknown)}")
-    out: list[str] = []
-    for i in sorted(set(ids), key=R.scanner_ord):
-        out.append(i)
-    return out
+    return [k for k in known if k.upper() in ids]
 
 
 def registry_maps(scanner_ids: list[str] | None = None,
@@ -101,8 +101,8 @@ def fan_out(files: DataFrame, ext_index, name_index) -> DataFrame:
         rows = sorted(name_index.items())
         name_index = files.sparkSession.createDataFrame(rows or [], INDEX_SCHEMA)
     ei = ext_index.select(F.col("key").alias("ext"), F.col("scanners").alias("_es"))
-    ni = F.broadcast(name_index.select(F.col("key").alias("name"),
-                                       F.col("scanners").alias("_ns")))
+    # Spark broadcasts an index or shuffles by its measured size
+    ni = name_index.select(F.col("key").alias("name"), F.col("scanners").alias("_ns"))
     empty = F.array().cast("array<string>")
     return (files.join(ei, "ext", "left").join(ni, "name", "left")
             .withColumn("scanners", F.array_distinct(F.concat(F.coalesce("_es", empty),

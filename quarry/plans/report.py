@@ -178,9 +178,11 @@ def error_rows(files: DataFrame, labels: DataFrame) -> DataFrame:
             .select(*[cols[c].alias(c) for c in R.REPORT_COLUMNS]))
 
 
-def report_rows(b: DataFrame, files: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row per finding or failed file, fixed column order."""
-    labels = spark.createDataFrame([(s.id, s.label) for s in R.scanners()],
+def report_rows(b: DataFrame, files: DataFrame, spark: SparkSession,
+                labels: DataFrame | None = None) -> DataFrame:
+    """One row per finding or failed file, fixed column order.  ``labels`` are those of
+    a registry, by default the built-in one's."""
+    labels = labels if labels is not None else spark.createDataFrame([(s.id, s.label) for s in R.scanners()],
                                    "scanner string, scanner_label string")
     return finding_rows(b, labels).unionByName(error_rows(files, labels))
 

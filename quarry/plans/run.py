@@ -25,6 +25,7 @@ from quarry.operators import overlay as O
 from quarry.operators import targets as TG
 from quarry.operators.bloom import matching_rows
 from quarry.operators.calls import CallPolicy
+from quarry.operators.categories import Registry
 from quarry.operators.filters import observed_files
 from quarry.operators.inference import (run_scanner, run_verifier, scan_requests_all,
                                         verify_requests)
@@ -65,6 +66,9 @@ class TriageConfig:
     export_candidates: bool = False
     include_stale: bool = False           # report every stored result, not only current keys
     rules: list[A.Rule] = field(default_factory=lambda: list(A.DEFAULT_RULES))
+    # categories as tables (I6), with their extensions, names, templates and rules: in place
+    # of the built-in ones, discovery, ``prompt_dir`` and ``rules``
+    registry: Registry | None = None
 
 
 @dataclass
@@ -95,7 +99,8 @@ def validate(cfg: TriageConfig) -> tuple[list[str], bool]:
         raise ValueError(f"report_format: {cfg.report_format} is not csv or tsv")
     if cfg.fail_on_confidence.lower() not in ("high", "medium", "low", "never"):
         raise ValueError(f"fail_on_confidence: {cfg.fail_on_confidence} is no level")
-    ids = TG.parse_scanner_selection(cfg.scanners)
+    ids = TG.parse_scanner_selection(cfg.scanners,
+                                     cfg.registry.ids() if cfg.registry else None)
     return ids, bool(cfg.verify) or cfg.phase == 3
 
 
@@ -142,7 +147,12 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     run = WV.new_run()
 
     # phase 1: discovery (reused unless redetect / missing)
-    if cfg.format_override:
+    registry = cfg.registry.only(ids) if cfg.registry else None
+    if registry and cfg.format_override:
+        ext_index, name_index = registry.override_index(cfg.format_override), {}
+    elif registry:
+        ext_index, name_index = registry.ext_index(), registry.name_index()
+    elif cfg.format_override:
         ext_index, name_index = TG.registry_maps(ids, cfg.format_override)
     else:
         plan = S.load_discovery(spark, paths["discovery"], cfg.tools_mode, cfg.redetect)
@@ -155,7 +165,8 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         plan = plan.where(F.col("scanner").isin(ids))
         ext_index = TG.discovery_ext_index(plan)
         name_index = TG.registry_maps(ids)[1]
-    catalog = TG.prompt_catalog(spark, prompt_dir=cfg.prompt_dir)
+    catalog = registry.catalog() if registry else TG.prompt_catalog(spark, prompt_dir=cfg.prompt_dir)
+    rules = registry.rule_list() if registry else cfg.rules
     fanned = TG.fan_out(kept, ext_index, name_index)
     store = S.read_results(spark, paths["results"], cfg.tools_mode) \
         if S.path_exists(spark, paths["results"]) else None
@@ -166,7 +177,7 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         # everything is pending: keys and findings come from one pass over the texts
         if scan_analyst is None:
             attempts = write_phase_table(A.rule_results(
-                fanned, catalog, cfg.rules, cfg.scan_thinking, cfg.tools_mode), "attempts")
+                fanned, catalog, rules, cfg.scan_thinking, cfg.tools_mode), "attempts")
             keyed = attempts.select("cache_key", "scanner", "scanner_name", "doc_id",
                                     F.col("file").alias("path"), "size", "content_hash",
                                     "prompt_hash", "thinking", "tools_mode")
@@ -187,7 +198,7 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
         pending = write_phase_table(pending, "pending")
         only = _pending_files(fanned, pending) if scans else None
         if only is not None and scan_analyst is None:
-            S.append_results(A.rule_results(only, catalog, cfg.rules, cfg.scan_thinking,
+            S.append_results(A.rule_results(only, catalog, rules, cfg.scan_thinking,
                                             cfg.tools_mode), paths["results"], run, 0)
         elif only is not None:
             staged = WV.Staged(_staged_columns(only), "path", cfg.waves, "scan-requests")
@@ -234,7 +245,7 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
     # report + gate
     level = None if cfg.fail_on_confidence.lower() == "never" else cfg.fail_on_confidence.lower()
     allowlist = S.load_run_allowlist(spark, paths["allowlist"], paths["candidates"])
-    b = write_phase_table(TR.bucketed(results_n, vlines, allowlist, level), "bucketed")
+    b = write_phase_table(TR.bucketed(results_n, vlines, allowlist, level, ids), "bucketed")
     if cfg.export_candidates:
         # a folder a run: the human document is never touched
         cands = allowlist_candidates(RP.refuted_for_export(b), allowlist)
@@ -242,7 +253,7 @@ def run_triage(spark: SparkSession, corpus: DataFrame, state_dir: str,
             allowlist.select("pos"), "pos", "left_anti")
         S.write_allowlist(new, os.path.join(paths["candidates"], f"run-{uuid.uuid4().hex}"))
     files = TR.file_grain(results_n, b)
-    rows = RP.report_rows(b, files, spark)
+    rows = RP.report_rows(b, files, spark, registry.labels() if registry else None)
     RP.write_report(rows, paths["report"], cfg.report_format)
     gate = RP.ci_gate(b, files, cfg.fail_on, cfg.fail_on_confidence)
     code = gate.first()["exit_code"]

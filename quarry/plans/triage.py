@@ -22,7 +22,8 @@ def normalised_results(results: DataFrame, verify_prompt_hash: str,
 
 
 def bucketed(results_n: DataFrame, verdict_lines: DataFrame | None, allowlist: DataFrame | None,
-             confidence_threshold: str | None = None) -> DataFrame:
+             confidence_threshold: str | None = None,
+             scanners: list[str] | None = None) -> DataFrame:
     """Finding grain.  ``status`` is suppressed > refuted > not_actionable >
     needs_review (below the confidence gate) > active."""
     f = explode_findings(results_n.withColumn("result_status", F.col("status")))
@@ -33,7 +34,7 @@ def bucketed(results_n: DataFrame, verdict_lines: DataFrame | None, allowlist: D
                             ("confidence", "exploitable", "verification_reason", "verdict")],
                      F.lit(False).alias("has_verdict"))
     if allowlist is not None:
-        f = first_match(f, allowlist)
+        f = first_match(f, allowlist, scanners=scanners)
     else:
         f = (f.withColumn("suppression_pos", F.lit(None).cast("int"))
              .withColumn("suppression_reason", F.lit(None).cast("string")))

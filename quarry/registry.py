@@ -3,8 +3,7 @@
 Everything in the FIXED VALUES block below must stay equal to the
 behaviour being matched (category ids, names, labels, extension lists,
 exclusion lists, orderings).  Everything else in the engine derives from
-these tables; adding a category is adding a row here (plus, optionally, a
-prompt template and rules) -- no code.
+these tables.  Further categories are rows of ``quarry.operators.categories``, no code.
 """
 
 from __future__ import annotations
@@ -168,6 +167,10 @@ def scanners_df(spark: SparkSession) -> DataFrame:
 def default_prompt_template(scanner_id: str) -> str:
     """Built-in scan prompt used when no template file is supplied."""
     _, name, label, _, _ = SCANNER_BY_ID[scanner_id]
+    return prompt_wording(scanner_id, name, label)
+
+
+def prompt_wording(scanner_id: str, name: str, label: str) -> str:
     return (
         f"You review source code for {label} ({scanner_id}, {name}).\n"
         "File: {filename}\n\n{file_content}\n\n"
