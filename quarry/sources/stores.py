@@ -18,6 +18,11 @@ Existing per-file JSON caches can be imported with schema-on-read.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,13 +179,44 @@ def write_allowlist(allowlist: DataFrame, path: str, as_document: bool = False)
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def confirm_candidates(spark: SparkSession, document: str, candidates: str, picks: DataFrame
+                       ) -> int:
+    """A10: a person's decision on exported candidates: those of ``picks`` (scanner, file,
+    line) become confirmed entries from the next run on, in a folder of their own next to the
+    candidates; the human document is not touched.  Returns how many were confirmed; picks
+    that are no open candidate, or are confirmed already, change nothing."""
+    entries = load_run_allowlist(spark, document, candidates)
+    line = F.coalesce("line", F.lit("0"))
+    chosen = picks.select(F.col("scanner").alias("_s"), F.col("file").alias("_f"),
+                          F.coalesce(F.col("line").cast("string"), F.lit("0")).alias("_l")).distinct()
+    mine = entries.where("status = 'candidate'").join(
+        chosen, (F.col("scanner") == F.col("_s")) & (F.col("file") == F.col("_f"))
+        & (line == F.col("_l")), "left_semi")
+    found = mine.count()
+    if found:
+        write_allowlist(mine.withColumn("status", F.lit("confirmed")),
+                        f"{candidates}/confirmed-{uuid.uuid4().hex}")
+    return found
+
+
+def merged_allowlist(spark: SparkSession, document: str, candidates: str) -> DataFrame:
+    """What ``write_allowlist(..., as_document=True)`` puts next to the human document for
+    people to read: its entries and all candidates, confirmed ones as such."""
+    return load_run_allowlist(spark, document, candidates)
+
+
 def load_run_allowlist(spark: SparkSession, document: str, candidates: str) -> DataFrame:
     """The human document's entries, then the candidates that earlier runs exported (one
     folder a run, never overwritten), in first-match order."""
     human = load_allowlist(spark, document).withColumn("pos", F.col("pos").cast("bigint"))
     if not path_exists(spark, candidates):
         return human
-    return human.unionByName(load_allowlist_table(spark, f"{candidates}/*"))
+    found = load_allowlist_table(spark, f"{candidates}/*")
+    # a confirmed candidate is there twice: the confirmed entry counts
+    cols = ["pos", "scanner", "file", "line", "reason"]
+    last = found.groupBy(*cols).agg(F.max_by(
+        F.struct("status", "exported_at"), F.col("status") == "confirmed").alias("_e"))
+    return human.unionByName(last.select(*cols, "_e.status", "_e.exported_at"))
 
 
 def load_allowlist_table(spark: SparkSession, path: str) -> DataFrame:
@@ -210,6 +246,73 @@ def read_verdicts(spark: SparkSession, path: str, tools_mode: str = "off") -> Da
     return latest_attempts(df, "verify_key")
 
 
+VERDICT_DOC_DDL = ("file string, scanner string, status string, content_hash string, "
+                   "findings_signature string, verify_prompt_hash string, "
+                   "verifications map<string,string>, _corrupt_record string")
+
+
+@F.pandas_udf("string")
+def document_signature(result: pd.Series) -> pd.Series:
+    """The signature that verdict documents have of a stored result: a digest of its object
+    findings as JSON with sorted keys, escaped non-ASCII and no white space; null for a
+    result that is no list."""
+    def one(text):
+        try:
+            found = json.loads(text)
+            found = json.loads(found) if isinstance(found, str) else found
+        except (TypeError, ValueError, RecursionError):
+            return None
+        if not isinstance(found, list):
+            return None
+        items = []
+        for f in found:
+            try:
+                f = json.loads(f) if isinstance(f, str) else f
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(f, dict):
+                items.append(f)
+        canonical = json.dumps(items, sort_keys=True, separators=(",", ":"))
+        return hashlib.md5(canonical.encode()).hexdigest()[:16]
+    return result.map(one)
+
+
+def import_verdict_documents(spark: SparkSession, glob: str, results: DataFrame,
+                             thinking: str = "off") -> DataFrame:
+    """Verdict documents (one JSON object a file, verdicts by line) as verdict-store rows.
+
+    ``results`` are latest attempts (imported or own).  A document counts for the result of
+    its category, file and content hash whose findings have the document's signature; so
+    verdicts of files that changed since, and corrupt or failed documents, are left out.
+    Keys are those that ``verify_key`` gives for the document's prompt hash."""
+    from quarry.functions import keys as K
+    from quarry.operators.findings import with_findings
+    docs = (spark.read.schema(VERDICT_DOC_DDL).option("multiLine", True)
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(glob))
+    docs = docs.where(F.col("_corrupt_record").isNull() & (F.col("status") == "ok")
+                      & F.col("verifications").isNotNull())
+    docs = docs.select(F.col("file").alias("_f"), F.col("scanner").alias("_s"),
+                       F.col("content_hash").alias("_c"), "findings_signature",
+                       "verify_prompt_hash", "verifications")
+    ok = with_findings(results.where("status = 'ok'")).withColumn(
+        "_sig", document_signature("result"))
+    met = ok.join(docs, (F.col("file") == F.col("_f")) & (F.col("scanner_name") == F.col("_s"))
+                  & (F.col("content_hash") == F.col("_c"))
+                  & (F.col("_sig") == F.col("findings_signature")))
+    key = K.verify_key("scanner_name", "file", "content_hash", K.findings_signature("findings"),
+                       F.col("verify_prompt_hash"), F.lit(thinking))
+    # {"7": {...}} -> [{"line": 7, ...}]; the line of the key counts
+    items = F.transform(F.map_entries("verifications"), lambda e: F.concat(
+        F.lit('{"line":'), e["key"].cast("bigint").cast("string"),
+        F.when(F.trim(e["value"]).rlike(r"^\{\s*\}$"), F.lit("")).otherwise(F.lit(",")),
+        F.trim(e["value"]).substr(F.lit(2), F.length(F.trim(e["value"])))))
+    sure = F.filter(F.map_entries("verifications"), lambda e: F.coalesce(
+        e["key"].try_cast("bigint").isNotNull() & F.trim(e["value"]).startswith("{"), F.lit(False)))
+    met = met.withColumn("verifications", F.map_from_entries(sure))
+    return met.select(key.alias("verify_key"), "scanner", "file", F.lit("ok").alias("status"),
+                      F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("result"))
+
+
 # -- discovery store (A5) -----------------------------------------------------
 
 def save_discovery(plan: DataFrame, path: str, tools_mode: str = "off") -> None:
