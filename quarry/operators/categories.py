@@ -125,4 +125,6 @@ class Registry:
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.array_sort(F.collect_set("scanner")).alias("scanners"))
+    """Lookups by key, broadcast: ``checked`` bounds them, and without the hint the texts
+    would be dealt out by extension, a third of them to one task."""
+    return F.broadcast(rows.groupBy("key").agg(F.array_sort(F.collect_set("scanner")).alias("scanners")))

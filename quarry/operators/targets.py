@@ -99,9 +99,9 @@ def fan_out(files: DataFrame, ext_index, name_index) -> DataFrame:
         return files.withColumn("scanners", F.array_distinct(F.concat(es, ns)))
     if isinstance(name_index, dict):
         rows = sorted(name_index.items())
-        name_index = files.sparkSession.createDataFrame(rows or [], INDEX_SCHEMA)
+        name_index = F.broadcast(files.sparkSession.createDataFrame(rows or [], INDEX_SCHEMA))
     ei = ext_index.select(F.col("key").alias("ext"), F.col("scanners").alias("_es"))
-    # Spark broadcasts an index or shuffles by its measured size
+    # an index of proven size comes with a hint; of another, Spark knows the size of its files
     ni = name_index.select(F.col("key").alias("name"), F.col("scanners").alias("_ns"))
     empty = F.array().cast("array<string>")
     return (files.join(ei, "ext", "left").join(ni, "name", "left")
