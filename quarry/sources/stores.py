@@ -251,7 +251,7 @@ VERDICT_DOC_DDL = ("file string, scanner string, status string, content_hash str
                    "verifications map<string,string>, _corrupt_record string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def document_signature(result: pd.Series) -> pd.Series:
     """The signature that verdict documents have of a stored result: a digest of its object
     findings as JSON with sorted keys, escaped non-ASCII and no white space; null for a
