@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import warnings
@@ -166,25 +167,128 @@ def any_rule(text: Column, rules: list[Rule]) -> Column:
     return reduce(lambda a, b: a | b, [_occurs(text, r, "(?m)") for r in rules], F.lit(False))
 
 
+#: From this number of rules on, their required texts are searched in one pass.
+INDEXED_RULES = 32
+
+
+def literal_pattern(literals: list[str]) -> str:
+    """A Java pattern that, at each place of a text, takes the longest of ``literals``.
+
+    The texts are merged by their common beginnings, so a place is left after one test of
+    its character and the cost hardly depends on how many there are.  The match itself is
+    empty (a look-ahead with a group): texts that overlap are all found."""
+    trie: dict = {}
+    for text in literals:
+        node = trie
+        for c in text:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def quoted(c: str) -> str:
+        return c if c.isalnum() or not c.isascii() else f"\\x{ord(c):02x}"
+
+    def merged(root: dict) -> str:
+        # from the leaves up, without recursion: a literal may be long
+        order, made = [root], {}
+        for node in order:
+            order += [n for c, n in node.items() if c]
+        for node in reversed(order):
+            each = [(quoted(c), made[id(n)]) for c, n in sorted(node.items()) if c]
+            if len(each) == 1 and "" not in node:
+                made[id(node)] = "".join(each[0])
+            else:
+                made[id(node)] = either(each) + ("?" if "" in node else "") if each else ""
+        return made[id(root)]
+
+    def either(each: list[tuple[str, str]]) -> str:
+        # halves behind a test of the next character: few tests where many texts go on
+        if len(each) <= 4:
+            return f"(?:{'|'.join(c + rest for c, rest in each)})"
+        halves = each[:len(each) // 2], each[len(each) // 2:]
+        return "(?:" + "|".join(f"(?=[{''.join(c for c, _ in h)}]){either(h)}"
+                                for h in halves) + ")"
+
+    first = "".join(map(quoted, sorted(trie)))
+    return f"(?=[{first}])(?=({merged(trie)}))"
+
+
+def _constant(value, ddl: str) -> Column:
+    """A large constant as one literal, which the optimizer folds (built-in literals are a
+    call to the JVM for each element)."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def candidate_rules(text: Column, rules: list[Rule]) -> Column:
+    """Ordinals of the rules whose required texts occur in ``text``, and of those that
+    require none: one pass over the text, however many rules there are."""
+    wanted: dict[str, set[int]] = {}
+    for k, r in enumerate(rules):
+        for x in required_literals(r.pattern):
+            wanted.setdefault(x, set()).add(k)
+    free = _constant([k for k, r in enumerate(rules) if not required_literals(r.pattern)],
+                     "array<int>")
+    if not wanted:
+        return free
+    # the longest text at a place is found, and with it all that it begins with
+    named = {x: sorted(set().union(*(wanted.get(x[:i], ()) for i in range(1, len(x) + 1))))
+             for x in wanted}
+    index = _constant(named, "map<string,array<int>>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(literal_pattern(list(wanted))), 1))
+    return F.array_sort(F.array_distinct(F.concat(
+        F.flatten(F.transform(found, lambda x: F.element_at(index, x))), free)))
+
+
+def _indexed_hits(text: Column, rules: list[Rule]) -> Column:
+    """``file_hits`` for many rules: the patterns are data, and only those of the text's
+    candidate rules run, on lines that hold one of their required texts."""
+    patterns = _constant([r.pattern for r in rules], "array<string>")
+    anywhere = _constant(["(?m)" + r.pattern for r in rules], "array<string>")
+    needed = _constant([required_literals(r.pattern) for r in rules], "array<array<string>>")
+
+    def occurs(code: Column, k: Column) -> Column:
+        texts = F.get(needed, k)
+        return ((F.size(texts) == 0) | F.exists(texts, lambda x: F.contains(code, x))) \
+            & F.regexp(code, F.get(patterns, k))
+
+    def lines(candidates: Column) -> Column:
+        per_line = F.transform(F.split(text, "\n"), lambda code, i: F.struct(
+            (i + 1).cast("bigint").alias("line"), code.alias("code"),
+            F.filter(candidates, lambda k: occurs(code, k)).alias("rules")))
+        return F.filter(per_line, lambda h: F.size(h["rules"]) > 0)
+
+    # one list a text, bound once for all its lines
+    here = F.filter(candidate_rules(text, rules), lambda k: F.regexp(text, F.get(anywhere, k)))
+    return F.flatten(F.transform(F.array(here),
+                                 lambda ks: F.when(F.size(ks) > 0, lines(ks))
+                                 .otherwise(_no_hits())))
+
+
+def _no_hits() -> Column:
+    return F.array().cast("array<struct<line:bigint,code:string,rules:array<int>>>")
+
+
 def file_hits(text: Column, rules: list[Rule]) -> Column:
     """Per file: ``array<struct<line, code, rules>>`` of the lines that match any rule.
 
     A whole-text pre-check skips the per-line pass for files with no hit
     (the common case); in multi-line mode a line hit implies a text hit, as
-    ``check_rules`` admits no anchor that only a whole text has.
+    ``check_rules`` admits no anchor that only a whole text has.  Many rules are looked
+    up by their required texts in one pass (``candidate_rules``); hits are the same.
     """
+    if len(rules) >= INDEXED_RULES:
+        return _indexed_hits(text, rules)
     lines = F.split(text, "\n")
     per_line = F.transform(lines, lambda code, i: F.struct(
         (i + 1).cast("bigint").alias("line"), code.alias("code"),
         _rule_matches(code, rules).alias("rules")))
     hits = F.filter(per_line, lambda h: F.size(h["rules"]) > 0)
-    empty = F.array().cast("array<struct<line:bigint,code:string,rules:array<int>>>")
-    return F.when(any_rule(text, rules), hits).otherwise(empty)
+    return F.when(any_rule(text, rules), hits).otherwise(_no_hits())
 
 
 def findings_for_scanner(hits: Column, scanner: Column, rules: list[Rule]) -> Column:
     """The ordered findings of one category from a file's hits (line, then rule order)."""
-    lit_arr = lambda vals: F.array(*[F.lit(v).cast("string") for v in vals])
+    lit_arr = lambda vals: _constant(vals, "array<string>") if len(vals) >= INDEXED_RULES \
+        else F.array(*[F.lit(v).cast("string") for v in vals])
     r_scanner = lit_arr([r.scanner for r in rules])
     r_sev = lit_arr([r.severity for r in rules])
     r_expl = lit_arr([r.explanation for r in rules])
@@ -264,8 +368,6 @@ def python_rule_analyst(rules: list[Rule] | None = None) -> AnalystFn:
     a JSON array of findings (no tags).  Used to run the model phase offline
     and to cross-check the native analyst.
     """
-    import json
-    import re
     compiled = [(r, re.compile(r.pattern)) for r in (rules or DEFAULT_RULES)]
 
     def analyst(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -292,8 +394,6 @@ def python_rule_analyst(rules: list[Rule] | None = None) -> AnalystFn:
 def python_verifier() -> AnalystFn:
     """An offline verifier: confirms each finding; confidence High when it names a
     source else Low; exploitable yes for Critical/High, else conditional."""
-    import json
-
     def verifier(pdf: pd.DataFrame) -> pd.DataFrame:
         replies = []
         for fj in pdf["findings_json"]:
