@@ -5,14 +5,17 @@ symbol, and keeps for every symbol that it writes the range of source characters
 stands for:
 
 * homoglyphs and full-width forms become their ASCII look-alikes,
-* runs of spelled digits ("four two zero") become digits,
-* " [at] ", "(at)", " at " and their dot counterparts become @ and ".".
+* runs of spelled digits ("four two zero", "+49 30 one two three") become digits, spelled
+  or written " dot " between them becomes a dot,
+* "[at]", "(@)", " at " and their dot counterparts become @ and ".".
 
 The same detectors run over the rewritten text, and a hit's span is mapped back to the
 source characters.  A mapped span is added unless a base span of its kind contains it;
-base spans stay as they are.  Plain-word disguises (" at ", " dot ") count only where both stand
-between single words and the last word is a known top-level domain, and spelled digits
-only in runs of eight or more; clean prose is left alone.
+base spans stay as they are.  What may be prose is left alone: plain-word disguises need a
+top-level domain (of the longer ones those of a list, of two letters any that isn't an
+English word), " at " before a written domain ("jane at example.org") a name that stands
+first, behind punctuation or behind a word such as "mail", and spelled digits three of
+their kind in a run of eight digits or of four parts of an address.
 
 Every text is treated whole, in linear time: detectors start at "@", "+" or the head of a
 digit run, and quantifiers that could back up over a long run are possessive.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -136,21 +140,94 @@ SPELLED = {
 #: Letters that patterns without case take for i and s, but lower() does not.
 _FOLD = str.maketrans("İıſ", "iis")
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER})[ ,-]{{1,2}}){{7,}}(?:{_NUMBER})(?!\w)")
-_SPELLED_ONE = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)")
-
-_BRACKETED = re.compile(r"(?i)[\[({<][ ]?(at|dot)[ ]?[\])}>][ ]?")
-# Words that no disguised domain starts with, and the top-level domains that
-# a disguise in plain words has to end in.
+#: Spelled and written digits in a row; " dot " may stand between them, as in addresses.
+_SAID = rf"(?:(?:{_NUMBER})(?!\w)|\+?[0-9]{{1,19}}(?!\w))"
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:\+ ?)?{_SAID}(?:(?:[ ,-]{{1,2}}| dot ){_SAID})++")
+_SPELLED_PART = re.compile(rf"(?i)(?P<said>(?:{_NUMBER})(?!\w))|(?P<digits>\+?[0-9]+)|(?P<dot> dot )")
+#: Three spelled digits with nothing but digits and dots between them, as a row of classes.
+_THREE_SAID = re.compile(rb"S[D.]*S[D.]*S")
+_APART = str.maketrans(dict.fromkeys(",.;:!?()[]{}<>\"'-+", " "))
+
+_BRACKETED = re.compile(r"(?i)[\[({<][ ]?(at|dot|@|\.)[ ]?[\])}>][ ]?")
+# Words that no disguised domain starts with; longer top-level domains and
+# words of two letters that are none (the others are taken for countries); words that
+# stand before "at" in prose, and words that announce an address.
 ARTICLES = "the|a|an|this|that|these|those|our|their|his|her|my|your|its|any|every|each"
-TOP_DOMAINS = "com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu"
+TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|app|dev|xyz|online|shop|tech|cloud|blog|store"
+NO_COUNTRIES = "an|go|he|hi|if|of|oh|ok|on|or|ox|up|we"
+BEFORE_AT = frozenset(
+    "look looking looked available hosted found find visit us me it them him her you here there "
+    "more see live lives stay meet arrive arrived work works working home page site website code "
+    "docs documentation download downloads read online start starts shop published posted listed "
+    "is are was were be been and or not good bad best stare staring shout laugh point aim "
+    "register sign login store stored located information details news".split())
+_CUE = re.compile(r"(?i)(?:\A|[\n:;,(<][ ]?|(?<!\w)(?:e-?mail|mail|contact|reach|write|address|to|"
+                  r"from)[ ])(?P<local>[\w.%+-]{1,64})\Z")
+_TOP = rf"(?:(?:{TOP_DOMAINS})|(?!(?:{NO_COUNTRIES})(?!\w))[a-z]{{2}})(?![\w/@]|\.\w)"
+_DOT = r"(?: dot |\.| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)"
+_NAME = rf"(?!(?:{ARTICLES}) )[\w-]{{1,63}}(?P<dots>(?:{_DOT}[\w-]{{1,63}}){{0,3}}{_DOT}){_TOP}"
 _PLAIN = re.compile(
-    rf"(?i)(?<![\w.%+@-])[\w.%+-]{{1,64}}(?P<at> at )(?!(?:{ARTICLES}) )[\w-]{{1,63}}"
-    rf"(?P<dots>(?: dot [\w-]{{1,63}}){{0,3}} dot )(?:{TOP_DOMAINS})(?!\w)")
+    rf"(?i)(?<![\w.%+@-])[\w.%+-]{{1,64}}(?P<at> at |@| ?[\[({{<] ?(?:at|@) ?[\])}}>] ?){_NAME}")
+_DOMAIN_NAME = re.compile(rf"(?i){_NAME}")
+_SAID_DOT = re.compile(r"(?i) dot ")
 
 Edit = tuple[int, int, str]
 
 
+def _plain_words(text: str, low: str) -> Iterator[Edit]:
+    """Edits of " at " and " dot " in addresses said in plain words."""
+    if " dot " in low:
+        for m in _PLAIN.finditer(text):
+            lo, hi = m.span("dots")
+            dots = list(_SAID_DOT.finditer(text, lo, hi))
+            if not dots:
+                continue
+            if m["at"].lower() == " at ":
+                yield m.start("at"), m.end("at"), "@"
+            for d in dots:
+                yield d.start(), d.end(), "."
+    # with a written dot it may be prose ("look at example.org"): a name alone or announced
+    for word in (" at ", " AT ", " At "):
+        at = text.find(word)
+        while at >= 0:
+            m = _DOMAIN_NAME.match(text, at + 4)
+            if m and not _SAID_DOT.search(m["dots"]):
+                local = _CUE.search(text[max(0, at - 80):at])
+                hidden = set(m["dots"]) & set("[({<")
+                before = local["local"] if local else ""
+                if (hidden or before) and (before or text[at - 1:at]).lower() not in BEFORE_AT:
+                    yield at, at + 4, "@"
+            at = text.find(word, at + 3)
+
+
+def _spelled(text: str, low: str) -> Iterator[Edit]:
+    """Edits that write spelled digits as digits, joined with digits beside them."""
+    words = low.translate(_APART).split()
+    if sum(map(SPELLED.__contains__, words)) < 3:
+        return
+    classes = bytes(83 if w in SPELLED else 68 if w.isdigit() else 46 if w == "dot" else 95
+                    for w in words)
+    if not _THREE_SAID.search(classes):
+        return
+    for run in _SPELLED_RUN.finditer(text):
+        parts = list(_SPELLED_PART.finditer(text, run.start(), run.end()))
+        said = {p.start(): SPELLED[p["said"].translate(_FOLD).lower()] for p in parts if p["said"]}
+        n = sum(v != "+" for v in said.values()) + sum(len(_digits(p["digits"]))
+                                                       for p in parts if p["digits"])
+        if len(said) < 3 or (n < 8 and sum(p["dot"] is not None for p in parts) < 3):
+            continue
+        plus = text[run.start()] == "+" and parts[0].start() > run.start()
+        last = run.start() + 1 if plus else parts[0].start()
+        for p in parts:
+            if p["said"]:
+                yield last, p.end(), said[p.start()]
+            elif p["dot"]:
+                yield p.start(), p.end(), "."
+            elif last < p.start():
+                yield last, p.start(), ""
+            last = p.end()
+
+
 def _rewrites(text: str) -> list[Edit]:
     """(start, end, replacement) in order, without overlaps; the leftmost, then the
     longest of the transducers' edits wins."""
@@ -160,23 +237,12 @@ def _rewrites(text: str) -> list[Edit]:
         low = text.translate(_FOLD).lower()
     else:
         low = text.lower()
-    if "at" in low and ("dot" in low or "." in low or "․" in low):
+    if any(c in text for c in "[({<"):
         edits += [(m.start() - (text[max(m.start() - 1, 0):m.start()] == " "), m.end(),
-                   "@" if m.group(1).lower() == "at" else ".")
+                   "@" if m.group(1).lower() in ("at", "@") else ".")
                   for m in _BRACKETED.finditer(text)]
-    if " at " in low and " dot " in low:
-        for m in _PLAIN.finditer(text):
-            edits.append((m.start("at"), m.end("at"), "@"))
-            lo, hi = m.span("dots")
-            edits += [(lo + d.start(), lo + d.end(), ".")
-                      for d in re.finditer(" dot ", text[lo:hi], re.IGNORECASE)]
-    # all but the ends of a run stand alone between separators
-    said = bytes(map(SPELLED.__contains__, low.replace(",", " ").replace("-", " ").split()))
-    for m in _SPELLED_RUN.finditer(text) if b"\x01" * 6 in said else ():
-        last = m.start()
-        for d in _SPELLED_ONE.finditer(text, m.start(), m.end()):
-            edits.append((last, d.end(), SPELLED[d.group().translate(_FOLD).lower()]))
-            last = d.end()
+    edits += _plain_words(text, low)
+    edits += _spelled(text, low)
     edits.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in edits:
@@ -186,21 +252,38 @@ def _rewrites(text: str) -> list[Edit]:
     return out
 
 
-def transduce(text: str, edits: list[Edit]) -> tuple[str, list[int], list[int]]:
-    """The rewritten text and, for each of its characters, its source range [lo, hi)."""
-    parts: list[str] = []
-    lo: list[int] = []
-    hi: list[int] = []
-    at = 0
-    for start, end, new in [*edits, (len(text), len(text), "")]:
-        parts.append(text[at:start])
-        lo += range(at, start)
-        hi += range(at + 1, start + 1)
-        parts.append(new)
-        lo += [start] * len(new)
-        hi += [end] * len(new)
+class Offsets:
+    """Source ranges of the characters of a rewritten text: three numbers for each edit."""
+
+    def __init__(self, edits: list[Edit]):
+        self.at, self.start, self.end = array("q"), array("q"), array("q")
+        shift = 0
+        for start, end, new in edits:  # `at` is where the edit's text begins in the rewritten one
+            self.at.append(start + shift)
+            self.start.append(start)
+            self.end.append(end)
+            shift += len(new) - (end - start)
+        self.length = array("q", (len(new) for _, _, new in edits))
+
+    def source(self, i: int) -> tuple[int, int]:
+        """[lo, hi) in the source of character ``i`` of the rewritten text."""
+        k = bisect_right(self.at, i) - 1
+        if k < 0:
+            return i, i + 1
+        past = i - self.at[k] - self.length[k]
+        if past < 0:
+            return self.start[k], self.end[k]
+        return self.end[k] + past, self.end[k] + past + 1
+
+
+def transduce(text: str, edits: list[Edit]) -> str:
+    """The text with its edits made."""
+    parts, at = [], 0
+    for start, end, new in edits:
+        parts += (text[at:start], new)
         at = end
-    return "".join(parts), lo, hi
+    parts.append(text[at:])
+    return "".join(parts)
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
@@ -208,12 +291,12 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     edits = _rewrites(text)
     if not edits:
         return []
-    plain, lo, hi = transduce(text, edits)
+    plain, offsets = transduce(text, edits), Offsets(edits)
     # base spans of a kind are disjoint: only the last that starts at or before can contain
     taken = {kind: sorted((s, e) for k, s, e in base if k == kind) for kind in KINDS}
     out: list[Span] = []
     for kind, s, e in detect(plain):
-        start, end = lo[s], hi[e - 1]
+        start, end = offsets.source(s)[0], offsets.source(e - 1)[1]
         i = bisect_right(taken[kind], (start, len(text) + 1))
         if not i or taken[kind][i - 1][1] < end:
             out.append((kind, start, end))

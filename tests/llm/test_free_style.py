@@ -235,6 +235,60 @@ def test_pii_disguises_beside_other_characters(text, shown):
     assert [text[s:e] for _, s, e in P.hidden_spans(text, P.detect(text))] == [shown]
 
 
+@pytest.mark.parametrize("text,kind,shown", [
+    ("name at firma dot ch", "email", "name at firma dot ch"),
+    ("ask anna at mail dot firma dot it!", "email", "anna at mail dot firma dot it"),
+    ("jane at example.org", "email", "jane at example.org"),
+    ("please mail jane.doe at example.org.", "email", "jane.doe at example.org"),
+    ("see jane at example[.]org now", "email", "jane at example[.]org"),
+    ("to user[@]site[.]com today", "email", "user[@]site[.]com"),
+    ("anna (at) firma dot de", "email", "anna (at) firma dot de"),
+    ("anna@firma dot nl", "email", "anna@firma dot nl"),
+    ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"),
+    ("at one nine two dot one six eight dot zero dot one.", "ip",
+     "one nine two dot one six eight dot zero dot one"),
+    ("tel +49 30 one two three four five six, thanks", "phone", "+49 30 one two three four five six"),
+    ("+ four nine, three zero, 123 four five", "phone", "+ four nine, three zero, 123 four five"),
+    ("4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+])
+def test_pii_mixed_disguises(text, kind, shown):
+    got = P.hidden_spans(text, P.detect(text))
+    assert (kind, text.index(shown), text.index(shown) + len(shown)) in got, got
+
+
+@pytest.mark.parametrize("text", [
+    "look at example.org", "docs are available at docs.example.com/start", "He lives at home. So",
+    "meet us at example.org", "we hosted it at github.com", "one of two dot three", "f[.]x(at)",
+    "un chat, deux chiens, trois oiseaux en 2020", "one 2 three 4 five", "look at the dot com boom",
+    "at noon dot we left", "chapters one, two and three of 12345678"])
+def test_pii_leaves_more_prose_alone(text):
+    assert P.hidden_spans(text, P.detect(text)) == []
+
+
+def test_pii_offsets_equal_lists_of_ranges():
+    rnd = random.Random(2)
+    for _ in range(2_000):
+        text = "".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 30)))
+        cuts = sorted(rnd.sample(range(len(text) + 1), min(len(text), rnd.randint(0, 4) * 2) // 2 * 2))
+        edits = [(s, e, rnd.choice(["", "X", "YZ"])) for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+        want, at = [], 0
+        for s, e, new in [*edits, (len(text), len(text), "")]:
+            want += [(text[i], i, i + 1) for i in range(at, s)] + [(c, s, e) for c in new]
+            at = e
+        got, offsets = P.transduce(text, edits), P.Offsets(edits)
+        assert [(c, *offsets.source(i)) for i, c in enumerate(got)] == want
+
+
+def test_pii_long_text_needs_little_beside_it():
+    import tracemalloc
+    text = "plain words here \u2013 and \u2013 there. " * 50_000 + "jane at mail dot org"
+    tracemalloc.start()
+    got = P.hidden_spans(text, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [("email", len(text) - 20, len(text))] and peak < 30 * len(text)
+
+
 def test_pii_query_rows(make_docs):
     rows = [*ODD, (40, "a@b.co 1.2.3.4 4111 1111 1111 1111 +1 (202) 555-0177"), (40, "x [at] y.de"),
             (41, "a" * 200_000 + "@"), (42, "1" * 100_000), (43, "+" + "1 " * 50_000)]
