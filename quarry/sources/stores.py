@@ -66,6 +66,36 @@ def latest_attempts(store: DataFrame, key: str = "cache_key") -> DataFrame:
     return last.select(key, "_last.*").select(*store.columns)
 
 
+def _compacted(store: DataFrame, key: str) -> DataFrame:
+    """The latest attempt of each key and namespace, in the order of ``latest_attempts``.
+    Files are balanced by bytes, so a hot category has several and a small one few; rows
+    are in order of their key, so that a look-up of keys skips row groups."""
+    rest = [c for c in store.columns if c != key]
+    order = F.struct("attempted_at", F.col("status") != "ok", F.xxhash64(*rest))
+    last = store.groupBy(F.col(key).alias("_key"), F.col("tools_mode").alias("_mode")) \
+        .agg(F.max_by(F.struct(*store.columns), order).alias("_last")).select("_last.*")
+    return last.hint("rebalance", "tools_mode", "scanner") \
+        .sortWithinPartitions("tools_mode", "scanner", key)
+
+
+def compact_results(spark: SparkSession, path: str, target: str) -> None:
+    """Write the result store ``path`` anew to ``target`` with the latest attempt of each key
+    alone.  What phases and reports read of it is as before; earlier attempts, and with them
+    the progress of past waves, are gone.
+
+    ``target`` must not exist, and is whole once its commit is there; the old store stays
+    until the caller lets go of it.  Attempts appended meanwhile are not in ``target``, so
+    compaction belongs between runs.  An empty store gives an empty one."""
+    rows = spark.read.schema(RESULT_DDL).parquet(path)
+    _compacted(rows, "cache_key").write.partitionBy("tools_mode", "scanner").parquet(target)
+
+
+def compact_verdicts(spark: SparkSession, path: str, target: str) -> None:
+    """``compact_results`` for the verdict store, by verify key."""
+    rows = spark.read.schema(VERDICT_DDL).parquet(path)
+    _compacted(rows, "verify_key").write.partitionBy("tools_mode", "scanner").parquet(target)
+
+
 CACHE_DOC_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()),
     T.StructField("scanner", T.StringType()),
