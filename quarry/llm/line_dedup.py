@@ -1,46 +1,47 @@
-"""Line dedup: repeated runs of lines, found with the names of prefix doubling.
+"""Line dedup: the suffix array of line sequences and its intervals of repeated runs.
 
 A document is the sequence of the ids (128-bit hashes) of its lines that hold a word.
-Prefix doubling names every window of 2, 4, 8 ... lines by the names of its halves, so
-a window of any length l has the name of its two overlapping 2**k-line halves, and two
-windows anywhere in the corpus are equal if their names are.  The suffixes that share a
-name of l lines are an interval of the suffix array whose longest common prefix is at
-least l; the interval's first member in corpus order stays and every other one is a
-later copy.
-
-A run counts if it has ``min_chars`` characters or more.  A later copy of such a run
-holds, for each of its lines, a shortest qualifying window that starts at some line
-or ends at it, and each such window is a later copy as well; and each window is itself
-a run.  So intervals need to be known only at those depths, one shuffle of names
-finds them all, and overlapping windows joined together are the maximal runs.  The
-order of the suffixes inside an interval decides nothing and is not computed.
-
-Corpus order is (doc_id, text hash), null ids last.  Equal texts are one sequence:
-all but their first row are later copies throughout, so a group of copies of any size
-costs one row.
+``suffixes`` puts all suffixes of all sequences in order by prefix doubling; the suffixes
+that share their first lines are an interval of the array, and its common prefix is a run
+of lines that the corpus holds repeatedly.  The first of an interval's suffixes in corpus
+order stays and every other one is a later copy.  The deepest interval that holds a smaller
+position gives the longest later copy that starts at a line; all shorter ones that start
+there lie inside it, so these runs cover every line of a later copy.  Overlapping and
+touching ones joined together are the ranges that are deleted.
+
+Every repeated run counts, from a single line on.  ``min_chars`` leaves alone runs with
+fewer characters, which is of use where short lines belong to the form of a text.
+
+Corpus order is (doc_id, text digest), null ids last.  Equal texts (by a 128-bit digest) are
+one sequence: all but their first row are later copies throughout, so a group of copies of
+any size costs one row.  Rows with equal id and text are told apart by their other columns,
+so the same one stays in every run.
 
 Defined results: a null text has no lines and stays as it is; a document that loses
-its last line with a word is gone; texts below ``min_chars`` never count and stay;
+its last line with a word is gone; texts without such a line never count and stay;
 repeated rows are copies like any other; other columns are ignored or carried along,
 whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import suffixes
+from quarry.llm.rows import stable_order
 from quarry.llm.text import table
 from quarry.session import write_phase_table
 
-#: Characters from which a repeated run counts.
-MIN_CHARS = 60
+#: Characters from which a repeated run counts: all do.
+MIN_CHARS = 1
+
+
+def digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,7 +51,7 @@ def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
                     lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select("doc_id", F.xxhash64(text).alias("th"),
+    d = docs.select("doc_id", digest(text).alias("th"),
                     F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n_lines"),
                     lines.alias("_l"))
     return d.select("doc_id", "th", "n_lines",
@@ -60,115 +61,56 @@ def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
                     F.transform("_l", lambda s: F.length(s["x"])).alias("chars"))
 
 
-def _pair(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
-    """A name for each pair of names (multiply, add and shift, modulo 2**64)."""
-    h = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def window_names(ids: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-    """Names of ids[start:end], by prefix doubling: level k names all 2**k-line windows."""
-    size = end - start
-    level = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
-    out = np.zeros(len(start), dtype=np.uint64)
-    names = ids
-    for k in range(int(level.max(initial=-1)) + 1):
-        if k:
-            half = 1 << (k - 1)
-            if len(names) <= half:
-                break
-            names = _pair(names[:-half], names[half:], salt)
-        here = level == k
-        first, last = names[start[here]], names[end[here] - (1 << k)]
-        out[here] = _pair(first, last, salt ^ 0x5851F42D4C957F2D) + size[here].astype(np.uint64)
-    return out
-
-
-def shortest_windows(chars: np.ndarray, offsets: np.ndarray, least: int
-                     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, start, end) of the shortest windows of ``least`` characters or more
-    that start at each line and that end at each line, inside its sequence."""
-    cum = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
-    n = len(chars)
-    seq = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    i = np.arange(n)
-    fwd = np.searchsorted(cum, cum[:-1] + least, side="left")
-    ok = fwd <= offsets[seq + 1]
-    back = np.searchsorted(cum, cum[1:] - least, side="right") - 1
-    ok2 = back >= offsets[seq]
-    start = np.concatenate([i[ok], back[ok2]])
-    end = np.concatenate([fwd[ok], i[ok2] + 1])
-    s = np.concatenate([seq[ok], seq[ok2]])
-    pairs = np.unique(np.stack([s, start, end], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
-
-
-def _flat(col) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(col.values), np.asarray(col.offsets, dtype=np.int64)
-
-
-def _window_batches(least: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {f: b.column(i) for i, f in enumerate(b.schema.names)}
-            at, offsets = _flat(col["at"])
-            base = offsets[0]
-            at, offsets = at[base:offsets[-1]], offsets - base
-            part = lambda f: np.asarray(col[f].values)[base:base + len(at)]  # noqa: E731, B023
-            if not len(at):
-                continue
-            seq, start, end = shortest_windows(part("chars"), offsets, least)
-            a = window_names(part("a").astype(np.int64).view(np.uint64), start, end, 0x1B873593)
-            c = window_names(part("b").astype(np.int64).view(np.uint64), start, end, 0x85EBCA6B)
-            # a window that its own document has had before
-            order = np.lexsort((start, c, a, seq))
-            again = np.zeros(len(seq), dtype=bool)
-            o, p = order[1:], order[:-1]
-            again[o] = (seq[o] == seq[p]) & (a[o] == a[p]) & (c[o] == c[p])
-            yield pa.RecordBatch.from_arrays(
-                [col["doc_id"].take(pa.array(seq)), col["th"].take(pa.array(seq)),
-                 pa.array(at[start].astype(np.int32)), pa.array(at[end - 1].astype(np.int32)),
-                 pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(again)],
-                names=["doc_id", "th", "first", "last", "a", "b", "again"])
-    return windows
-
-
-def _place() -> Column:
-    """The place of a sequence in corpus order; null ids come last."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
-
-
-def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text"
-                 ) -> tuple[DataFrame, DataFrame]:
+@F.pandas_udf(T.ArrayType(T.StructType().add("first", T.IntegerType())
+                          .add("last", T.IntegerType())))
+def _runs(found: pd.Series, base: pd.Series, at: pd.Series, chars: pd.Series,
+          least: pd.Series) -> pd.Series:
+    """The longest later copies of a sequence as line numbers, those with enough characters."""
+    out = []
+    for f, b, lines, c, m in zip(found, base, at, chars, least, strict=True):
+        p = np.array([x["p"] for x in f], dtype=np.int64) - b
+        end = p + np.array([x["n"] for x in f], dtype=np.int64)
+        cum = np.concatenate([[0], np.cumsum(c, dtype=np.int64)])
+        ok = cum[end] - cum[p] >= m
+        out.append([{"first": int(lines[i]), "last": int(lines[j - 1])}
+                    for i, j in zip(p[ok], end[ok], strict=True)] or None)
+    return pd.Series(out)
+
+
+def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
+                 block_bits: int = suffixes.BLOCK_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows, firsts).  rows: doc_id, th, n_lines, n_chars of each row of ``docs``.  firsts:
     doc_id, th and runs (array of [first, last] line numbers, ends inclusive) of the first
     row of each text of ``min_chars`` or more; every other row of it is a later copy."""
     seqs = write_phase_table(sequences(docs, text), "line-sequences")
     n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda s, x: s + x)
     rows = seqs.select("doc_id", "th", "n_lines", n_chars.alias("n_chars"))
-    order = Window.partitionBy("th").orderBy(F.col("doc_id").asc_nulls_last())
-    firsts = write_phase_table(
-        seqs.where(n_chars >= min_chars).withColumn("_n", F.row_number().over(order))
-        .where("_n = 1").drop("_n"), "line-firsts")
-    windows = write_phase_table(firsts.select("doc_id", "th", "at", "a", "b", "chars").mapInArrow(
-        _window_batches(min_chars),
-        "doc_id bigint, th bigint, first int, last int, a bigint, b bigint, again boolean"),
-        "line-windows")
-    # one row for each interval of two or more suffixes; its own table, so that both
-    # sides of the join are plain shuffles and Spark can split a hot name
-    first = write_phase_table(
-        windows.groupBy("a", "b").agg(F.min(_place()).alias("place"),
-                                      F.count(F.lit(1)).alias("_c"))
-        .where("_c > 1").drop("_c"), "line-intervals")
-    later = windows.join(first, ["a", "b"]).where(
-        F.col("again") | (F.col("place") < _place()))
-    runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "runs")
-    f = firsts.select("doc_id", "th")
-    return rows, f.join(runs, f["doc_id"].eqNullSafe(runs["_id"]) & (f["th"] == runs["_th"]),
-                        "left").select("doc_id", "th", "runs")
+    tables = suffixes.Tables(docs.sparkSession)
+    # the least id of a text, combined map-side, then one of its rows: equal keys, equal rows
+    own = seqs.where(n_chars >= max(min_chars, 1))
+    keys = own.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"),
+                                                F.col("doc_id").alias("id"))).alias("_k"))
+    keys = keys.select(F.col("th").alias("_th"), F.col("_k.none").alias("none"),
+                       F.col("_k.id").alias("_id"))
+    one = own.join(keys, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = one.select("none", "doc_id", "th", F.size("a").cast("bigint").alias("n"),
+                     "at", "a", "b", "chars").dropDuplicates(["doc_id", "th"])
+    firsts = suffixes.numbered(tables, one, ["none", "doc_id", "th"], "n", "base", "line-firsts")
+    lines = firsts.select("base", F.posexplode(F.arrays_zip("a", "b"))).select(
+        (F.col("base") + F.col("pos")).alias("p"), F.col("base").alias("d"), "col.a", "col.b")
+    ranked = suffixes.first_ranks(tables, lines)
+    ranks, splits = suffixes.doubled(tables, ranked)
+    array = suffixes.common_prefixes(tables, ranks, splits)
+    found = suffixes.earlier(tables, array, block_bits)
+    found = found.join(ranked.select("p", "d"), "p").groupBy(F.col("d").alias("base")).agg(
+        F.collect_list(F.struct("p", "n")).alias("_found"))
+    runs = firsts.join(found, "base", "left").select("doc_id", "th", F.when(
+        F.col("_found").isNotNull(),
+        _runs(F.coalesce("_found", F.array().cast("array<struct<p:bigint,n:bigint>>")), "base",
+              "at", "chars", F.lit(min_chars))).alias("runs"))
+    runs = write_phase_table(runs, "line-runs")
+    tables.remove()
+    return rows, runs
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -191,14 +133,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     _, firsts = later_copies(docs, min_chars)
     firsts = firsts.select(F.col("doc_id").alias("_fid"), F.col("th").alias("_fth"), "runs")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_doc"),
-                        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+                        F.col("doc_id").alias("_id"), digest("text").alias("_th"))
     text = F.coalesce(F.col("_doc.text"), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.aggregate(worded, F.lit(0), lambda s, x: s + F.length(x))
-    short = whole.withColumn("_c", n_chars).where(F.col("_c") < min_chars).select("_doc")
+    short = whole.withColumn("_c", n_chars).where(
+        F.col("_c") < max(min_chars, 1)).select("_doc")
     met = whole.join(firsts, whole["_id"].eqNullSafe(firsts["_fid"])
                      & (whole["_th"] == firsts["_fth"]))
-    one = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
+    one = Window.partitionBy("_id", "_th").orderBy(stable_order("_doc"))
     met = met.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     changed = met.where("runs is not null")
     flags = changed.select("_doc", _gone("runs", F.size(F.split(text, "\n"))).alias("_gone"))
@@ -233,7 +176,7 @@ def query(spark, sf_dir):
     """doc_id, n_lines, copy (a later row of an equal text), removed (the numbers of the
     deleted lines, as ranges) and n_removed of every document."""
     rows, firsts = later_copies(table(spark, sf_dir, "documents"))
-    firsts = write_phase_table(firsts, "line-runs").select(
+    firsts = firsts.select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "runs")
     one = Window.partitionBy("doc_id", "th").orderBy("n_lines")
     r = rows.withColumn("_n", F.row_number().over(one))

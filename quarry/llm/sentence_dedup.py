@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.line_dedup import window_names
+from quarry.llm.names import window_names
 from quarry.llm.text import table
 from quarry.session import write_phase_table
 

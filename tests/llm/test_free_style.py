@@ -17,6 +17,7 @@ from quarry.llm import quality_classifier as Q
 from quarry.llm import secrets as S
 from quarry.llm import sentence_dedup as T
 from quarry.llm import simhash as H
+from quarry.llm.names import window_names
 
 # ---------------------------------------------------------------- classifier
 
@@ -411,12 +412,12 @@ def _line_runs(rows, least):
         gone = set()
         for i in range(len(lines)):
             for j in range(i + 1, len(lines) + 1):
-                k = tuple(x for _, x in lines[i:j])
-                if seen.get(k, (place, i)) < (place, i) and sum(map(len, k)) >= least:
-                    gone |= set(range(lines[i][0], lines[j - 1][0] + 1))
+                seen.setdefault(tuple(x for _, x in lines[i:j]), (place, i))
         for i in range(len(lines)):
             for j in range(i + 1, len(lines) + 1):
-                seen.setdefault(tuple(x for _, x in lines[i:j]), (place, i))
+                k = tuple(x for _, x in lines[i:j])
+                if seen[k] < (place, i) and sum(map(len, k)) >= least:
+                    gone |= set(range(lines[i][0], lines[j - 1][0] + 1))
         out.append((False, gone))
     return out
 
@@ -466,12 +467,85 @@ def test_line_dedup_of_repeated_rows_and_nothing(make_docs):
     assert L.dedup_lines(make_docs([])).count() == 0
 
 
+def test_line_dedup_keeps_short_runs_below_a_bound(make_docs):
+    rows = sorted(_random_lines(8))
+    for least in (20, 60):
+        want = _line_runs(rows, least)
+        _, firsts = L.later_copies(make_docs(rows), least)
+        got = {r.doc_id: {k for x in r.runs or [] for k in range(x["first"], x["last"] + 1)}
+               for r in firsts.collect()}
+        for (d, t), (copy, gone) in zip(rows, want, strict=True):
+            if not copy and d in got:
+                assert got[d] == gone, (least, d)
+
+
+def test_line_dedup_keeps_the_same_of_equal_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, "one line", s) for s in "dacb"] + [(2, "two", None)],
+        "doc_id long, text string, source string")
+    a = sorted(map(str, L.dedup_lines(docs.repartition(4, "source")).collect()))
+    assert a == sorted(map(str, L.dedup_lines(docs.coalesce(1).orderBy("source")).collect()))
+    assert len(a) == 2
+
+
+# ------------------------------------------------------------- suffix array
+
+
+def _sequences(kind):
+    rng = random.Random(kind)
+    if kind == 0:   # one item over and over, and long copies
+        return [[7] * 40, [7] * 23, [1, 2, 3] * 9, [1, 2, 3] * 8 + [4], [5], [7]]
+    if kind == 1:   # a hot item among others
+        return [[rng.choice([0, 0, 0, i]) for i in range(rng.randint(1, 30))] for _ in range(40)]
+    run = [rng.randint(0, 9) for _ in range(37)]
+    return [[rng.randint(0, 4) for _ in range(rng.randint(0, 8))] + run[rng.randint(0, 20):]
+            for _ in range(30)]
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_suffix_array_prefixes_and_earlier_copies(spark, kind):
+    from quarry.llm import suffixes as X
+    seqs, rows, at = _sequences(kind), [], 0
+    for s in seqs:
+        rows += [(at + i, at, int(x), 0) for i, x in enumerate(s)]
+        at += len(s)
+    count = {}
+    for r in rows:
+        count[r[2]] = count.get(r[2], 0) + 1
+    suffix, seg = {}, []      # what is left of each segment of items that occur again
+    for i, (p, d, a, _) in reversed(list(enumerate(rows))):
+        joined = i + 1 < len(rows) and rows[i + 1][1] == d
+        seg = [] if count[a] == 1 else [a, *(seg if joined else [])]
+        if seg:
+            suffix[p] = tuple(seg)
+    t = X.Tables(spark)
+    first = X.first_ranks(t, spark.createDataFrame(rows, "p long, d long, a long, b long"))
+    ranks, splits = X.doubled(t, first)
+    array = X.common_prefixes(t, ranks, splits)
+    got = sorted((r.idx, r.p, r.l) for r in array.collect())
+    want = sorted(suffix, key=lambda p: (suffix[p], p))
+    assert [g[0] for g in got] == list(range(len(want)))
+    assert [g[1] for g in got] == want
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b),
+                    min(len(x), len(y)))
+    for (_, q, _), (_, p, n) in zip(got, got[1:], strict=False):
+        assert n == common(suffix[q], suffix[p])
+    longest = {p: max((common(suffix[p], suffix[q]) for q in suffix if q < p), default=0)
+               for p in suffix}
+    for bits in (2, 4, 16):     # blocks of 4 and 16 places, and one for all
+        have = {r.p: r.n for r in X.earlier(t, array, bits).collect()}
+        assert have == {p: n for p, n in longest.items() if n}
+    t.remove()
+
+
 def test_window_names_by_doubling():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 3, 300).astype(np.uint64)
     start = np.repeat(np.arange(250), 8)
     end = start + np.tile(np.array([1, 2, 3, 5, 8, 13, 31, 50]), 250)
-    names = L.window_names(ids, start, end, 7)
+    names = window_names(ids, start, end, 7)
     by = {}
     for s, e, n in zip(start, end, names, strict=True):
         by.setdefault(int(n), set()).add(tuple(ids[s:e].tolist()))
