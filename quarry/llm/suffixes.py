@@ -128,9 +128,8 @@ def doubled(tables: Tables, first: DataFrame) -> tuple[list[DataFrame], DataFram
             F.count(F.lit(1)).alias("c"), F.max(F.col("e") - F.col("p")).alias("far"))
         groups = numbered(tables, groups, ["r", "r2"], "c", "_s", f"suffix-groups-{k}")
         base = groups.groupBy("r").agg(F.min("_s").alias("_s0"))
-        groups = tables.write(groups.join(base, "r").select(
-            "r", "r2", "c", "far", (F.col("r") + F.col("_s") - F.col("_s0")).alias("to")),
-            f"suffix-splits-{k}")
+        groups = groups.join(base, "r").select(
+            "r", "r2", "c", "far", (F.col("r") + F.col("_s") - F.col("_s0")).alias("to"))
         new = pairs.join(groups, ["r", "r2"]).select("p", "e", F.col("to").alias("r"), "c", "far")
         ranks.append(tables.write(v.where(~may).unionByName(new), f"suffix-ranks-{k + 1}"))
         splits = splits.unionByName(groups.where("to <> r").select(
