@@ -66,4 +66,4 @@ def test_empty_corpus(spark, make_docs, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
