@@ -35,6 +35,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS = 1.5, 2
 #: Words of a block and of a shard.
 BLOCK_WORDS, SHARD_WORDS = 16, 1 << 20
+#: Most tasks that order the blocks of shards.
+SHARD_TASKS = 10_000
 SEED = 20240501
 
 
@@ -153,6 +155,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     shards = d.where("size > 0").groupBy("source", "shard", "source_quota").agg(
         F.sum("size").alias("words"))
     shards = apportion(shards, ["source"], ["shard"], "words", "source_quota", "quota")
+    # a shard is a small row here but much work, so tasks go by their number, not by bytes
+    n = per.agg(F.sum(F.ceil(F.col("source_size") / shard_words))).first()[0] or 1
+    shards = shards.repartition(max(1, min(int(n), SHARD_TASKS)), "source", "shard")
     shards = write_phase_table(chosen_blocks(shards, epochs, block_words), "mix-shards")
 
     order = Window.partitionBy("source", "shard").orderBy(
