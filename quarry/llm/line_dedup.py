@@ -98,11 +98,10 @@ def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text"
     firsts = suffixes.numbered(tables, one, ["none", "doc_id", "th"], "n", "base", "line-firsts")
     lines = firsts.select("base", F.posexplode(F.arrays_zip("a", "b"))).select(
         (F.col("base") + F.col("pos")).alias("p"), F.col("base").alias("d"), "col.a", "col.b")
-    ranked = suffixes.first_ranks(tables, lines)
-    ranks, splits = suffixes.doubled(tables, ranked)
-    array = suffixes.common_prefixes(tables, ranks, splits)
+    keys, ranked = suffixes.doubled(tables, suffixes.first_ranks(tables, lines))
+    array = suffixes.common_prefixes(tables, keys, ranked)
     found = suffixes.earlier(tables, array, block_bits)
-    found = found.join(ranked.select("p", "d"), "p").groupBy(F.col("d").alias("base")).agg(
+    found = found.groupBy(F.col("d").alias("base")).agg(
         F.collect_list(F.struct("p", "n")).alias("_found"))
     runs = firsts.join(found, "base", "left").select("doc_id", "th", F.when(
         F.col("_found").isNotNull(),

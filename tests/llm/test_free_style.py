@@ -540,6 +540,58 @@ def test_suffix_array_prefixes_and_earlier_copies(spark, kind):
     t.remove()
 
 
+def test_suffix_array_of_long_runs_in_few_jobs(spark):
+    """Runs of over 16 * 16 items, ranges whose edges cut groups and keys, and no job more for
+    each doubling of the longest run: jobs and plans are what fills the driver's memory."""
+    from quarry.llm import suffixes as X
+    rng = random.Random(11)
+    run = [rng.randint(4, 300) for _ in range(600)]
+    seqs = [run, run[5:] + [1000], run[100:590], [3] * 330, [3] * 310 + run[:50], [1001],
+            run[:300] + [1001] + run[300:], [3] * 310]
+    rows, suffix = [], {}
+    for s in seqs:
+        rows += [(len(rows) + i, len(rows), x, 0) for i, x in enumerate(s)]
+    count = Counter(r[2] for r in rows)
+    for i, (p, d, a, _) in reversed(list(enumerate(rows))):
+        joined = i + 1 < len(rows) and rows[i + 1][1] == d and count[rows[i + 1][2]] > 1
+        if count[a] > 1:
+            suffix[p] = (a, *(suffix[p + 1] if joined else ()))
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "9"}
+    former = {k: spark.conf.get(k) for k in held}
+    t, sc = X.Tables(spark), spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("long-runs", "")
+        first = X.first_ranks(t, spark.createDataFrame(rows, "p long, d long, a long, b long"))
+        array = X.common_prefixes(t, *X.doubled(t, first))
+        got = sorted((r.idx, r.p, r.l) for r in array.collect())
+        have = {r.p: r.n for r in X.earlier(t, array, 6).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("long-runs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in former.items():
+            spark.conf.set(k, v)
+        t.remove()
+    want = sorted(suffix, key=lambda p: (suffix[p], p))
+    assert [g[1] for g in got] == want
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b),
+                    min(len(x), len(y)))
+    shared = np.array([0, *(common(suffix[q], suffix[p])
+                            for q, p in zip(want, want[1:], strict=False))])
+    assert [g[2] for g in got] == shared.tolist()
+    place, longest = np.array(want), {}
+    for i, p in enumerate(want):
+        after = np.minimum.accumulate(shared[i + 1:])[place[i + 1:] < p]
+        before = np.minimum.accumulate(shared[i:0:-1])[place[:i][::-1] < p]
+        longest[p] = max([0, *after[:1].tolist(), *before[:1].tolist()])
+    assert have == {p: n for p, n in longest.items() if n}
+    assert jobs < 90
+
+
 def test_window_names_by_doubling():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 3, 300).astype(np.uint64)
