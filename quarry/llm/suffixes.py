@@ -337,7 +337,8 @@ def common_prefixes(tables: Tables, keys: list[DataFrame], ranked: DataFrame) ->
         at = todo.where(inside).select(
             "idx", "p", "d", "e", "q", "f", "l", "step",
             (F.col("p") + F.col("l")).alias("_x"), (F.col("q") + F.col("l")).alias("_y"))
-        at = at.join(x, "_x", "left").join(y, "_y", "left")
+        # sizes of few columns of a packed table are guessed too low for a broadcast
+        at = at.join(x.hint("merge"), "_x", "left").join(y.hint("merge"), "_y", "left")
         unlike = F.expr("array_position(zip_with(_kx, _ky, (a, b) -> a <=> b), false)")
         more = F.coalesce(unlike - 1, F.lit(0)) * (GROWTH ** m)
         at = at.select("idx", "p", "d", "e", "q", "f", (F.col("l") + more).alias("l"), "step")

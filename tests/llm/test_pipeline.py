@@ -67,3 +67,20 @@ def test_empty_corpus(spark, make_docs, tmp_path):
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 14))
+
+
+def test_line_dedup_stage_takes_few_jobs_however_long_the_copy(spark, make_docs, tmp_path):
+    """Jobs and their plans are what filled the driver's memory."""
+    run = "\n".join(f"line {i} of a copied passage" for i in range(300))
+    rows = [(1, run + "\nend one"), (2, "head two\n" + run), (3, "three\nend one")]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, sc = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.sparkContext
+    try:
+        sc.setJobGroup("line-dedup-stage", "")
+        got = {r.doc_id: r.text
+               for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("line-dedup-stage"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {1: run + "\nend one", 2: "head two", 3: "three"}
+    assert jobs < 110
